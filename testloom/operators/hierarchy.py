@@ -1,0 +1,217 @@
+"""Parent-child links to full hierarchies, cycles included.
+
+``peel`` works on one graph by bottom-up leaf peeling: a node without unpeeled children leaves, and sends its descendants and
+subtree size to its parents. What never leaves contains the cycles and what lies above them. The reverse of the peel order
+then hands paths and depths down. A graph that arrives in one row is peeled in the task that reads the row, without a
+shuffle; graphs whose links are spread over rows go through ``hierarchy_of_links``, which gathers graphs up to a bound of links
+into a task and peels larger ones by distributed rounds.
+
+Defined results: path, depth and root follow the parent of least (depth, path), so a file with several parents gets its shortest
+path and among these the first in code-point order. Depth of a root is 0. Nodes without any root above them (they hang
+on a cycle only) have null path, depth and root. A node is in a cycle if it reaches itself by one link or more, itself
+included as its own child. Null graphs, null lists and null children give no links; an empty list gives a node without children. Repeated children count
+once, blank paths are no files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+NODE = T.StructType([
+    T.StructField("file_path", T.StringType()),
+    T.StructField("path", T.ArrayType(T.StringType())),
+    T.StructField("depth", T.IntegerType()),
+    T.StructField("root", T.StringType()),
+    T.StructField("descendants", T.ArrayType(T.StringType())),
+    T.StructField("subtree_size", T.IntegerType()),
+    T.StructField("in_cycle", T.BooleanType()),
+])
+
+
+def plain_path(path: str) -> str:
+    """Relative, single forward slashes, no '.' segments; '..' stays as written."""
+    return "/".join(s for s in path.replace("\\", "/").split("/") if s not in ("", "."))
+
+
+def links_of(graph) -> dict[str, set[str]]:
+    """node -> children in plain form, every node a key; graph: pairs of a file and a list of files."""
+    children: dict[str, set[str]] = {}
+    for parent, imported in graph or ():
+        p = plain_path(parent or "")
+        if not p:
+            continue
+        own = children.setdefault(p, set())
+        for child in imported or ():
+            c = plain_path(child or "")
+            if c:
+                own.add(c)
+                children.setdefault(c, set())
+    return children
+
+
+class Peeled:
+    """Result of bottom-up leaf peeling: peel order, subtree facts, residual nodes and those of them in cycles."""
+
+    def __init__(self, children: dict[str, set[str]]):
+        self.children = children
+        self.parents: dict[str, list[str]] = {n: [] for n in children}
+        for p, own in children.items():
+            for c in own:
+                self.parents[c].append(p)
+        self.below: dict[str, set[str]] = {}
+        self.order: list[str] = []
+        waiting = {n: len(own) for n, own in children.items()}
+        inbox: dict[str, set[str]] = {}
+        leaves = sorted(n for n, w in waiting.items() if not w)
+        while leaves:
+            after = []
+            for n in leaves:
+                self.order.append(n)
+                mine = self.below[n] = inbox.pop(n, set())
+                for p in self.parents[n]:
+                    box = inbox.setdefault(p, set())
+                    box.add(n)
+                    box |= mine
+                    waiting[p] -= 1
+                    if not waiting[p]:
+                        after.append(p)
+            leaves = sorted(after)
+        self.residual = {n for n, w in waiting.items() if w}
+        self.in_cycle = self._cycles()
+
+    def _cycles(self) -> set[str]:
+        """Exact check on the residual: strongly connected parts of two or more nodes, and self-links."""
+        rest = self.residual
+        if not rest:
+            return set()
+        index: dict[str, int] = {}
+        low: dict[str, int] = {}
+        stack: list[str] = []
+        on: set[str] = set()
+        found: set[str] = set()
+        for start in rest:
+            if start in index:
+                continue
+            index[start] = low[start] = len(index)
+            stack.append(start)
+            on.add(start)
+            work = [(start, iter(self.children[start]))]
+            while work:
+                n, it = work[-1]
+                for c in it:
+                    if c not in rest:
+                        continue
+                    if c not in index:
+                        index[c] = low[c] = len(index)
+                        stack.append(c)
+                        on.add(c)
+                        work.append((c, iter(self.children[c])))
+                        break
+                    if c in on:
+                        low[n] = min(low[n], index[c])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[n])
+                    if low[n] == index[n]:
+                        part = []
+                        while True:
+                            m = stack.pop()
+                            on.discard(m)
+                            part.append(m)
+                            if m == n:
+                                break
+                        if len(part) > 1 or n in self.children[n]:
+                            found.update(part)
+        return found
+
+    def paths(self) -> dict[str, tuple[str, ...]]:
+        """Path of each node below a root: residual nodes level by level, then the peeled ones in reverse peel order."""
+        best: dict[str, tuple[str, ...]] = {n: (n,) for n in self.children if not self.parents[n]}
+        level = sorted(n for n in best if n in self.residual)
+        while level:
+            following: dict[str, tuple[str, ...]] = {}
+            for n in level:
+                for c in self.children[n]:
+                    if c in self.residual and c not in best:
+                        path = (*best[n], c)
+                        if c not in following or path < following[c]:
+                            following[c] = path
+            best |= following
+            level = sorted(following)
+        for n in reversed(self.order):
+            if n not in best:
+                above = [best[p] for p in self.parents[n] if p in best]
+                if above:
+                    best[n] = (*min(above, key=lambda x: (len(x), x)), n)
+        return best
+
+    def descendants(self, node: str) -> set[str]:
+        """All nodes below; for residual nodes by a walk, which includes the node itself if it is in a cycle."""
+        if node in self.below:
+            return self.below[node]
+        seen: set[str] = set()
+        work = list(self.children[node])
+        while work:
+            n = work.pop()
+            if n in seen:
+                continue
+            seen.add(n)
+            if n in self.below:
+                seen |= self.below[n]
+            else:
+                work.extend(self.children[n])
+        return seen
+
+
+def node_rows(graph) -> list[dict]:
+    """One dict per node of a graph, in the shape of NODE."""
+    peeled = Peeled(links_of(graph))
+    paths = peeled.paths()
+    out = []
+    for n in sorted(peeled.children):
+        path, below = paths.get(n), peeled.descendants(n)
+        out.append({"file_path": n, "path": list(path) if path else None, "depth": len(path) - 1 if path else None, "root": path[0] if path else None,
+                    "descendants": sorted(below), "subtree_size": len(below | {n}), "in_cycle": n in peeled.in_cycle})
+    return out
+
+
+def graph_hierarchy(df: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
+    """key and the columns of NODE: a row for each file of each row's graph. No shuffle."""
+    schema = T.StructType([T.StructField("_graph_key", df.schema[key].dataType), *NODE.fields])
+    arrow = pa.schema([pa.field("file_path", pa.string()), pa.field("path", pa.list_(pa.string())), pa.field("depth", pa.int32()), pa.field("root", pa.string()),
+                       pa.field("descendants", pa.list_(pa.string())), pa.field("subtree_size", pa.int32()), pa.field("in_cycle", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a graph at a time: the descendants of one graph are the most that is held
+                rows = node_rows(batch.column(1)[i].as_py())
+                if rows:
+                    body = pa.Table.from_pylist(rows, arrow)
+                    keys = pa.array([batch.column(0)[i].as_py()] * len(rows), batch.schema.field(0).type)
+                    yield from pa.Table.from_arrays([keys, *body.columns], ["_graph_key", *arrow.names]).to_batches()
+
+    found = df.where(F.col(graph).isNotNull()).select(F.col(key).alias("_graph_key"), F.col(graph).alias("g")).mapInArrow(run, schema)
+    return found.withColumnRenamed("_graph_key", key)
+
+
+def cyclic_files(df: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
+    """key, file_path: the files of each graph that reach themselves."""
+    schema = T.StructType([T.StructField("_graph_key", df.schema[key].dataType), T.StructField("file_path", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, paths = [], []
+            for i in range(batch.num_rows):
+                found = sorted(Peeled(links_of(batch.column(1)[i].as_py())).in_cycle)
+                keys += [batch.column(0)[i].as_py()] * len(found)
+                paths += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(paths, pa.string())], ["_graph_key", "file_path"])
+
+    found = df.where(F.col(graph).isNotNull()).select(F.col(key).alias("_graph_key"), F.col(graph).alias("g")).mapInArrow(run, schema)
+    return found.withColumnRenamed("_graph_key", key)

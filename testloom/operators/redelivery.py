@@ -1,0 +1,158 @@
+"""Messages delivered more than once: exactly one row of each stays.
+
+``MessageTable`` keeps one winner per message in a partitioned store. A merge looks the incoming identifiers up in an index
+of (source, key, partition), reads only the historical partitions it names, recomputes the winners of these together
+with the incoming rows and atomically overwrites only these partitions. Partitions that merely receive new messages get
+another folder. All joins hash on (source, key, sequence), so that one identifier holding a third of all rows spreads
+over all tasks; the winner of a key is found by a partial aggregate.
+
+Defined results: an identifier is the row's letters and digits, lower case; null, blank or purely punctuated ones identify
+nothing and every such row stays. A null source is a source of its own only for rows without identifier; a row without
+source is never merged. Rows are ordered by sequence, then by a hash of the whole row; rows equal in both are repeats of which
+one stays. Empty inputs give empty tables. Columns called like the operator's own (_key, _rank, _part, _kept) are refused.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from testloom.session import state_path
+from testloom.sources.store import PART, PartitionStore
+
+KEY, RANK, KEPT = "_key", "_rank", "_kept"
+LAST = 2**63 - 1  # rows without a sequence number come after all others
+
+
+def message_key(column: str | F.Column) -> F.Column:
+    """Letters and digits of an identifier in lower case; null if there are none."""
+    bare = F.regexp_replace(F.lower(F.col(column) if isinstance(column, str) else column), r"[^\p{L}\p{N}]", "")
+    return F.when(bare != "", bare)
+
+
+def month_part(created: str = "created_at") -> F.Column:
+    """Partition by calendar month of a timestamp; rows without one share a partition."""
+    return F.coalesce(F.date_format(F.col(created), "yyyyMM"), F.lit("none"))
+
+
+def _row_hash(df: DataFrame, seq: str) -> F.Column:
+    """A hash of the whole row, maps as sorted entries."""
+    plain = []
+    for name, kind in df.dtypes:
+        if name != seq:
+            plain.append(F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in kind else F.col(f"`{name}`"))
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
+def with_keys(df: DataFrame, id_col: str, source_col: str, seq: str) -> DataFrame:
+    """Adds the message key and the rank by which the winner is the least."""
+    taken = {KEY, RANK, PART, KEPT} & set(df.columns)
+    if taken:
+        raise ValueError(f"reserved column names in the input: {sorted(taken)}")
+    keyed = F.when(F.col(source_col).isNotNull(), message_key(id_col))
+    order = F.coalesce(F.col(seq).cast("bigint"), F.lit(LAST))
+    return df.withColumns({KEY: keyed, RANK: F.struct(order.alias("seq"), _row_hash(df, seq).alias("tie"))})
+
+
+def flag_winners(rows: DataFrame, source_col: str) -> DataFrame:
+    """rows with _kept: true for the least-ranked row of each message and for rows without a key."""
+    best = rows.where(F.col(KEY).isNotNull()).groupBy(source_col, KEY).agg(F.min(RANK).alias(RANK)).withColumn("_best", F.lit(True))
+    same = [source_col, KEY, RANK]
+    # rows equal in rank are repeats of one row: the window runs on the join's own partitioning
+    copy = F.row_number().over(W.partitionBy(*same).orderBy(RANK))
+    won = F.col(KEY).isNull() | (F.col("_best").isNotNull() & (copy == 1))
+    return rows.join(best, same, "left").withColumn(KEPT, won).select(*rows.columns, KEPT)
+
+
+class MessageTable:
+    """One winner per message, in partitions of a store, with an identifier index beside it."""
+
+    def __init__(self, spark: SparkSession, root: str, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", part: F.Column | None = None):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.id_col, self.source_col, self.seq = id_col, source_col, seq
+        self.part = month_part() if part is None else part
+        self.rows = PartitionStore(spark, f"{self.root}/rows")
+        self.index = PartitionStore(spark, f"{self.root}/index")
+        self.surplus: list[str] = []
+
+    def affected(self, incoming: DataFrame) -> list[str]:
+        """Historical partitions that hold, or once held, a message of the incoming rows (at most one value a partition).
+
+        Index entries are only ever added, so an entry may be out of date; that names a partition too many, never one too few.
+        """
+        index = self.index.read()
+        if index is None:
+            return []
+        keys = incoming.where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"))
+        hits = index.join(keys, ["source", "key"], "left_semi").select(PART).distinct()
+        return sorted(r[0] for r in hits.collect())
+
+    def merge(self, incoming: DataFrame) -> int:
+        """Take a batch in; returns the new version. Rows that lost are kept beside the table, see ``surplus_rows``."""
+        base, index_base = self.rows.version(), self.index.version()
+        fresh = with_keys(incoming, self.id_col, self.source_col, self.seq).withColumn(PART, self.part)
+        touched = self.affected(fresh)
+        old = self.rows.read(touched, base) if touched else None
+        flagged = flag_winners(fresh if old is None else old.unionByName(fresh, allowMissingColumns=True), self.source_col)
+        out = self.rows.fresh("merge")
+        # one shuffle by partition; AQE cuts a hot month into several files and joins small ones
+        flagged.hint("rebalance", PART).withColumns({"_won": F.col(KEPT), "_dir": F.col(PART)}).drop(KEPT).write.partitionBy("_won", "_dir").parquet(out)
+        schema = flagged.drop(KEPT).schema
+        parts = self.rows.folders_below(f"{out}/_won=true")
+        if parts:
+            won = self.spark.read.schema(schema).parquet(f"{out}/_won=true")
+            slots = self.index.fresh("index")
+            entries = won.where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"), PART)
+            entries.withColumn("_dir", F.lit("all")).write.partitionBy("_dir").parquet(slots)
+            # the index goes first: an entry without rows does no harm, rows without an entry would
+            self.index.commit(slots, entries.schema, self.index.folders_below(slots), set(), index_base)
+        self.surplus.append(f"{out}/_won=false")
+        return self.rows.commit(f"{out}/_won=true", schema, parts, set(touched), base)
+
+    def winners(self) -> DataFrame | None:
+        """The current rows, one per message, in the input's columns."""
+        rows = self.rows.read()
+        return None if rows is None else rows.drop(KEY, RANK, PART)
+
+    def surplus_rows(self, columns: Sequence[str]) -> DataFrame | None:
+        """The rows that lost in any merge made through this object."""
+        there = [f"{p}/_dir={part}" for p in self.surplus for part in self.rows.folders_below(p)]
+        if not there:
+            return None
+        schema = self.rows.read().schema
+        return self.spark.read.schema(schema).parquet(*there).select(*columns)
+
+
+def in_epochs(df: DataFrame, batch: str, shares: Iterable[float]) -> list[DataFrame]:
+    """Cut deliveries at shares of the range of batch numbers, in order; rows without a batch come first."""
+    low, high = df.agg(F.min(batch), F.max(batch)).first()
+    if low is None:
+        return [df]
+    cuts = [low + (high - low) * s for s in shares]
+    number = F.coalesce(F.col(batch), F.lit(low))
+    bounds = [None, *cuts, None]
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        keep = F.lit(True)
+        keep = keep if a is None else keep & (number > a)
+        keep = keep if b is None else keep & (number <= b)
+        out.append(df.where(keep))
+    return out
+
+
+def replay(df: DataFrame, *, batch: str = "batch_id", shares: Sequence[float] = (0.7, 0.85), **names: str) -> MessageTable:
+    """Load the older deliveries, then merge the later ones epoch by epoch, as they would arrive."""
+    spark = df.sparkSession
+    table = MessageTable(spark, state_path(spark, "messages"), **names)
+    for epoch in in_epochs(df, batch, shares):
+        table.merge(epoch)
+    return table
+
+
+def once(df: DataFrame, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq") -> DataFrame:
+    """The rows that count, as a plain lazy plan for queries that read runs; same rule as the table's."""
+    keyed = with_keys(df, id_col, source_col, seq)
+    return flag_winners(keyed, source_col).where(KEPT).drop(KEY, RANK, KEPT)

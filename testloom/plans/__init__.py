@@ -1,0 +1 @@
+"""Query registry, reference SQL and composite plans."""

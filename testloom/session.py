@@ -1,0 +1,57 @@
+"""Session set-up and the shared state folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def build_session(master: str | None = None, **conf: str) -> SparkSession:
+    """A session with UTC, AQE and rebalancing of skewed partitions switched on."""
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+    } | conf
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where the setting is absent (tests, a laptop) a temporary folder is made and set, so that later calls agree on it.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = have.get() if have.isDefined() else None
+    if not known:
+        known = "file://" + tempfile.mkdtemp(prefix="testloom-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
+def state_path(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder; every call gets its own."""
+    return f"{shared_dir(spark)}/testloom/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and outlives a lost executor."""
+    spark = df.sparkSession
+    path = state_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1 @@
+"""Test-selection sources, readers and stores."""

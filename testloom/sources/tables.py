@@ -1,0 +1,10 @@
+"""Readers of the project's Parquet tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data folder, as a file or a folder of part files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,0 +1 @@
+"""Operators for preparing training data of language models."""

@@ -1,0 +1,184 @@
+"""Items that appear together: exact pair counts against a fitted bipartite configuration null.
+
+A record offers a set of items (``offered``) and marks some of them (``marked``). For each pair marked together at least
+``least`` times the operator counts the records that offer both, those of them that mark the first, the second, and both.
+
+Only items marked ``least`` times can be part of such a pair, and only pairs counted ``least`` times are followed into the
+offered sets, so neither step forms all pairs of a record or of a group: a record's marked frequent items are paired by
+two generators (no array of pairs is built), its offered items are matched against the partner list of each. Items
+travel as 64-bit hashes; two frequent items of one group with one hash are detected and refused. Hot groups are salted in
+both joins, all counts are partially aggregated.
+
+The null: in a group, a record of basket size d marks an offered item a with probability x_d y_a / (1 + x_d y_a), the maximum-entropy
+bipartite configuration model, fitted so that expected item frequencies and expected marks of each basket size equal the
+observed ones over the cells that are offered. Under it the number of joint marks of a pair is Poisson-binomial; its upper tail
+is computed exactly from the classes of basket size, and Benjamini-Hochberg over each group's tested pairs gives q-values.
+
+Defined results: rows with a null group are left out; null arrays are empty, null elements are no items, repeated elements
+count once, marked items that aren't offered don't count. Empty inputs give no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from testloom.session import materialize
+
+VOCAB_SALTS = 16
+ROWS_PER_SALT = 20_000
+FIT_ROUNDS = 300
+
+
+def hashed(column: str | F.Column) -> F.Column:
+    """Distinct hashes of an array's elements."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.array_distinct(F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))
+
+
+def encode(records: DataFrame, *, group: str, offered: str, marked: str, record: str) -> DataFrame:
+    """(grp, rec, at, af): hashes of the offered items and of the marked ones among them; one narrow row a record."""
+    at = hashed(offered)
+    return records.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(record).alias("rec"), at.alias("at"), F.array_intersect(at, hashed(marked)).alias("af"))
+
+
+def names_of(records: DataFrame, *, group: str, marked: str) -> DataFrame:
+    """(grp, item, name) of every item that is marked anywhere."""
+    rows = records.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.explode(marked).alias("name"))
+    return rows.where(F.col("name").isNotNull()).distinct().withColumn("item", F.xxhash64("name"))
+
+
+def fit_null(cells: np.ndarray, item_marks: np.ndarray, class_marks: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """Probabilities [class, item] of the configuration model.
+
+    cells[c, a] records of class c offer item a; item_marks[a] and class_marks[c] are the observed sums to be met.
+    """
+    x = np.sqrt(class_marks / np.maximum(cells.sum(1), 1))
+    y = np.sqrt(item_marks / np.maximum(cells.sum(0), 1))
+    for _ in range(rounds):
+        grid = 1 + np.outer(x, y)
+        y_new = item_marks / np.maximum((cells * x[:, None] / grid).sum(0), 1e-300)
+        grid = 1 + np.outer(x, y_new)
+        x_new = class_marks / np.maximum((cells * y_new[None, :] / grid).sum(1), 1e-300)
+        x_new, y_new = np.clip(x_new, 0, 1e9), np.clip(y_new, 0, 1e9)
+        moved = max(np.max(np.abs(x_new - x) / np.maximum(x, 1e-12), initial=0), np.max(np.abs(y_new - y) / np.maximum(y, 1e-12), initial=0))
+        x, y = x_new, y_new
+        if moved < 1e-7:
+            break
+    product = np.outer(x, y)
+    return product / (1 + product)
+
+
+def upper_tail(counts, probabilities, at_least: int, beyond: int = 400) -> float:
+    """P(X >= at_least) for a sum of binomials: point masses up to ``beyond`` terms further, convolved."""
+    top = int(min(at_least + beyond, sum(counts)))
+    if at_least <= 0:
+        return 1.0
+    if top < at_least:
+        return 0.0
+    mass = np.zeros(top + 1)
+    mass[0] = 1.0
+    k = np.arange(top + 1)
+    for n, p in zip(counts, probabilities):
+        n = int(n)
+        if n == 0 or p <= 0:
+            continue
+        p = min(p, 1 - 1e-12)
+        upto = min(n, top)
+        steps = np.arange(1, upto + 1)
+        logs = np.concatenate([[n * np.log1p(-p)], n * np.log1p(-p) + np.cumsum(np.log((n - steps + 1) / steps) + np.log(p) - np.log1p(-p))])
+        own = np.exp(logs)
+        mass = np.convolve(mass, own)[: top + 1]
+    mean = float(np.dot(counts, probabilities))
+    if mean >= at_least:
+        return float(max(0.0, 1.0 - mass[k < at_least].sum()))
+    return float(min(1.0, mass[k >= at_least].sum()))
+
+
+def pair_surprise(records: DataFrame, names: DataFrame, *, least: int) -> DataFrame:
+    """grp, item_a, item_b (names, a < b in byte order), n, n_a, n_b, n_ab, lift, expected, p_value, q_value.
+
+    records as ``encode`` gives them, names as ``names_of`` does.
+    """
+    records = materialize(records, "records")
+    marks = records.where(F.size("af") > 0).select("grp", F.explode("af").alias("item"))
+    frequent = materialize(marks.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("marks")).where(F.col("marks") >= least), "frequent")
+    named = materialize(frequent.join(names, ["grp", "item"]), "named")
+    clash = named.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).collect()
+    if clash:
+        raise ValueError(f"two frequent items of {clash[0][0]} share a hash")
+    # each record keeps its frequent items only; the vocabulary of a group meets its records in VOCAB_SALTS places
+    sizes = records.groupBy("grp").agg(F.count(F.lit(1)).alias("runs"))
+    vocab = frequent.groupBy("grp").agg(F.collect_list("item").alias("vocab")).join(sizes, "grp")
+    vocab = vocab.select("grp", "vocab", (F.floor(F.col("runs") / ROWS_PER_SALT) + 1).cast("int").alias("salts"), F.explode(F.sequence(F.lit(0), F.lit(VOCAB_SALTS - 1))).alias("salt"))
+    slim = records.withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(VOCAB_SALTS)).cast("int")).join(vocab, ["grp", "salt"])
+    slim = slim.select("grp", "rec", "salts", F.size("af").alias("d"), F.array_intersect("at", "vocab").alias("at"), F.array_intersect("af", "vocab").alias("af"))
+    slim = materialize(slim.where(F.size("at") > 0), "slim")
+
+    # pairs marked together often enough
+    first = slim.where(F.size("af") > 1).select("grp", "af", F.explode("af").alias("a"))
+    together = first.select("grp", "a", F.explode(F.filter("af", lambda b: b > F.col("a"))).alias("b"))
+    pairs = together.groupBy("grp", "a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
+    pairs = materialize(pairs, "pairs")
+
+    # their records, by basket size
+    partners = pairs.groupBy("grp", "a").agg(F.collect_list("b").alias("partners"))
+    salts = vocab.where(F.col("salt") == 0).select("grp", "salts")
+    partners = partners.join(salts, "grp").select("grp", "a", "partners", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"))
+    offers = slim.where(F.size("at") > 1).withColumn("part", F.pmod(F.xxhash64("rec", F.lit(1)), F.col("salts")).cast("int"))
+    offers = offers.select("grp", "part", "d", "at", "af", F.explode("at").alias("a"))
+    met = offers.join(partners, ["grp", "part", "a"])
+    met = met.select("grp", "a", "d", "af", F.array_contains("af", F.col("a")).alias("in_a"), F.explode(F.array_intersect("partners", "at")).alias("b"))
+    one = lambda c: F.sum(c.cast("bigint"))
+    in_b = F.array_contains("af", F.col("b"))
+    classes = met.groupBy("grp", "a", "b", "d").agg(F.count(F.lit(1)).alias("n"), one(F.col("in_a")).alias("n_a"), one(in_b).alias("n_b"))
+    classes = materialize(classes, "classes")
+
+    # the null model: offered cells, item frequencies and basket sizes of the records that mark anything
+    active = slim.where(F.col("d") > 0)
+    cells = active.select("grp", "d", F.explode("at").alias("item")).groupBy("grp", "d", "item").agg(F.count(F.lit(1)).alias("cells"))
+    class_marks = active.groupBy("grp", "d").agg(F.sum(F.size("af")).alias("class_marks"))
+    model = cells.join(class_marks, ["grp", "d"]).join(frequent, ["grp", "item"])
+    fitted = materialize(model.groupBy("grp").applyInPandas(_fit_group, "grp string, d int, item bigint, p double"), "fitted")
+
+    p_a, p_b = fitted.withColumnsRenamed({"item": "a", "p": "p_a"}), fitted.withColumnsRenamed({"item": "b", "p": "p_b"})
+    null = classes.join(p_a, ["grp", "d", "a"], "left").join(p_b, ["grp", "d", "b"], "left")
+    null = null.select("grp", "a", "b", "n", "n_a", "n_b", (F.coalesce("p_a", F.lit(0.0)) * F.coalesce("p_b", F.lit(0.0))).alias("p"))
+    whole = null.groupBy("grp", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "n_a", "n_b")), F.sum(F.col("n") * F.col("p")).alias("expected"), F.collect_list(F.struct(F.col("n").alias("n"), "p")).alias("bins"))
+    whole = whole.join(pairs, ["grp", "a", "b"])
+    tails = whole.mapInPandas(_tails, "grp string, a bigint, b bigint, n bigint, n_a bigint, n_b bigint, n_ab bigint, expected double, p_value double")
+
+    # Benjamini-Hochberg within the group: all pairs of its frequent items are hypotheses, the uncounted ones with p = 1
+    tests = frequent.groupBy("grp").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("tests"))
+    by_p = W.partitionBy("grp").orderBy("p_value", "a", "b")
+    ranked = tails.join(tests, "grp").withColumn("raw", F.col("p_value") * F.col("tests") / F.row_number().over(by_p))
+    above = W.partitionBy("grp").orderBy("p_value", "a", "b").rowsBetween(0, W.unboundedFollowing)
+    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min("raw").over(above)))
+    left, right = named.select("grp", F.col("item").alias("a"), F.col("name").alias("name_1")), named.select("grp", F.col("item").alias("b"), F.col("name").alias("name_2"))
+    out = ranked.join(left, ["grp", "a"]).join(right, ["grp", "b"])
+    swap = F.col("name_1") > F.col("name_2")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    lift = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("n") * F.col("n_ab") / (F.col("n_a") * F.col("n_b")))
+    return out.select("grp", pick("name_1", "name_2").alias("item_a"), pick("name_2", "name_1").alias("item_b"), "n", pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"),
+                      "n_ab", lift.alias("lift"), "expected", "p_value", "q_value")
+
+
+def _fit_group(part: pd.DataFrame) -> pd.DataFrame:
+    """The fitted probabilities of one group: basket sizes x items, both far fewer than records."""
+    table = part.pivot(index="d", columns="item", values="cells").fillna(0.0)
+    marks = part.drop_duplicates("item").set_index("item")["marks"].reindex(table.columns).to_numpy(float)
+    sizes = part.drop_duplicates("d").set_index("d")["class_marks"].reindex(table.index).to_numpy(float)
+    p = fit_null(table.to_numpy(float), marks, sizes)
+    d, item = np.meshgrid(table.index.to_numpy(), table.columns.to_numpy(), indexing="ij")
+    return pd.DataFrame({"grp": part["grp"].iloc[0], "d": d.ravel().astype("int32"), "item": item.ravel().astype("int64"), "p": p.ravel()})
+
+
+def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        part["p_value"] = [upper_tail([b["n"] for b in bins], [b["p"] for b in bins], n_ab) for bins, n_ab in zip(part["bins"], part["n_ab"])]
+        yield part[["grp", "a", "b", "n", "n_a", "n_b", "n_ab", "expected", "p_value"]]

@@ -1,0 +1,159 @@
+"""Token ids of whole texts by a public byte-level BPE tokenizer, as a monoid tree reduction.
+
+A text longer than a leaf is halved down to leaves, the leaves are encoded in batches, and neighbours are joined up the tree. The
+splitting pattern of byte-level BPE is a left-to-right scan that keeps no memory but its position and looks at most two
+characters past a piece, and merges never cross pieces. So two facts hold for a join at m:
+
+* a piece boundary s of the left part with s <= m - LOOK is a boundary of the joined text, and nothing left of it changes;
+* if a scan of the joined text and the scan of the right part both have a boundary p, they agree from p on.
+
+The join therefore encodes a window from s to some way past m and doubles the window until a boundary p of it, at least LOOK before the
+window's end, is a boundary of the right part too (or the window reaches the end). Ids left of s and right of p are
+kept as they are. Decoding concatenates the bytes of the ids up the tree.
+
+Defined results: null and empty texts have the empty list; strings that look like special tokens are ordinary text; no
+special tokens are added. Invalid UTF-8 can't occur in a Spark string. Repeated rows are encoded each, extra columns ignored.
+"""
+
+from __future__ import annotations
+
+import bisect
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TOKENIZER_DIR = "/opt/tokenizers"
+LEAF_CHARS = 4096
+WINDOW_CHARS = 64
+LOOK = 4
+ROWS_AT_ONCE = 512
+
+_loaded: dict[int, TreeEncoder] = {}
+
+
+class Part:
+    """Encoding of text[low:high] scanned from low: ids, the starts of its pieces and the index of each piece's first id."""
+
+    __slots__ = ("low", "high", "ids", "starts", "first")
+
+    def __init__(self, low: int, high: int, ids: list[int], starts: list[int], first: list[int]):
+        self.low, self.high, self.ids, self.starts, self.first = low, high, ids, starts, first
+
+
+class TreeEncoder:
+    """Encodes texts through a tokenizer of the `tokenizers` library with a byte-level pre-tokenizer."""
+
+    def __init__(self, definition: str, leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = True
+        self.leaf, self.window = max(leaf, 1), max(window, 1)
+
+    def _part(self, encoding, low: int, high: int) -> Part:
+        starts, first, last = [], [], -1
+        for i, (word, (a, _)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
+            if word != last:
+                starts.append(low + a)
+                first.append(i)
+                last = word
+        return Part(low, high, encoding.ids, starts, first)
+
+    def join(self, text: str, left: Part, right: Part) -> Part:
+        """The encoding of two neighbouring parts."""
+        middle = left.high
+        k = bisect.bisect_right(left.starts, middle - LOOK) - 1
+        k = max(k, 0)
+        start = left.starts[k] if left.starts else left.low
+        keep = left.first[k] if left.first else 0
+        width = self.window
+        while True:
+            end = min(right.high, middle + width)
+            seen = self._part(self.tokenizer.encode(text[start:end], add_special_tokens=False), start, end)
+            if end == right.high:
+                return Part(left.low, right.high, left.ids[:keep] + seen.ids, left.starts[:k] + seen.starts, left.first[:k] + [keep + f for f in seen.first])
+            for j in range(bisect.bisect_left(seen.starts, middle), len(seen.starts)):
+                p = seen.starts[j]
+                if p > end - LOOK:
+                    break
+                r = bisect.bisect_left(right.starts, p)
+                if r < len(right.starts) and right.starts[r] == p:
+                    ids = left.ids[:keep] + seen.ids[: seen.first[j]] + right.ids[right.first[r] :]
+                    shift = keep + seen.first[j] - right.first[r]
+                    first = left.first[:k] + [keep + f for f in seen.first[:j]] + [shift + f for f in right.first[r:]]
+                    return Part(left.low, right.high, ids, left.starts[:k] + seen.starts[:j] + right.starts[r:], first)
+            width *= 2
+
+    def _cut(self, low: int, high: int, leaves: list[tuple[int, int]]) -> None:
+        if high - low <= self.leaf:
+            leaves.append((low, high))
+        else:
+            middle = (low + high) // 2
+            self._cut(low, middle, leaves)
+            self._cut(middle, high, leaves)
+
+    def _fold(self, text: str, low: int, high: int, parts: Iterator[Part]) -> Part:
+        if high - low <= self.leaf:
+            return next(parts)
+        middle = (low + high) // 2
+        left = self._fold(text, low, middle, parts)
+        return self.join(text, left, self._fold(text, middle, high, parts))
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text."""
+        spans: list[list[tuple[int, int]]] = []
+        pieces: list[str] = []
+        for text in texts:
+            own: list[tuple[int, int]] = []
+            if text:
+                self._cut(0, len(text), own)
+                pieces += [text[a:b] for a, b in own]
+            spans.append(own)
+        encoded = iter(self.tokenizer.encode_batch(pieces, add_special_tokens=False) if pieces else [])
+        out: list[list[int]] = []
+        for text, own in zip(texts, spans):
+            if len(own) < 2:
+                out.append(next(encoded).ids if own else [])
+            else:
+                parts = (self._part(next(encoded), a, b) for a, b in own)
+                out.append(self._fold(text, 0, len(text), parts).ids)
+        return out
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: the tree of concatenations of their bytes."""
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def _encoder(key: int, definition: str) -> TreeEncoder:
+    """One encoder a Python worker."""
+    if key not in _loaded:
+        _loaded[key] = TreeEncoder(definition)
+    return _loaded[key]
+
+
+def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """key and ids (array<int>) of every row. The vocabulary (a file of fixed size, under 2 MB) is read on the driver and broadcast."""
+    with open(f"{folder}/{tokenizer}.json", encoding="utf-8") as f:
+        definition = f.read()
+    shared = df.sparkSession.sparkContext.broadcast(definition)
+    name = hash((tokenizer, len(definition)))
+    kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(name, shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                ids = encoder.encode_all(part.column(1).to_pylist())
+                ends = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=ends[1:])
+                flat = np.fromiter((i for x in ids for i in x), np.int32, count=int(ends[-1]))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["_key", "ids"])
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)

@@ -1,0 +1,303 @@
+"""Evaluation texts that leak into training text, found by a generalised suffix automaton.
+
+Items and documents are reduced to one normal stream: escapes and entities resolved, markup dropped, Unicode compatibility forms
+folded, case folded, and letters and digits kept, with the word boundaries beside them. The automaton of all items' streams is
+walked once over each document's stream; at each character it knows the longest suffix that some item contains. Stretches
+where this length reaches the shortest possible window of ``words`` consecutive words are regions; inside a region the windows of
+an item are checked exactly, at word boundaries of the document. So spacing and punctuation inside a passage don't matter, and a
+passage must begin and end with whole words.
+
+The automaton holds at most ``chunk_chars`` characters of items: more items are split into several automata, each of
+which walks the documents. Documents are never shuffled; items (a held-out set) are what each task gets.
+
+Defined results: null, empty and blank documents and items match nothing, items of fewer than ``words`` words neither. An
+opening sentence that ``shared_share`` of the items (two at least) have in common is an instruction, not part of them. Repeated items
+are reported under each of their ids, repeated documents each. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import html
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+WORDS = 10
+CHUNK_CHARS = 2_000_000
+SHARED_SHARE = 0.1
+
+_ESCAPE = regex.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtbfv]))")
+_PERCENT = regex.compile(r"(?:%[0-9a-fA-F]{2})+")
+_TAG = regex.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>|<!--.*?-->", regex.S)
+_LINK = regex.compile(r"\]\([^()\s]{0,2000}\)")
+_ROW = regex.compile(r"\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\|")
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def _unescape(m) -> str:
+    digits = m.group(1) or m.group(2)
+    if not digits:
+        return " "
+    code = int(digits, 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else " "
+
+
+def _unpercent(m) -> str:
+    return bytes.fromhex(m.group().replace("%", "")).decode("utf-8", "replace")
+
+
+def plain(text: str) -> str:
+    """Text without escapes, entities and markup, in compatibility form and folded case."""
+    if "\\" in text:
+        text = _ESCAPE.sub(_unescape, text)
+    for _ in range(3):
+        if "&" not in text or (now := html.unescape(text)) == text:
+            break
+        text = now
+    if "%" in text:
+        text = _PERCENT.sub(_unpercent, text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "](" in text:
+        text = _LINK.sub(" ", text)
+    if "|" in text:
+        text = _ROW.sub(" ", text)
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(plain(text))
+
+
+class Stream:
+    """The letters and digits of a text, and where words begin and end in them."""
+
+    __slots__ = ("chars", "starts", "ends")
+
+    def __init__(self, words: list[str]):
+        self.chars = "".join(words)
+        self.starts, self.ends, at = [], set(), 0
+        for w in words:
+            self.starts.append(at)
+            at += len(w)
+            self.ends.add(at)
+
+
+class SuffixAutomaton:
+    """Generalised suffix automaton of several strings, as lists of transitions, suffix links and lengths."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link = [-1]
+        self.length = [0]
+
+    def _state(self, length: int, moves: dict[str, int], link: int) -> int:
+        self.next.append(moves)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def add(self, text: str) -> None:
+        """Insert a string from the initial state."""
+        last = 0
+        for c in text:
+            last = self._extend(last, c)
+
+    def _extend(self, last: int, c: str) -> int:
+        nxt, link, length = self.next, self.link, self.length
+        q = nxt[last].get(c)
+        if q is not None:
+            return q if length[q] == length[last] + 1 else self._split(last, q, c)
+        new = self._state(length[last] + 1, {}, 0)
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            link[new] = q if length[q] == length[p] + 1 else self._split(p, q, c)
+        return new
+
+    def _split(self, p: int, q: int, c: str) -> int:
+        nxt, link = self.next, self.link
+        clone = self._state(self.length[p] + 1, dict(nxt[q]), link[q])
+        link[q] = clone
+        while p >= 0 and nxt[p].get(c) == q:
+            nxt[p][c] = clone
+            p = link[p]
+        return clone
+
+    def regions(self, text: str, least: int) -> list[tuple[int, int]]:
+        """Stretches [start, end) of text made of matches of ``least`` characters or more."""
+        nxt, link, length = self.next, self.link, self.length
+        found: list[list[int]] = []
+        v = matched = 0
+        for i, c in enumerate(text):
+            to = nxt[v].get(c)
+            if to is None:
+                while to is None and v:
+                    v = link[v]
+                    to = nxt[v].get(c)
+                matched = length[v]
+                if to is None:
+                    continue
+            v = to
+            matched += 1
+            if matched >= least:
+                start = i + 1 - matched
+                if found and start <= found[-1][1]:
+                    found[-1][0] = min(found[-1][0], start)
+                    found[-1][1] = i + 1
+                else:
+                    found.append([start, i + 1])
+        return [(a, b) for a, b in found]
+
+
+class Detector:
+    """The automaton of a set of items and the exact windows of ``words`` words behind it."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], words: int = WORDS):
+        self.automaton = SuffixAutomaton()
+        self.windows: dict[str, set[int]] = {}
+        for item, own in items:
+            if len(own) < words:
+                continue
+            self.automaton.add("".join(own))
+            for k in range(len(own) - words + 1):
+                self.windows.setdefault("".join(own[k : k + words]), set()).add(item)
+        self.lengths = sorted({len(w) for w in self.windows})
+
+    def hits(self, stream: Stream) -> list[tuple[int, int, set[int]]]:
+        """(start, end, items) in the stream's characters for every window of an item."""
+        if not self.lengths or len(stream.chars) < self.lengths[0]:
+            return []
+        out = []
+        chars, ends = stream.chars, stream.ends
+        for low, high in self.automaton.regions(chars, self.lengths[0]):
+            for a in stream.starts:
+                if a >= high:
+                    break
+                if a < low:
+                    continue
+                for n in self.lengths:
+                    b = a + n
+                    if b > high:
+                        break
+                    if b in ends:
+                        items = self.windows.get(chars[a:b])
+                        if items:
+                            out.append((a, b, items))
+        return out
+
+
+def shared_opening(texts: list[str], share: float = SHARED_SHARE) -> set[tuple[str, ...]]:
+    """Opening sentences, as words, that a share of the texts begins with (two texts at least)."""
+    opening = Counter(tuple(words_of(t[: _sentence_end(t)])) for t in texts)
+    need = max(2, share * len(texts))
+    return {o for o, n in opening.items() if o and n >= need and any(len(words_of(t)) > len(o) for t in texts)}
+
+
+def _sentence_end(text: str) -> int:
+    m = regex.search(r"[.!?:](?=\s|$)|\n", text)
+    return m.end() if m else len(text)
+
+
+def item_words(rows: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
+    """Words of each item without a shared instruction."""
+    texts = [t for _, t in rows if t and t.strip()]
+    openings = shared_opening(texts)
+    out = []
+    for item, text in rows:
+        own = words_of(text) if text else []
+        for o in openings:
+            if tuple(own[: len(o)]) == o:
+                own = own[len(o) :]
+                break
+        out.append((item, own))
+    return out
+
+
+def chunks(items: list[tuple[int, list[str]]], most: int) -> list[list[tuple[int, list[str]]]]:
+    """Items cut into lists of at most ``most`` characters (a longer item stands alone)."""
+    out: list[list[tuple[int, list[str]]]] = []
+    size = most + 1
+    for item in items:
+        n = sum(map(len, item[1]))
+        if size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += n
+    return out
+
+
+_detectors: dict[str, Detector] = {}
+
+
+def _detector(key: str, items: list[tuple[int, list[str]]], words: int) -> Detector:
+    """One detector a Python worker and chunk; another chunk replaces it, so that memory stays bounded."""
+    if key not in _detectors:
+        _detectors.clear()
+        _detectors[key] = Detector(items, words)
+    return _detectors[key]
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+                 words: int = WORDS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """key, item: a row for every document and item whose passage of ``words`` words it holds; words_covered: words of the document in passages of any of the chunk's items."""
+    spark = documents.sparkSession
+    rows = [(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item).isNotNull()).orderBy(item).toLocalIterator()]
+    parts = chunks(item_words(rows), chunk_chars)
+    kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
+    item_kind = next(f.dataType.simpleString() for f in items.schema.fields if f.name == item)
+    source = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    schema = f"_key {kind}, _item {item_kind}, words_covered int, share double"
+    found = None
+    for part in parts:
+        shared = spark.sparkContext.broadcast(part)
+        one = source.mapInArrow(_walk(shared, f"{shared.id}-{spark.sparkContext.applicationId}", words), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return found.select(F.col("_key").alias(key), F.col("_item").alias(item), "words_covered", "share")
+
+
+def _walk(shared, name: str, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = _detector(name, shared.value, words)
+        for batch in batches:
+            keys, found, covered, share = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                stream = Stream(words_of(text.as_py()))
+                hits = detector.hits(stream)
+                if not hits:
+                    continue
+                n = _words_in(stream, [(a, b) for a, b, _ in hits])
+                key = batch.column(0)[i].as_py()
+                for x in sorted(set().union(*(s for _, _, s in hits))):
+                    keys.append(key)
+                    found.append(x)
+                    covered.append(n)
+                    share.append(n / len(stream.starts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found), pa.array(covered, pa.int32()), pa.array(share, pa.float64())] if keys else
+                                             [pa.array([], batch.schema.field(0).type), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.float64())], ["_key", "_item", "words_covered", "share"])
+
+    return run
+
+
+def _words_in(stream: Stream, spans: list[tuple[int, int]]) -> int:
+    """Words of the document that begin inside one of the spans."""
+    spans = sorted(spans)
+    n = k = 0
+    reach = -1
+    for a in stream.starts:
+        while k < len(spans) and spans[k][0] <= a:
+            reach = max(reach, spans[k][1])
+            k += 1
+        n += a < reach
+    return n

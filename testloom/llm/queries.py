@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testloom.llm import cooccurrence
+from testloom.llm.encoding import encode_texts
+from testloom.llm.leakage import leaked_items
 from testloom.llm.topn import top_items
 from testloom.operators.redelivery import once
 from testloom.plans.core_queries import ONCE
@@ -42,7 +44,20 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("repo_id", "test_a", "test_b", "n", "n_a", "n_b", "n_ab")
 
 
-QUERIES = {"p3_found": p3_found, "p3_top": p3_top, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items leaked into them, with the words covered."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_top": p3_top, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _BEST = """best AS (SELECT repo_id, test_path, max(flake_score) AS flake_score FROM flaky_rows
   WHERE flake_score IS NOT NULL AND NOT isnan(flake_score) AND repo_id IS NOT NULL AND test_path IS NOT NULL GROUP BY 1, 2),

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -260,7 +261,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
     found = None
     for part in parts:
         shared = spark.sparkContext.broadcast(part)
-        one = source.mapInArrow(_walk(shared, f"{shared.id}-{spark.sparkContext.applicationId}", words), schema)
+        one = source.mapInArrow(_walk(shared, uuid.uuid4().hex, words), schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -1,0 +1,458 @@
+"""Languages of documents and of their segments, by character language models.
+
+For each language an interpolated Kneser-Ney model over characters is fitted to labelled sentences. The models share one table an
+order: sorted hashes of the n-grams and, beside them, each language's discounted probability and the back-off weight it
+passes on as a context. A batch of segments is scored in numpy: a binary search for every character and order, then one
+recursion over the orders for all languages at once. A segment gets the language of the lowest cross-entropy a character; it is
+rejected (no language) if that entropy is above the bound calibrated on held-out sentences of that language.
+
+Text is first freed of what has no language: fenced and inline code, diffs, logs, JSON syntax, paths and identifiers. What is
+left is cut into sentences. A document is written in each language that has a sentence of enough letters.
+
+Defined results: null, empty and blank texts and texts of code only have no segments and no languages. Labels are read case-blind, with
+or without a region, as code or name; a label that names none of the languages known by name counts as none. Extra columns are ignored;
+repeated documents are judged each.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+import uuid
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ORDER = 5
+BASE = np.uint64(0x9E3779B97F4A7C15)
+ALPHABET = 20_000
+DEFAULT_DISCOUNT = 0.75
+#: Letters a sentence must have to prove a language, where letters stand for sounds and where they stand for words.
+LEAST_LETTERS, LEAST_SIGNS = 18, 6
+SAMPLE_PER_LANGUAGE = 200
+#: A text without a segment that long may prove a language by one of this many letters, judged with this confidence.
+SHORTEST, SURE = 6, 0.8
+ROWS_AT_ONCE, CHARS_AT_ONCE = 200, 120_000
+
+# fixed values: names and codes of the languages, lower case, without region
+LABELS = {
+    "en": "en eng english englisch anglais inglés ingles inglês inglese engels английский 英語 英语",
+    "de": "de deu ger german deutsch allemand alemán aleman alemão tedesco duits немецкий ドイツ語 德语",
+    "fr": "fr fra fre french französisch franzoesisch français francais francés frances francês francese frans французский フランス語 法语",
+    "es": "es spa spanish spanisch espagnol español espanol castellano castilian espanhol spagnolo spaans испанский スペイン語 西班牙语",
+    "pt": "pt por portuguese portugiesisch portugais portugués portugues português portoghese portugees португальский ポルトガル語 葡萄牙语",
+    "it": "it ita italian italienisch italien italiano italiaans итальянский イタリア語 意大利语",
+    "nl": "nl nld dut dutch niederländisch niederlaendisch néerlandais neerlandais neerlandés holandés holandês olandese nederlands flemish vlaams нидерландский オランダ語 荷兰语",
+    "ru": "ru rus russian russisch russe ruso russo русский ロシア語 俄语",
+    "ja": "ja jpn jp japanese japanisch japonais japonés japones japonês giapponese japans японский 日本語 日语",
+    "zh": "zh zho chi cn chinese mandarin chinesisch chinois chino chinês cinese chinees cmn китайский 中国語 中文 汉语 漢語 普通话",
+}
+LANGUAGES = tuple(LABELS)
+_LABEL_OF = {name: code for code, names in LABELS.items() for name in names.split()}
+
+_FENCE = regex.compile(r"(```|~~~).*?\1", regex.S)
+#: Log, diff and code phrases wherever they stand, since line breaks may be lost.
+_FRAGMENT = regex.compile(
+    r"\w*(?:Error|Exception): expected \S+ to \w+ \S+|[+-]?import \{[^{}]*\} from '[^']*'|\b(?:PASS|FAIL|SKIP)\s+\S+\s+\(\d+ ms\)|\b(?:const|let|var)\s+\S+\s*=\s*\S+"
+    r"|\bat\s+\S+\s+\([^()\s]+:\d+(?::\d+)?\)|diff --git \S+ \S+|@@ -[^@]* @@|[+ -]\s+[\w.$]+\([^()]*\);|\[[A-Z]+\]\s+\w+=\S+(?:\s+\w+=\S+)*"
+    r'|"(?:classification|test_path)"\s*:\s*"[^"]*"'
+)
+#: A longer line is not dropped whole for beginning like a log line.
+LONGEST_LOG = 240
+_TICKS = regex.compile(r"`[^`\n]*`")
+_TAGS = regex.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>")
+_ANSI = regex.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+_LINK = regex.compile(r"\w+://\S+|[\w.+-]+@[\w-]+\.\w[\w.]*")
+_JSON_KEY = regex.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
+_DIFF = regex.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
+_LOG = regex.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
+_TOKEN = regex.compile(r"\S+")
+_CODED = regex.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d|[a-z][A-Z]|::|->")
+_SENTENCE = regex.compile(r"(?<=[.!?;…])[\"'»”)]*\s+|(?<=[。！？])|\n+")
+_LETTERS = regex.compile(r"\p{L}")
+_SIGNS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_KEEP = regex.compile(r"[^\p{L}\p{M}']+")
+_INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]", regex.V1)
+_MOJIBAKE = regex.compile(r"[ÂÃÄÅÐÑâãåæçèéäï][\u0080-ÿŒ-Ÿˆ-˜–-›€™]")
+
+
+def label_language(label: str | None) -> str | None:
+    """Code of the language a label names, None if it names none of the known ones."""
+    if not label:
+        return None
+    plain = unicodedata.normalize("NFKC", label).strip().casefold()
+    return _LABEL_OF.get(plain) or _LABEL_OF.get(regex.split(r"[-_\s(,;./]", plain, maxsplit=1)[0])
+
+
+def _mended(text: str) -> str:
+    """A line of UTF-8 once read as Latin-1 or Windows-1252, read again as UTF-8."""
+    if len(_MOJIBAKE.findall(text)) < 2:
+        return text
+    raw = bytearray()
+    for c in text:
+        o = ord(c)
+        if o < 256:
+            raw.append(o)
+        else:
+            try:
+                raw += c.encode("cp1252")
+            except UnicodeEncodeError:
+                raw += c.encode()
+    again = raw.decode("utf-8", "replace")
+    return again if again.count("�") * 4 < len(_MOJIBAKE.findall(text)) else text
+
+
+def _bare(line: str) -> str:
+    """A line without tokens that look like code, paths, numbers or identifiers."""
+    kept = []
+    for m in _TOKEN.finditer(line):
+        token = m.group()
+        core = token.strip("\"'“”‘’«»()[]{}<>.,;:!?…*_#>|-–—`")
+        if not core or not _CODED.search(core) or _SIGNS.search(core):
+            kept.append(token)
+        elif token[-1:] in ".!?;":
+            kept.append(token[-1])
+    return " ".join(kept)
+
+
+_PATHLIKE = regex.compile(r"[A-Za-z0-9_.\-]+(?:[/\\][\p{L}\p{M}\p{N}_.\-]+)+(?<!\.)|(?<![\p{L}])[\p{L}_]+(?:[._][\p{L}\p{N}]+)*_\w+(?:\.\w+)*")
+
+
+def segments(text: str) -> list[str]:
+    """Sentences of natural language in a text, in order; what is written in code is left out."""
+    if not text or text.isspace():
+        return []
+    text = "\n".join(_mended(line) for line in text.split("\n"))
+    text = unicodedata.normalize("NFKC", text)
+    text = _INVISIBLE.sub("", _ANSI.sub(" ", text))
+    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\\n", "\n").replace('\\"', '"')
+    text = _FENCE.sub("\n", text)
+    text = _FRAGMENT.sub("\n", text)
+    out = []
+    for line in text.split("\n"):
+        if not line or line.isspace() or len(line) <= LONGEST_LOG and (_DIFF.match(line) or _LOG.match(line)):
+            continue
+        line = _TAGS.sub(" ", _LINK.sub(" ", _TICKS.sub(" ", line)))
+        if '"' in line and ":" in line:
+            line = _JSON_KEY.sub("\n", line)
+        line = _PATHLIKE.sub(" ", line)
+        for sentence in _SENTENCE.split(line):
+            if sentence:
+                bare = _bare(sentence)
+                if _LETTERS.search(bare):
+                    out.append(bare)
+    return out
+
+
+def letters(segment: str) -> str:
+    """What the models read of a segment: letters in folded case, everything else one blank."""
+    return _KEEP.sub(" ", segment.casefold()).strip()
+
+
+def bare_accents(text: str) -> str:
+    """Text without the accents of Latin letters."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not (0x300 <= ord(c) < 0x370))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k = 1..order the hash of the k-gram that ends at each place (places before the k-th are meaningless)."""
+    out, raw, power = [], np.zeros(len(codes), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(order):
+            shifted = np.zeros(len(codes), np.uint64)
+            shifted[k:] = codes[: len(codes) - k] if k else codes
+            raw = raw + (shifted + np.uint64(1)) * power
+            power = power * BASE
+            out.append(_mixed(raw + np.uint64(k)))
+    return out
+
+
+def _coded(texts: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, each after ``order`` blanks and with one at its end; which places are predicted; the text of each place."""
+    pad = " " * order
+    joined = "".join(pad + t + " " for t in texts)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) + order + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    offset = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return codes, offset >= order, owner
+
+
+def _fit_language(texts: Sequence[str], order: int):
+    """[(grams, discounted probabilities, contexts, back-off weights)] for k = 1..order."""
+    codes, predicted, _ = _coded(texts, order)
+    hashes = gram_hashes(codes, order)
+    places = np.flatnonzero(predicted)
+    tables = []
+    for k in range(1, order + 1):
+        own = hashes[k - 1][places]
+        if k == order:
+            grams, first, counts = np.unique(own, return_index=True, return_counts=True)
+            at = places[first]
+        else:  # number of distinct characters to the left
+            _, first_long = np.unique(hashes[k][places], return_index=True)
+            shorter = own[first_long]
+            grams, first, counts = np.unique(shorter, return_index=True, return_counts=True)
+            at = places[first_long][first]
+        counts = counts.astype(float)
+        n1, n2 = float((counts == 1).sum()), float((counts == 2).sum())
+        discount = n1 / (n1 + 2 * n2) if n1 and n2 else DEFAULT_DISCOUNT
+        context_of = hashes[k - 2][at - 1] if k > 1 else np.zeros(len(grams), np.uint64)
+        contexts, inverse = np.unique(context_of, return_inverse=True)
+        total = np.bincount(inverse, counts)
+        kinds = np.bincount(inverse)
+        tables.append((grams, np.maximum(counts - discount, 0) / total[inverse], contexts, discount * kinds / total))
+    return tables
+
+
+class LanguageModels:
+    """Kneser-Ney models of several languages in common sorted tables, and each language's entropy bound."""
+
+    def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
+        self.order, self.languages = order, sorted(texts)
+        fitted = [_fit_language(texts[lang], order) for lang in self.languages]
+        n = len(self.languages)
+        self.grams: list[np.ndarray] = []
+        self.direct: list[np.ndarray] = []
+        self.back: list[np.ndarray] = []
+        for k in range(1, order + 1):
+            keys = [f[k - 1][0] for f in fitted] + ([f[k][2] for f in fitted] if k < order else [])
+            grams = np.unique(np.concatenate(keys))
+            direct, back = np.zeros((len(grams) + 1, n), np.float32), np.ones((len(grams) + 1, n), np.float32)
+            for j, f in enumerate(fitted):
+                direct[np.searchsorted(grams, f[k - 1][0]), j] = f[k - 1][1]
+                if k < order:
+                    back[np.searchsorted(grams, f[k][2]), j] = f[k][3]
+            self.grams.append(grams)
+            self.direct.append(direct)
+            self.back.append(back)
+        self.first_back = np.array([f[0][3][0] for f in fitted], np.float32)
+        self.bounds = np.full(n, np.inf)
+        self.sharpness = 1.0
+
+    def entropies(self, texts: Sequence[str]) -> np.ndarray:
+        """Cross-entropy in nats a character, [text, language]."""
+        codes, predicted, owner = _coded(texts, self.order)
+        hashes = gram_hashes(codes, self.order)
+        places = np.flatnonzero(predicted)
+        p = np.full((len(places), len(self.languages)), 1.0 / ALPHABET, np.float32)
+        rows_before = None
+        for k in range(1, self.order + 1):
+            grams = self.grams[k - 1]
+            everywhere = np.searchsorted(grams, hashes[k - 1])
+            everywhere[everywhere == len(grams)] = 0
+            everywhere = np.where(grams[everywhere] == hashes[k - 1], everywhere, len(grams))
+            back = self.first_back if k == 1 else self.back[k - 2][rows_before[places - 1]]
+            p = self.direct[k - 1][everywhere[places]] + back * p
+            rows_before = everywhere
+        starts = np.searchsorted(owner[places], np.arange(len(texts)))
+        sums = np.add.reduceat(np.log(p), starts, axis=0)
+        counts = np.bincount(owner[places], minlength=len(texts))
+        return -sums / counts[:, None]
+
+    def calibrate(self, held: dict[str, list[str]], slack: float = 1.2) -> None:
+        """Bounds from held-out sentences: the 98th percentile of their entropy and a slack in nats; sharpness of the confidence by their likelihood."""
+        rows, truth = [], []
+        for j, lang in enumerate(self.languages):
+            if held.get(lang):
+                e = self.entropies(held[lang])
+                self.bounds[j] = np.quantile(e[:, j], 0.98) + slack
+                rows.append(e)
+                truth += [j] * len(e)
+        if rows:
+            e, t = np.concatenate(rows), np.array(truth)
+            best = None
+            for sharp in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+                logits = -(e - e.min(1, keepdims=True)) * sharp
+                loss = -(logits[np.arange(len(t)), t] - np.log(np.exp(logits).sum(1))).mean()
+                if best is None or loss < best:
+                    best, self.sharpness = loss, sharp
+
+    def judge(self, texts: Sequence[str]) -> list[tuple[str | None, float, float]]:
+        """(language or None if rejected, confidence, entropy) of each segment."""
+        if not texts:
+            return []
+        e = self.entropies(texts)
+        j = e.argmin(1)
+        low = e[np.arange(len(e)), j]
+        odds = np.exp(-(e - low[:, None]) * self.sharpness)
+        sure = 1 / odds.sum(1)
+        return [(self.languages[a] if x <= self.bounds[a] else None, float(c), float(x)) for a, x, c in zip(j, low, sure)]
+
+
+def train(samples: list[tuple[str, str]], order: int = ORDER) -> LanguageModels:
+    """Models from (language, sentence) pairs; every fifth sentence calibrates first, then all of them train."""
+    by: dict[str, list[str]] = {}
+    for lang, text in samples:
+        for s in segments(text):
+            t = letters(s)
+            if len(t) > 3:
+                by.setdefault(lang, []).append(t)
+    grown = {lang: own + [b for t in own if (b := bare_accents(t)) != t and lang not in ("ja", "ru", "zh")] for lang, own in by.items()}
+    held = {lang: own[::5] for lang, own in by.items() if len(own) >= 10}
+    rest = {lang: [t for i, t in enumerate(own) if i % 5] if lang in held else own for lang, own in by.items()}
+    trial = LanguageModels(rest, order)
+    trial.calibrate(held)
+    models = LanguageModels(grown, order)
+    models.bounds, models.sharpness = trial.bounds, trial.sharpness
+    return models
+
+
+def sign_count(segment: str) -> int:
+    return len(_SIGNS.findall(segment))
+
+
+def proves(segment: str) -> bool:
+    """Whether a segment is long enough to show a language."""
+    return sign_count(segment) >= LEAST_SIGNS or len(_LETTERS.findall(segment)) >= LEAST_LETTERS
+
+
+def _label_column(label: str) -> F.Column:
+    """label_language as a column expression."""
+    table = F.create_map(*(F.lit(x) for pair in sorted(_LABEL_OF.items()) for x in pair))
+    plain = F.lower(F.trim(F.regexp_replace(F.col(label), r"[\s\u00a0\u3000]+", " ")))
+    return F.coalesce(table[plain], table[F.split(plain, r"[-_\s(,;./]")[0]])
+
+
+def training_sentences(documents: DataFrame, samples: DataFrame, *, key: str, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE, most_chars: int = 4000) -> list[tuple[str, str]]:
+    """Labelled sentences: all samples, and of ``per_language`` documents a label (the first by a hash of their id, each of at most
+    ``most_chars`` characters) the sentences that models of the samples alone give to the document's label.
+    """
+    first = [(r[0], r[1]) for r in samples.select("lang", "text").where("lang is not null and text is not null").orderBy("lang", "text").collect()]
+    first = [(label_language(a), b) for a, b in first if label_language(a)]
+    if not first:
+        return []
+    from pyspark.sql import Window as W
+
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), _label_column(label).alias("l")).where((F.col("l").isNotNull()) & F.length("t").between(1, most_chars))
+    place = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
+    drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("l", "t").collect()
+    trial = train(first)
+    out = list(first)
+    pairs = [(r[0], s) for r in drawn for s in segments(r[1]) if len(letters(s)) > 8]
+    for a in range(0, len(pairs), 2000):
+        part = pairs[a : a + 2000]
+        best = trial.entropies([letters(s) for _, s in part]).argmin(1)
+        out += [(lang, s) for (lang, s), j in zip(part, best) if trial.languages[j] == lang]
+    return out
+
+
+_models: dict[str, LanguageModels] = {}
+
+
+def _shared_models(name: str, shared) -> LanguageModels:
+    """The broadcast models, once a Python worker."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = shared.value
+    return _models[name]
+
+
+def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> list[tuple[dict[str, tuple[int, float]], list[tuple[str, str | None, float]]]]:
+    """For each text: {language: (letters, confidence)} and its segments with their verdicts."""
+    cut = [segments(t) if t else [] for t in texts]
+    flat = [letters(s) for own in cut for s in own]
+    verdicts: list[tuple[str | None, float, float]] = []
+    start = size = 0
+    for i, t in enumerate(flat):
+        size += len(t) + ORDER + 1
+        if size > CHARS_AT_ONCE or i + 1 == len(flat):
+            verdicts += models.judge(flat[start : i + 1])
+            start, size = i + 1, 0
+    given = iter(zip(flat, verdicts))
+    out = []
+    for own in cut:
+        found: dict[str, list[tuple[int, float]]] = {}
+        judged, short = [], []
+        for segment in own:
+            bare, (lang, sure, _) = next(given)
+            judged.append((segment, lang, sure))
+            if lang:
+                (found.setdefault(lang, []) if proves(bare) else short).append((len(bare), sure) if proves(bare) else (lang, len(bare), sure))
+        if not found:  # a text of short segments only: the longest sure one counts
+            best = max((x for x in short if x[2] >= SURE), key=lambda x: x[1], default=None)
+            if best and best[1] >= SHORTEST:
+                found[best[0]] = [best[1:]]
+        out.append(({k: (sum(n for n, _ in v), sum(n * c for n, c in v) / sum(n for n, _ in v)) for k, v in found.items()}, judged))
+    return out
+
+
+def _run(name: str, shared, pick):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = _shared_models(name, shared)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                yield pick(part, document_languages(models, part.column(1).to_pylist()))
+
+    return run
+
+
+def fitted_models(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModels | None:
+    pairs = training_sentences(documents, samples, key=key, text=text, label=label)
+    return train(pairs) if pairs else None
+
+
+def languages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """key, label_lang (what the label names), lang, letters, confidence: a row for each language a document is written in."""
+    spark = documents.sparkSession
+    kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
+    schema = f"_key {kind}, label_lang string, lang string, letters int, confidence double"
+    models = fitted_models(documents, samples, key=key, text=text, label=label)
+    if models is None:
+        return spark.createDataFrame([], schema).withColumnRenamed("_key", key)
+    shared = spark.sparkContext.broadcast(models)
+
+    def pick(part, judged):
+        keys, labels, langs, counts, sure = [], [], [], [], []
+        for k, l, (found, _) in zip(part.column(0), part.column(2).to_pylist(), judged):
+            named = label_language(l)
+            for lang in sorted(found):
+                keys.append(k.as_py())
+                labels.append(named)
+                langs.append(lang)
+                counts.append(found[lang][0])
+                sure.append(found[lang][1])
+        return pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), pa.array(labels, pa.string()), pa.array(langs, pa.string()), pa.array(counts, pa.int32()), pa.array(sure, pa.float64())],
+                                          ["_key", "label_lang", "lang", "letters", "confidence"])
+
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
+    return rows.mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
+
+
+def language_segments(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """key, segment (number from 0), content, lang (null if rejected), confidence: every sentence of natural language."""
+    spark = documents.sparkSession
+    kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
+    schema = f"_key {kind}, segment int, content string, lang string, confidence double"
+    models = fitted_models(documents, samples, key=key, text=text, label=label)
+    if models is None:
+        return spark.createDataFrame([], schema).withColumnRenamed("_key", key)
+    shared = spark.sparkContext.broadcast(models)
+
+    def pick(part, judged):
+        rows = [(k.as_py(), i, s, lang, c) for k, (_, own) in zip(part.column(0), judged) for i, (s, lang, c) in enumerate(own)]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [part.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["_key", "segment", "content", "lang", "confidence"])
+
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
+
+
+def relabelled(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Of ``languages``: all rows of documents without label, with a label naming none of their languages, or in several languages."""
+    from pyspark.sql import Window as W
+
+    mine = W.partitionBy(key)
+    right = F.max(F.coalesce(F.col("lang") == F.col("label_lang"), F.lit(False))).over(mine)
+    return found.withColumn("_n", F.count(F.lit(1)).over(mine)).withColumn("_right", right).where((F.col("_n") > 1) | ~F.col("_right")).drop("_n", "_right")

@@ -1,0 +1,66 @@
+"""Decisions of a language model, as strict JSON, and the order and union of its passes."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+CLASSES = ("blocking", "recommended", "skip")
+NAMES = ("test_path", "classification", "confidence", "reasoning")
+DECISION = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in NAMES]))
+
+
+def parse_decisions(raw: str | None) -> list[tuple] | None:
+    """The decisions of an answer, or None if any of it isn't as agreed: all or nothing. An empty list is an answer."""
+    try:
+        body = json.loads(raw) if raw else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(body, dict) or not isinstance(body.get("decisions"), list):
+        return None
+    out = []
+    for d in body["decisions"]:
+        number = d.get("confidence") if isinstance(d, dict) else None
+        if not isinstance(d, dict) or not isinstance(d.get("test_path"), str) or d.get("classification") not in CLASSES or isinstance(number, bool) or not isinstance(number, (int, float)) or not isinstance(d.get("reasoning"), str):
+            return None
+        out.append((d["test_path"], d["classification"], float(number), d["reasoning"]))
+    return out
+
+
+@F.pandas_udf(DECISION)
+def decisions_of(raw: pd.Series) -> pd.Series:
+    """Column form of ``parse_decisions``."""
+    return raw.map(lambda r: None if (p := parse_decisions(r)) is None else [dict(zip(NAMES, d)) for d in p])
+
+
+def classify(candidates: DataFrame, answer: Callable[[list[str]], str | None], *, batch: int = 64) -> DataFrame:
+    """repo_id, test_path, classification, confidence, reasoning from a classifier called on batches of paths in sorted order.
+
+    An unusable answer is asked for once more; if that fails too, the batch has no rows.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for repo, own in part.groupby("repo_id", sort=True):
+                paths = sorted(own["test_path"])
+                for a in range(0, len(paths), batch):
+                    asked = paths[a : a + batch]
+                    found = parse_decisions(answer(asked))
+                    found = parse_decisions(answer(asked)) if found is None else found
+                    if found:
+                        frame = pd.DataFrame(found, columns=list(NAMES))
+                        frame.insert(0, "repo_id", repo)
+                        yield frame
+
+    return candidates.select("repo_id", "test_path").mapInPandas(run, "repo_id string, test_path string, classification string, confidence double, reasoning string")
+
+
+def rule_answer(paths: list[str]) -> str:
+    """An offline stand-in for a model: end-to-end tests block, unit tests may be skipped, others are recommended."""
+    kind = lambda p: "blocking" if "e2e" in p else "skip" if "unit" in p else "recommended"
+    return json.dumps({"decisions": [{"test_path": p, "classification": kind(p), "confidence": 0.5, "reasoning": "by folder"} for p in paths]})

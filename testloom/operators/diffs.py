@@ -1,0 +1,36 @@
+"""Diff text: its kind, its effective lines, and truncation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from testloom.functions.expr import effective_lines, is_effective
+
+#: fixed value: a line that adds a definition
+DEFINITION = r"^\+\s*(export\s+)?(default\s+)?(async\s+)?(function|class|def|func|interface|type|const)\b"
+
+
+def diff_kind(diff: str) -> F.Column:
+    """feature if more definitions are added than lines removed, else bugfix; unknown for blank diffs or if neither occurs."""
+    lines = F.split(F.col(diff), "\n")
+    added = F.size(F.filter(lines, lambda x: x.rlike(DEFINITION)))
+    removed = F.size(F.filter(lines, lambda x: x.startswith("-") & ~x.startswith("---")))
+    blank = F.col(diff).isNull() | (F.trim(F.regexp_replace(diff, r"\s+", " ")) == "")
+    return F.when(blank | ((added == 0) & (removed == 0)), "unknown").when(added > removed, "feature").otherwise("bugfix")
+
+
+def truncated(diff: str, most: int = 2000) -> F.Column:
+    """The diff with its first ``most`` effective lines; other lines all stay."""
+    marked = F.aggregate(
+        F.split(F.col(diff), "\n"),
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
+        lambda s, x: F.struct((s["n"] + F.when(is_effective(x), 1).otherwise(0)).alias("n"), F.when(is_effective(x) & (s["n"] >= most), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept")),
+        lambda s: F.array_join(s["kept"], "\n"),
+    )
+    return F.when(effective_lines(diff) > most, marked).otherwise(F.col(diff))
+
+
+def classified(documents: DataFrame, *, key: str, diff: str) -> DataFrame:
+    """key, kind, effective."""
+    return documents.select(key, diff_kind(diff).alias("kind"), F.coalesce(effective_lines(diff), F.lit(0)).alias("effective"))

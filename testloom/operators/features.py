@@ -1,0 +1,75 @@
+"""Feature vectors of tests, for serving and for training; the two differ on purpose and keep their own names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from testloom.functions.expr import items
+
+NAMES = ("embedding_similarity", "graph_distance", "failure_rate", "days_since_failure", "flakiness", "exec_time", "file_churn", "author_defect_rate")
+DAY_US = 86_400_000_000
+
+
+def capped(c: F.Column, most: float = 1.0) -> F.Column:
+    return F.least(c, F.lit(most))
+
+
+def serving_features(candidates: DataFrame, runs: DataFrame, tests: DataFrame, as_of: F.Column) -> DataFrame:
+    """repo_id, test_path and the eight features of each candidate (repo_id, test_path, similarity, distance).
+
+    Rates are over all runs of the repository; a test that never failed is a year away; ``as_of`` stands for now.
+    """
+    recent = (F.col("created_at") > as_of - F.expr("interval 30 days")) & (F.col("created_at") <= as_of)
+    repo = runs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(recent, F.col("pr_number"))).alias("prs"))
+    failed = runs.select("repo_id", "created_at", F.explode(F.array_distinct(items("actual_failures"))).alias("test_path"))
+    failed = failed.groupBy("repo_id", "test_path").agg(F.count(F.lit(1)).alias("fails"), F.max("created_at").alias("last"))
+    # a test listed twice counts by its least known row
+    known = tests.groupBy("repo_id", F.col("path").alias("test_path")).agg(F.min("flake_score").alias("flake"), F.min("avg_duration_ms").alias("ms"))
+    days = (F.unix_micros(as_of) - F.unix_micros("last")) / F.lit(DAY_US)
+    rows = candidates.join(repo, "repo_id", "left").join(failed, ["repo_id", "test_path"], "left").join(known, ["repo_id", "test_path"], "left")
+    return rows.select(
+        "repo_id", "test_path",
+        F.coalesce("similarity", F.lit(0.0)).alias(NAMES[0]),
+        F.coalesce("distance", F.lit(0.0)).alias(NAMES[1]),
+        F.when(F.col("n") > 0, F.coalesce("fails", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).otherwise(0.0).alias(NAMES[2]),
+        F.coalesce(capped(days, 365.0) / 365, F.lit(1.0)).alias(NAMES[3]),
+        F.coalesce("flake", F.lit(0.0)).alias(NAMES[4]),
+        F.coalesce(capped(F.col("ms") / 60000), F.lit(0.0)).alias(NAMES[5]),
+        capped(F.coalesce("prs", F.lit(0)) / 30).alias(NAMES[6]),
+        F.lit(0.0).alias(NAMES[7]),
+    )
+
+
+def proxy_distance(test: str) -> F.Column:
+    """A reproducible stand-in for the graph distance: a digest of the name in six steps from 0 to 1."""
+    return F.conv(F.substring(F.md5(F.col(test)), 1, 4), 16, 10).cast("int") % 6 / 5
+
+
+def training_features(runs: DataFrame) -> DataFrame:
+    """repo_id, ingest_seq, test_path, label and the eight features of every (run, listed test).
+
+    Failures count if the run lists the test. Days since failure look at failures up to the run's own time, its own included.
+    Churn counts the requests of the test's runs from 30 days before the run on, with no upper bound; counted as requests whose last
+    run isn't older than that, which needs one running total per test instead of a set per row.
+    """
+    listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", "created_at", items("actual_failures").alias("af"), F.explode(F.array_distinct(items("all_tests"))).alias("test_path"))
+    rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.array_contains("af", F.col("test_path")).cast("int")).drop("af")
+    test = W.partitionBy("repo_id", "test_path")
+    upto = test.orderBy(F.unix_micros("created_at"))
+    last = F.max(F.when(F.col("label") == 1, F.unix_micros("created_at"))).over(upto)
+    rows = rows.withColumns({"fails": F.sum("label").over(test), "n": F.count(F.lit(1)).over(test), "last": last})
+    # the last run of each request of a test carries 1, all its other runs 0: requests active since t are those ones after t
+    is_last = F.row_number().over(W.partitionBy("repo_id", "test_path", "pr_number").orderBy(F.col("created_at").desc(), F.col("ingest_seq").desc())) == 1
+    rows = rows.withColumn("_one", F.when(is_last & F.col("pr_number").isNotNull(), 1).otherwise(0))
+    since = upto.rangeBetween(-30 * DAY_US, W.unboundedFollowing)
+    rows = rows.withColumn("prs", F.sum("_one").over(since))
+    rate = F.col("fails") / F.col("n")
+    return rows.select(
+        "repo_id", "ingest_seq", "test_path", "label",
+        rate.alias(NAMES[0]), proxy_distance("test_path").alias(NAMES[1]), rate.alias(NAMES[2]),
+        F.coalesce(capped((F.unix_micros("created_at") - F.col("last")) / F.lit(DAY_US), 365.0) / 365, F.lit(1.0)).alias(NAMES[3]),
+        F.when((F.col("fails") > 0) & (F.col("fails") < F.col("n")), 1.0).otherwise(0.0).alias(NAMES[4]),
+        F.lit(0.1).alias(NAMES[5]), capped(F.col("prs") / 30).alias(NAMES[6]), F.lit(0.0).alias(NAMES[7]),
+    )

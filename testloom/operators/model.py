@@ -1,0 +1,43 @@
+"""Gradient-boosted scoring of tests on Spark ML."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.pipeline import Pipeline
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from testloom.operators.features import NAMES
+
+LEAST_RUNS = 100
+
+
+def fit(training: DataFrame, *, trees: int = 100, depth: int = 3, step: float = 0.1, share: float = 0.8, seed: int = 42) -> PipelineModel:
+    """A fitted pipeline over the eight features and ``label``."""
+    assemble = VectorAssembler(inputCols=list(NAMES), outputCol="features", handleInvalid="keep")
+    booster = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)
+    return Pipeline(stages=[assemble, booster]).fit(training)
+
+
+def label_shares(training: DataFrame) -> DataFrame:
+    """rows, positives, positive_share of a training set."""
+    return training.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("label").alias("positive_share"))
+
+
+def scored(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """features with ``score``, the probability of a failure."""
+    return model.transform(features).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def ranked(scores: DataFrame, runs_by_repo: DataFrame, least: int = LEAST_RUNS) -> DataFrame:
+    """repo_id, test_path, score, place: repositories with too few runs, or whose scores are all zero, get 0.5 throughout."""
+    rows = scores.select("repo_id", "test_path", "score").join(runs_by_repo.select("repo_id", "run_count"), "repo_id", "left")
+    top = F.max("score").over(W.partitionBy("repo_id"))
+    idle = (F.coalesce("run_count", F.lit(0)) < least) | (top == 0)
+    rows = rows.withColumn("_s", F.when(idle, 0.5).otherwise(F.col("score")))
+    place = F.row_number().over(W.partitionBy("repo_id").orderBy(F.col("_s").desc(), "test_path"))
+    return rows.select("repo_id", "test_path", F.col("_s").alias("score"), place.alias("place"))

@@ -1,0 +1,48 @@
+"""Vector retrieval: exact cosine bands, a bit screen, and both in two tiers; a cache of embedded contents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from testloom.functions.expr import band, cosine, hamming, sign_bits
+
+#: fixed values: corpora above this many files are screened, and this many stay
+TIER_ABOVE, SHORTLIST = 200, 50
+
+
+def against_query(vectors: DataFrame, query: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vectors with the single query vector beside each (a query of one row; its size is what one vector is)."""
+    one = query.select(F.col(vector).alias("query")).limit(1)
+    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).join(F.broadcast(one))
+
+
+def cosine_bands(vectors: DataFrame, query: DataFrame, **names: str) -> DataFrame:
+    """key, score, band for every vector."""
+    return against_query(vectors, query, **names).select("key", cosine("vector", "query").alias("score")).withColumn("band", band("score"))
+
+
+def hamming_nearest(vectors: DataFrame, query: DataFrame, n: int = SHORTLIST, **names: str) -> DataFrame:
+    """key, distance of the n vectors whose sign bits are nearest the query's; ties by key."""
+    rows = against_query(vectors, query, **names).select("key", hamming(sign_bits("vector"), sign_bits("query")).alias("distance"))
+    return rows.orderBy("distance", "key").limit(n)
+
+
+def tiered(vectors: DataFrame, query: DataFrame, *, above: int = TIER_ABOVE, n: int = SHORTLIST, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, score, band: all vectors if there are few, else the exact cosine of those the bit screen keeps."""
+    if vectors.limit(above + 1).count() <= above:
+        return cosine_bands(vectors, query, key=key, vector=vector)
+    short = hamming_nearest(vectors, query, n, key=key, vector=vector).select(F.col("key").alias(key))
+    return cosine_bands(vectors.join(F.broadcast(short), key, "left_semi"), query, key=key, vector=vector)
+
+
+def content_key(content: str, dim: int) -> F.Column:
+    """Cache key of a content: its SHA-256 and the vector's length."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.col(content), 256), F.lit(f":dim{dim}"))
+
+
+def cache_lookup(contents: DataFrame, cache: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(contents with their cached vector, contents without one); cache(key, vector, dim, model), entries of another length don't count."""
+    good = cache.where((F.col("dim") == dim) & (F.size("vector") == dim)).select("key", "vector").dropDuplicates(["key"])
+    keyed = contents.withColumn("key", content_key("content", dim))
+    return keyed.join(good, "key"), keyed.join(good, "key", "left_anti")

@@ -140,11 +140,13 @@ def pair_surprise(records: DataFrame, names: DataFrame, *, least: int) -> DataFr
     classes = materialize(classes, "classes")
 
     # the null model: offered cells, item frequencies and basket sizes of the records that mark anything
-    active = slim.where(F.col("d") > 0)
+    # (groups without a counted pair have nothing to compare; a group is one fit, so groups spread over a fixed number of tasks)
+    active = slim.where(F.col("d") > 0).join(pairs.select("grp").distinct(), "grp", "left_semi")
     cells = active.select("grp", "d", F.explode("at").alias("item")).groupBy("grp", "d", "item").agg(F.count(F.lit(1)).alias("cells"))
     class_marks = active.groupBy("grp", "d").agg(F.sum(F.size("af")).alias("class_marks"))
     model = cells.join(class_marks, ["grp", "d"]).join(frequent, ["grp", "item"])
-    fitted = materialize(model.groupBy("grp").applyInPandas(_fit_group, "grp string, d int, item bigint, p double"), "fitted")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = materialize(model.repartition(tasks, "grp").groupBy("grp").applyInPandas(_fit_group, "grp string, d int, item bigint, p double"), "fitted")
 
     p_a, p_b = fitted.withColumnsRenamed({"item": "a", "p": "p_a"}), fitted.withColumnsRenamed({"item": "b", "p": "p_b"})
     null = classes.join(p_a, ["grp", "d", "a"], "left").join(p_b, ["grp", "d", "b"], "left")

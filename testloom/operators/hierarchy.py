@@ -3,8 +3,8 @@
 ``peel`` works on one graph by bottom-up leaf peeling: a node without unpeeled children leaves, and sends its descendants and
 subtree size to its parents. What never leaves contains the cycles and what lies above them. The reverse of the peel order
 then hands paths and depths down. A graph that arrives in one row is peeled in the task that reads the row, without a
-shuffle; graphs whose links are spread over rows go through ``hierarchy_of_links``, which gathers graphs up to a bound of links
-into a task and peels larger ones by distributed rounds.
+shuffle; graphs whose links are spread over rows go through ``links.link_hierarchy``, which gathers graphs up to a bound of
+links into a task and peels larger ones by distributed rounds.
 
 Defined results: path, depth and root follow the parent of least (depth, path), so a file with several parents gets its shortest
 path and among these the first in code-point order. Depth of a root is 0. Nodes without any root above them (they hang

@@ -1,0 +1,159 @@
+"""Hierarchies of links that lie in rows of their own, of any size.
+
+Graphs of at most ``gather`` links are peeled within a task each. Larger ones are peeled by rounds of joins: in each round the nodes that have heard
+from all their children leave and send descendants to their parents; then paths go down from the roots level by level. What
+was never peeled is trimmed from above too and its strongly connected parts are found by colours: the greatest name that
+reaches a node colours it, and the nodes of one colour that reach back to its bearer form a part. Every round is written to the
+shared folder, so lineage stays short and a lost executor costs one round. The number of rounds is the height of the tallest
+large graph; descendants are as large as the result asked for.
+
+Results are those of ``hierarchy.node_rows``: the same columns, ties and treatment of nulls.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from testloom.operators.hierarchy import NODE, node_rows
+from testloom.session import materialize
+
+GATHER = 100_000
+SELF = "_graph_key"
+
+
+def _plain(c: str) -> F.Column:
+    parts = F.split(F.regexp_replace(F.col(c), r"\\", "/"), "/")
+    return F.array_join(F.filter(parts, lambda s: ~s.isin("", ".")), "/")
+
+
+def link_hierarchy(links: DataFrame, *, key: str, parent: str = "parent", child: str = "child", gather: int = GATHER) -> DataFrame:
+    """key and the columns of NODE for links(key, parent, child); a null child makes its parent a node without a link."""
+    rows = links.select(F.col(key).alias(SELF), _plain(parent).alias("p"), F.nullif(_plain(child), F.lit("")).alias("c"))
+    rows = materialize(rows.where(F.col(SELF).isNotNull() & (F.col("p") != "")).distinct(), "links")
+    sizes = rows.groupBy(SELF).agg(F.count(F.lit(1)).alias("n"))
+    small = rows.join(sizes.where(F.col("n") <= gather), SELF, "left_semi")
+    kind = links.schema[key].dataType
+    found = small.groupBy(SELF).applyInPandas(_one_graph, T.StructType([T.StructField(SELF, kind), *NODE.fields]))
+    large = materialize(rows.join(sizes.where(F.col("n") > gather), SELF, "left_semi"), "large")
+    if not large.isEmpty():
+        found = found.unionByName(_by_rounds(large))
+    return found.withColumnRenamed(SELF, key)
+
+
+def _one_graph(part: pd.DataFrame) -> pd.DataFrame:
+    children: dict[str, list[str]] = {}
+    for p, c in zip(part["p"], part["c"]):
+        own = children.setdefault(p, [])
+        if c is not None:
+            own.append(c)
+    out = pd.DataFrame(node_rows(list(children.items())), columns=[f.name for f in NODE.fields])
+    out.insert(0, SELF, part[SELF].iloc[0])
+    out["depth"] = out["depth"].astype("Int32")
+    return out
+
+
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    edges = materialize(rows.where("c is not null").select(SELF, "p", "c"), "edges")
+    nodes = materialize(rows.select(SELF, F.col("p").alias("n")).union(edges.select(SELF, "c")).distinct(), "nodes")
+    below, residual = _peel(edges, nodes)
+    paths = _paths(edges, nodes)
+    core = _within(edges, residual)
+    cyclic = _cyclic(core)
+    if not residual.isEmpty():
+        below = below.unionByName(_reach(edges, residual, below))
+    out = nodes.join(paths, [SELF, "n"], "left").join(below, [SELF, "n"], "left").join(cyclic.withColumn("cyc", F.lit(True)), [SELF, "n"], "left")
+    own = F.coalesce("below", F.array().cast("array<string>"))
+    return out.select(
+        SELF, F.col("n").alias("file_path"), "path", (F.size("path") - 1).alias("depth"), F.col("path")[0].alias("root"), F.array_sort(own).alias("descendants"),
+        F.size(F.array_union(own, F.array("n"))).alias("subtree_size"), F.coalesce("cyc", F.lit(False)).alias("in_cycle"),
+    )
+
+
+def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, n, below) of all peeled nodes, nodes that remain)."""
+    need = materialize(edges.groupBy(SELF, F.col("p").alias("n")).agg(F.count(F.lit(1)).alias("need")), "need")
+    level = materialize(nodes.join(need, [SELF, "n"], "left_anti").withColumn("below", F.array().cast("array<string>")), "level")
+    peeled, inbox = level, None
+    while not level.isEmpty():
+        sent = level.withColumnRenamed("n", "c").join(edges, [SELF, "c"]).select(SELF, F.col("p").alias("n"), F.concat("below", F.array("c")).alias("below"))
+        inbox = materialize(sent if inbox is None else inbox.unionByName(sent), "inbox")
+        heard = inbox.groupBy(SELF, "n").agg(F.count(F.lit(1)).alias("heard")).join(need, [SELF, "n"]).where("heard = need").select(SELF, "n")
+        heard = materialize(heard, "heard")
+        ready = inbox.join(heard, [SELF, "n"], "left_semi").groupBy(SELF, "n").agg(F.array_distinct(F.flatten(F.collect_list("below"))).alias("below"))
+        level = materialize(ready, "level")
+        inbox = materialize(inbox.join(heard, [SELF, "n"], "left_anti"), "inbox")
+        peeled = peeled.unionByName(level)
+    return peeled, materialize(nodes.join(peeled, [SELF, "n"], "left_anti"), "residual")
+
+
+def _paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, n, path) below the roots, breadth first."""
+    roots = nodes.join(edges.select(SELF, F.col("c").alias("n")), [SELF, "n"], "left_anti")
+    level = materialize(roots.withColumn("path", F.array("n")), "paths")
+    found = level
+    while not level.isEmpty():
+        step = level.withColumnRenamed("n", "p").join(edges, [SELF, "p"]).groupBy(SELF, F.col("c").alias("n")).agg(F.min("path").alias("path"))
+        level = materialize(step.join(found.select(SELF, "n"), [SELF, "n"], "left_anti").withColumn("path", F.concat("path", F.array("n"))), "paths")
+        found = found.unionByName(level)
+    return found
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the given nodes."""
+    return materialize(edges.join(nodes.withColumnRenamed("n", "p"), [SELF, "p"], "left_semi").join(nodes.withColumnRenamed("n", "c"), [SELF, "c"], "left_semi").select(SELF, "p", "c"), "within")
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Links left when nodes without a link in, or without one out, have gone again and again."""
+    while True:
+        heads, tails = edges.select(SELF, F.col("p").alias("n")).distinct(), edges.select(SELF, F.col("c").alias("n")).distinct()
+        both = materialize(heads.join(tails, [SELF, "n"], "left_semi"), "both")
+        kept = _within(edges, both)
+        if kept.count() == edges.count():
+            return kept
+        edges = kept
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """(key, n) of the nodes that reach themselves."""
+    found = materialize(edges.where("p = c").select(SELF, F.col("p").alias("n")), "loops")
+    edges = _trim(materialize(edges.where("p <> c"), "links"))
+    while not edges.isEmpty():
+        colour = materialize(edges.select(SELF, F.col("p").alias("n")).distinct().withColumn("col", F.col("n")), "colour")
+        while True:  # the greatest name that reaches a node
+            sent = edges.join(colour.withColumnRenamed("n", "p"), [SELF, "p"]).select(SELF, F.col("c").alias("n"), "col")
+            after = materialize(colour.unionByName(sent).groupBy(SELF, "n").agg(F.max("col").alias("col")), "colour")
+            changed = after.join(colour, [SELF, "n", "col"], "left_anti").isEmpty()
+            colour = after
+            if changed:
+                break
+        part = colour.where("n = col")
+        part = materialize(part, "part")
+        front = part
+        while not front.isEmpty():  # nodes of the colour that reach its bearer
+            back = edges.join(front.withColumnRenamed("n", "c"), [SELF, "c"]).select(SELF, F.col("p").alias("n"), "col").distinct()
+            back = back.join(colour, [SELF, "n", "col"], "left_semi")
+            front = materialize(back.join(part, [SELF, "n", "col"], "left_anti"), "front")
+            part = part.unionByName(front)
+        many = part.join(part.groupBy(SELF, "col").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), [SELF, "col"], "left_semi").select(SELF, "n")
+        found = materialize(found.unionByName(many).distinct(), "cyclic")
+        gone = part.select(SELF, "n")
+        rest = edges.join(gone.withColumnRenamed("n", "p"), [SELF, "p"], "left_anti").join(gone.withColumnRenamed("n", "c"), [SELF, "c"], "left_anti")
+        edges = _trim(materialize(rest.select(SELF, "p", "c"), "links"))
+    return found
+
+
+def _reach(edges: DataFrame, residual: DataFrame, below: DataFrame) -> DataFrame:
+    """(key, n, below) of residual nodes: a walk among them, then what hangs below what it met."""
+    core = edges.join(residual.withColumnRenamed("n", "p"), [SELF, "p"], "left_semi")
+    pairs = materialize(core.select(SELF, F.col("p").alias("n"), F.col("c").alias("d")), "pairs")
+    front = pairs
+    while not front.isEmpty():
+        step = front.join(core.withColumnRenamed("p", "d"), [SELF, "d"]).select(SELF, "n", F.col("c").alias("d")).distinct()
+        front = materialize(step.join(pairs, [SELF, "n", "d"], "left_anti"), "front")
+        pairs = pairs.unionByName(front)
+    hung = pairs.join(below.withColumnRenamed("n", "d"), [SELF, "d"], "left").select(SELF, "n", F.concat(F.coalesce("below", F.array().cast("array<string>")), F.array("d")).alias("below"))
+    return hung.groupBy(SELF, "n").agg(F.array_distinct(F.flatten(F.collect_list("below"))).alias("below"))

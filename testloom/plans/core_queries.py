@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from testloom.operators.graph import links
 from testloom.operators.hierarchy import cyclic_files, graph_hierarchy
+from testloom.operators.links import link_hierarchy
 from testloom.operators.redelivery import once, replay
 from testloom.operators.trailing import concentrated_days, trailing_totals
 from testloom.sources.tables import table
@@ -35,6 +37,17 @@ def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_hierarchy(table(spark, sf_dir, "layer1_results").select("result_id", "dependency_graph"))
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of what hangs below each file, and whether it is in a cycle."""
+    return p2_nodes(spark, sf_dir).select("result_id", "file_path", "subtree_size", "in_cycle")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from links in rows of their own."""
+    found = link_hierarchy(links(table(spark, sf_dir, "layer1_results")), key="result_id", parent="src", child="dst")
+    return found.select("result_id", "file_path", "subtree_size", "in_cycle")
+
+
 def counted_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Runs, each once."""
     need = list(dict.fromkeys(["ingest_seq", "id", "repo_id", *columns]))
@@ -50,7 +63,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_id", "run_day", "total_7", "avg_7", "rows_7", "total_30", "avg_30", "rows_30")
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_nodes": p2_nodes, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_sizes": p2_sizes, "p2_links": p2_links, "p5_found": p5_found, "p5_totals": p5_totals}
 
 _KEYED = r"""SELECT *, nullif(regexp_replace(lower(id), '[^\p{L}\p{N}]', '', 'g'), '') AS k FROM runs"""
 
@@ -78,6 +91,15 @@ rolled AS (
   WINDOW w7 AS (PARTITION BY repo_id ORDER BY run_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
          w30 AS (PARTITION BY repo_id ORDER BY run_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
 
+_EDGES = r"""pairs AS (SELECT result_id, unnest(map_entries(dependency_graph)) AS e FROM layer1_results),
+raw AS (SELECT result_id, e.key AS p, unnest(CASE WHEN len(e.value) > 0 THEN e.value ELSE [NULL] END) AS c FROM pairs),
+plain AS (
+  SELECT result_id, array_to_string(list_filter(string_split(replace(p, '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS p,
+         array_to_string(list_filter(string_split(replace(c, '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS c FROM raw),
+edges AS (SELECT DISTINCT result_id, p, c FROM plain WHERE p <> '' AND c <> '')"""
+_WALK = """walk(result_id, p, c) AS (SELECT result_id, p, c FROM edges
+  UNION SELECT w.result_id, w.p, e.c FROM walk w JOIN edges e ON e.result_id = w.result_id AND e.p = w.c)"""
+
 ORACLE = {
     "p1_found": f"""WITH keyed AS ({_KEYED})
 SELECT ingest_seq FROM keyed WHERE k IS NOT NULL AND repo_id IS NOT NULL
@@ -92,17 +114,13 @@ SELECT repo_id, strftime(run_date, '%Y-%m-%d') AS run_day,
        total_7, CASE WHEN valued_7 > 0 THEN total_7 / valued_7 END AS avg_7, CAST(n_7 AS BIGINT) AS rows_7,
        total_30, CASE WHEN valued_30 > 0 THEN total_30 / valued_30 END AS avg_30, CAST(n_30 AS BIGINT) AS rows_30
 FROM rolled""",
-    "p2_found": """WITH pairs AS (SELECT result_id, unnest(map_entries(dependency_graph)) AS e FROM layer1_results),
-raw AS (SELECT result_id, e.key AS p, unnest(e.value) AS c FROM pairs),
-plain AS (
-  SELECT result_id,
-         array_to_string(list_filter(string_split(replace(p, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS p,
-         array_to_string(list_filter(string_split(replace(c, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS c
-  FROM raw WHERE c IS NOT NULL),
-edges AS (SELECT DISTINCT result_id, p, c FROM plain WHERE p <> '' AND c <> '')
-SELECT DISTINCT result_id, p AS file_path FROM (
-  WITH RECURSIVE walk(result_id, p, c) AS (
-    SELECT result_id, p, c FROM edges
-    UNION SELECT w.result_id, w.p, e.c FROM walk w JOIN edges e ON e.result_id = w.result_id AND e.p = w.c)
-  SELECT * FROM walk) WHERE p = c""",
+    "p2_found": f"""WITH RECURSIVE {_EDGES}, {_WALK} SELECT DISTINCT result_id, p AS file_path FROM walk WHERE p = c""",
+    "p2_sizes": f"""WITH RECURSIVE {_EDGES}, {_WALK},
+nodes AS (SELECT result_id, p AS file_path FROM plain WHERE p <> '' UNION SELECT result_id, c FROM edges),
+below AS (SELECT result_id, p AS file_path, count(*) FILTER (c <> p) AS n, bool_or(c = p) AS in_cycle FROM walk GROUP BY 1, 2)
+SELECT result_id, file_path, CAST(coalesce(n, 0) + 1 AS INTEGER) AS subtree_size, coalesce(in_cycle, false) AS in_cycle FROM nodes LEFT JOIN below USING (result_id, file_path)""",
+    "p2_links": f"""WITH RECURSIVE {_EDGES}, {_WALK},
+below AS (SELECT result_id, p AS file_path, count(*) FILTER (c <> p) AS n, bool_or(c = p) AS in_cycle FROM walk GROUP BY 1, 2),
+nodes AS (SELECT result_id, p AS file_path FROM edges UNION SELECT result_id, c FROM edges)
+SELECT result_id, file_path, CAST(coalesce(n, 0) + 1 AS INTEGER) AS subtree_size, coalesce(in_cycle, false) AS in_cycle FROM nodes LEFT JOIN below USING (result_id, file_path)""",
 }

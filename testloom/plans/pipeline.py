@@ -1,0 +1,52 @@
+"""The selection pipeline as one plan: graph hits, bands, decisions, merge."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from testloom.functions.expr import is_test_file, matches_any
+from testloom.operators import decisions, diffs, graph, imports, merge
+from testloom.operators.decisions import rule_answer
+from testloom.sources.config import SelectionConfig, ts_aliases
+from testloom.sources.run_log import read_tree
+from testloom.session import materialize
+
+
+def static_analysis(spark: SparkSession, root: str, changed: list[str], globs: list[str], parsers=None) -> dict[str, DataFrame]:
+    """links, blocking (test_path), errors (path, error) and full_suite (one row) of a source tree and its changed files."""
+    files = read_tree(spark, root)
+    parsed = materialize(imports.parse_imports(files, parsers), "parsed")
+    links = materialize(imports.resolve_imports(parsed, files.select("path"), ts_aliases(root)), "links")
+    seeds = spark.createDataFrame([(c,) for c in changed], "node string")
+    reached = graph.dependents(links, seeds)
+    return {
+        "links": links,
+        "blocking": reached.select(F.col("node").alias("test_path")).where(is_test_file("test_path")),
+        "errors": parsed.where("error is not null").select("path", "error"),
+        "full_suite": seeds.agg(F.coalesce(F.bool_or(matches_any("node", globs)), F.lit(False)).alias("full_suite")),
+    }
+
+
+def select_tests(graph_hits: DataFrame, bands: DataFrame, tests: DataFrame, diff: DataFrame, config: SelectionConfig, *, full_suite: DataFrame | None = None,
+                 answer: Callable[[list[str]], str | None] = rule_answer) -> DataFrame:
+    """repo_id, test_path, bucket. The medium band goes to the classifier; diffs (repo_id, diff) that add features, and the
+    conservative mode, have it asked three times and take the most cautious answer of each test.
+    """
+    kinds = diff.select("repo_id", diffs.diff_kind("diff").alias("kind"))
+    medium = bands.where("band = 'medium'").select("repo_id", "test_path")
+    once = decisions.classify(medium, answer).withColumn("pass", F.lit(0))
+    careful = kinds.where("kind = 'feature'").select("repo_id").distinct() if config.mode != "conservative" else medium.select("repo_id").distinct()
+    again = [decisions.classify(medium.join(careful, "repo_id", "left_semi"), answer).withColumn("pass", F.lit(p)) for p in (1, 2)]
+    decided = merge.consensus(once.unionByName(again[0]).unionByName(again[1]).withColumn("position", F.lit(0)))
+    return merge.merge_layers(tests, graph_hits, bands, decided, mode=config.mode, quarantine=config.flaky_test_quarantine, full_suite=full_suite)
+
+
+def selection_report(buckets: DataFrame, metrics: DataFrame) -> DataFrame:
+    """repo_id, report: the selection in Markdown."""
+    part = lambda b: F.array_join(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.concat(F.lit("- `"), "test_path", F.lit("`"))))), "\n")
+    lists = buckets.groupBy("repo_id").agg(part("blocking").alias("b"), part("recommended").alias("r"))
+    text = F.format_string("### Test selection\n\n%d blocking, %d recommended, %d skipped (%.1f minutes saved)\n\n**Blocking**\n%s\n\n**Recommended**\n%s", "blocking", "recommended", "skipped", "minutes_saved", "b", "r")
+    return metrics.join(lists, "repo_id").select("repo_id", text.alias("report"))

@@ -1,0 +1,79 @@
+"""Streaming ingest of runs, alerts with keyed state, and weekly trends."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from testloom.functions.expr import missed, size0
+from testloom.operators.ingest import quarantine
+from testloom.operators.redelivery import MessageTable
+from testloom.sources.run_log import RUN
+
+
+def read_runs(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """A stream of run records from a folder of JSON lines."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("ingest_seq", T.LongType()), *RUN.fields])
+    return spark.readStream.schema(schema).options(**options).json(folder)
+
+
+def ingest_stream(runs: DataFrame, table: str, checkpoint: str, *, late: str = "7 days") -> StreamingQuery:
+    """Run records into a message table, each once, invalid ones beside it.
+
+    Repeats close in time are dropped in the stream by state that the watermark bounds; later ones by the table's identifier index
+    in each micro-batch. The table commits a batch by one manifest, so a batch that is run again after a failure changes nothing.
+    """
+    near = runs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["repo_id", "id"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        good, bad = quarantine(batch)
+        bad.write.mode("overwrite").parquet(f"{table}/invalid/batch={number}")
+        MessageTable(batch.sparkSession, f"{table}/messages").merge(good)
+
+    return near.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def alert_stream(runs: DataFrame, *, low: float = 0.95, high: float = 0.98, window: int = 20) -> DataFrame:
+    """repo_id, ingest_seq, recall, event (fire, recover) from a stream; per repository the state is its last ``window`` counts and whether an alert is active."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fails, misses, active = state.get if state.exists else ([], [], False)
+        fails, misses = list(fails), list(misses)
+        rows = pd.concat(list(parts)).sort_values(["created_at", "ingest_seq"])
+        out = []
+        for seq, f, m in zip(rows["ingest_seq"], rows["f"], rows["m"]):
+            fails, misses = (fails + [int(f)])[-window:], (misses + [int(m)])[-window:]
+            recall = (sum(fails) - sum(misses)) / sum(fails) if sum(fails) else 1.0
+            if recall < low and not active:
+                active = True
+                out.append((key[0], int(seq), recall, "fire"))
+            elif recall >= high and active:
+                active = False
+                out.append((key[0], int(seq), recall, "recover"))
+        state.update((fails, misses, active))
+        yield pd.DataFrame(out, columns=["repo_id", "ingest_seq", "recall", "event"])
+
+    slim = runs.where("repo_id is not null and created_at is not null").select("repo_id", "ingest_seq", "created_at", size0("actual_failures").alias("f"), missed().alias("m"))
+    return slim.groupBy("repo_id").applyInPandasWithState(step, "repo_id string, ingest_seq bigint, recall double, event string", "fails array<int>, misses array<int>, active boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def weekly_stream(runs: DataFrame, late: str = "7 days") -> DataFrame:
+    """repo_id, week, runs, minutes_saved per week from Sunday, as a windowed aggregate with a watermark (the epoch was a Thursday: three days on is a Sunday)."""
+    minutes = F.col("time_saved_minutes").cast("double")
+    rows = runs.withWatermark("created_at", late).groupBy("repo_id", F.window("created_at", "7 days", "7 days", "3 days").alias("w"))
+    sums = rows.agg(F.count(F.lit(1)).alias("runs"), F.sum(F.when(~F.isnan(minutes), minutes)).alias("minutes_saved"))
+    return sums.select("repo_id", F.to_date("w.start").alias("week"), "runs", "minutes_saved")
+
+
+def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now and return the rows it put out."""
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testloom.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
@@ -156,4 +158,4 @@ def encode_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", toke
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["_key", "ids"])
 
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+    return spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)

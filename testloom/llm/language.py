@@ -24,8 +24,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from testloom.session import spread
+
 ORDER = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ALPHABET = 20_000
@@ -331,8 +334,6 @@ def training_sentences(documents: DataFrame, samples: DataFrame, *, key: str, te
     first = [(label_language(a), b) for a, b in first if label_language(a)]
     if not first:
         return []
-    from pyspark.sql import Window as W
-
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), _label_column(label).alias("l")).where((F.col("l").isNotNull()) & F.length("t").between(1, most_chars))
     place = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
     drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("l", "t").collect()
@@ -426,7 +427,7 @@ def languages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id",
                                           ["_key", "label_lang", "lang", "letters", "confidence"])
 
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
-    return rows.mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
+    return spread(rows).mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
 
 
 def language_segments(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -446,13 +447,11 @@ def language_segments(documents: DataFrame, samples: DataFrame, *, key: str = "d
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["_key", "segment", "content", "lang", "confidence"])
 
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
+    return spread(rows).mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
 
 
 def relabelled(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Of ``languages``: all rows of documents without label, with a label naming none of their languages, or in several languages."""
-    from pyspark.sql import Window as W
-
     mine = W.partitionBy(key)
     right = F.max(F.coalesce(F.col("lang") == F.col("label_lang"), F.lit(False))).over(mine)
     return found.withColumn("_n", F.count(F.lit(1)).over(mine)).withColumn("_right", right).where((F.col("_n") > 1) | ~F.col("_right")).drop("_n", "_right")

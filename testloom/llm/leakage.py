@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testloom.session import spread
+
 WORDS = 10
 CHUNK_CHARS = 2_000_000
 SHARED_SHARE = 0.1
@@ -197,7 +199,8 @@ class Detector:
 
 
 def shared_opening(texts: list[str], share: float = SHARED_SHARE) -> set[tuple[str, ...]]:
-    """Opening sentences, as words, that a share of the texts begins with (two texts at least)."""
+    """Opening sentences, as words, that a share of the texts begins with (two different texts at least; repeats count once)."""
+    texts = list({tuple(words_of(t)): t for t in texts}.values())
     opening = Counter(tuple(words_of(t[: _sentence_end(t)])) for t in texts)
     need = max(2, share * len(texts))
     return {o for o, n in opening.items() if o and n >= need and any(len(words_of(t)) > len(o) for t in texts)}
@@ -256,7 +259,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
     parts = chunks(item_words(rows), chunk_chars)
     kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
     item_kind = next(f.dataType.simpleString() for f in items.schema.fields if f.name == item)
-    source = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    source = spread(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     schema = f"_key {kind}, _item {item_kind}, words_covered int, share double"
     found = None
     for part in parts:
@@ -302,3 +305,92 @@ def _words_in(stream: Stream, spans: list[tuple[int, int]]) -> int:
             k += 1
         n += a < reach
     return n
+
+
+_UNIT = regex.compile(
+    r"\\+(?:u\{?[0-9a-fA-F]{4,6}\}?|x[0-9a-fA-F]{2}|[nrtbfv])|&(?:amp;)*#?\w{1,31};|(?:%[0-9a-fA-F]{2})+|<[/!?]?[a-zA-Z][^<>]{0,2000}>|&lt;/?\w[^&<>]{0,200}&gt;|<!--.*?-->"
+    r"|\]\([^()\s]{0,2000}\)|\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\||.",
+    regex.S,
+)
+
+
+def mapped_stream(text: str) -> tuple[Stream, list[int], list[int]]:
+    """The normal stream of a text, unit by unit, with where each of its characters begins and ends in the text."""
+    words: list[str] = []
+    begins: list[int] = []
+    ends: list[int] = []
+    open_word = False
+    for m in _UNIT.finditer(text):
+        unit = m.group()
+        for c in plain(unit) if len(unit) > 1 or not unit.isascii() else unit.lower():
+            if c.isalnum() and _WORD.match(c):
+                if open_word:
+                    words[-1] += c
+                else:
+                    words.append(c)
+                    open_word = True
+                begins.append(m.start())
+                ends.append(m.end())
+            else:
+                open_word = False
+    return Stream(words), begins, ends
+
+
+def scrubbed(detector: Detector, text: str, most_share: float) -> tuple[str | None, int, bool]:
+    """(text without leaked passages, words removed, whether the document is to be dropped).
+
+    Dropped are documents with more than ``most_share`` of their words in leaked passages, and those in which a passage shows only
+    after normalising the text as a whole, so that its place in the text isn't known.
+    """
+    whole = Stream(words_of(text))
+    hits = detector.hits(whole)
+    if not hits:
+        return text, 0, False
+    removed = _words_in(whole, [(a, b) for a, b, _ in hits])
+    stream, begins, ends = mapped_stream(text)
+    placed = detector.hits(stream)
+    if set().union(*(s for _, _, s in hits)) - set().union(*(s for _, _, s in placed), set()) or removed > most_share * len(whole.starts):
+        return None, removed, True
+    out, at = [], 0
+    for a, b in _merged([(begins[a], ends[b - 1]) for a, b, _ in placed]):
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:]]), removed, False
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = WORDS,
+                  chunk_chars: int = CHUNK_CHARS, most_share: float = 0.5) -> DataFrame:
+    """key, text without leaked passages (null if dropped or null before), words_removed, dropped; one row a document."""
+    spark = documents.sparkSession
+    rows = [(r[0], r[1]) for r in items.select(item, item_text).where(F.col(item).isNotNull()).orderBy(item).toLocalIterator()]
+    kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
+    schema = f"_key {kind}, _text string, words_removed int, dropped boolean"
+    out = spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.lit(0).alias("words_removed"), F.lit(False).alias("dropped")))
+    for part in chunks(item_words(rows), chunk_chars):
+        shared = spark.sparkContext.broadcast(part)
+        out = out.mapInArrow(_scrub(shared, uuid.uuid4().hex, words, most_share), schema)
+    return out.select(F.col("_key").alias(key), F.col("_text").alias(text), "words_removed", "dropped")
+
+
+def _scrub(shared, name: str, words: int, most_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = _detector(name, shared.value, words)
+        for batch in batches:
+            done = []
+            for text, before, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                kept, n, drop = (text, 0, False) if text is None else scrubbed(detector, text, most_share)
+                done.append((kept, before + n, gone or drop))
+            texts, counts, flags = zip(*done) if done else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(flags, pa.bool_())], ["_key", "_text", "words_removed", "dropped"])
+
+    return run

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from testloom.llm import cooccurrence
 from testloom.llm.encoding import encode_texts
 from testloom.llm.language import language_segments, languages, relabelled
-from testloom.llm.leakage import leaked_items
+from testloom.llm.leakage import leaked_items, without_leaks
 from testloom.llm.topn import top_items
 from testloom.operators.redelivery import once
 from testloom.plans.core_queries import ONCE
@@ -58,6 +58,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its leaked passages."""
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language of every document, with its confidence."""
     return languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
@@ -72,7 +77,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_top": p3_top, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p3_top": p3_top, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_counts": p4_counts, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_languages": p8_languages, "p8_segments": p8_segments}
 
 _BEST = """best AS (SELECT repo_id, test_path, max(flake_score) AS flake_score FROM flaky_rows
   WHERE flake_score IS NOT NULL AND NOT isnan(flake_score) AND repo_id IS NOT NULL AND test_path IS NOT NULL GROUP BY 1, 2),

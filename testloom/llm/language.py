@@ -35,6 +35,8 @@ ALPHABET = 20_000
 DEFAULT_DISCOUNT = 0.75
 #: Letters a sentence must have to prove a language, where letters stand for sounds and where they stand for words.
 LEAST_LETTERS, LEAST_SIGNS = 18, 6
+#: Length, or share of the document's letters, from which a single segment shows one of several languages.
+LETTERS_ALONE, SIGNS_ALONE, SHARE_ALONE = 60, 20, 0.2
 SAMPLE_PER_LANGUAGE = 200
 #: A text without a segment that long may prove a language by one of this many letters, judged with this confidence.
 SHORTEST, SURE = 6, 0.8
@@ -72,6 +74,8 @@ _LINK = regex.compile(r"\w+://\S+|[\w.+-]+@[\w-]+\.\w[\w.]*")
 _JSON_KEY = regex.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
 _DIFF = regex.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
 _LOG = regex.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
+_PREFIX = regex.compile(r"^[ \t>*/#|+-]+")
+_WRAPS = regex.compile(r"[\p{L}\p{N},'\"»)]\s*$")
 _TOKEN = regex.compile(r"\S+")
 _CODED = regex.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d|[a-z][A-Z]|::|->")
 _SENTENCE = regex.compile(r"(?<=[.!?;…])[\"'»”)]*\s+|(?<=[。！？])|\n+")
@@ -124,6 +128,23 @@ def _bare(line: str) -> str:
 _PATHLIKE = regex.compile(r"[A-Za-z0-9_.\-]+(?:[/\\][\p{L}\p{M}\p{N}_.\-]+)+(?<!\.)|(?<![\p{L}])[\p{L}_]+(?:[._][\p{L}\p{N}]+)*_\w+(?:\.\w+)*")
 
 
+def _unwrapped(lines: list[str]) -> list[str]:
+    """Lines that hold language, with those joined that only wrap a sentence: the first doesn't end one, the next begins in lower case."""
+    out: list[str] = []
+    fresh = True
+    for line in lines:
+        if not line or line.isspace() or len(line) <= LONGEST_LOG and (_DIFF.match(line) or _LOG.match(line)):
+            fresh = True
+            continue
+        bare = _PREFIX.sub("", line)
+        if not fresh and _WRAPS.search(out[-1]) and bare[:1].islower():
+            out[-1] += " " + bare
+        else:
+            out.append(line)
+        fresh = False
+    return out
+
+
 def segments(text: str) -> list[str]:
     """Sentences of natural language in a text, in order; what is written in code is left out."""
     if not text or text.isspace():
@@ -135,9 +156,7 @@ def segments(text: str) -> list[str]:
     text = _FENCE.sub("\n", text)
     text = _FRAGMENT.sub("\n", text)
     out = []
-    for line in text.split("\n"):
-        if not line or line.isspace() or len(line) <= LONGEST_LOG and (_DIFF.match(line) or _LOG.match(line)):
-            continue
+    for line in _unwrapped(text.split("\n")):
         line = _TAGS.sub(" ", _LINK.sub(" ", _TICKS.sub(" ", line)))
         if '"' in line and ":" in line:
             line = _JSON_KEY.sub("\n", line)
@@ -383,6 +402,9 @@ def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> l
             best = max((x for x in short if x[2] >= SURE), key=lambda x: x[1], default=None)
             if best and best[1] >= SHORTEST:
                 found[best[0]] = [best[1:]]
+        if len(found) > 1:  # a second language must show more than once, or at length
+            total = sum(n for v in found.values() for n, _ in v)
+            found = {k: v for k, v in found.items() if len(v) > 1 or v[0][0] >= min(SHARE_ALONE * total, SIGNS_ALONE if k in ("ja", "zh") else LETTERS_ALONE)}
         out.append(({k: (sum(n for n, _ in v), sum(n * c for n, c in v) / sum(n for n, _ in v)) for k, v in found.items()}, judged))
     return out
 

@@ -78,23 +78,44 @@ def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
     return latest_per_repo(runs, n).select("repo_id", "place", "pr_number", "sha", "mode", F.unix_micros("created_at").alias("created_us"), skip_share().alias("skip_pct"), size0("actual_failures").alias("failure_count"))
 
 
+ORDER = ("created_at", "ingest_seq")
+
+
 def rolling_recall(runs: DataFrame, n: int = 20) -> DataFrame:
-    """repo_id, ingest_seq, recall over the n runs up to each run in time order."""
+    """repo_id, ingest_seq, created_at, recall over the n runs up to each run in time order.
+
+    The window runs within (repository, day), so a repository with a third of all runs is many tasks; each day gets the last n - 1
+    runs before it from a table of day ends, which has a row a repository and day.
+    """
     rows = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "created_at", size0("actual_failures").alias("f"), missed().alias("m"))
-    back = W.partitionBy("repo_id").orderBy("created_at", "ingest_seq").rowsBetween(-(n - 1), 0)
-    return rows.select("repo_id", "ingest_seq", "created_at", share_or_one(F.sum("m").over(back), F.sum("f").over(back)).alias("recall"))
+    rows = rows.withColumn("day", F.to_date("created_at"))
+    late = F.row_number().over(W.partitionBy("repo_id", "day").orderBy(*(F.col(c).desc() for c in ORDER)))
+    ends = rows.withColumn("_p", late).where(F.col("_p") < n).groupBy("repo_id", "day").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "f", "m"))).alias("end"))
+    # every day with an end has a run, so n - 1 days hold n - 1 runs at least
+    earlier = F.flatten(F.collect_list("end").over(W.partitionBy("repo_id").orderBy("day").rowsBetween(-max(n - 1, 1), -1)))
+    known = F.least(F.size("earlier"), F.lit(n - 1))
+    carried = ends.select("repo_id", "day", earlier.alias("earlier")).where((F.size("earlier") > 0) & (known > 0))
+    carried = carried.select("repo_id", "day", F.explode(F.slice("earlier", -known, known)).alias("e")).select("repo_id", "day", "e.*")
+    marked = rows.withColumn("own", F.lit(True)).unionByName(carried.withColumn("own", F.lit(False)))
+    back = W.partitionBy("repo_id", "day").orderBy(*ORDER).rowsBetween(-(n - 1), 0)
+    recall = share_or_one(F.sum("m").over(back), F.sum("f").over(back))
+    return marked.withColumn("recall", recall).where("own").select("repo_id", "ingest_seq", "created_at", "recall")
 
 
 def alert_transitions(runs: DataFrame, low: float = 0.95, high: float = 0.98, n: int = 20) -> DataFrame:
     """repo_id, ingest_seq, recall, event (fire, recover, hold): hysteresis on the rolling recall.
 
     A run below ``low`` fires unless an alert is active, one at ``high`` or above recovers an active alert, in between the state holds.
+    The state before a run is the last signal of its day so far, else the last signal of an earlier day.
     """
-    rows = rolling_recall(runs, n)
     signal = F.when(F.col("recall") < low, "low").when(F.col("recall") >= high, "high")
-    before = W.partitionBy("repo_id").orderBy("created_at", "ingest_seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("signal", signal).withColumn("prior", F.last("signal", ignorenulls=True).over(before))
-    low_before = F.coalesce(F.col("prior") == "low", F.lit(False))
+    rows = rolling_recall(runs, n).withColumns({"day": F.to_date("created_at"), "signal": signal})
+    days = rows.groupBy("repo_id", "day").agg(F.max_by("signal", F.when(F.col("signal").isNotNull(), F.struct(*ORDER))).alias("_s"))
+    before_day = F.last("_s", ignorenulls=True).over(W.partitionBy("repo_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select("repo_id", "day", before_day.alias("_carried"))
+    so_far = W.partitionBy("repo_id", "day").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.last("signal", ignorenulls=True).over(so_far)).join(days, ["repo_id", "day"])
+    low_before = F.coalesce(F.coalesce("_own", "_carried") == "low", F.lit(False))
     event = F.when((F.col("signal") == "low") & ~low_before, "fire").when((F.col("signal") == "high") & low_before, "recover").otherwise("hold")
     return rows.select("repo_id", "ingest_seq", "recall", event.alias("event"))
 

@@ -157,10 +157,7 @@ def pair_surprise(records: DataFrame, names: DataFrame, *, least: int) -> DataFr
 
     # Benjamini-Hochberg within the group: all pairs of its frequent items are hypotheses, the uncounted ones with p = 1
     tests = frequent.groupBy("grp").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("tests"))
-    by_p = W.partitionBy("grp").orderBy("p_value", "a", "b")
-    ranked = tails.join(tests, "grp").withColumn("raw", F.col("p_value") * F.col("tests") / F.row_number().over(by_p))
-    above = W.partitionBy("grp").orderBy("p_value", "a", "b").rowsBetween(0, W.unboundedFollowing)
-    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min("raw").over(above)))
+    ranked = q_values(tails.join(tests, "grp"))
     left, right = named.select("grp", F.col("item").alias("a"), F.col("name").alias("name_1")), named.select("grp", F.col("item").alias("b"), F.col("name").alias("name_2"))
     out = ranked.join(left, ["grp", "a"]).join(right, ["grp", "b"])
     swap = F.col("name_1") > F.col("name_2")
@@ -170,6 +167,30 @@ def pair_surprise(records: DataFrame, names: DataFrame, *, least: int) -> DataFr
                       "n_ab", lift.alias("lift"), "expected", "p_value", "q_value")
 
 
+P_BINS = 4  # bins of a p-value's natural logarithm per unit
+
+
+def q_values(rows: DataFrame) -> DataFrame:
+    """rows(grp, a, b, p_value, tests, ...) with the q_value p * tests / rank made monotone, per group.
+
+    Ranks and running minima are taken within bins of p and carried between bins by a table of a row a bin, so that a group's pairs are
+    never in one task.
+    """
+    tiny = F.greatest(F.col("p_value"), F.lit(1e-300))
+    rows = rows.withColumn("bin", F.floor(F.log(tiny) * P_BINS).cast("int"))
+    inside = W.partitionBy("grp", "bin").orderBy("p_value", "a", "b")
+    rows = materialize(rows.withColumn("place", F.row_number().over(inside)), "ranks")
+    bins = rows.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(bins.select("grp", "bin", before.alias("before")), ["grp", "bin"])
+    rows = rows.withColumn("raw", F.col("p_value") * F.col("tests") / (F.col("before") + F.col("place")))
+    least = rows.groupBy("grp", "bin").agg(F.min("raw").alias("least"))
+    after = F.min("least").over(W.partitionBy("grp").orderBy("bin").rowsBetween(1, W.unboundedFollowing))
+    here = F.min("raw").over(inside.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.join(least.select("grp", "bin", after.alias("after")), ["grp", "bin"])
+    return rows.withColumn("q_value", F.least(F.lit(1.0), here, F.col("after"))).drop("bin", "place", "before", "raw", "after")
+
+
 def _fit_group(part: pd.DataFrame) -> pd.DataFrame:
     """The fitted probabilities of one group: basket sizes x items, both far fewer than records."""
     table = part.pivot(index="d", columns="item", values="cells").fillna(0.0)

@@ -404,7 +404,8 @@ def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> l
                 found[best[0]] = [best[1:]]
         if len(found) > 1:  # a second language must show more than once, or at length
             total = sum(n for v in found.values() for n, _ in v)
-            found = {k: v for k, v in found.items() if len(v) > 1 or v[0][0] >= min(SHARE_ALONE * total, SIGNS_ALONE if k in ("ja", "zh") else LETTERS_ALONE)}
+            main = max(found, key=lambda k: (sum(n for n, _ in found[k]), k))
+            found = {k: v for k, v in found.items() if k == main or len(v) > 1 or v[0][0] >= min(SHARE_ALONE * total, SIGNS_ALONE if k in ("ja", "zh") else LETTERS_ALONE)}
         out.append(({k: (sum(n for n, _ in v), sum(n * c for n, c in v) / sum(n for n, _ in v)) for k, v in found.items()}, judged))
     return out
 

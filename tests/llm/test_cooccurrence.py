@@ -82,6 +82,19 @@ def test_tail_is_exact():
     assert 0 < C.upper_tail([5000], [0.001], 60) < 1e-40
 
 
+def test_q_values_against_brute_force(spark):
+    rnd = random.Random(4)
+    data = [("g" if i % 3 else "h", i, i + 1, rnd.choice([1e-320, 1e-9, 0.01, 0.2, 1.0, rnd.random() ** 6]), 500.0) for i in range(200)]
+    df = spark.createDataFrame(data, "grp string, a bigint, b bigint, p_value double, tests double")
+    got = {r["a"]: r["q_value"] for r in C.q_values(df).collect()}
+    for g in "gh":
+        own = sorted((r for r in data if r[0] == g), key=lambda r: (r[3], r[1]))
+        least = 1.0
+        for rank in range(len(own), 0, -1):
+            least = min(least, own[rank - 1][3] * 500 / rank)
+            assert got[own[rank - 1][1]] == pytest.approx(least, rel=1e-9, abs=1e-300)
+
+
 def test_empty(spark):
     assert run(spark, [], 2) == []
     assert run(spark, [("g", 1, None, ["a"]), ("g", 2, ["a"], None), (None, 3, ["a", "b"], ["a", "b"])], 1) == []

@@ -23,12 +23,21 @@ def whole(definition):
     return TreeEncoder(definition, leaf=10**9)
 
 
+@pytest.fixture(scope="module")
+def ranked(definition):
+    pytest.importorskip("tiktoken")
+    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", "rb") as f:
+        tree = TreeEncoder(definition, ranks=f.read())
+    assert tree.single
+    return tree
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PIECES) | st.text(max_size=5), max_size=30), st.integers(1, 9), st.integers(1, 8))
 def test_tree_equals_one_pass(definition, whole, parts, leaf, window):
     text = "".join(parts)
     tree = TreeEncoder.__new__(TreeEncoder)
-    tree.tokenizer, tree.leaf, tree.window = whole.tokenizer, leaf, window
+    tree.tokenizer, tree.leaf, tree.window, tree.single = whole.tokenizer, leaf, window, None
     ids = tree.encode_all([text])[0]
     assert ids == whole.encode_all([text])[0]
     assert tree.decode(ids) == text
@@ -43,16 +52,16 @@ def test_long_runs_and_batches(definition, whole):
     assert got == [whole.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
 
 
-def test_same_ids_as_the_rank_file(whole):
-    tiktoken = pytest.importorskip("tiktoken")
-    import base64
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES) | st.text(max_size=6), max_size=30))
+def test_same_ids_from_the_rank_file(definition, whole, ranked, parts):
+    text = "".join(parts)
+    assert ranked.encode_all([text]) == whole.encode_all([text])
 
-    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    text = "Hello  wörld <|endoftext|> 日本語\n\n don't 🏳️‍🌈"
-    assert whole.encode_all([text])[0] == other.encode_ordinary(text)
+
+def test_long_runs_from_the_rank_file(whole, ranked):
+    texts = ["a" * 8_000, " " * 8_000, "\n" * 3_000 + "x", "é" * 8_192, None, "", "b" * 20_000]
+    assert ranked.encode_all(texts) == whole.encode_all(texts)
 
 
 def test_column(spark):

@@ -153,3 +153,15 @@ def final_rows(deliveries: DataFrame) -> DataFrame:
     """Merge-on-read view: of rows equal in repo_id, created_at and id the last to arrive."""
     place = F.row_number().over(W.partitionBy("repo_id", "created_at", "id").orderBy(F.col("ingest_seq").desc()))
     return deliveries.withColumn("_p", place).where(F.col("_p") == 1).drop("_p")
+
+
+def retrain_due(gates: DataFrame, trained: DataFrame, as_of: F.Column, *, least: int = 100, days: int = 7) -> DataFrame:
+    """repo_id, due: enough runs, and never trained or at least ``days`` days ago. gates(repo_id, run_count), trained(repo_id, trained_at)."""
+    rows = gates.join(trained.groupBy("repo_id").agg(F.max("trained_at").alias("last")), "repo_id", "left")
+    old = F.col("last").isNull() | (F.unix_micros(as_of) - F.unix_micros("last") >= days * 86_400_000_000)
+    return rows.select("repo_id", ((F.col("run_count") >= least) & old).alias("due"))
+
+
+def effective_modes(floors: DataFrame, mode: str) -> DataFrame:
+    """repo_id, mode: the configured mode, shadow where the recall is below the floor."""
+    return floors.select("repo_id", F.when(F.col("below_floor"), "shadow").otherwise(mode).alias("mode"))

@@ -1,0 +1,39 @@
+"""Prompts for a classifier as columns: candidates in sorted order, the diff cut to its limit, notes if there are any."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from testloom.functions.expr import effective_lines
+from testloom.operators.diffs import truncated
+
+SYSTEM = "You sort tests into blocking, recommended and skip for a code change. Answer with JSON only: {\"decisions\": [{\"test_path\", \"classification\", \"confidence\", \"reasoning\"}]}."
+#: fixed values: a diff beyond the first number of effective lines is described in steps first, beyond the second it is cut
+STEPS_ABOVE, CUT_ABOVE = 100, 2000
+
+
+def prompt(paths: str, diff: str, notes: str | None = None) -> F.Column:
+    """The question for an array of paths and a diff."""
+    parts = [F.lit("Tests:\n"), F.array_join(F.sort_array(F.col(paths)), "\n"), F.lit("\n\nChange:\n"), F.coalesce(truncated(diff, CUT_ABOVE), F.lit(""))]
+    if notes:
+        parts += [F.when(F.length(F.trim(F.coalesce(F.col(notes), F.lit("")))) > 0, F.concat(F.lit("\n\nNotes:\n"), F.col(notes))).otherwise("")]
+    return F.concat(*parts)
+
+
+def retry_prompt(paths: str, diff: str, answer: str, notes: str | None = None) -> F.Column:
+    """The question again, with the beginning of the answer that couldn't be read."""
+    return F.concat(prompt(paths, diff, notes), F.lit("\n\nThis answer was not valid JSON of the agreed form:\n"), F.substring(F.coalesce(F.col(answer), F.lit("")), 1, 500))
+
+
+def in_steps(diff: str) -> F.Column:
+    """Whether a diff is large enough to be summarised, then located, then judged."""
+    return F.coalesce(effective_lines(diff), F.lit(0)) > STEPS_ABOVE
+
+
+def step_prompts(paths: str, diff: str) -> F.Column:
+    """The three questions of a large diff, in order, as an array; the second and third quote the answer before them at {answer}."""
+    return F.array(
+        F.concat(F.lit("Summarise this change by area of the code:\n"), F.coalesce(truncated(diff, CUT_ABOVE), F.lit(""))),
+        F.concat(F.lit("Given this summary, name the behaviour at risk:\n{answer}\n\nTests:\n"), F.array_join(F.sort_array(F.col(paths)), "\n")),
+        F.concat(F.lit("Given these risks:\n{answer}\n\n"), prompt(paths, diff)),
+    )

@@ -16,6 +16,8 @@ repeated documents are judged each.
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterator, Sequence
@@ -40,7 +42,7 @@ LETTERS_ALONE, SIGNS_ALONE, SHARE_ALONE = 60, 20, 0.2
 SAMPLE_PER_LANGUAGE = 200
 #: A text without a segment that long may prove a language by one of this many letters, judged with this confidence.
 SHORTEST, SURE = 6, 0.8
-ROWS_AT_ONCE, CHARS_AT_ONCE = 200, 120_000
+ROWS_AT_ONCE, CHARS_AT_ONCE, SEEN_AT_MOST = 500, 120_000, 150_000
 
 # fixed values: names and codes of the languages, lower case, without region
 LABELS = {
@@ -58,32 +60,45 @@ LABELS = {
 LANGUAGES = tuple(LABELS)
 _LABEL_OF = {name: code for code, names in LABELS.items() for name in names.split()}
 
-_FENCE = regex.compile(r"(```|~~~).*?\1", regex.S)
-#: Log, diff and code phrases wherever they stand, since line breaks may be lost.
-_FRAGMENT = regex.compile(
-    r"\w*(?:Error|Exception): expected \S+ to \w+ \S+|[+-]?import \{[^{}]*\} from '[^']*'|\b(?:PASS|FAIL|SKIP)\s+\S+\s+\(\d+ ms\)|\b(?:const|let|var)\s+\S+\s*=\s*\S+"
-    r"|\bat\s+\S+\s+\([^()\s]+:\d+(?::\d+)?\)|diff --git \S+ \S+|@@ -[^@]* @@|[+ -]\s+[\w.$]+\([^()]*\);|\[[A-Z]+\]\s+\w+=\S+(?:\s+\w+=\S+)*"
-    r'|"(?:classification|test_path)"\s*:\s*"[^"]*"'
-)
+_FENCE = re.compile(r"(```|~~~).*?\1", re.S)
+_TICKS = re.compile(r"`[^`\n]*`")
+_TAGS = re.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>")
+_ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+_URL = re.compile(r"\w+://\S+")
+_MAIL = re.compile(r"[\w.+-]+@[\w-]+\.\w[\w.]*")
+_JSON_KEY = re.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
+#: Log, diff and code phrases wherever they stand, since line breaks may be lost; each is tried only where its first text occurs.
+_FRAGMENTS = [(mark, re.compile(pattern)) for mark, pattern in (
+    (": expected ", r"\w+: expected \S+ to \w+ \S+"),
+    ("import {", r"[+-]?import \{[^{}]*\} from '[^']*'"),
+    (" ms)", r"\b(?:PASS|FAIL|SKIP)\s+\S+\s+\(\d+ ms\)"),
+    ("const ", r"\bconst\s+\S+\s*=\s*\S+"),
+    ("let ", r"\blet\s+\S+\s*=\s*\S+"),
+    ("var ", r"\bvar\s+\S+\s*=\s*\S+"),
+    ("at ", r"\bat\s+\S+\s+\([^()\s]+:\d+(?::\d+)?\)"),
+    ("diff --git ", r"diff --git \S+ \S+"),
+    ("@@ -", r"@@ -[^@]* @@"),
+    (");", r"[+ -]\s+[\w.$]+\([^()]*\);"),
+    ("=", r"\[[A-Z]+\]\s+\w+=\S+(?:\s+\w+=\S+)*"),
+    ('"classification"', r'"classification"\s*:\s*"[^"]*"'),
+    ('"test_path"', r'"test_path"\s*:\s*"[^"]*"'),
+)]
 #: A longer line is not dropped whole for beginning like a log line.
 LONGEST_LOG = 240
-_TICKS = regex.compile(r"`[^`\n]*`")
-_TAGS = regex.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>")
-_ANSI = regex.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_LINK = regex.compile(r"\w+://\S+|[\w.+-]+@[\w-]+\.\w[\w.]*")
-_JSON_KEY = regex.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
-_DIFF = regex.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
-_LOG = regex.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
-_PREFIX = regex.compile(r"^[ \t>*/#|+-]+")
-_WRAPS = regex.compile(r"[\p{L}\p{N},'\"»)]\s*$")
-_TOKEN = regex.compile(r"\S+")
-_CODED = regex.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d|[a-z][A-Z]|::|->")
-_SENTENCE = regex.compile(r"(?<=[.!?;…])[\"'»”)]*\s+|(?<=[。！？])|\n+")
-_LETTERS = regex.compile(r"\p{L}")
+_DIFF = re.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
+_LOG = re.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
+_PREFIX = re.compile(r"^[ \t>*/#|+-]+")
+_WRAPS = re.compile(r"[\w,'\"»)]\s*$")
+_PATHLIKE = re.compile(r"[\w.\-]+(?:[/\\][\w.\-]+)+(?<!\.)")
+_CODED = re.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z]|::|->")
+_SENTENCE = re.compile(r"[.!?;…][\"'»”)]*\s+|[。！？]|\n+")
+_LETTER = re.compile(r"[^\W\d_]")
 _SIGNS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _KEEP = regex.compile(r"[^\p{L}\p{M}']+")
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t\r]]", regex.V1)
-_MOJIBAKE = regex.compile(r"[ÂÃÄÅÐÑâãåæçèéäï][\u0080-ÿŒ-Ÿˆ-˜–-›€™]")
+_CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+_INVISIBLE = regex.compile(r"\p{Cf}")
+_MOJIBAKE = re.compile(r"[ÂÃÄÅÐÑâãåæçèéäï][\u0080-ÿŒ-Ÿˆ-˜–-›€™]")
+_ASCII_LETTERS = {i: chr(i).lower() if chr(i).isalpha() or i == 39 else " " for i in range(128)}
 
 
 def label_language(label: str | None) -> str | None:
@@ -112,20 +127,27 @@ def _mended(text: str) -> str:
     return again if again.count("�") * 4 < len(_MOJIBAKE.findall(text)) else text
 
 
-def _bare(line: str) -> str:
-    """A line without tokens that look like code, paths, numbers or identifiers."""
+def _bare(sentence: str) -> str:
+    """A sentence without tokens that look like code, paths or identifiers."""
+    if not _CODED.search(sentence):
+        return sentence
     kept = []
-    for m in _TOKEN.finditer(line):
-        token = m.group()
+    for token in sentence.split():
         core = token.strip("\"'“”‘’«»()[]{}<>.,;:!?…*_#>|-–—`")
-        if not core or not _CODED.search(core) or _SIGNS.search(core):
+        if core.isalpha() or not core or not _CODED.search(core) or (not core.isascii() and _SIGNS.search(core)):
             kept.append(token)
-        elif token[-1:] in ".!?;":
+        elif token[-1] in ".!?;":
             kept.append(token[-1])
     return " ".join(kept)
 
 
-_PATHLIKE = regex.compile(r"[A-Za-z0-9_.\-]+(?:[/\\][\p{L}\p{M}\p{N}_.\-]+)+(?<!\.)|(?<![\p{L}])[\p{L}_]+(?:[._][\p{L}\p{N}]+)*_\w+(?:\.\w+)*")
+def _sentences(line: str) -> Iterator[str]:
+    """A line cut after the marks that end sentences."""
+    at = 0
+    for m in _SENTENCE.finditer(line):
+        yield line[at : m.end()].strip()
+        at = m.end()
+    yield line[at:].strip()
 
 
 def _unwrapped(lines: list[str]) -> list[str]:
@@ -149,28 +171,51 @@ def segments(text: str) -> list[str]:
     """Sentences of natural language in a text, in order; what is written in code is left out."""
     if not text or text.isspace():
         return []
-    text = "\n".join(_mended(line) for line in text.split("\n"))
-    text = unicodedata.normalize("NFKC", text)
-    text = _INVISIBLE.sub("", _ANSI.sub(" ", text))
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\\n", "\n").replace('\\"', '"')
-    text = _FENCE.sub("\n", text)
-    text = _FRAGMENT.sub("\n", text)
+    plain = text.isascii()
+    if not plain:
+        text = "\n".join(line if line.isascii() else _mended(line) for line in text.split("\n"))
+        text = unicodedata.normalize("NFKC", text)
+    if "\x1b" in text:
+        text = _ANSI.sub(" ", text)
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "\\" in text:
+        text = text.replace("\\n", "\n").replace('\\"', '"')
+    text = text.replace("\t", " ")
+    if not text.replace("\n", " ").isprintable():
+        text = _CONTROLS.sub(" ", _INVISIBLE.sub("", text))
+    if "&" in text and ";" in text:
+        text = html.unescape(text)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    for mark, pattern in _FRAGMENTS:
+        if mark in text:
+            text = pattern.sub("\n", text)
     out = []
     for line in _unwrapped(text.split("\n")):
-        line = _TAGS.sub(" ", _LINK.sub(" ", _TICKS.sub(" ", line)))
-        if '"' in line and ":" in line:
+        if "`" in line:
+            line = _TICKS.sub(" ", line)
+        if "://" in line:
+            line = _URL.sub(" ", line)
+        if "@" in line:
+            line = _MAIL.sub(" ", line)
+        if "<" in line:
+            line = _TAGS.sub(" ", line)
+        if '":' in line or '" :' in line:
             line = _JSON_KEY.sub("\n", line)
-        line = _PATHLIKE.sub(" ", line)
-        for sentence in _SENTENCE.split(line):
+        if "/" in line or "_" in line or "\\" in line:
+            line = _PATHLIKE.sub(" ", line)
+        for sentence in _sentences(line):
             if sentence:
                 bare = _bare(sentence)
-                if _LETTERS.search(bare):
+                if _LETTER.search(bare):
                     out.append(bare)
     return out
 
 
 def letters(segment: str) -> str:
     """What the models read of a segment: letters in folded case, everything else one blank."""
+    if segment.isascii():
+        return " ".join(segment.translate(_ASCII_LETTERS).split())
     return _KEEP.sub(" ", segment.casefold()).strip()
 
 
@@ -198,6 +243,35 @@ def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+class SortedHashes:
+    """Sorted distinct hashes with an index of their leading bits: a look-up starts where its bits begin and takes a few steps."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        bits = max(int(len(keys)).bit_length() + 2, 8)
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(keys, np.arange(2**bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        counts = np.diff(np.append(self.begins, len(keys)))
+        self.steps = int(counts.max(initial=0))
+
+    def __len__(self) -> int:
+        return len(self.keys) - 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, len(self) for those that aren't there."""
+        at = self.begins[(hashes >> self.shift).astype(np.int64)]
+        found = np.where(self.keys[at] == hashes, at, len(self))
+        last = len(self)
+        for k in range(1, self.steps):
+            rest = np.flatnonzero((found == last) & (self.keys[np.minimum(at + k - 1, last)] < hashes))
+            if not len(rest):
+                break
+            spot = np.minimum(at[rest] + k, last)
+            hit = self.keys[spot] == hashes[rest]
+            found[rest[hit]] = spot[hit]
+        return found
+
+
 def _coded(texts: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the texts, each after ``order`` blanks and with one at its end; which places are predicted; the text of each place."""
     pad = " " * order
@@ -243,7 +317,7 @@ class LanguageModels:
         self.order, self.languages = order, sorted(texts)
         fitted = [_fit_language(texts[lang], order) for lang in self.languages]
         n = len(self.languages)
-        self.grams: list[np.ndarray] = []
+        self.grams: list[SortedHashes] = []
         self.direct: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
         for k in range(1, order + 1):
@@ -254,10 +328,11 @@ class LanguageModels:
                 direct[np.searchsorted(grams, f[k - 1][0]), j] = f[k - 1][1]
                 if k < order:
                     back[np.searchsorted(grams, f[k][2]), j] = f[k][3]
-            self.grams.append(grams)
+            self.grams.append(SortedHashes(grams))
             self.direct.append(direct)
             self.back.append(back)
         self.first_back = np.array([f[0][3][0] for f in fitted], np.float32)
+        self.seen: dict[str, tuple[str | None, float, float]] = {}
         self.bounds = np.full(n, np.inf)
         self.sharpness = 1.0
 
@@ -269,10 +344,7 @@ class LanguageModels:
         p = np.full((len(places), len(self.languages)), 1.0 / ALPHABET, np.float32)
         rows_before = None
         for k in range(1, self.order + 1):
-            grams = self.grams[k - 1]
-            everywhere = np.searchsorted(grams, hashes[k - 1])
-            everywhere[everywhere == len(grams)] = 0
-            everywhere = np.where(grams[everywhere] == hashes[k - 1], everywhere, len(grams))
+            everywhere = self.grams[k - 1].find(hashes[k - 1])
             back = self.first_back if k == 1 else self.back[k - 2][rows_before[places - 1]]
             p = self.direct[k - 1][everywhere[places]] + back * p
             rows_before = everywhere
@@ -299,6 +371,20 @@ class LanguageModels:
                 if best is None or loss < best:
                     best, self.sharpness = loss, sharp
 
+    def judge_all(self, texts: Sequence[str]) -> list[tuple[str | None, float, float]]:
+        """``judge`` with a bounded memory: templated texts say the same sentence again and again."""
+        new = [t for t in dict.fromkeys(texts) if t not in self.seen]
+        if len(self.seen) + len(new) > SEEN_AT_MOST:
+            self.seen.clear()
+            new = list(dict.fromkeys(texts))
+        start = size = 0
+        for i, t in enumerate(new):
+            size += len(t) + self.order + 1
+            if size > CHARS_AT_ONCE or i + 1 == len(new):
+                self.seen.update(zip(new[start : i + 1], self.judge(new[start : i + 1])))
+                start, size = i + 1, 0
+        return [self.seen[t] for t in texts]
+
     def judge(self, texts: Sequence[str]) -> list[tuple[str | None, float, float]]:
         """(language or None if rejected, confidence, entropy) of each segment."""
         if not texts:
@@ -329,13 +415,11 @@ def train(samples: list[tuple[str, str]], order: int = ORDER) -> LanguageModels:
     return models
 
 
-def sign_count(segment: str) -> int:
-    return len(_SIGNS.findall(segment))
-
-
 def proves(segment: str) -> bool:
-    """Whether a segment is long enough to show a language."""
-    return sign_count(segment) >= LEAST_SIGNS or len(_LETTERS.findall(segment)) >= LEAST_LETTERS
+    """Whether a segment, as ``letters`` gives it, is long enough to show a language."""
+    if len(segment) - segment.count(" ") - segment.count("'") >= LEAST_LETTERS:
+        return True
+    return not segment.isascii() and len(_SIGNS.findall(segment)) >= LEAST_SIGNS
 
 
 def _label_column(label: str) -> F.Column:
@@ -381,13 +465,7 @@ def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> l
     """For each text: {language: (letters, confidence)} and its segments with their verdicts."""
     cut = [segments(t) if t else [] for t in texts]
     flat = [letters(s) for own in cut for s in own]
-    verdicts: list[tuple[str | None, float, float]] = []
-    start = size = 0
-    for i, t in enumerate(flat):
-        size += len(t) + ORDER + 1
-        if size > CHARS_AT_ONCE or i + 1 == len(flat):
-            verdicts += models.judge(flat[start : i + 1])
-            start, size = i + 1, 0
+    verdicts = models.judge_all(flat)
     given = iter(zip(flat, verdicts))
     out = []
     for own in cut:

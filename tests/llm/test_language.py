@@ -49,14 +49,26 @@ def _end(models, text):
     hashes = G.gram_hashes(codes, models.order)
     p, last, rows = np.full(len(models.languages), 1.0 / G.ALPHABET), len(codes) - 1, None
     for k in range(1, models.order + 1):
-        grams = models.grams[k - 1]
-        spot = lambda h: (i if (i := int(np.searchsorted(grams, h))) < len(grams) and grams[i] == h else len(grams))  # noqa: B023, E731
+        spot = lambda h: int(models.grams[k - 1].find(np.array([h]))[0])  # noqa: B023, E731
         back = models.first_back if k == 1 else models.back[k - 2][rows]
         p = models.direct[k - 1][spot(hashes[k - 1][last])] + back * p
         rows = spot(hashes[k - 1][last - 1])
     return -np.log(p)
 
 
+def test_sorted_hashes():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rnd.integers(0, 2**63, 500, dtype=np.uint64), np.arange(40, dtype=np.uint64)]))
+    table = G.SortedHashes(keys)
+    for i, k in enumerate(keys):
+        assert table.find(np.array([k]))[0] == i
+    other = np.setdiff1d(rnd.integers(0, 2**63, 1000, dtype=np.uint64), keys)
+    assert (table.find(other) == len(keys)).all() and (table.find(np.array([50, 2**64 - 2], np.uint64)) == len(keys)).all()
+    assert len(G.SortedHashes(keys[:0])) == 0 and G.SortedHashes(keys[:0]).find(other[:3]).tolist() == [0, 0, 0]
+
+
 def test_held_out_sentences(models):
     cases = {"en": "The whole queue failed this morning after the change", "de": "Die Änderung hat heute wieder nicht alles gezeigt", "fr": "Personne ne peut dire pourquoi la file est encore pleine", "ru": "Очередь снова заполнена после проверки"}
     for lang, text in cases.items():

@@ -18,10 +18,12 @@ are reported under each of their ids, repeated documents each. Extra columns are
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -33,13 +35,14 @@ from testloom.session import spread
 WORDS = 10
 CHUNK_CHARS = 2_000_000
 SHARED_SHARE = 0.1
+LINK, LENGTH = "link", "length"  # keys of a state that are no single characters
 
-_ESCAPE = regex.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtbfv]))")
-_PERCENT = regex.compile(r"(?:%[0-9a-fA-F]{2})+")
-_TAG = regex.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>|<!--.*?-->", regex.S)
-_LINK = regex.compile(r"\]\([^()\s]{0,2000}\)")
-_ROW = regex.compile(r"\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\|")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_ESCAPE = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtbfv]))")
+_PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
+_TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>|<!--.*?-->", re.S)
+_LINK = re.compile(r"\]\([^()\s]{0,2000}\)")
+_ROW = re.compile(r"\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\|")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _unescape(m) -> str:
@@ -80,15 +83,22 @@ def words_of(text: str) -> list[str]:
 class Stream:
     """The letters and digits of a text, and where words begin and end in them."""
 
-    __slots__ = ("chars", "starts", "ends")
+    __slots__ = ("chars", "words", "_starts", "_ends")
 
     def __init__(self, words: list[str]):
-        self.chars = "".join(words)
-        self.starts, self.ends, at = [], set(), 0
-        for w in words:
-            self.starts.append(at)
-            at += len(w)
-            self.ends.add(at)
+        self.chars, self.words, self._starts, self._ends = "".join(words), words, None, None
+
+    @property
+    def starts(self) -> list[int]:
+        if self._starts is None:
+            self._starts = [0, *accumulate(map(len, self.words))][: len(self.words)]
+        return self._starts
+
+    @property
+    def ends(self) -> set[int]:
+        if self._ends is None:
+            self._ends = set(accumulate(map(len, self.words)))
+        return self._ends
 
 
 class SuffixAutomaton:
@@ -98,6 +108,7 @@ class SuffixAutomaton:
         self.next: list[dict[str, int]] = [{}]
         self.link = [-1]
         self.length = [0]
+        self.root: dict | None = None
 
     def _state(self, length: int, moves: dict[str, int], link: int) -> int:
         self.next.append(moves)
@@ -107,7 +118,7 @@ class SuffixAutomaton:
 
     def add(self, text: str) -> None:
         """Insert a string from the initial state."""
-        last = 0
+        self.root, last = None, 0
         for c in text:
             last = self._extend(last, c)
 
@@ -135,21 +146,31 @@ class SuffixAutomaton:
             p = link[p]
         return clone
 
+    def linked(self) -> dict:
+        """The initial state, with states as dictionaries of each other: a step is one look-up. LINK and LENGTH are keys beside the characters."""
+        states: list[dict] = [{} for _ in self.link]
+        for state, moves, link, length in zip(states, self.next, self.link, self.length):
+            state.update((c, states[to]) for c, to in moves.items())
+            state[LINK], state[LENGTH] = states[max(link, 0)], length
+        return states[0]
+
     def regions(self, text: str, least: int) -> list[tuple[int, int]]:
         """Stretches [start, end) of text made of matches of ``least`` characters or more."""
-        nxt, link, length = self.next, self.link, self.length
+        if self.root is None:
+            self.root = self.linked()
+        root = state = self.root
         found: list[list[int]] = []
-        v = matched = 0
+        matched = 0
         for i, c in enumerate(text):
-            to = nxt[v].get(c)
+            to = state.get(c)
             if to is None:
-                while to is None and v:
-                    v = link[v]
-                    to = nxt[v].get(c)
-                matched = length[v]
+                while to is None and state is not root:
+                    state = state[LINK]
+                    to = state.get(c)
+                matched = state[LENGTH]
                 if to is None:
                     continue
-            v = to
+            state = to
             matched += 1
             if matched >= least:
                 start = i + 1 - matched
@@ -180,8 +201,9 @@ class Detector:
         if not self.lengths or len(stream.chars) < self.lengths[0]:
             return []
         out = []
-        chars, ends = stream.chars, stream.ends
+        chars = stream.chars
         for low, high in self.automaton.regions(chars, self.lengths[0]):
+            ends = stream.ends
             for a in stream.starts:
                 if a >= high:
                     break
@@ -287,7 +309,7 @@ def _walk(shared, name: str, words: int):
                     keys.append(key)
                     found.append(x)
                     covered.append(n)
-                    share.append(n / len(stream.starts))
+                    share.append(n / len(stream.words))
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found), pa.array(covered, pa.int32()), pa.array(share, pa.float64())] if keys else
                                              [pa.array([], batch.schema.field(0).type), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.float64())], ["_key", "_item", "words_covered", "share"])
 
@@ -349,7 +371,7 @@ def scrubbed(detector: Detector, text: str, most_share: float) -> tuple[str | No
     removed = _words_in(whole, [(a, b) for a, b, _ in hits])
     stream, begins, ends = mapped_stream(text)
     placed = detector.hits(stream)
-    if set().union(*(s for _, _, s in hits)) - set().union(*(s for _, _, s in placed), set()) or removed > most_share * len(whole.starts):
+    if set().union(*(s for _, _, s in hits)) - set().union(*(s for _, _, s in placed), set()) or removed > most_share * len(whole.words):
         return None, removed, True
     out, at = [], 0
     for a, b in _merged([(begins[a], ends[b - 1]) for a, b, _ in placed]):

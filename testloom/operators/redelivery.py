@@ -9,7 +9,8 @@ over all tasks; the winner of a key is found by a partial aggregate.
 Defined results: an identifier is the row's letters and digits, lower case; null, blank or purely punctuated ones identify
 nothing and every such row stays. A null source is a source of its own only for rows without identifier; a row without
 source is never merged. Rows are ordered by sequence, then by a hash of the whole row; rows equal in both are repeats of which
-one stays. Empty inputs give empty tables. Columns called like the operator's own (_key, _rank, _part, _kept) are refused.
+one stays. Empty inputs give empty tables. Columns called like the operator's own (_key, _rank and so on) are renamed inside and come
+out under their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,23 @@ KEY, RANK, KEPT = "_key", "_rank", "_kept"
 LAST = 2**63 - 1  # rows without a sequence number come after all others
 
 
+OWN = (KEY, RANK, KEPT, PART, "_best", "_won", "_dir")
+SHIELD = "_given"
+
+
+def shielded(name: str) -> str:
+    """The name a column has inside: another one if it is the operator's own, or looks like such another one."""
+    return f"{SHIELD}{name}" if name.lower() in OWN or name.lower().startswith(SHIELD) else name
+
+
+def shield(df: DataFrame) -> DataFrame:
+    return df.toDF(*map(shielded, df.columns))
+
+
+def unshield(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.removeprefix(SHIELD) for c in df.columns))
+
+
 def message_key(column: str | F.Column) -> F.Column:
     """Letters and digits of an identifier in lower case; null if there are none."""
     bare = F.regexp_replace(F.lower(F.col(column) if isinstance(column, str) else column), r"[^\p{L}\p{N}]", "")
@@ -49,9 +67,6 @@ def _row_hash(df: DataFrame, seq: str) -> F.Column:
 
 def with_keys(df: DataFrame, id_col: str, source_col: str, seq: str) -> DataFrame:
     """Adds the message key and the rank by which the winner is the least."""
-    taken = {KEY, RANK, PART, KEPT} & set(df.columns)
-    if taken:
-        raise ValueError(f"reserved column names in the input: {sorted(taken)}")
     keyed = F.when(F.col(source_col).isNotNull(), message_key(id_col))
     order = F.coalesce(F.col(seq).cast("bigint"), F.lit(LAST))
     return df.withColumns({KEY: keyed, RANK: F.struct(order.alias("seq"), _row_hash(df, seq).alias("tie"))})
@@ -64,7 +79,7 @@ def flag_winners(rows: DataFrame, source_col: str) -> DataFrame:
     # rows equal in rank are repeats of one row: the window runs on the join's own partitioning
     copy = F.row_number().over(W.partitionBy(*same).orderBy(RANK))
     won = F.col(KEY).isNull() | (F.col("_best").isNotNull() & (copy == 1))
-    return rows.join(best, same, "left").withColumn(KEPT, won).select(*rows.columns, KEPT)
+    return rows.join(best, same, "left").withColumn(KEPT, won).select(*(F.col(f"`{c}`") for c in rows.columns), KEPT)
 
 
 class MessageTable:
@@ -72,7 +87,7 @@ class MessageTable:
 
     def __init__(self, spark: SparkSession, root: str, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", part: F.Column | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        self.id_col, self.source_col, self.seq = id_col, source_col, seq
+        self.id_col, self.source_col, self.seq = shielded(id_col), shielded(source_col), shielded(seq)
         self.part = month_part() if part is None else part
         self.rows = PartitionStore(spark, f"{self.root}/rows")
         self.index = PartitionStore(spark, f"{self.root}/index")
@@ -93,7 +108,7 @@ class MessageTable:
     def merge(self, incoming: DataFrame) -> int:
         """Take a batch in; returns the new version. Rows that lost are kept beside the table, see ``surplus_rows``."""
         base, index_base = self.rows.version(), self.index.version()
-        fresh = with_keys(incoming, self.id_col, self.source_col, self.seq).withColumn(PART, self.part)
+        fresh = with_keys(shield(incoming), self.id_col, self.source_col, self.seq).withColumn(PART, self.part)
         touched = self.affected(fresh)
         old = self.rows.read(touched, base) if touched else None
         flagged = flag_winners(fresh if old is None else old.unionByName(fresh, allowMissingColumns=True), self.source_col)
@@ -115,7 +130,7 @@ class MessageTable:
     def winners(self) -> DataFrame | None:
         """The current rows, one per message, in the input's columns."""
         rows = self.rows.read()
-        return None if rows is None else rows.drop(KEY, RANK, PART)
+        return None if rows is None else unshield(rows.drop(KEY, RANK, PART))
 
     def surplus_rows(self, columns: Sequence[str]) -> DataFrame | None:
         """The rows that lost in any merge made through this object."""
@@ -123,7 +138,7 @@ class MessageTable:
         if not there:
             return None
         schema = self.rows.read().schema
-        return self.spark.read.schema(schema).parquet(*there).select(*columns)
+        return self.spark.read.schema(schema).parquet(*there).select(*(F.col(f"`{shielded(c)}`").alias(c) for c in columns))
 
 
 def in_epochs(df: DataFrame, batch: str, shares: Iterable[float]) -> list[DataFrame]:
@@ -154,5 +169,5 @@ def replay(df: DataFrame, *, batch: str = "batch_id", shares: Sequence[float] =
 
 def once(df: DataFrame, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq") -> DataFrame:
     """The rows that count, as a plain lazy plan for queries that read runs; same rule as the table's."""
-    keyed = with_keys(df, id_col, source_col, seq)
-    return flag_winners(keyed, source_col).where(KEPT).drop(KEY, RANK, KEPT)
+    keyed = with_keys(shield(df), shielded(id_col), shielded(source_col), shielded(seq))
+    return unshield(flag_winners(keyed, shielded(source_col)).where(KEPT).drop(KEY, RANK, KEPT))

@@ -103,10 +103,14 @@ def test_empty_nulls_and_ties(spark):
     assert table.winners().count() == 3
 
 
-def test_reserved_names_are_refused(spark):
-    df = spark.createDataFrame([(1, "x", "a", 1)], "ingest_seq bigint, id string, repo_id string, _key int")
-    with pytest.raises(ValueError):
-        once(df)
+def test_clashing_names_come_through(spark):
+    names = "_key int, _rank int, _part string, _kept string, _dir string, _given_key int, `a.b` int"
+    df = spark.createDataFrame([(1, "x", "a", at(1), 1, 2, "p", "k", "d", 3, 4), (2, "X", "a", at(2), 5, 6, "q", "l", "e", 7, 8)], f"ingest_seq bigint, id string, repo_id string, created_at timestamp, {names}")
+    assert [tuple(r) for r in once(df).collect()] == [tuple(df.first())] and once(df).columns == df.columns
+    table = MessageTable(spark, state_path(spark, "clash"))
+    table.merge(df)
+    assert table.winners().columns == df.columns and table.winners().first()["_given_key"] == 3
+    assert [tuple(r) for r in table.surplus_rows(["ingest_seq", "_key"]).collect()] == [(2, 5)]
 
 
 def test_commit_conflict_and_old_versions(spark):

@@ -37,11 +37,13 @@ ALPHABET = 20_000
 DEFAULT_DISCOUNT = 0.75
 #: Letters a sentence must have to prove a language, where letters stand for sounds and where they stand for words.
 LEAST_LETTERS, LEAST_SIGNS = 18, 6
+#: Characters scored in one set of arrays.
+PIECE_CHARS = 50_000
 #: Length, or share of the document's letters, from which a single segment shows one of several languages.
 LETTERS_ALONE, SIGNS_ALONE, SHARE_ALONE = 60, 20, 0.2
 SAMPLE_PER_LANGUAGE = 200
-#: A text without a segment that long may prove a language by one of this many letters, judged with this confidence.
-SHORTEST, SURE = 6, 0.8
+#: Confidence from which a segment counts; a text without a long and sure segment takes the language of its longest one of this many letters.
+SURE, SHORTEST = 0.8, 6
 ROWS_AT_ONCE, CHARS_AT_ONCE, SEEN_AT_MOST = 500, 120_000, 150_000
 
 # fixed values: names and codes of the languages, lower case, without region
@@ -64,21 +66,22 @@ _FENCE = re.compile(r"(```|~~~).*?\1", re.S)
 _TICKS = re.compile(r"`[^`\n]*`")
 _TAGS = re.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>")
 _ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_URL = re.compile(r"\w+://\S+")
-_MAIL = re.compile(r"[\w.+-]+@[\w-]+\.\w[\w.]*")
+# repeats before a required mark are bounded, so that long runs of one character cost no more than their length
+_URL = re.compile(r"\w{1,20}://\S+")
+_MAIL = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}\.\w[\w.]{0,64}")
 _JSON_KEY = re.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
 #: Log, diff and code phrases wherever they stand, since line breaks may be lost; each is tried only where its first text occurs.
 _FRAGMENTS = [(mark, re.compile(pattern)) for mark, pattern in (
-    (": expected ", r"\w+: expected \S+ to \w+ \S+"),
-    ("import {", r"[+-]?import \{[^{}]*\} from '[^']*'"),
+    (": expected ", r"\b\w{1,60}: expected \S+ to \w+ \S+"),
+    ("import {", r"[+-]?import \{[^{}]{0,500}\} from '[^']{0,300}'"),
     (" ms)", r"\b(?:PASS|FAIL|SKIP)\s+\S+\s+\(\d+ ms\)"),
     ("const ", r"\bconst\s+\S+\s*=\s*\S+"),
     ("let ", r"\blet\s+\S+\s*=\s*\S+"),
     ("var ", r"\bvar\s+\S+\s*=\s*\S+"),
     ("at ", r"\bat\s+\S+\s+\([^()\s]+:\d+(?::\d+)?\)"),
     ("diff --git ", r"diff --git \S+ \S+"),
-    ("@@ -", r"@@ -[^@]* @@"),
-    (");", r"[+ -]\s+[\w.$]+\([^()]*\);"),
+    ("@@ -", r"@@ -[^@]{0,60} @@"),
+    (");", r"[+ -]\s{1,40}[\w.$]{1,100}\([^()]{0,500}\);"),
     ("=", r"\[[A-Z]+\]\s+\w+=\S+(?:\s+\w+=\S+)*"),
     ('"classification"', r'"classification"\s*:\s*"[^"]*"'),
     ('"test_path"', r'"test_path"\s*:\s*"[^"]*"'),
@@ -88,8 +91,7 @@ LONGEST_LOG = 240
 _DIFF = re.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
 _LOG = re.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
 _PREFIX = re.compile(r"^[ \t>*/#|+-]+")
-_WRAPS = re.compile(r"[\w,'\"»)]\s*$")
-_PATHLIKE = re.compile(r"[\w.\-]+(?:[/\\][\w.\-]+)+(?<!\.)")
+_PATHLIKE = re.compile(r"[\w.\-]{1,100}(?:[/\\][\w.\-]+)+(?<!\.)")
 _CODED = re.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z]|::|->")
 _SENTENCE = re.compile(r"[.!?;…][\"'»”)]*\s+|[。！？]|\n+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -152,19 +154,20 @@ def _sentences(line: str) -> Iterator[str]:
 
 def _unwrapped(lines: list[str]) -> list[str]:
     """Lines that hold language, with those joined that only wrap a sentence: the first doesn't end one, the next begins in lower case."""
-    out: list[str] = []
+    out: list[list[str]] = []
     fresh = True
     for line in lines:
         if not line or line.isspace() or len(line) <= LONGEST_LOG and (_DIFF.match(line) or _LOG.match(line)):
             fresh = True
             continue
-        bare = _PREFIX.sub("", line)
-        if not fresh and _WRAPS.search(out[-1]) and bare[:1].islower():
-            out[-1] += " " + bare
+        bare = _PREFIX.sub("", line, count=1)
+        if not fresh and open_end and bare[:1].islower():
+            out[-1].append(bare)
         else:
-            out.append(line)
-        fresh = False
-    return out
+            out.append([line])
+        end = line.rstrip()[-1:]
+        fresh, open_end = False, end.isalnum() or end in ",'\"»)"
+    return [" ".join(parts) for parts in out]
 
 
 def segments(text: str) -> list[str]:
@@ -337,7 +340,16 @@ class LanguageModels:
         self.sharpness = 1.0
 
     def entropies(self, texts: Sequence[str]) -> np.ndarray:
-        """Cross-entropy in nats a character, [text, language]."""
+        """Cross-entropy in nats a character, [text, language]; a text longer than a piece is the mean of its pieces by length."""
+        if any(len(t) > PIECE_CHARS for t in texts):
+            return np.stack([self._long(t) for t in texts])
+        return self._entropies(texts)
+
+    def _long(self, text: str) -> np.ndarray:
+        pieces = [text[a : a + PIECE_CHARS] for a in range(0, max(len(text), 1), PIECE_CHARS)]
+        return np.average(np.concatenate([self._entropies([p]) for p in pieces]), axis=0, weights=[len(p) + 1 for p in pieces])
+
+    def _entropies(self, texts: Sequence[str]) -> np.ndarray:
         codes, predicted, owner = _coded(texts, self.order)
         hashes = gram_hashes(codes, self.order)
         places = np.flatnonzero(predicted)
@@ -474,12 +486,14 @@ def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> l
         for segment in own:
             bare, (lang, sure, _) = next(given)
             judged.append((segment, lang, sure))
-            if lang:
-                (found.setdefault(lang, []) if proves(bare) else short).append((len(bare), sure) if proves(bare) else (lang, len(bare), sure))
-        if not found:  # a text of short segments only: the longest sure one counts
-            best = max((x for x in short if x[2] >= SURE), key=lambda x: x[1], default=None)
-            if best and best[1] >= SHORTEST:
-                found[best[0]] = [best[1:]]
+            if lang and sure >= SURE and proves(bare):
+                found.setdefault(lang, []).append((len(bare), sure))
+            elif lang:
+                short.append((sure >= SURE, len(bare), lang, sure))
+        if not found and short:  # nothing long and sure: the longest sure segment counts, else the longest
+            _, size, lang, sure = max(short)
+            if size >= SHORTEST:
+                found[lang] = [(size, sure)]
         if len(found) > 1:  # a second language must show more than once, or at length
             total = sum(n for v in found.values() for n, _ in v)
             main = max(found, key=lambda k: (sum(n for n, _ in found[k]), k))

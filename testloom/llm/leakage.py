@@ -37,11 +37,12 @@ CHUNK_CHARS = 2_000_000
 SHARED_SHARE = 0.1
 LINK, LENGTH = "link", "length"  # keys of a state that are no single characters
 
-_ESCAPE = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtbfv]))")
+_ESCAPE = re.compile(r"\\{1,8}(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtbfv]))")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
-_TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"<[/!?]?[a-zA-Z][^<>]{0,2000}>", re.S)
+_COMMENT = re.compile(r"<!--.{0,2000}?-->", re.S)
 _LINK = re.compile(r"\]\([^()\s]{0,2000}\)")
-_ROW = re.compile(r"\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\|")
+_ROW = re.compile(r"\|[ \t]{0,40}(?:\r?\n[ \t]{0,40}\|)?[ \t]{0,40}\d{1,6}[ \t]{0,40}\|")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,7 +69,7 @@ def plain(text: str) -> str:
     if "%" in text:
         text = _PERCENT.sub(_unpercent, text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _COMMENT.sub(" ", text) if "-->" in text else text)
     if "](" in text:
         text = _LINK.sub(" ", text)
     if "|" in text:
@@ -330,7 +331,7 @@ def _words_in(stream: Stream, spans: list[tuple[int, int]]) -> int:
 
 
 _UNIT = regex.compile(
-    r"\\+(?:u\{?[0-9a-fA-F]{4,6}\}?|x[0-9a-fA-F]{2}|[nrtbfv])|&(?:amp;)*#?\w{1,31};|(?:%[0-9a-fA-F]{2})+|<[/!?]?[a-zA-Z][^<>]{0,2000}>|&lt;/?\w[^&<>]{0,200}&gt;|<!--.*?-->"
+    r"\\{1,8}(?:u\{?[0-9a-fA-F]{4,6}\}?|x[0-9a-fA-F]{2}|[nrtbfv])|&(?:amp;)*#?\w{1,31};|(?:%[0-9a-fA-F]{2})+|<[/!?]?[a-zA-Z][^<>]{0,2000}>|&lt;/?\w[^&<>]{0,200}&gt;|<!--.{0,500}?-->"
     r"|\]\([^()\s]{0,2000}\)|\|[ \t]*(?:\r?\n[ \t]*\|)?[ \t]*\d{1,6}[ \t]*\||.",
     regex.S,
 )

@@ -85,6 +85,22 @@ def test_segments_leave_code_out():
     assert G.segments("") == G.segments("  \n\t") == G.segments("```\nx = 1\n```") == []
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "/", "\\", "@", "a@", "a/", "_", "`", "<a", "\n", "a\n", "{", "日", "Ã©", "=", "a=", "😀", ". ", "```\n"])
+def test_long_runs_take_linear_time(models, unit):
+    import time
+
+    began = time.process_time()
+    found = G.document_languages(models, [unit * 60_000, "@ / \\ :// " + unit * 60_000 + " x@y.z / : expected "])
+    assert len(found) == 2 and time.process_time() - began < 12
+
+
+def test_long_text_is_judged_whole(models):
+    long = G.letters(" ".join(SAMPLES["de"]))
+    text = " ".join([long] * (3 * G.PIECE_CHARS // len(long)))
+    assert models.judge([text])[0][0] == "de"
+    assert abs(models.entropies([text])[0] - models._entropies([text])[0]).max() < 1e-3
+
+
 def test_mended_encodings():
     bad = "Тест снова упал".encode().decode("latin-1")
     assert G.segments(bad) == ["Тест снова упал"]

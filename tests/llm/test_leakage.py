@@ -26,6 +26,18 @@ def test_writings(text):
     assert found(detector(ITEM), text) == {0}
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "|", "| ", "\\", "&", "&amp;", "%2", "%41", "<a", "](", "](x", "<!--", "1|", "\\u0041"])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    began = time.process_time()
+    d = detector(ITEM)
+    text = unit * 60_000 + " " + ITEM + " " + unit * 60_000
+    d.hits(L.Stream(L.words_of(text)))
+    L.scrubbed(d, text, 0.5)
+    assert time.process_time() - began < 12
+
+
 def test_nine_words_are_not_enough():
     words = L.words_of(ITEM)
     d = detector(ITEM)

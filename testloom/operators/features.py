@@ -51,25 +51,35 @@ def training_features(runs: DataFrame) -> DataFrame:
     """repo_id, ingest_seq, test_path, label and the eight features of every (run, listed test).
 
     Failures count if the run lists the test. Days since failure look at failures up to the run's own time, its own included.
-    Churn counts the requests of the test's runs from 30 days before the run on, with no upper bound; counted as requests whose last
-    run isn't older than that, which needs one running total per test instead of a set per row.
+    Churn counts the requests of the test's runs from 30 days before the run on, with no upper bound, which are the requests whose last
+    run isn't older than that. Windows run within (test, day) and carry over from day tables, so that a test listed by every
+    run of a large repository is many tasks.
     """
-    listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", "created_at", items("actual_failures").alias("af"), F.explode(F.array_distinct(items("all_tests"))).alias("test_path"))
-    rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.array_contains("af", F.col("test_path")).cast("int")).drop("af")
-    test = W.partitionBy("repo_id", "test_path")
-    upto = test.orderBy(F.unix_micros("created_at"))
-    last = F.max(F.when(F.col("label") == 1, F.unix_micros("created_at"))).over(upto)
-    rows = rows.withColumns({"fails": F.sum("label").over(test), "n": F.count(F.lit(1)).over(test), "last": last})
-    # the last run of each request of a test carries 1, all its other runs 0: requests active since t are those ones after t
-    is_last = F.row_number().over(W.partitionBy("repo_id", "test_path", "pr_number").orderBy(F.col("created_at").desc(), F.col("ingest_seq").desc())) == 1
-    rows = rows.withColumn("_one", F.when(is_last & F.col("pr_number").isNotNull(), 1).otherwise(0))
-    since = upto.rangeBetween(-30 * DAY_US, W.unboundedFollowing)
-    rows = rows.withColumn("prs", F.sum("_one").over(since))
+    test, at = ["repo_id", "test_path"], F.unix_micros("created_at")
+    day_of = lambda t: F.floor(t / F.lit(DAY_US)).cast("int")
+    listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", at.alias("at"), items("actual_failures").alias("af"), F.explode(F.array_distinct(items("all_tests"))).alias("test_path"))
+    rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.array_contains("af", F.col("test_path")).cast("int")).drop("af").withColumn("day", day_of(F.col("at")))
+    failed_at = F.when(F.col("label") == 1, F.col("at"))
+    # totals and earlier failures come from a table of a row a test and day
+    days = rows.groupBy(*test, "day").agg(F.sum("label").alias("f"), F.count(F.lit(1)).alias("c"), F.max(failed_at).alias("l"))
+    whole = W.partitionBy(*test)
+    before = F.max("l").over(whole.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select(*test, "day", F.sum("f").over(whole).alias("fails"), F.sum("c").over(whole).alias("n"), before.alias("before"))
+    so_far = F.max(failed_at).over(W.partitionBy(*test, "day").orderBy("at"))
+    rows = rows.withColumn("own", so_far).join(days, [*test, "day"]).withColumn("last", F.greatest("own", "before"))
+    # the last run of each request is an event; a run's churn is the events from 30 days before it on
+    events = rows.where(F.col("pr_number").isNotNull()).groupBy(*test, "pr_number").agg(F.max("at").alias("at")).select(*test, "at", F.lit(None).cast("bigint").alias("ingest_seq"), F.lit(1).alias("event"))
+    marks = events.unionByName(rows.select(*test, (F.col("at") - F.lit(30 * DAY_US)).alias("at"), "ingest_seq", F.lit(0).alias("event"))).withColumn("day", day_of(F.col("at")))
+    ahead = marks.groupBy(*test, "day").agg(F.sum("event").alias("e"))
+    ahead = ahead.select(*test, "day", F.coalesce(F.sum("e").over(whole.orderBy("day").rowsBetween(1, W.unboundedFollowing)), F.lit(0)).alias("ahead"))
+    rest = F.sum("event").over(W.partitionBy(*test, "day").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing))
+    churn = marks.withColumn("rest", rest).where(F.col("event") == 0).join(ahead, [*test, "day"]).select(*test, "ingest_seq", (F.col("rest") + F.col("ahead")).alias("prs"))
+    rows = rows.join(churn, [*test, "ingest_seq"])
     rate = F.col("fails") / F.col("n")
     return rows.select(
         "repo_id", "ingest_seq", "test_path", "label",
         rate.alias(NAMES[0]), proxy_distance("test_path").alias(NAMES[1]), rate.alias(NAMES[2]),
-        F.coalesce(capped((F.unix_micros("created_at") - F.col("last")) / F.lit(DAY_US), 365.0) / 365, F.lit(1.0)).alias(NAMES[3]),
+        F.coalesce(capped((F.col("at") - F.col("last")) / F.lit(DAY_US), 365.0) / 365, F.lit(1.0)).alias(NAMES[3]),
         F.when((F.col("fails") > 0) & (F.col("fails") < F.col("n")), 1.0).otherwise(0.0).alias(NAMES[4]),
         F.lit(0.1).alias(NAMES[5]), capped(F.col("prs") / 30).alias(NAMES[6]), F.lit(0.0).alias(NAMES[7]),
     )

@@ -46,10 +46,10 @@ NEWEST = "row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS
 # -- run history ---------------------------------------------------------------------------------------------------
 
 
-@query("shadow_progress", f"""WITH {R} SELECT repo_id, count(*) AS run_count, round(avg(len(ps) / CAST(greatest(len(tt), 1) AS DOUBLE)), 9) AS avg_skip_pct,
+@query("shadow_progress", f"""WITH {R} SELECT repo_id, count(*) AS run_count, round(avg(len(ps) / CAST(greatest(len(tt), 1) AS DOUBLE)), 6) AS avg_skip_pct,
   least(count(*) / 50.0 * 100, 100.0) AS progress_pct FROM r GROUP BY 1""")
 def shadow_progress(spark, d):
-    return analytics.shadow_progress(counted_runs(spark, d, *ARRAYS)).withColumn("avg_skip_pct", F.round("avg_skip_pct", 9))
+    return analytics.shadow_progress(counted_runs(spark, d, *ARRAYS)).withColumn("avg_skip_pct", F.round("avg_skip_pct", 6))
 
 
 _SEEN = """e AS (SELECT repo_id, unnest(tt) AS test_path, 0 AS f FROM r UNION ALL SELECT repo_id, unnest(af), 1 FROM r),
@@ -114,10 +114,10 @@ def alert_transitions(spark, d):
     return analytics.alert_transitions(counted_runs(spark, d, *ARRAYS, "created_at"))
 
 
-@query("accuracy_report", f"""WITH {R} SELECT repo_id, round(coalesce(avg(CASE WHEN len(tt) > 0 THEN len(ps) / CAST(len(tt) AS DOUBLE) END), 0.0), 9) AS skip_rate,
+@query("accuracy_report", f"""WITH {R} SELECT repo_id, round(coalesce(avg(CASE WHEN len(tt) > 0 THEN len(ps) / CAST(len(tt) AS DOUBLE) END), 0.0), 6) AS skip_rate,
   {RECALL.format(f='sum(failures)', m='sum(missed)')} AS recall FROM m GROUP BY 1""")
 def accuracy_report(spark, d):
-    return analytics.accuracy_report(counted_runs(spark, d, *ARRAYS)).select("repo_id", F.round("skip_rate", 9).alias("skip_rate"), "recall")
+    return analytics.accuracy_report(counted_runs(spark, d, *ARRAYS)).select("repo_id", F.round("skip_rate", 6).alias("skip_rate"), "recall")
 
 
 @query("accuracy_floor", f"""WITH {R}, n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ingest_seq DESC) <= 20),
@@ -382,15 +382,15 @@ repo AS (SELECT repo_id, count(*) AS n, count(DISTINCT CASE WHEN created_at > li
 fx AS (SELECT repo_id, created_at, unnest(list_distinct(af)) AS test_path FROM r),
 fail AS (SELECT repo_id, test_path, count(*) AS fails, max(created_at) AS last FROM fx GROUP BY 1, 2),
 known AS (SELECT repo_id, path AS test_path, min(flake_score) AS flake, min(avg_duration_ms) AS ms FROM tests GROUP BY 1, 2)
-SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, CAST(0 AS DOUBLE) AS graph_distance, round(CASE WHEN n > 0 THEN coalesce(fails, 0) / CAST(n AS DOUBLE) ELSE 0.0 END, 9) AS failure_rate,
-  round(coalesce(least((epoch_us(lim.t) - epoch_us(last)) / 86400000000.0, 365.0) / 365, 1.0), 9) AS days_since_failure, coalesce(flake, 0.0) AS flakiness,
-  round(coalesce(least(ms / 60000, 1.0), 0.0), 9) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 9) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
+SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, CAST(0 AS DOUBLE) AS graph_distance, round(CASE WHEN n > 0 THEN coalesce(fails, 0) / CAST(n AS DOUBLE) ELSE 0.0 END, 6) AS failure_rate,
+  round(coalesce(least((epoch_us(lim.t) - epoch_us(last)) / 86400000000.0, 365.0) / 365, 1.0), 6) AS days_since_failure, coalesce(flake, 0.0) AS flakiness,
+  round(coalesce(least(ms / 60000, 1.0), 0.0), 6) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 6) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
 FROM cand c CROSS JOIN lim LEFT JOIN repo USING (repo_id) LEFT JOIN fail USING (repo_id, test_path) LEFT JOIN known USING (repo_id, test_path)""")
 def serving_features(spark, d):
     cand = _bands(spark, d).select("repo_id", "test_path", F.col("score").alias("similarity"), F.lit(0.0).alias("distance"))
     runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures")
     rows = features.serving_features(cand, runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
-    return rows.withColumns({c: F.round(c, 9) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
+    return rows.withColumns({c: F.round(c, 6) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
 
 
 @query("training_features", f"""WITH {R}, x AS (SELECT repo_id, ingest_seq, pr_number, created_at, af, unnest(list_distinct(tt)) AS test_path FROM r WHERE created_at IS NOT NULL),
@@ -400,20 +400,20 @@ z AS (SELECT *, sum(label) OVER t AS fails, count(*) OVER t AS n, max(CASE WHEN
   WINDOW t AS (PARTITION BY repo_id, test_path), u AS (PARTITION BY repo_id, test_path ORDER BY epoch_us(created_at) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 q AS (SELECT DISTINCT repo_id, test_path, pr_number, pr_last FROM z WHERE pr_number IS NOT NULL),
 a AS (SELECT z.repo_id, z.test_path, z.ingest_seq, count(q.pr_number) AS prs FROM z LEFT JOIN q ON q.repo_id = z.repo_id AND q.test_path = z.test_path AND q.pr_last >= epoch_us(z.created_at) - 2592000000000 GROUP BY 1, 2, 3)
-SELECT z.repo_id, z.ingest_seq, z.test_path, label, round(fails / CAST(n AS DOUBLE), 9) AS failure_rate, CAST('0x' || substr(md5(z.test_path), 1, 4) AS INTEGER) % 6 / 5.0 AS graph_distance,
-  round(coalesce(least((epoch_us(created_at) - last) / 86400000000.0, 365.0) / 365, 1.0), 9) AS days_since_failure, CAST(CASE WHEN fails > 0 AND fails < n THEN 1 ELSE 0 END AS DOUBLE) AS flakiness,
-  round(least(prs / 30.0, 1.0), 9) AS file_churn
+SELECT z.repo_id, z.ingest_seq, z.test_path, label, round(fails / CAST(n AS DOUBLE), 6) AS failure_rate, CAST('0x' || substr(md5(z.test_path), 1, 4) AS INTEGER) % 6 / 5.0 AS graph_distance,
+  round(coalesce(least((epoch_us(created_at) - last) / 86400000000.0, 365.0) / 365, 1.0), 6) AS days_since_failure, CAST(CASE WHEN fails > 0 AND fails < n THEN 1 ELSE 0 END AS DOUBLE) AS flakiness,
+  round(least(prs / 30.0, 1.0), 6) AS file_churn
 FROM z JOIN a ON a.repo_id = z.repo_id AND a.test_path = z.test_path AND a.ingest_seq = z.ingest_seq""")
 def training_features(spark, d):
     rows = features.training_features(counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests"))
-    return rows.select("repo_id", "ingest_seq", "test_path", "label", F.round("failure_rate", 9).alias("failure_rate"), "graph_distance", F.round("days_since_failure", 9).alias("days_since_failure"), "flakiness", F.round("file_churn", 9).alias("file_churn"))
+    return rows.select("repo_id", "ingest_seq", "test_path", "label", F.round("failure_rate", 6).alias("failure_rate"), "graph_distance", F.round("days_since_failure", 6).alias("days_since_failure"), "flakiness", F.round("file_churn", 6).alias("file_churn"))
 
 
 @query("label_distribution", f"""WITH {R}, x AS (SELECT af, unnest(list_distinct(tt)) AS t FROM r WHERE created_at IS NOT NULL)
-SELECT count(*) AS rows, CAST(sum(CAST(list_contains(af, t) AS INTEGER)) AS BIGINT) AS positives, round(avg(CAST(list_contains(af, t) AS INTEGER)), 9) AS positive_share FROM x WHERE t IS NOT NULL""")
+SELECT count(*) AS rows, CAST(sum(CAST(list_contains(af, t) AS INTEGER)) AS BIGINT) AS positives, round(avg(CAST(list_contains(af, t) AS INTEGER)), 6) AS positive_share FROM x WHERE t IS NOT NULL""")
 def label_distribution(spark, d):
     rows = features.training_features(counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests"))
-    return model.label_shares(rows).withColumn("positive_share", F.round("positive_share", 9))
+    return model.label_shares(rows).withColumn("positive_share", F.round("positive_share", 6))
 
 
 @query("ml_scores")

@@ -60,6 +60,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_state(spark: SparkSession) -> None:
+    """Delete everything the package wrote below the shared folder; results that still read from there can't be used after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/testloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _shipped.discard(spark.sparkContext.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, if its scan has fewer (a few small files before costly Python work)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -384,13 +384,13 @@ fail AS (SELECT repo_id, test_path, count(*) AS fails, max(created_at) AS last F
 known AS (SELECT repo_id, path AS test_path, min(flake_score) AS flake, min(avg_duration_ms) AS ms FROM tests GROUP BY 1, 2)
 SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, CAST(0 AS DOUBLE) AS graph_distance, round(CASE WHEN n > 0 THEN coalesce(fails, 0) / CAST(n AS DOUBLE) ELSE 0.0 END, 6) AS failure_rate,
   round(coalesce(least((epoch_us(lim.t) - epoch_us(last)) / 86400000000.0, 365.0) / 365, 1.0), 6) AS days_since_failure, coalesce(flake, 0.0) AS flakiness,
-  round(coalesce(least(ms / 60000, 1.0), 0.0), 6) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 6) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
+  round(coalesce(least(ms / 60000, 1.0), 0.0), 9) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 6) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
 FROM cand c CROSS JOIN lim LEFT JOIN repo USING (repo_id) LEFT JOIN fail USING (repo_id, test_path) LEFT JOIN known USING (repo_id, test_path)""")
 def serving_features(spark, d):
     cand = _bands(spark, d).select("repo_id", "test_path", F.col("score").alias("similarity"), F.lit(0.0).alias("distance"))
     runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures")
     rows = features.serving_features(cand, runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
-    return rows.withColumns({c: F.round(c, 6) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
+    return rows.withColumns({c: F.round(c, 9 if c == "exec_time" else 6) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
 
 
 @query("training_features", f"""WITH {R}, x AS (SELECT repo_id, ingest_seq, pr_number, created_at, af, unnest(list_distinct(tt)) AS test_path FROM r WHERE created_at IS NOT NULL),

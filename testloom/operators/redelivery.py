@@ -127,6 +127,27 @@ class MessageTable:
         self.surplus.append(f"{out}/_won=false")
         return self.rows.commit(f"{out}/_won=true", schema, parts, set(touched), base)
 
+    def compact(self, most: int = 8) -> int:
+        """Rewrite partitions made of more than ``most`` folders, and the index if it has that many; returns the rows' version.
+
+        The index then names for each message the partition of its winner and no other.
+        """
+        base = self.rows.version()
+        manifest = self.rows.manifest(base)
+        worn = [p for p, folders in manifest["parts"].items() if len(folders) > most]
+        if worn:
+            rows = self.rows.read(worn, base)
+            out = self.rows.fresh("compact")
+            rows.hint("rebalance", PART).withColumn("_dir", F.col(PART)).write.partitionBy("_dir").parquet(out)
+            base = self.rows.commit(out, rows.schema, self.rows.folders_below(out), set(worn), base)
+        index_base = self.index.version()
+        if any(len(folders) > most for folders in self.index.manifest(index_base)["parts"].values()):
+            entries = self.rows.read().where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"), PART)
+            out = self.index.fresh("compact")
+            entries.withColumn("_dir", F.lit("all")).write.partitionBy("_dir").parquet(out)
+            self.index.commit(out, entries.schema, ["all"], {"all"}, index_base)
+        return base
+
     def winners(self) -> DataFrame | None:
         """The current rows, one per message, in the input's columns."""
         rows = self.rows.read()

@@ -103,6 +103,19 @@ def test_empty_nulls_and_ties(spark):
     assert table.winners().count() == 3
 
 
+def test_compaction_and_vacuum(spark):
+    table = MessageTable(spark, state_path(spark, "compact"))
+    for i in range(4):
+        table.merge(spark.createDataFrame([(10 * i, i, f"new{i}", "a", at(1), None, None), (10 * i + 1, i, "same", "a", at(2), None, None)], SCHEMA))
+    want = sorted(r[0] for r in table.winners().select("ingest_seq").collect())
+    assert want == [0, 1, 10, 20, 30] and len(table.rows.manifest()["parts"]["202501"]) == 4
+    table.compact(most=3)
+    assert len(table.rows.manifest()["parts"]["202501"]) == 1 and len(table.index.manifest()["parts"]["all"]) == 1
+    assert table.rows.vacuum(keep=1) > 0 and table.index.vacuum(keep=1) > 0
+    table.merge(spark.createDataFrame([(50, 9, "NEW0", "a", at(3), None, None)], SCHEMA))
+    assert sorted(r[0] for r in table.winners().select("ingest_seq").collect()) == want
+
+
 def test_clashing_names_come_through(spark):
     names = "_key int, _rank int, _part string, _kept string, _dir string, _given_key int, `a.b` int"
     df = spark.createDataFrame([(1, "x", "a", at(1), 1, 2, "p", "k", "d", 3, 4), (2, "X", "a", at(2), 5, 6, "q", "l", "e", 7, 8)], f"ingest_seq bigint, id string, repo_id string, created_at timestamp, {names}")

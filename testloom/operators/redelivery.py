@@ -188,7 +188,17 @@ def replay(df: DataFrame, *, batch: str = "batch_id", shares: Sequence[float] =
     return table
 
 
-def once(df: DataFrame, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq") -> DataFrame:
-    """The rows that count, as a plain lazy plan for queries that read runs; same rule as the table's."""
-    keyed = with_keys(shield(df), shielded(id_col), shielded(source_col), shielded(seq))
-    return unshield(flag_winners(keyed, shielded(source_col)).where(KEPT).drop(KEY, RANK, KEPT))
+def once(df: DataFrame, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", unique_seq: bool = False) -> DataFrame:
+    """The rows that count, as a plain lazy plan for queries that read runs; same rule as the table's.
+
+    With ``unique_seq`` no two rows share a sequence number: the number alone ranks them, the scan for the winners reads three
+    columns, and their aggregate is a hash aggregate.
+    """
+    id_in, source, order = shielded(id_col), shielded(source_col), shielded(seq)
+    rows = shield(df)
+    if not unique_seq:
+        return unshield(flag_winners(with_keys(rows, id_in, source, order), source).where(KEPT).drop(KEY, RANK, KEPT))
+    keyed = rows.withColumn(KEY, F.when(F.col(source).isNotNull(), message_key(id_in)))
+    best = keyed.where(F.col(KEY).isNotNull()).groupBy(source, KEY).agg(F.min(order).alias(order)).withColumn("_best", F.lit(True))
+    kept = keyed.join(best, [source, KEY, order], "left").where(F.col(KEY).isNull() | F.col("_best").isNotNull())
+    return unshield(kept.select(*(F.col(f"`{c}`") for c in rows.columns)))

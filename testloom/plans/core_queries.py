@@ -51,7 +51,7 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counted_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Runs, each once."""
     need = list(dict.fromkeys(["ingest_seq", "id", "repo_id", *columns]))
-    return once(table(spark, sf_dir, "runs").select(*need))
+    return once(table(spark, sf_dir, "runs").select(*need), unique_seq=True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,9 @@ def test_surplus_and_kept_against_brute_force(spark):
     kept = table.winners()
     assert kept.columns == df.columns
     assert sorted(r[0] for r in kept.select("ingest_seq").collect()) == sorted({r[0] for r in data} - set(surplus))
-    assert sorted(r[0] for r in once(df).select("ingest_seq").collect()) == sorted({r[0] for r in data} - set(surplus))
+    for unique in (False, True):
+        counted = once(df, unique_seq=unique)
+        assert counted.columns == df.columns and sorted(r[0] for r in counted.select("ingest_seq").collect()) == sorted({r[0] for r in data} - set(surplus))
 
 
 def test_order_of_epochs_does_not_matter(spark):

@@ -30,7 +30,7 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "runs").select("ingest_seq", "id", "repo_id", "all_tests", "actual_failures")
     # arrays shrink to hashes before the rows are told apart, so that the shuffle carries no paths
     slim = runs.withColumns({c: cooccurrence.hashed(c) for c in ("all_tests", "actual_failures")})
-    counted = once(slim).select(F.col("repo_id").alias("grp"), F.col("ingest_seq").alias("rec"), F.col("all_tests").alias("at"), F.array_intersect("all_tests", "actual_failures").alias("af"))
+    counted = once(slim, unique_seq=True).select(F.col("repo_id").alias("grp"), F.col("ingest_seq").alias("rec"), F.col("all_tests").alias("at"), F.array_intersect("all_tests", "actual_failures").alias("af"))
     names = cooccurrence.names_of(runs, group="repo_id", marked="actual_failures")
     found = cooccurrence.pair_surprise(counted.where(F.col("grp").isNotNull()), names, least=LEAST_TOGETHER)
     return found.withColumnsRenamed({"grp": "repo_id", "item_a": "test_a", "item_b": "test_b"})

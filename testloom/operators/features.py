@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from testloom.functions.expr import items
+from testloom.session import materialize
 
 NAMES = ("embedding_similarity", "graph_distance", "failure_rate", "days_since_failure", "flakiness", "exec_time", "file_churn", "author_defect_rate")
 DAY_US = 86_400_000_000
@@ -59,6 +60,7 @@ def training_features(runs: DataFrame) -> DataFrame:
     day_of = lambda t: F.floor(t / F.lit(DAY_US)).cast("int")
     listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", at.alias("at"), items("actual_failures").alias("af"), F.explode(F.array_distinct(items("all_tests"))).alias("test_path"))
     rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.array_contains("af", F.col("test_path")).cast("int")).drop("af").withColumn("day", day_of(F.col("at")))
+    rows = listed_rows = materialize(rows, "listed")
     failed_at = F.when(F.col("label") == 1, F.col("at"))
     # totals and earlier failures come from a table of a row a test and day
     days = rows.groupBy(*test, "day").agg(F.sum("label").alias("f"), F.count(F.lit(1)).alias("c"), F.max(failed_at).alias("l"))
@@ -68,13 +70,16 @@ def training_features(runs: DataFrame) -> DataFrame:
     so_far = F.max(failed_at).over(W.partitionBy(*test, "day").orderBy("at"))
     rows = rows.withColumn("own", so_far).join(days, [*test, "day"]).withColumn("last", F.greatest("own", "before"))
     # the last run of each request is an event; a run's churn is the events from 30 days before it on
-    events = rows.where(F.col("pr_number").isNotNull()).groupBy(*test, "pr_number").agg(F.max("at").alias("at")).select(*test, "at", F.lit(None).cast("bigint").alias("ingest_seq"), F.lit(1).alias("event"))
-    marks = events.unionByName(rows.select(*test, (F.col("at") - F.lit(30 * DAY_US)).alias("at"), "ingest_seq", F.lit(0).alias("event"))).withColumn("day", day_of(F.col("at")))
-    ahead = marks.groupBy(*test, "day").agg(F.sum("event").alias("e"))
+    events = listed_rows.where(F.col("pr_number").isNotNull()).groupBy(*test, "pr_number").agg(F.max("at").alias("at")).select(*test, "at", F.lit(1).alias("event"))
+    back = F.lit(30 * DAY_US)
+    shifted = rows.withColumns({"at": F.col("at") - back, "day": day_of(F.col("at") - back), "event": F.lit(0)})
+    marks = shifted.unionByName(events.withColumn("day", day_of(F.col("at"))), allowMissingColumns=True)
+    stops = listed_rows.select(*test, day_of(F.col("at") - back).alias("day"), F.lit(0).alias("event")).unionByName(events.select(*test, day_of(F.col("at")).alias("day"), "event"))
+    ahead = stops.groupBy(*test, "day").agg(F.sum("event").alias("e"))
     ahead = ahead.select(*test, "day", F.coalesce(F.sum("e").over(whole.orderBy("day").rowsBetween(1, W.unboundedFollowing)), F.lit(0)).alias("ahead"))
     rest = F.sum("event").over(W.partitionBy(*test, "day").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing))
-    churn = marks.withColumn("rest", rest).where(F.col("event") == 0).join(ahead, [*test, "day"]).select(*test, "ingest_seq", (F.col("rest") + F.col("ahead")).alias("prs"))
-    rows = rows.join(churn, [*test, "ingest_seq"])
+    rows = marks.withColumn("rest", rest).where(F.col("event") == 0).join(ahead, [*test, "day"])
+    rows = rows.withColumns({"prs": F.col("rest") + F.col("ahead"), "at": F.col("at") + back})
     rate = F.col("fails") / F.col("n")
     return rows.select(
         "repo_id", "ingest_seq", "test_path", "label",

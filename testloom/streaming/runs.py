@@ -24,20 +24,19 @@ def read_runs(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).json(folder)
 
 
-def ingest_stream(runs: DataFrame, table: str, checkpoint: str, *, late: str = "7 days") -> StreamingQuery:
+def ingest_stream(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Run records into a message table, each once, invalid ones beside it.
 
-    Repeats close in time are dropped in the stream by state that the watermark bounds; later ones by the table's identifier index
-    in each micro-batch. The table commits a batch by one manifest, so a batch that is run again after a failure changes nothing.
+    Every micro-batch goes whole to the quarantine and the table, however late its rows are: the table's identifier index finds
+    repeats at any distance and keeps the least sequence number. The table commits a batch by one manifest.
     """
-    near = runs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["repo_id", "id"])
 
     def take(batch: DataFrame, number: int) -> None:
         good, bad = quarantine(batch)
         bad.write.mode("overwrite").parquet(f"{table}/invalid/batch={number}")
         MessageTable(batch.sparkSession, f"{table}/messages").merge(good)
 
-    return near.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return runs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def alert_stream(runs: DataFrame, *, low: float = 0.95, high: float = 0.98, window: int = 20) -> DataFrame:

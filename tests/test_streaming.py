@@ -27,6 +27,19 @@ def test_ingest_once_across_batches(spark, tmp_path):
     assert spark.read.parquet(f"{table}/invalid/batch=0").count() == 1
 
 
+def test_ingest_keeps_late_rows_and_every_blank_id(spark, tmp_path):
+    src, table, mark = tmp_path / "in", f"file://{tmp_path}/table", f"file://{tmp_path}/mark"
+    put(src, "1.json", [record(1, 0), record(2, 40), record(9, 40, id="x"), record(5, 40, id="x"), record(6, 40, id=None), record(7, 40, id=None), record(8, 40, id="")])
+    S.ingest_stream(S.read_runs(spark, str(src)), table, mark).awaitTermination()
+    put(src, "2.json", [record(10, 1), record(11, 1, mode="odd")])  # weeks behind the newest row
+    S.ingest_stream(S.read_runs(spark, str(src)), table, mark).awaitTermination()
+    put(src, "3.json", [record(12, 2, id="ID 10"), record(13, 41)])
+    S.ingest_stream(S.read_runs(spark, str(src)), table, mark).awaitTermination()
+    kept = MessageTable(spark, f"{table}/messages").winners().select("ingest_seq").collect()
+    assert sorted(r[0] for r in kept) == [1, 2, 5, 10, 13]
+    assert sorted(r[0] for r in spark.read.parquet(f"{table}/invalid").select("ingest_seq").collect()) == [6, 7, 8, 11]
+
+
 def test_alert_events(spark, tmp_path):
     src = tmp_path / "alerts"
     miss = {"actual_failures": ["a"], "predicted_skip": ["a"]}

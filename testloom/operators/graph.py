@@ -18,11 +18,22 @@ from testloom.operators.hierarchy import links_of, plain_path
 from testloom.session import materialize
 
 
+def file_links(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
+    """key, src, dst: a distinct row for each link in plain form (src imports dst), and one with a null dst for a file whose list is empty or null."""
+    norm = lambda c: F.array_join(F.filter(F.split(F.regexp_replace(c, r"\\", "/"), "/"), lambda s: ~s.isin("", ".")), "/")
+    pairs = graphs.select(key, F.explode(graph).alias("src", "d")).select(key, norm(F.col("src")).alias("src"), F.explode_outer("d").alias("dst"))
+    return pairs.select(key, "src", F.nullif(norm(F.col("dst")), F.lit("")).alias("dst")).where(F.col("src") != "").distinct()
+
+
 def links(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
     """key, src, dst: distinct links in plain form; src imports dst."""
-    norm = lambda c: F.array_join(F.filter(F.split(F.regexp_replace(c, r"\\", "/"), "/"), lambda s: ~s.isin("", ".")), "/")
-    pairs = graphs.select(key, F.explode(graph).alias("src", "d")).select(key, norm(F.col("src")).alias("src"), F.explode("d").alias("dst"))
-    return pairs.select(key, "src", norm(F.col("dst")).alias("dst")).where((F.col("src") != "") & (F.col("dst") != "")).distinct()
+    return file_links(graphs, graph=graph, key=key).where(F.col("dst").isNotNull())
+
+
+def files(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
+    """key, path: every file of each graph once, also those that neither import nor are imported."""
+    rows = file_links(graphs, graph=graph, key=key)
+    return rows.select(key, F.explode(F.array("src", "dst")).alias("path")).where(F.col("path").isNotNull()).distinct()
 
 
 def dependents(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -71,7 +82,7 @@ def blocking_tests(graphs: DataFrame, *, graph: str = "dependency_graph", key: s
 
 
 def key_distance(edges: DataFrame, key: str = "result_id") -> DataFrame:
-    """key, path, distance: 0.2 for files that are imported but import nothing themselves, 0 for the others."""
+    """key, path, distance: 0 for the graph's keys, 0.2 for files that are only imported. edges as ``file_links`` gives them (a null dst is no file)."""
     keys = edges.select(key, F.col("src").alias("path"), F.lit(1).alias("k"))
-    targets = edges.select(key, F.col("dst").alias("path"), F.lit(0).alias("k"))
+    targets = edges.where(F.col("dst").isNotNull()).select(key, F.col("dst").alias("path"), F.lit(0).alias("k"))
     return keys.unionByName(targets).groupBy(key, "path").agg(F.when(F.max("k") == 1, 0.0).otherwise(0.2).alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.operators.graph import links
+from testloom.operators.graph import file_links
 from testloom.operators.hierarchy import cyclic_files, graph_hierarchy
 from testloom.operators.links import link_hierarchy
 from testloom.operators.redelivery import once, replay
@@ -44,7 +44,7 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from links in rows of their own."""
-    found = link_hierarchy(links(table(spark, sf_dir, "layer1_results")), key="result_id", parent="src", child="dst")
+    found = link_hierarchy(file_links(table(spark, sf_dir, "layer1_results")), key="result_id", parent="src", child="dst")
     return found.select("result_id", "file_path", "subtree_size", "in_cycle")
 
 

@@ -221,7 +221,7 @@ def blocking_candidates(spark, d):
 @query("graph_distance", f"""WITH {_LINKS}, k AS (SELECT result_id, src AS path, 1 AS k FROM links UNION ALL SELECT result_id, dst, 0 FROM links)
 SELECT result_id, path, CAST(CASE WHEN max(k) = 1 THEN 0.0 ELSE 0.2 END AS DOUBLE) AS distance FROM k GROUP BY 1, 2""")
 def graph_distance(spark, d):
-    return graph.key_distance(graph.links(table(spark, d, "layer1_results")))
+    return graph.key_distance(graph.file_links(table(spark, d, "layer1_results")))
 
 
 @query("customer_reach", """WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority LIKE '1%'),
@@ -235,17 +235,17 @@ def customer_reach(spark, d):
 
 @query("is_test_file", f"WITH {_LINKS}, f AS (SELECT src AS path FROM links UNION SELECT dst FROM links) SELECT path, {_IS_TEST.format(p='path')} AS is_test FROM f")
 def test_files(spark, d):
-    rows = graph.links(table(spark, d, "layer1_results"))
-    files = rows.select(F.col("src").alias("path")).union(rows.select("dst")).distinct()
+    files = graph.files(table(spark, d, "layer1_results")).select("path").distinct()
     return files.select("path", is_test_file("path").alias("is_test"))
 
 
 @query("run_full_suite", f"""WITH {_LINKS}, f AS (SELECT result_id, src AS path FROM links UNION SELECT result_id, dst FROM links)
 SELECT result_id, bool_or(regexp_matches(path, '^(.*/)?[^/]*\\.types\\.ts$') OR regexp_matches(path, '^(.*/)?[^/]*Core\\.[^/]*$')) AS full_suite FROM f GROUP BY 1""")
 def run_full_suite(spark, d):
-    rows = graph.links(table(spark, d, "layer1_results"))
-    files = rows.select("result_id", F.col("src").alias("path")).union(rows.select("result_id", "dst")).distinct()
-    return files.groupBy("result_id").agg(F.bool_or(matches_any("path", FULL_SUITE_GLOBS)).alias("full_suite"))
+    """One row a graph; a graph without files matches nothing."""
+    graphs = table(spark, d, "layer1_results")
+    found = graph.files(graphs).groupBy("result_id").agg(F.bool_or(matches_any("path", FULL_SUITE_GLOBS)).alias("full_suite"))
+    return graphs.select("result_id").distinct().join(found, "result_id", "left").select("result_id", F.coalesce("full_suite", F.lit(False)).alias("full_suite"))
 
 
 # -- vectors -------------------------------------------------------------------------------------------------------

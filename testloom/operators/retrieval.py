@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from testloom.functions.expr import band, cosine, hamming, sign_bits
@@ -11,29 +12,36 @@ from testloom.functions.expr import band, cosine, hamming, sign_bits
 TIER_ABOVE, SHORTLIST = 200, 50
 
 
-def against_query(vectors: DataFrame, query: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vectors with the single query vector beside each (a query of one row; its size is what one vector is)."""
-    one = query.select(F.col(vector).alias("query")).limit(1)
-    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).join(F.broadcast(one))
+def against_queries(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, query, key, vector: every vector beside each query. No side is held to a size: Catalyst broadcasts a small one, else pairs blocks of both."""
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"))
+    return vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).crossJoin(asked)
 
 
-def cosine_bands(vectors: DataFrame, query: DataFrame, **names: str) -> DataFrame:
-    """key, score, band for every vector."""
-    return against_query(vectors, query, **names).select("key", cosine("vector", "query").alias("score")).withColumn("band", band("score"))
+def _scored(pairs: DataFrame) -> DataFrame:
+    return pairs.select("query_id", "key", cosine("vector", "query").alias("score")).withColumn("band", band("score"))
 
 
-def hamming_nearest(vectors: DataFrame, query: DataFrame, n: int = SHORTLIST, **names: str) -> DataFrame:
-    """key, distance of the n vectors whose sign bits are nearest the query's; ties by key."""
-    rows = against_query(vectors, query, **names).select("key", hamming(sign_bits("vector"), sign_bits("query")).alias("distance"))
-    return rows.orderBy("distance", "key").limit(n)
+def cosine_bands(vectors: DataFrame, queries: DataFrame, **names: str) -> DataFrame:
+    """query_id, key, score, band for every query and vector."""
+    return _scored(against_queries(vectors, queries, **names))
 
 
-def tiered(vectors: DataFrame, query: DataFrame, *, above: int = TIER_ABOVE, n: int = SHORTLIST, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key, score, band: all vectors if there are few, else the exact cosine of those the bit screen keeps."""
+def hamming_nearest(vectors: DataFrame, queries: DataFrame, n: int = SHORTLIST, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance of the n vectors whose sign bits are nearest each query's; ties by key. A task sends at most n rows a query."""
+    bits = lambda df: df.select(key, sign_bits(vector).alias(vector))
+    rows = against_queries(bits(vectors), bits(queries), key=key, vector=vector).select("query_id", "key", hamming("vector", "query").alias("distance"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "key"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def tiered(vectors: DataFrame, queries: DataFrame, *, above: int = TIER_ABOVE, n: int = SHORTLIST, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score, band: all vectors if there are few, else for each query the exact cosine of those its bit screen keeps."""
     if vectors.limit(above + 1).count() <= above:
-        return cosine_bands(vectors, query, key=key, vector=vector)
-    short = hamming_nearest(vectors, query, n, key=key, vector=vector).select(F.col("key").alias(key))
-    return cosine_bands(vectors.join(F.broadcast(short), key, "left_semi"), query, key=key, vector=vector)
+        return cosine_bands(vectors, queries, key=key, vector=vector)
+    short = hamming_nearest(vectors, queries, n, key=key, vector=vector).select("query_id", "key")
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"))
+    return _scored(short.join(vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")), "key").join(asked, "query_id"))
 
 
 def content_key(content: str, dim: int) -> F.Column:

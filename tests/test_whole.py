@@ -30,3 +30,18 @@ def test_files_without_links(spark, run):
     assert run("is_test_file", layer1_results=g) == sorted((p, p == "lone.test.ts") for _, p, _, _ in sizes)
     assert run("run_full_suite", layer1_results=g) == [(1, False), (2, True), (3, False), (4, False)]
     assert run("import_links", layer1_results=g) == [(1, "a.ts", "b.ts")]
+
+
+def test_every_query_vector(spark, run):
+    data = [(i, [float((i * k) % 11 - 5) for k in range(1, 17)]) for i in range(301)]
+    v = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    queries = [0, 100, 200, 300]
+    bits = {i: [x > 0 for x in e] for i, e in data}
+    near = {q: sorted((sum(a != b for a, b in zip(bits[q], bits[i])), i) for i in bits)[:50] for q in queries}
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
+    want = {(q, i): cos(data[q][1], data[i][1]) for q in queries for i in bits}
+    found = {(q, i): s for q, i, s, _ in run("cosine_bands", embeddings=v)}
+    assert found == pytest.approx(want, abs=1e-6) and len(found) == 4 * 301
+    assert sorted(run("hamming_topk", embeddings=v)) == sorted((q, i, n) for q in queries for n, i in near[q])
+    found = {(q, i): s for q, i, s, _ in run("tiered_retrieval", embeddings=v)}
+    assert found == pytest.approx({(q, i): want[q, i] for q in queries for _, i in near[q]}, abs=1e-6)

@@ -45,3 +45,10 @@ def test_every_query_vector(spark, run):
     assert sorted(run("hamming_topk", embeddings=v)) == sorted((q, i, n) for q in queries for n, i in near[q])
     found = {(q, i): s for q, i, s, _ in run("tiered_retrieval", embeddings=v)}
     assert found == pytest.approx({(q, i): want[q, i] for q in queries for _, i in near[q]}, abs=1e-6)
+
+
+def test_reach_takes_all_orders(spark, run):
+    customers = spark.createDataFrame([(i,) for i in range(1, 201)], "c_custkey bigint")
+    orders = [(1, (7 - 1 * 7) % 200, "5-LOW"), (2, (1 - 2 * 7) % 200, "1-URGENT"), (3, (2 - 3 * 7) % 200, "3-MEDIUM"), (9, (8 - 9 * 7) % 200, "1-URGENT")]
+    o = spark.createDataFrame(orders, "o_custkey bigint, o_orderkey bigint, o_orderpriority string")
+    assert sorted(r[0] for r in run("customer_reach", customer=customers, orders=o)) == [1, 2, 3, 7, 77, 100]

@@ -52,3 +52,12 @@ def test_reach_takes_all_orders(spark, run):
     orders = [(1, (7 - 1 * 7) % 200, "5-LOW"), (2, (1 - 2 * 7) % 200, "1-URGENT"), (3, (2 - 3 * 7) % 200, "3-MEDIUM"), (9, (8 - 9 * 7) % 200, "1-URGENT")]
     o = spark.createDataFrame(orders, "o_custkey bigint, o_orderkey bigint, o_orderpriority string")
     assert sorted(r[0] for r in run("customer_reach", customer=customers, orders=o)) == [1, 2, 3, 7, 77, 100]
+
+
+def test_copies_are_looked_up(spark, run):
+    texts = [f"text {i}" for i in range(30)]
+    docs = spark.createDataFrame([(i * 30 + j, t) for i in range(3) for j, t in enumerate(texts)] + [(90, None)], "doc_id bigint, text string")
+    found = run("embedding_cache", documents=docs)
+    assert sorted(r[0] for r in found) == list(range(90))
+    states = {key: hit for _, hit, key in found}
+    assert len(states) == 30 and {hit for hit in states.values()} == {True, False} and all(states[key] is hit for _, hit, key in found)

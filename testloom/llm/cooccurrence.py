@@ -75,15 +75,17 @@ def fit_null(cells: np.ndarray, item_marks: np.ndarray, class_marks: np.ndarray,
 
 
 def upper_tail(counts, probabilities, at_least: int, beyond: int = 400) -> float:
-    """P(X >= at_least) for a sum of binomials: point masses up to ``beyond`` terms further, convolved."""
-    top = int(min(at_least + beyond, sum(counts)))
+    """P(X >= at_least) for a sum of binomials: point masses up to ``beyond`` terms and 40 deviations further, convolved.
+
+    Above the mean what lies 40 deviations and 400 terms further is under e**-600 by Bernstein's bound; below it the lower masses are used.
+    """
+    deviation = float(np.sqrt(sum(n * p * (1 - p) for n, p in zip(counts, probabilities))))
+    top = int(min(at_least + beyond + np.ceil(40 * deviation), sum(counts)))
     if at_least <= 0:
         return 1.0
     if top < at_least:
         return 0.0
-    mass = np.zeros(top + 1)
-    mass[0] = 1.0
-    k = np.arange(top + 1)
+    mass = np.ones(1)
     for n, p in zip(counts, probabilities):
         n = int(n)
         if n == 0 or p <= 0:
@@ -94,6 +96,7 @@ def upper_tail(counts, probabilities, at_least: int, beyond: int = 400) -> float
         logs = np.concatenate([[n * np.log1p(-p)], n * np.log1p(-p) + np.cumsum(np.log((n - steps + 1) / steps) + np.log(p) - np.log1p(-p))])
         own = np.exp(logs)
         mass = np.convolve(mass, own)[: top + 1]
+    k = np.arange(len(mass))
     mean = float(np.dot(counts, probabilities))
     if mean >= at_least:
         return float(max(0.0, 1.0 - mass[k < at_least].sum()))

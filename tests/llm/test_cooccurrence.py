@@ -98,3 +98,10 @@ def test_q_values_against_brute_force(spark):
 def test_empty(spark):
     assert run(spark, [], 2) == []
     assert run(spark, [("g", 1, None, ["a"]), ("g", 2, ["a"], None), (None, 3, ["a", "b"], ["a", "b"])], 1) == []
+
+
+def test_tail_of_large_counts():
+    n, p, at_least = 400_000, 0.25, 100_274  # a deviation above the mean; 400 further terms hold 0.96 of it
+    k = range(at_least, at_least + 4000)
+    want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in k)
+    assert C.upper_tail([n], [p], at_least) == pytest.approx(want, rel=1e-6)

@@ -298,6 +298,14 @@ def _bands(spark, d) -> DataFrame:
     return best.withColumn("band", F.when(F.col("score") > 0.85, "high").when((F.col("score") >= 0.3) & (F.col("score") <= 0.7), "medium").otherwise("low"))
 
 
+def _candidates(spark, d) -> DataFrame:
+    """Scored tests with their least distance in any graph of their repository; none where no graph has the file."""
+    graphs = table(spark, d, "layer1_results")
+    near = graph.key_distance(graph.file_links(graphs)).join(graphs.select("result_id", "repo_id"), "result_id")
+    near = near.groupBy("repo_id", F.col("path").alias("test_path")).agg(F.min("distance").alias("distance"))
+    return _bands(spark, d).select("repo_id", "test_path", F.col("score").alias("similarity")).join(near, ["repo_id", "test_path"], "left")
+
+
 def _tests(spark, d) -> DataFrame:
     return table(spark, d, "tests").select("repo_id", F.col("path").alias("test_path"), "flake_score")
 
@@ -386,9 +394,8 @@ SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, CAST(0 AS D
   round(coalesce(least(ms / 60000, 1.0), 0.0), 9) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 6) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
 FROM cand c CROSS JOIN lim LEFT JOIN repo USING (repo_id) LEFT JOIN fail USING (repo_id, test_path) LEFT JOIN known USING (repo_id, test_path)""")
 def serving_features(spark, d):
-    cand = _bands(spark, d).select("repo_id", "test_path", F.col("score").alias("similarity"), F.lit(0.0).alias("distance"))
     runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures")
-    rows = features.serving_features(cand, runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
+    rows = features.serving_features(_candidates(spark, d), runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
     return rows.withColumns({c: F.round(c, 9 if c == "exec_time" else 6) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
 
 
@@ -417,11 +424,10 @@ def label_distribution(spark, d):
 
 @query("ml_scores")
 def ml_scores(spark, d):
-    """A small booster fitted on the training features, applied to the serving ones and ranked."""
+    """A booster fitted on the training features, applied to the serving ones and ranked."""
     runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests")
-    fitted = model.fit(features.training_features(runs), trees=5)
-    cand = _bands(spark, d).select("repo_id", "test_path", F.col("score").alias("similarity"), F.lit(0.0).alias("distance"))
-    serving = features.serving_features(cand, runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
+    fitted = model.fit(features.training_features(runs))
+    serving = features.serving_features(_candidates(spark, d), runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
     return model.ranked(model.scored(fitted, serving), analytics.activity_gates(runs))
 
 

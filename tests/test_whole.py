@@ -1,7 +1,10 @@
 """Queries over small tables of their own: every row that belongs to the job comes out."""
 
+import datetime as dt
+
 import pytest
 
+from testloom.operators import model
 from testloom.plans import core_queries, reference_queries
 from testloom.session import ship
 
@@ -61,3 +64,27 @@ def test_copies_are_looked_up(spark, run):
     assert sorted(r[0] for r in found) == list(range(90))
     states = {key: hit for _, hit, key in found}
     assert len(states) == 30 and {hit for hit in states.values()} == {True, False} and all(states[key] is hit for _, hit, key in found)
+
+
+def test_scores_by_a_whole_booster_and_graph_distance(spark, run, monkeypatch):
+    at = lambda d: dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(days=d)
+    data = [(i, f"id-{i}", "r", i % 7, at(i % 50), ["a"] if i % 3 == 0 else [], ["a", "b"]) for i in range(20)]
+    runs = spark.createDataFrame(data, "ingest_seq bigint, id string, repo_id string, pr_number bigint, created_at timestamp, actual_failures array<string>, all_tests array<string>")
+    tests = spark.createDataFrame([("r", "a", 0.2, 30000.0)], "repo_id string, path string, flake_score double, avg_duration_ms double")
+    flaky = spark.createDataFrame([("r", t, 0.5) for t in "abcde"] + [("s", "b", 0.5)], "repo_id string, test_path string, flake_score double")
+    data = [(1, "r", {"a": ["b"], "c": [], "d": ["c", "e"]}), (2, "r", {"e": []}), (3, "s", {"b": ["a"]})]
+    graphs = spark.createDataFrame(data, "result_id bigint, repo_id string, dependency_graph map<string,array<string>>")
+    given = {"runs": runs, "tests": tests, "flaky_rows": flaky, "layer1_results": graphs}
+    # repo_id, test_path, similarity, distance, ...
+    assert [(r[0], r[1], r[3]) for r in run("serving_features", **given)] == [("r", "a", 0.0), ("r", "b", 0.2), ("r", "c", 0.0), ("r", "d", 0.0), ("r", "e", 0.0), ("s", "b", 0.0)]
+    fitted, real = [], model.scored
+    distances = []
+
+    def seen(m, features):
+        fitted.append(m)
+        distances.extend(sorted(r[0] for r in features.select("graph_distance").collect()))
+        return real(m, features)
+
+    monkeypatch.setattr(model, "scored", seen)
+    assert len(run("ml_scores", **given)) == 6
+    assert fitted[0].stages[-1].getNumTrees == 100 and distances == [0.0] * 5 + [0.2]

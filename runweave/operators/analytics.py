@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import items, missed, share_or_one, size0, skip_share, sunday_week
+from runweave.functions.expr import items, missed, share_or_one, size0, skip_share, sunday_week
 
 
 def for_repo(runs: DataFrame, repo_id: str | None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import effective_lines, is_effective
+from runweave.functions.expr import effective_lines, is_effective
 
 #: fixed value: a line that adds a definition
 DEFINITION = r"^\+\s*(export\s+)?(default\s+)?(async\s+)?(function|class|def|func|interface|type|const)\b"

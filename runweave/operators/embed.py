@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.operators import retrieval
-from testloom.session import materialize
+from runweave.operators import retrieval
+from runweave.session import materialize
 
 BATCH = 64
 Embedder = Callable[[list[str]], list[list[float]] | None]

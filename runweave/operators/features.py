@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import items
-from testloom.session import materialize
+from runweave.functions.expr import items
+from runweave.session import materialize
 
 NAMES = ("embedding_similarity", "graph_distance", "failure_rate", "days_since_failure", "flakiness", "exec_time", "file_churn", "author_defect_rate")
 DAY_US = 86_400_000_000

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from testloom.functions.expr import is_test_file
-from testloom.operators.hierarchy import links_of, plain_path
-from testloom.session import materialize
+from runweave.functions.expr import is_test_file
+from runweave.operators.hierarchy import links_of, plain_path
+from runweave.session import materialize
 
 
 def file_links(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:

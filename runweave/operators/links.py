@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from testloom.operators.hierarchy import NODE, node_rows
-from testloom.session import materialize
+from runweave.operators.hierarchy import NODE, node_rows
+from runweave.session import materialize
 
 GATHER = 100_000
 SELF = "_graph_key"

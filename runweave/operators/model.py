@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.operators.features import NAMES
+from runweave.operators.features import NAMES
 
 LEAST_RUNS = 100
 

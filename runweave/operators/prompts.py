@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import effective_lines
-from testloom.operators.diffs import truncated
+from runweave.functions.expr import effective_lines
+from runweave.operators.diffs import truncated
 
 SYSTEM = "You sort tests into blocking, recommended and skip for a code change. Answer with JSON only: {\"decisions\": [{\"test_path\", \"classification\", \"confidence\", \"reasoning\"}]}."
 #: fixed values: a diff beyond the first number of effective lines is described in steps first, beyond the second it is cut

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.session import state_path
-from testloom.sources.store import PART, PartitionStore
+from runweave.session import state_path
+from runweave.sources.store import PART, PartitionStore
 
 KEY, RANK, KEPT = "_key", "_rank", "_kept"
 LAST = 2**63 - 1  # rows without a sequence number come after all others

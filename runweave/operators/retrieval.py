@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import band, cosine, hamming, sign_bits
+from runweave.functions.expr import band, cosine, hamming, sign_bits
 
 #: fixed values: corpora above this many files are screened, and this many stay
 TIER_ABOVE, SHORTLIST = 200, 50

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.operators.graph import file_links
-from testloom.operators.hierarchy import cyclic_files, graph_hierarchy
-from testloom.operators.links import link_hierarchy
-from testloom.operators.redelivery import once, replay
-from testloom.operators.trailing import concentrated_days, trailing_totals
-from testloom.sources.tables import table
+from runweave.operators.graph import file_links
+from runweave.operators.hierarchy import cyclic_files, graph_hierarchy
+from runweave.operators.links import link_hierarchy
+from runweave.operators.redelivery import once, replay
+from runweave.operators.trailing import concentrated_days, trailing_totals
+from runweave.sources.tables import table
 
 RUN_COLUMNS = ["ingest_seq", "batch_id", "id", "repo_id", "created_at"]
 

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import is_test_file, matches_any
-from testloom.operators import decisions, diffs, graph, imports, merge
-from testloom.operators.decisions import rule_answer
-from testloom.sources.config import SelectionConfig, ts_aliases
-from testloom.sources.run_log import read_tree
-from testloom.session import materialize
+from runweave.functions.expr import is_test_file, matches_any
+from runweave.operators import decisions, diffs, graph, imports, merge
+from runweave.operators.decisions import rule_answer
+from runweave.sources.config import SelectionConfig, ts_aliases
+from runweave.sources.run_log import read_tree
+from runweave.session import materialize
 
 
 def static_analysis(spark: SparkSession, root: str, changed: list[str], globs: list[str], parsers=None) -> dict[str, DataFrame]:

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.functions.expr import is_test_file, matches_any
-from testloom.operators import analytics, decisions, diffs, features, graph, ingest, merge, model, retrieval
-from testloom.plans.core_queries import ONCE, counted_runs
-from testloom.sources.tables import table
+from runweave.functions.expr import is_test_file, matches_any
+from runweave.operators import analytics, decisions, diffs, features, graph, ingest, merge, model, retrieval
+from runweave.plans.core_queries import ONCE, counted_runs
+from runweave.sources.tables import table
 
 ARRAYS = ("predicted_skip", "actual_failures", "all_tests")
 AS_OF = "2026-03-01 00:00:00"

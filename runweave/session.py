@@ -42,14 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = have.get() if have.isDefined() else None
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="testloom-")
+        known = "file://" + tempfile.mkdtemp(prefix="runweave-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
 def state_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; every call gets its own."""
-    return f"{shared_dir(spark)}/testloom/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/runweave/{what}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -62,7 +62,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 def drop_state(spark: SparkSession) -> None:
     """Delete everything the package wrote below the shared folder; results that still read from there can't be used after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/testloom")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/runweave")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _shipped.discard(spark.sparkContext.applicationId)
 
@@ -89,7 +89,7 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    target = f"{shared_dir(spark)}/testloom/testloom-{app}.zip"
+    target = f"{shared_dir(spark)}/runweave/runweave-{app}.zip"
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     try:

@@ -68,6 +68,6 @@ def read_tree(spark: SparkSession, root: str, endings: tuple[str, ...] = SOURCE_
 
 def read_test_files(spark: SparkSession, root: str) -> DataFrame:
     """path, content of the tests of a tree, in path order."""
-    from testloom.functions.expr import is_test_file
+    from runweave.functions.expr import is_test_file
 
     return read_tree(spark, root).where(is_test_file("path")).orderBy("path")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from testloom.functions.expr import missed, size0
-from testloom.operators.ingest import quarantine
-from testloom.operators.redelivery import MessageTable
-from testloom.sources.run_log import RUN
+from runweave.functions.expr import missed, size0
+from runweave.operators.ingest import quarantine
+from runweave.operators.redelivery import MessageTable
+from runweave.sources.run_log import RUN
 
 
 def read_runs(spark: SparkSession, folder: str, **options: str) -> DataFrame:

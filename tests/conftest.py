@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from testloom.session import build_session
+from runweave.session import build_session
 
 
 @pytest.fixture(scope="session")

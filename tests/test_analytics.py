@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from testloom.operators import analytics as A
+from runweave.operators import analytics as A
 
 SCHEMA = "ingest_seq bigint, id string, repo_id string, pr_number bigint, sha string, predicted_skip array<string>, actual_failures array<string>, all_tests array<string>, mode string, time_saved_minutes float, created_at timestamp"
 SUNDAY = dt.datetime(2024, 1, 7, tzinfo=dt.timezone.utc)

@@ -1,6 +1,6 @@
 import random
 
-from testloom.operators.hierarchy import Peeled, cyclic_files, graph_hierarchy, links_of, node_rows, plain_path
+from runweave.operators.hierarchy import Peeled, cyclic_files, graph_hierarchy, links_of, node_rows, plain_path
 
 SCHEMA = "result_id bigint, dependency_graph map<string,array<string>>, file_path string"
 

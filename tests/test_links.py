@@ -1,7 +1,7 @@
 import random
 
-from testloom.operators.hierarchy import node_rows
-from testloom.operators.links import link_hierarchy
+from runweave.operators.hierarchy import node_rows
+from runweave.operators.links import link_hierarchy
 
 SCHEMA = "g int, parent string, child string"
 

@@ -4,8 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from testloom.functions import expr
-from testloom.operators import decisions, diffs, features, graph, ingest, merge, model, retrieval
+from runweave.functions import expr
+from runweave.operators import decisions, diffs, features, graph, ingest, merge, model, retrieval
 
 
 def test_test_file_names(spark):

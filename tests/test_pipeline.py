@@ -2,11 +2,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from testloom.operators import analytics, embed, merge, prompts
-from testloom.operators.redelivery import once
-from testloom.plans.pipeline import select_tests, selection_report
-from testloom.sources.config import SelectionConfig
-from testloom.sources.generate import made_up_runs, runs_ddl
+from runweave.operators import analytics, embed, merge, prompts
+from runweave.operators.redelivery import once
+from runweave.plans.pipeline import select_tests, selection_report
+from runweave.sources.config import SelectionConfig
+from runweave.sources.generate import made_up_runs, runs_ddl
 
 
 def test_selection_end_to_end(spark, rows):

@@ -6,8 +6,8 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from testloom.plans import core_queries, reference_queries
-from testloom.session import ship
+from runweave.plans import core_queries, reference_queries
+from runweave.session import ship
 from tools.compare import canonical
 
 FOLDER = "/root/testdata/sf0.001"

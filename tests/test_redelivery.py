@@ -4,9 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from testloom.operators.redelivery import MessageTable, in_epochs, once, replay
-from testloom.session import state_path
-from testloom.sources.store import CommitConflict, PartitionStore
+from runweave.operators.redelivery import MessageTable, in_epochs, once, replay
+from runweave.session import state_path
+from runweave.sources.store import CommitConflict, PartitionStore
 
 SCHEMA = "ingest_seq bigint, batch_id bigint, id string, repo_id string, created_at timestamp, note string, `extra col` map<string,int>"
 

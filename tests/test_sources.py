@@ -3,9 +3,9 @@ import json
 
 import pytest
 
-from testloom.operators import imports
-from testloom.sources import config, run_log
-from testloom.sources.run_log import RUN
+from runweave.operators import imports
+from runweave.sources import config, run_log
+from runweave.sources.run_log import RUN
 
 
 def write(root, **files):
@@ -97,7 +97,7 @@ def test_candidates():
 
 
 def test_tree_to_graph(spark, tmp_path, rows):
-    from testloom.plans.pipeline import static_analysis
+    from runweave.plans.pipeline import static_analysis
 
     write(tmp_path, **{
         "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}', "src__core.ts": "export const x = 1", "src__mid.ts": "import '@/core'", "test__mid.test.ts": "import '../src/mid'", "test__other.test.ts": "import 'fs'",

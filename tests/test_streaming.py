@@ -1,8 +1,8 @@
 import datetime as dt
 import json
 
-from testloom.operators.redelivery import MessageTable
-from testloom.streaming import runs as S
+from runweave.operators.redelivery import MessageTable
+from runweave.streaming import runs as S
 
 
 def record(seq, at, **more):

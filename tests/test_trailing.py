@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from testloom.operators.trailing import concentrated_days, trailing_totals
+from runweave.operators.trailing import concentrated_days, trailing_totals
 
 SCHEMA = "repo_id string, created_at timestamp, time_saved_minutes float, day int, entity string"
 

@@ -4,9 +4,9 @@ import datetime as dt
 
 import pytest
 
-from testloom.operators import model
-from testloom.plans import core_queries, reference_queries
-from testloom.session import ship
+from runweave.operators import model
+from runweave.plans import core_queries, reference_queries
+from runweave.session import ship
 
 QUERIES = core_queries.QUERIES | reference_queries.QUERIES
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.session import spread
+from runweave.session import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 LEAF_CHARS = 8192

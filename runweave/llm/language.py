@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from testloom.session import spread
+from runweave.session import spread
 
 ORDER = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)

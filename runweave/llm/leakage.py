@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testloom.session import spread
+from runweave.session import spread
 
 WORDS = 10
 CHUNK_CHARS = 2_000_000

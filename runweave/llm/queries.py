@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testloom.llm import cooccurrence
-from testloom.llm.encoding import encode_texts
-from testloom.llm.language import language_segments, languages, relabelled
-from testloom.llm.leakage import leaked_items, without_leaks
-from testloom.llm.topn import top_items
-from testloom.operators.redelivery import once
-from testloom.plans.core_queries import ONCE
-from testloom.sources.tables import table
+from runweave.llm import cooccurrence
+from runweave.llm.encoding import encode_texts
+from runweave.llm.language import language_segments, languages, relabelled
+from runweave.llm.leakage import leaked_items, without_leaks
+from runweave.llm.topn import top_items
+from runweave.operators.redelivery import once
+from runweave.plans.core_queries import ONCE
+from runweave.sources.tables import table
 
 LEAST_TOGETHER = 5
 

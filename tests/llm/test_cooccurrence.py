@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from testloom.llm import cooccurrence as C
+from runweave.llm import cooccurrence as C
 
 SCHEMA = "repo string, rec bigint, offered array<string>, marked array<string>, grp int, n int"
 

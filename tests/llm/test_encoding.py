@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from testloom.llm.encoding import TOKENIZER_DIR, TreeEncoder, encode_texts
+from runweave.llm.encoding import TOKENIZER_DIR, TreeEncoder, encode_texts
 
 FILE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
 pytestmark = pytest.mark.skipif(not os.path.exists(FILE), reason="no tokenizer files")

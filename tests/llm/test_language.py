@@ -1,6 +1,6 @@
 import pytest
 
-from testloom.llm import language as G
+from runweave.llm import language as G
 
 SAMPLES = {
     "en": ["The test failed again after the last change.", "Nobody saw that the queue was full this morning.", "We should run the whole suite before merging it.", "It is hard to say why this check is so slow.", "The report shows that only one of them finished."],

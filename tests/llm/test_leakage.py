@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from testloom.llm import leakage as L
+from runweave.llm import leakage as L
 
 OPEN = "Read this first and answer."
 ITEM = 'Only "alpha-beta" moves the signed queue again; the open lockfile doesn\'t change early. Suppose graph 92 waits & stops twice.'

@@ -6,8 +6,8 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from testloom.llm import queries as Q
-from testloom.session import ship
+from runweave.llm import queries as Q
+from runweave.session import ship
 from tools.compare import canonical
 
 FOLDER = "/root/testdata/sf0.001"

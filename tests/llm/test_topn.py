@@ -1,6 +1,6 @@
 import random
 
-from testloom.llm.topn import top_items
+from runweave.llm.topn import top_items
 
 SCHEMA = "repo_id string, test_path string, flake_score double, total_runs bigint, item string, score int, have int"
 

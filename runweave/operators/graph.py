@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from runweave.functions.expr import is_test_file
 from runweave.operators.hierarchy import links_of, plain_path
+from runweave.operators.links import Found
 from runweave.session import materialize
 
 
@@ -36,21 +37,21 @@ def files(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "res
     return rows.select(key, F.explode(F.array("src", "dst")).alias("path")).where(F.col("path").isNotNull()).distinct()
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth): everything that reaches a seed over src -> dst links, seeds at depth 0; each node once, at its least depth.
 
-    edges(src, dst), seeds(node). Only the frontier joins the links; a round that finds nothing new ends the loop, so cycles do no harm.
+    edges(src, dst), seeds(node). Only the frontier joins the links; the loop ends with the round that finds nothing new, so cycles do no harm and
+    nothing is cut off. Found nodes are compacted every few rounds.
     """
     edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "links")
     frontier = materialize(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
-    found = frontier
-    for depth in range(1, most_rounds):
+    found, depth = Found(frontier), 0
+    while not frontier.isEmpty():
+        depth += 1
         step = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        frontier = materialize(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+        frontier = materialize(step.join(found.rows.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        found.add(frontier)
+    return found.rows
 
 
 def blocking_tests(graphs: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id", changed: str = "changed") -> DataFrame:

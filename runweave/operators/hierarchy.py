@@ -1,7 +1,7 @@
 """Parent-child links to full hierarchies, cycles included.
 
-``peel`` works on one graph by bottom-up leaf peeling: a node without unpeeled children leaves, and sends its descendants and
-subtree size to its parents. What never leaves contains the cycles and what lies above them. The reverse of the peel order
+One graph is worked on by bottom-up leaf peeling: a node without unpeeled children leaves, and sends its descendants and
+subtree size to its parents, which forget nothing and are forgotten when the last parent has heard. What never leaves contains the cycles and what lies above them. The reverse of the peel order
 then hands paths and depths down. A graph that arrives in one row is peeled in the task that reads the row, without a
 shuffle; graphs whose links are spread over rows go through ``links.link_hierarchy``, which gathers graphs up to a bound of
 links into a task and peels larger ones by distributed rounds.
@@ -17,11 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NAMES_AT_ONCE = 200_000
 NODE = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("path", T.ArrayType(T.StringType())),
@@ -55,7 +57,10 @@ def links_of(graph) -> dict[str, set[str]]:
 
 
 class Peeled:
-    """Result of bottom-up leaf peeling: peel order, subtree facts, residual nodes and those of them in cycles."""
+    """Result of bottom-up leaf peeling: peel order, residual nodes, those of them in cycles, and each node's place below a root.
+
+    Nothing here grows faster than the links: descendants and paths are made node by node as they are asked for.
+    """
 
     def __init__(self, children: dict[str, set[str]]):
         self.children = children
@@ -63,29 +68,24 @@ class Peeled:
         for p, own in children.items():
             for c in own:
                 self.parents[c].append(p)
-        self.below: dict[str, set[str]] = {}
         self.order: list[str] = []
         waiting = {n: len(own) for n, own in children.items()}
-        inbox: dict[str, set[str]] = {}
-        leaves = sorted(n for n, w in waiting.items() if not w)
+        leaves = [n for n, w in waiting.items() if not w]
         while leaves:
             after = []
             for n in leaves:
                 self.order.append(n)
-                mine = self.below[n] = inbox.pop(n, set())
                 for p in self.parents[n]:
-                    box = inbox.setdefault(p, set())
-                    box.add(n)
-                    box |= mine
                     waiting[p] -= 1
                     if not waiting[p]:
                         after.append(p)
-            leaves = sorted(after)
+            leaves = after
         self.residual = {n for n, w in waiting.items() if w}
+        self.parts: list[list[str]] = []
         self.in_cycle = self._cycles()
 
     def _cycles(self) -> set[str]:
-        """Exact check on the residual: strongly connected parts of two or more nodes, and self-links."""
+        """Exact check on the residual: strongly connected parts of two or more nodes, and self-links. Parts come out children first."""
         rest = self.residual
         if not rest:
             return set()
@@ -126,75 +126,130 @@ class Peeled:
                             part.append(m)
                             if m == n:
                                 break
+                        self.parts.append(part)
                         if len(part) > 1 or n in self.children[n]:
                             found.update(part)
         return found
 
-    def paths(self) -> dict[str, tuple[str, ...]]:
-        """Path of each node below a root: residual nodes level by level, then the peeled ones in reverse peel order."""
-        best: dict[str, tuple[str, ...]] = {n: (n,) for n in self.children if not self.parents[n]}
-        level = sorted(n for n in best if n in self.residual)
+    def place(self) -> tuple[dict[str, str | None], dict[str, int]]:
+        """(parent, depth) of every node below a root: residual nodes level by level, then the peeled ones in reverse peel order."""
+        above: dict[str, str | None] = {n: None for n in self.children if not self.parents[n]}
+        depth = dict.fromkeys(above, 0)
+
+        def less(a: str, b: str) -> bool:
+            """Whether the path to a comes before the one to b, both of one depth: they part where their parents first agree."""
+            while above[a] != above[b]:
+                a, b = above[a], above[b]
+            return a < b
+
+        level = [n for n in above if n in self.residual]
         while level:
-            following: dict[str, tuple[str, ...]] = {}
+            following: dict[str, str] = {}
             for n in level:
                 for c in self.children[n]:
-                    if c in self.residual and c not in best:
-                        path = (*best[n], c)
-                        if c not in following or path < following[c]:
-                            following[c] = path
-            best |= following
-            level = sorted(following)
+                    if c in self.residual and c not in depth and (c not in following or less(n, following[c])):
+                        following[c] = n
+            for c, n in following.items():
+                above[c], depth[c] = n, depth[n] + 1
+            level = list(following)
         for n in reversed(self.order):
-            if n not in best:
-                above = [best[p] for p in self.parents[n] if p in best]
-                if above:
-                    best[n] = (*min(above, key=lambda x: (len(x), x)), n)
-        return best
-
-    def descendants(self, node: str) -> set[str]:
-        """All nodes below; for residual nodes by a walk, which includes the node itself if it is in a cycle."""
-        if node in self.below:
-            return self.below[node]
-        seen: set[str] = set()
-        work = list(self.children[node])
-        while work:
-            n = work.pop()
-            if n in seen:
-                continue
-            seen.add(n)
-            if n in self.below:
-                seen |= self.below[n]
-            else:
-                work.extend(self.children[n])
-        return seen
+            if n not in depth:
+                best = None
+                for p in self.parents[n]:
+                    if p in depth and (best is None or depth[p] < depth[best] or depth[p] == depth[best] and less(p, best)):
+                        best = p
+                if best is not None:
+                    above[n], depth[n] = best, depth[best] + 1
+        return above, depth
+
+    def below(self) -> Iterator[tuple[list[str], int, list[str]]]:
+        """(nodes, their descendants as bits of an integer, the names the bits stand for), every node once, children before parents.
+
+        A peeled node sends its descendants to its parents and forgets them when the last has heard, so what is held at a time is
+        what lies between peeled children and waiting parents; bits make that an eighth of a byte a node. The nodes of a strongly connected part share theirs.
+        """
+        names = sorted(self.children)
+        bit = {n: i for i, n in enumerate(names)}
+        held: dict[str, int] = {}
+        unheard = {n: len(ps) for n, ps in self.parents.items()}
+
+        def gathered(nodes: list[str]) -> int:
+            inside = set(nodes)
+            bits = 0
+            for n in nodes:
+                for c in self.children[n]:
+                    if c not in inside:
+                        bits |= held[c]
+                    bits |= 1 << bit[c]
+            for n in nodes:
+                for c in self.children[n]:
+                    unheard[c] -= 1
+                    if not unheard[c]:
+                        held.pop(c, None)
+            return bits
 
+        for nodes in [*([n] for n in self.order), *self.parts]:
+            bits = gathered(nodes)
+            for n in nodes:
+                if unheard[n]:
+                    held[n] = bits
+            yield nodes, bits, names
 
-def node_rows(graph) -> list[dict]:
-    """One dict per node of a graph, in the shape of NODE."""
+
+def _named(bits: int, names: list[str]) -> list[str]:
+    """The names of the set bits, in order."""
+    if not bits:
+        return []
+    raw = np.frombuffer(bits.to_bytes((bits.bit_length() + 7) // 8, "little"), np.uint8)
+    return [names[i] for i in np.flatnonzero(np.unpackbits(raw, bitorder="little"))]
+
+
+def node_rows(graph, descendants: bool = True) -> Iterator[dict]:
+    """One dict per node of a graph, in the shape of NODE, as peeling reaches it; descendants are null if not asked for."""
     peeled = Peeled(links_of(graph))
-    paths = peeled.paths()
-    out = []
-    for n in sorted(peeled.children):
-        path, below = paths.get(n), peeled.descendants(n)
-        out.append({"file_path": n, "path": list(path) if path else None, "depth": len(path) - 1 if path else None, "root": path[0] if path else None,
-                    "descendants": sorted(below), "subtree_size": len(below | {n}), "in_cycle": n in peeled.in_cycle})
-    return out
+    above, depth = peeled.place()
+    for nodes, bits, names in peeled.below():
+        count = bits.bit_count()
+        own = _named(bits, names) if descendants else None
+        for n in nodes:
+            path = [n] if n in depth else None
+            while path and above[path[-1]] is not None:
+                path.append(above[path[-1]])
+            size = count if n in peeled.in_cycle else count + 1
+            yield {"file_path": n, "path": path and path[::-1], "depth": depth.get(n), "root": path[-1] if path else None,
+                   "descendants": own, "subtree_size": size, "in_cycle": n in peeled.in_cycle}
+
+
+_ARROW = pa.schema([pa.field("file_path", pa.string()), pa.field("path", pa.list_(pa.string())), pa.field("depth", pa.int32()), pa.field("root", pa.string()),
+                    pa.field("descendants", pa.list_(pa.string())), pa.field("subtree_size", pa.int32()), pa.field("in_cycle", pa.bool_())])
+
+
+def node_batches(graph, key, kind: pa.DataType, descendants: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows of a graph in batches of at most about NAMES_AT_ONCE names, the key before them."""
+    rows, names = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        body = pa.Table.from_pylist(rows, _ARROW)
+        yield from pa.Table.from_arrays([pa.array([key] * len(rows), kind), *body.columns], ["_graph_key", *_ARROW.names]).to_batches()
+
+    for row in node_rows(graph, descendants):
+        rows.append(row)
+        names += 1 + len(row["path"] or ()) + len(row["descendants"] or ())
+        if names > NAMES_AT_ONCE:
+            yield from flush()
+            rows, names = [], 0
+    if rows:
+        yield from flush()
 
 
-def graph_hierarchy(df: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id") -> DataFrame:
-    """key and the columns of NODE: a row for each file of each row's graph. No shuffle."""
+def graph_hierarchy(df: DataFrame, *, graph: str = "dependency_graph", key: str = "result_id", descendants: bool = True) -> DataFrame:
+    """key and the columns of NODE: a row for each file of each row's graph. No shuffle. Without ``descendants`` that column is null and only sizes are made."""
     schema = T.StructType([T.StructField("_graph_key", df.schema[key].dataType), *NODE.fields])
-    arrow = pa.schema([pa.field("file_path", pa.string()), pa.field("path", pa.list_(pa.string())), pa.field("depth", pa.int32()), pa.field("root", pa.string()),
-                       pa.field("descendants", pa.list_(pa.string())), pa.field("subtree_size", pa.int32()), pa.field("in_cycle", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a graph at a time: the descendants of one graph are the most that is held
-                rows = node_rows(batch.column(1)[i].as_py())
-                if rows:
-                    body = pa.Table.from_pylist(rows, arrow)
-                    keys = pa.array([batch.column(0)[i].as_py()] * len(rows), batch.schema.field(0).type)
-                    yield from pa.Table.from_arrays([keys, *body.columns], ["_graph_key", *arrow.names]).to_batches()
+            for i in range(batch.num_rows):  # a graph at a time
+                yield from node_batches(batch.column(1)[i].as_py(), batch.column(0)[i].as_py(), batch.schema.field(0).type, descendants)
 
     found = df.where(F.col(graph).isNotNull()).select(F.col(key).alias("_graph_key"), F.col(graph).alias("g")).mapInArrow(run, schema)
     return found.withColumnRenamed("_graph_key", key)

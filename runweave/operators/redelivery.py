@@ -8,8 +8,8 @@ over all tasks; the winner of a key is found by a partial aggregate.
 
 Defined results: an identifier is the row's letters and digits, lower case; null, blank or purely punctuated ones identify
 nothing and every such row stays. A null source is a source of its own only for rows without identifier; a row without
-source is never merged. Rows are ordered by sequence, then by a hash of the whole row; rows equal in both are repeats of which
-one stays. Empty inputs give empty tables. Columns called like the operator's own (_key, _rank and so on) are renamed inside and come
+source is never merged. Rows are ordered by sequence, then by 60 bits of a hash of the whole row; rows equal in both
+are repeats of which one stays. Empty inputs give empty tables. Columns called like the operator's own (_key, _rank and so on) are renamed inside and come
 out under their names.
 """
 
@@ -22,13 +22,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runweave.session import state_path
-from runweave.sources.store import PART, PartitionStore
+from runweave.sources.store import PART, PartitionStore, dir_column, folder_of
 
 KEY, RANK, KEPT = "_key", "_rank", "_kept"
 LAST = 2**63 - 1  # rows without a sequence number come after all others
+BUCKETS = 64
+TIES = 2**60
 
 
-OWN = (KEY, RANK, KEPT, PART, "_best", "_won", "_dir")
+OWN = (KEY, RANK, KEPT, PART, "_best", "_won", "_dir", "_least", "_bucket")
 SHIELD = "_given"
 
 
@@ -66,10 +68,14 @@ def _row_hash(df: DataFrame, seq: str) -> F.Column:
 
 
 def with_keys(df: DataFrame, id_col: str, source_col: str, seq: str) -> DataFrame:
-    """Adds the message key and the rank by which the winner is the least."""
+    """Adds the message key and the rank by which the winner is the least: the sequence number, then 60 bits of the row's hash.
+
+    Both are packed into one decimal, since the minimum of a number is a hash aggregate and that of a struct a sort.
+    """
     keyed = F.when(F.col(source_col).isNotNull(), message_key(id_col))
-    order = F.coalesce(F.col(seq).cast("bigint"), F.lit(LAST))
-    return df.withColumns({KEY: keyed, RANK: F.struct(order.alias("seq"), _row_hash(df, seq).alias("tie"))})
+    order = F.coalesce(F.col(seq).cast("bigint"), F.lit(LAST)).cast("decimal(20,0)")
+    tie = _row_hash(df, seq).bitwiseAND(F.lit(TIES - 1)).cast("decimal(19,0)")
+    return df.withColumns({KEY: keyed, RANK: (order * F.lit(TIES).cast("decimal(19,0)") + tie).cast("decimal(38,0)")})
 
 
 def flag_winners(rows: DataFrame, source_col: str) -> DataFrame:
@@ -83,26 +89,46 @@ def flag_winners(rows: DataFrame, source_col: str) -> DataFrame:
 
 
 class MessageTable:
-    """One winner per message, in partitions of a store, with an identifier index beside it."""
+    """One winner per message, in partitions of a store, with an identifier index beside it.
+
+    The index is a store of its own, cut into ``buckets`` by a hash of (source, key): a batch reads the buckets its messages fall into.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", part: F.Column | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", part: F.Column | None = None, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.id_col, self.source_col, self.seq = shielded(id_col), shielded(source_col), shielded(seq)
-        self.part = month_part() if part is None else part
+        self.part = F.coalesce(month_part() if part is None else part.cast("string"), F.lit(""))
         self.rows = PartitionStore(spark, f"{self.root}/rows")
         self.index = PartitionStore(spark, f"{self.root}/index")
         self.surplus: list[str] = []
+        for part in self.index.manifest()["parts"]:  # the number of buckets stays what the first merge used
+            self.buckets = int(part.split("/")[1])
+
+    def _bucket(self) -> F.Column:
+        """Bucket of (source, key) and the number of buckets, as an index partition."""
+        return F.concat(F.pmod(F.xxhash64("source", "key"), F.lit(self.buckets)).cast("string"), F.lit(f"/{self.buckets}"))
+
+    def _entries(self, rows: DataFrame) -> DataFrame:
+        keyed = rows.where(F.col(KEY).isNotNull())
+        return keyed.select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"), PART).withColumn("_bucket", self._bucket())
+
+    def _write_index(self, entries: DataFrame, path: str) -> None:
+        entries.hint("rebalance", "_bucket").select("source", "key", PART, dir_column("_bucket").alias("_dir")).write.partitionBy("_dir").parquet(path)
 
     def affected(self, incoming: DataFrame) -> list[str]:
         """Historical partitions that hold, or once held, a message of the incoming rows (at most one value a partition).
 
         Index entries are only ever added, so an entry may be out of date; that names a partition too many, never one too few.
         """
-        index = self.index.read()
+        known = self.index.manifest()["parts"]
+        if not known:
+            return []
+        wanted = self._entries(incoming)
+        hit = {r[0] for r in wanted.select("_bucket").distinct().collect()}  # at most ``buckets`` values
+        index = self.index.read(sorted(hit & set(known)))
         if index is None:
             return []
-        keys = incoming.where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"))
-        hits = index.join(keys, ["source", "key"], "left_semi").select(PART).distinct()
+        hits = index.join(wanted.select("source", "key"), ["source", "key"], "left_semi").select(PART).distinct()
         return sorted(r[0] for r in hits.collect())
 
     def merge(self, incoming: DataFrame) -> int:
@@ -114,16 +140,18 @@ class MessageTable:
         flagged = flag_winners(fresh if old is None else old.unionByName(fresh, allowMissingColumns=True), self.source_col)
         out = self.rows.fresh("merge")
         # one shuffle by partition; AQE cuts a hot month into several files and joins small ones
-        flagged.hint("rebalance", PART).withColumns({"_won": F.col(KEPT), "_dir": F.col(PART)}).drop(KEPT).write.partitionBy("_won", "_dir").parquet(out)
+        flagged.hint("rebalance", PART).withColumns({"_won": F.col(KEPT), "_dir": dir_column(PART)}).drop(KEPT).write.partitionBy("_won", "_dir").parquet(out)
         schema = flagged.drop(KEPT).schema
         parts = self.rows.folders_below(f"{out}/_won=true")
         if parts:
             won = self.spark.read.schema(schema).parquet(f"{out}/_won=true")
             slots = self.index.fresh("index")
-            entries = won.where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"), PART)
-            entries.withColumn("_dir", F.lit("all")).write.partitionBy("_dir").parquet(slots)
+            entries = self._entries(won)
+            if touched:  # winners that were there before have their entry
+                entries = entries.join(self._entries(fresh).select("source", "key"), ["source", "key"], "left_semi")
+            self._write_index(entries, slots)
             # the index goes first: an entry without rows does no harm, rows without an entry would
-            self.index.commit(slots, entries.schema, self.index.folders_below(slots), set(), index_base)
+            self.index.commit(slots, entries.drop("_bucket").schema, self.index.folders_below(slots), set(), index_base)
         self.surplus.append(f"{out}/_won=false")
         return self.rows.commit(f"{out}/_won=true", schema, parts, set(touched), base)
 
@@ -138,14 +166,14 @@ class MessageTable:
         if worn:
             rows = self.rows.read(worn, base)
             out = self.rows.fresh("compact")
-            rows.hint("rebalance", PART).withColumn("_dir", F.col(PART)).write.partitionBy("_dir").parquet(out)
+            rows.hint("rebalance", PART).withColumn("_dir", dir_column(PART)).write.partitionBy("_dir").parquet(out)
             base = self.rows.commit(out, rows.schema, self.rows.folders_below(out), set(worn), base)
         index_base = self.index.version()
         if any(len(folders) > most for folders in self.index.manifest(index_base)["parts"].values()):
-            entries = self.rows.read().where(F.col(KEY).isNotNull()).select(F.col(self.source_col).alias("source"), F.col(KEY).alias("key"), PART)
+            entries = self._entries(self.rows.read())
             out = self.index.fresh("compact")
-            entries.withColumn("_dir", F.lit("all")).write.partitionBy("_dir").parquet(out)
-            self.index.commit(out, entries.schema, ["all"], {"all"}, index_base)
+            self._write_index(entries, out)
+            self.index.commit(out, entries.drop("_bucket").schema, self.index.folders_below(out), set(self.index.manifest(index_base)["parts"]), index_base)
         return base
 
     def winners(self) -> DataFrame | None:
@@ -155,7 +183,7 @@ class MessageTable:
 
     def surplus_rows(self, columns: Sequence[str]) -> DataFrame | None:
         """The rows that lost in any merge made through this object."""
-        there = [f"{p}/_dir={part}" for p in self.surplus for part in self.rows.folders_below(p)]
+        there = [f"{p}/{folder_of(part)}" for p in self.surplus for part in self.rows.folders_below(p)]
         if not there:
             return None
         schema = self.rows.read().schema
@@ -191,14 +219,18 @@ def replay(df: DataFrame, *, batch: str = "batch_id", shares: Sequence[float] =
 def once(df: DataFrame, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", unique_seq: bool = False) -> DataFrame:
     """The rows that count, as a plain lazy plan for queries that read runs; same rule as the table's.
 
-    With ``unique_seq`` no two rows share a sequence number: the number alone ranks them, the scan for the winners reads three
-    columns, and their aggregate is a hash aggregate.
+    ``unique_seq`` says that the sequence number alone ranks the rows of a message: the scan for the winners then reads three columns. Should
+    a message hold its least number twice nevertheless, the copies are repeats and any one of them stays.
     """
     id_in, source, order = shielded(id_col), shielded(source_col), shielded(seq)
     rows = shield(df)
     if not unique_seq:
         return unshield(flag_winners(with_keys(rows, id_in, source, order), source).where(KEPT).drop(KEY, RANK, KEPT))
-    keyed = rows.withColumn(KEY, F.when(F.col(source).isNotNull(), message_key(id_in)))
-    best = keyed.where(F.col(KEY).isNotNull()).groupBy(source, KEY).agg(F.min(order).alias(order)).withColumn("_best", F.lit(True))
-    kept = keyed.join(best, [source, KEY, order], "left").where(F.col(KEY).isNull() | F.col("_best").isNotNull())
+    keyed = rows.withColumns({KEY: F.when(F.col(source).isNotNull(), message_key(id_in)), "_least": F.coalesce(F.col(order).cast("bigint"), F.lit(LAST))})
+    best = keyed.where(F.col(KEY).isNotNull()).groupBy(source, KEY).agg(F.min("_least").alias("_least")).withColumn("_best", F.lit(True))
+    same = [source, KEY, "_least"]
+    met = keyed.join(best, same, "left").where(F.col(KEY).isNull() | F.col("_best").isNotNull())
+    # repeats of the least number: the window runs on the join's own partitioning and order
+    copy = F.row_number().over(W.partitionBy(*same).orderBy("_least"))
+    kept = met.withColumn(KEPT, F.col(KEY).isNull() | (copy == 1)).where(KEPT)
     return unshield(kept.select(*(F.col(f"`{c}`") for c in rows.columns)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runweave.operators.graph import file_links
 from runweave.operators.hierarchy import cyclic_files, graph_hierarchy
-from runweave.operators.links import link_hierarchy
+from runweave.operators.links import link_descendants, link_hierarchy
 from runweave.operators.redelivery import once, replay
 from runweave.operators.trailing import concentrated_days, trailing_totals
 from runweave.sources.tables import table
@@ -39,7 +39,8 @@ def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of what hangs below each file, and whether it is in a cycle."""
-    return p2_nodes(spark, sf_dir).select("result_id", "file_path", "subtree_size", "in_cycle")
+    found = graph_hierarchy(table(spark, sf_dir, "layer1_results").select("result_id", "dependency_graph"), descendants=False)
+    return found.select("result_id", "file_path", "subtree_size", "in_cycle")
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,12 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("result_id", "file_path", "subtree_size", "in_cycle")
 
 
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with every file below it, a row each, by joins alone."""
+    found = link_descendants(file_links(table(spark, sf_dir, "layer1_results")), key="result_id", parent="src", child="dst")
+    return found.select("result_id", F.col("node").alias("file_path"), "descendant")
+
+
 def counted_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Runs, each once."""
     need = list(dict.fromkeys(["ingest_seq", "id", "repo_id", *columns]))
@@ -63,7 +70,7 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_id", "run_day", "total_7", "avg_7", "rows_7", "total_30", "avg_30", "rows_30")
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_sizes": p2_sizes, "p2_links": p2_links, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_sizes": p2_sizes, "p2_links": p2_links, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_totals": p5_totals}
 
 _KEYED = r"""SELECT *, nullif(regexp_replace(lower(id), '[^\p{L}\p{N}]', '', 'g'), '') AS k FROM runs"""
 
@@ -100,6 +107,11 @@ edges AS (SELECT DISTINCT result_id, p, c FROM plain WHERE p <> '' AND c <> '')"
 _WALK = """walk(result_id, p, c) AS (SELECT result_id, p, c FROM edges
   UNION SELECT w.result_id, w.p, e.c FROM walk w JOIN edges e ON e.result_id = w.result_id AND e.p = w.c)"""
 
+_SIZES = f"""WITH RECURSIVE {_EDGES}, {_WALK},
+nodes AS (SELECT result_id, p AS file_path FROM plain WHERE p <> '' UNION SELECT result_id, c FROM edges),
+below AS (SELECT result_id, p AS file_path, count(*) FILTER (c <> p) AS n, bool_or(c = p) AS in_cycle FROM walk GROUP BY 1, 2)
+SELECT result_id, file_path, CAST(coalesce(n, 0) + 1 AS INTEGER) AS subtree_size, coalesce(in_cycle, false) AS in_cycle FROM nodes LEFT JOIN below USING (result_id, file_path)"""
+
 ORACLE = {
     "p1_found": f"""WITH keyed AS ({_KEYED})
 SELECT ingest_seq FROM keyed WHERE k IS NOT NULL AND repo_id IS NOT NULL
@@ -115,12 +127,7 @@ SELECT repo_id, strftime(run_date, '%Y-%m-%d') AS run_day,
        total_30, CASE WHEN valued_30 > 0 THEN total_30 / valued_30 END AS avg_30, CAST(n_30 AS BIGINT) AS rows_30
 FROM rolled""",
     "p2_found": f"""WITH RECURSIVE {_EDGES}, {_WALK} SELECT DISTINCT result_id, p AS file_path FROM walk WHERE p = c""",
-    "p2_sizes": f"""WITH RECURSIVE {_EDGES}, {_WALK},
-nodes AS (SELECT result_id, p AS file_path FROM plain WHERE p <> '' UNION SELECT result_id, c FROM edges),
-below AS (SELECT result_id, p AS file_path, count(*) FILTER (c <> p) AS n, bool_or(c = p) AS in_cycle FROM walk GROUP BY 1, 2)
-SELECT result_id, file_path, CAST(coalesce(n, 0) + 1 AS INTEGER) AS subtree_size, coalesce(in_cycle, false) AS in_cycle FROM nodes LEFT JOIN below USING (result_id, file_path)""",
-    "p2_links": f"""WITH RECURSIVE {_EDGES}, {_WALK},
-below AS (SELECT result_id, p AS file_path, count(*) FILTER (c <> p) AS n, bool_or(c = p) AS in_cycle FROM walk GROUP BY 1, 2),
-nodes AS (SELECT result_id, p AS file_path FROM edges UNION SELECT result_id, c FROM edges)
-SELECT result_id, file_path, CAST(coalesce(n, 0) + 1 AS INTEGER) AS subtree_size, coalesce(in_cycle, false) AS in_cycle FROM nodes LEFT JOIN below USING (result_id, file_path)""",
+    "p2_sizes": _SIZES,
+    "p2_links": _SIZES,
+    "p2_descendants": f"""WITH RECURSIVE {_EDGES}, {_WALK} SELECT result_id, p AS file_path, c AS descendant FROM walk""",
 }

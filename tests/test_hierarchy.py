@@ -54,9 +54,23 @@ def test_random_graphs_against_brute_force():
 def test_deep_and_wide():
     deep = [(f"f{i}", [f"f{i + 1}"]) for i in range(3000)]
     peeled = Peeled(links_of(deep))
-    assert not peeled.in_cycle and len(peeled.paths()["f3000"]) == 3001
-    wide = Peeled(links_of([("top", [f"c{i}" for i in range(5000)])]))
-    assert len(wide.below["top"]) == 5000
+    assert not peeled.in_cycle and peeled.place()[1]["f3000"] == 3000
+    assert {r["file_path"]: (len(r["path"]), len(r["descendants"])) for r in node_rows(deep)} == {f"f{i}": (i + 1, 3000 - i) for i in range(3001)}
+    wide = {r["file_path"]: r["subtree_size"] for r in node_rows([("top", [f"c{i}" for i in range(5000)])])}
+    assert wide["top"] == 5001 and wide["c7"] == 1
+
+
+def test_what_is_held_stays_small():
+    chain = Peeled(links_of([(f"f{i:05d}", [f"f{i + 1:05d}"]) for i in range(20_000)]))
+    assert sum(1 for _ in chain.below()) == 20_001  # each set is forgotten once its parent has heard
+    many = node_rows([(f"f{i}", [f"f{i + 1}"]) for i in range(2000)], descendants=False)
+    assert {r["descendants"] for r in many} == {None}
+
+
+def test_cycles_of_a_long_chain(spark):
+    n = 100_000
+    df = spark.createDataFrame([(1, {f"f{i}": [f"f{i + 1}"] for i in range(n)} | {f"f{n}": [f"f{n - 1}"]}, None)], SCHEMA)
+    assert sorted(r["file_path"] for r in cyclic_files(df).collect()) == sorted([f"f{n - 1}", f"f{n}"])
 
 
 def test_cycle_between_cycles():

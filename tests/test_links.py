@@ -1,7 +1,7 @@
 import random
 
 from runweave.operators.hierarchy import node_rows
-from runweave.operators.links import link_hierarchy
+from runweave.operators.links import link_cycles, link_descendants, link_hierarchy
 
 SCHEMA = "g int, parent string, child string"
 
@@ -24,7 +24,17 @@ def test_rounds_and_gathered_agree(spark):
     df = spark.createDataFrame(data + data[:5] + [(None, "a", "b"), (0, "", "x")], SCHEMA)
     check(df, graphs, 100)
     check(df, graphs, 4)
+    nodes = {(g, r["file_path"]): r for g, graph in graphs.items() for r in node_rows(graph)}
+    assert sorted(map(tuple, link_descendants(df, key="g").collect())) == sorted((g, n, d) for (g, n), r in nodes.items() for d in r["descendants"])
+    for gather in (100, 3, 0):
+        assert sorted(map(tuple, link_cycles(df, key="g", gather=gather).collect())) == sorted(k for k, r in nodes.items() if r["in_cycle"])
+
+
+def test_long_chain_by_doubling(spark):
+    df = spark.createDataFrame([(1, f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)], SCHEMA)
+    assert link_descendants(df, key="g").count() == 100 * 101 // 2
 
 
 def test_empty(spark):
-    assert link_hierarchy(spark.createDataFrame([], SCHEMA), key="g").count() == 0
+    none = spark.createDataFrame([], SCHEMA)
+    assert link_hierarchy(none, key="g").count() == link_cycles(none, key="g").count() == link_descendants(none, key="g").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runweave.operators.redelivery import MessageTable, in_epochs, once, replay
 from runweave.session import state_path
-from runweave.sources.store import CommitConflict, PartitionStore
+from runweave.sources.store import CommitConflict, PartitionStore, dir_column
 
 SCHEMA = "ingest_seq bigint, batch_id bigint, id string, repo_id string, created_at timestamp, note string, `extra col` map<string,int>"
 
@@ -112,7 +112,7 @@ def test_compaction_and_vacuum(spark):
     want = sorted(r[0] for r in table.winners().select("ingest_seq").collect())
     assert want == [0, 1, 10, 20, 30] and len(table.rows.manifest()["parts"]["202501"]) == 4
     table.compact(most=3)
-    assert len(table.rows.manifest()["parts"]["202501"]) == 1 and len(table.index.manifest()["parts"]["all"]) == 1
+    assert len(table.rows.manifest()["parts"]["202501"]) == 1 and all(len(folders) == 1 for folders in table.index.manifest()["parts"].values())
     assert table.rows.vacuum(keep=1) > 0 and table.index.vacuum(keep=1) > 0
     table.merge(spark.createDataFrame([(50, 9, "NEW0", "a", at(3), None, None)], SCHEMA))
     assert sorted(r[0] for r in table.winners().select("ingest_seq").collect()) == want
@@ -134,7 +134,7 @@ def test_commit_conflict_and_old_versions(spark):
 
     def write():
         path = store.fresh("t")
-        df.withColumn("_dir", F.col("_part")).write.partitionBy("_dir").parquet(path)
+        df.withColumn("_dir", dir_column("_part")).write.partitionBy("_dir").parquet(path)
         return path
 
     one = write()
@@ -144,3 +144,37 @@ def test_commit_conflict_and_old_versions(spark):
     assert store.version() == 1 and store.read().count() == 1
     store.commit(write(), df.schema, ["a"], set(), 1)
     assert store.read().count() == 2 and store.read(version=1).count() == 1 and store.read(["b"]) is None
+
+
+def test_any_partition_value(spark):
+    values = ["2025/01", "a:b", "50%", "x=y", "", None, "p q", "日", "__HIVE_DEFAULT_PARTITION__"]
+    schema = "ingest_seq bigint, id string, repo_id string, place string"
+    table = MessageTable(spark, state_path(spark, "escaped"), part=F.col("place"))
+    table.merge(spark.createDataFrame([(i, f"k{i}", "a", v) for i, v in enumerate(values)], schema))
+    table.merge(spark.createDataFrame([(100 + i, f"K-{i}", "a", v) for i, v in enumerate(values)] + [(200, "new", "a", "2025/01")], schema))
+    assert sorted(r[0] for r in table.winners().select("ingest_seq").collect()) == [*range(len(values)), 200]
+    assert sorted(r[0] for r in table.surplus_rows(["ingest_seq"]).collect()) == [100 + i for i in range(len(values))]
+    with pytest.raises(Exception, match="too long"):
+        table.merge(spark.createDataFrame([(300, "z", "a", "x" * 101)], schema))
+
+
+def test_index_reads_only_the_batch_buckets(spark, monkeypatch):
+    table = MessageTable(spark, state_path(spark, "buckets"), buckets=8)
+    table.merge(spark.createDataFrame([(i, 0, f"k{i}", "a", at(1), None, None) for i in range(200)], SCHEMA))
+    assert len(table.index.manifest()["parts"]) == 8
+    read, real = [], PartitionStore.read
+
+    def seen(self, parts=None, version=None):
+        if self.root.endswith("/index"):
+            read.append(parts)
+        return real(self, parts, version)
+
+    monkeypatch.setattr(PartitionStore, "read", seen)
+    table.merge(spark.createDataFrame([(500, 1, "K-7", "a", at(2), None, None)], SCHEMA))
+    assert [len(p) for p in read] == [1]
+    assert table.winners().count() == 200
+
+
+def test_repeated_sequence_numbers_count_once(spark):
+    df = spark.createDataFrame([(1, 0, "x", "a", at(1), "p", None), (1, 0, "X", "a", at(1), "q", None), (2, 0, None, "a", None, None, None), (2, 0, None, "a", None, None, None)], SCHEMA)
+    assert sorted(r[0] for r in once(df, unique_seq=True).select("ingest_seq").collect()) == [1, 2, 2]

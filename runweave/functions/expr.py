@@ -31,9 +31,22 @@ def missed(failures: str | Column = "actual_failures", skipped: str | Column = "
     return F.size(F.filter(items(failures), lambda f: F.array_contains(skip, f))).cast("bigint")
 
 
-def skip_share(skipped: str = "predicted_skip", tests: str = "all_tests") -> Column:
-    """Share of tests predicted to be skipped, over one test at least."""
-    return size0(skipped) / F.greatest(size0(tests), F.lit(1))
+def with_counts(runs):
+    """runs with what trends and recalls need of the arrays: n_skipped, n_failed, n_listed, n_missed. Taken before a shuffle they keep the arrays out of it."""
+    if "n_failed" in runs.columns:
+        return runs
+    return runs.withColumns({"n_skipped": size0("predicted_skip"), "n_failed": size0("actual_failures"), "n_listed": size0("all_tests"), "n_missed": missed()})
+
+
+def skipped_share() -> Column:
+    """Share of tests predicted to be skipped, from the counts, over one test at least."""
+    return F.col("n_skipped") / F.greatest(F.col("n_listed"), F.lit(1))
+
+
+def exact_avg(c: str | Column) -> Column:
+    """Mean in whole billionths: the sum is exact, so it doesn't depend on the order of rows."""
+    x = col(c)
+    return F.sum(F.floor(x * 1e9 + 0.5).cast("decimal(20,0)")).cast("double") / F.count(x) / 1e9
 
 
 def sunday_week(at: str | Column) -> Column:
@@ -90,26 +103,31 @@ def is_test_file(path: str | Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Regular expression of a glob: ** over folders, * and ? within one, [...] and {a,b}; without slash it tests the last segment."""
+    """Regular expression of a glob: ** over folders, * and ? within one, [...] and {a,b}; without slash it tests the last segment.
+
+    A segment that begins with a dot is met only by a pattern that says the dot.
+    """
     out, i, depth = [], 0, 0
     while i < len(glob):
         c = glob[i]
-        if glob.startswith("**/", i) and (i == 0 or glob[i - 1] == "/"):
-            out.append("(?:[^/]+/)*")
+        first = i == 0 or glob[i - 1] in "/{,"
+        shown = r"(?!\.)" if first else ""
+        if glob.startswith("**/", i) and first:
+            out.append(r"(?:(?!\.)[^/]+/)*")
             i += 3
             continue
         if glob.startswith("**", i):
-            out.append(".*")
+            out.append(shown + r"(?:[^/]|/(?!\.))*")
             i += 2
             continue
         if c == "*":
-            out.append("[^/]*")
+            out.append(shown + "[^/]*")
         elif c == "?":
-            out.append("[^/]")
+            out.append(shown + "[^/]")
         elif c == "[" and "]" in glob[i + 1 :]:
             end = glob.index("]", i + 1)
             body = glob[i + 1 : end]
-            out.append("[" + ("^" + body[1:] if body[:1] in "!^" else body).replace("\\", "\\\\") + "]")
+            out.append(shown + "[" + ("^" + body[1:] if body[:1] in "!^" else body).replace("\\", "\\\\") + "]")
             i = end
         elif c == "{" and "}" in glob[i + 1 :]:
             out.append("(?:")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runweave.functions.expr import items, missed, share_or_one, size0, skip_share, sunday_week
+from runweave.functions.expr import exact_avg, items, share_or_one, skipped_share, sunday_week, with_counts
 
 
 def for_repo(runs: DataFrame, repo_id: str | None) -> DataFrame:
@@ -19,7 +19,7 @@ def for_repo(runs: DataFrame, repo_id: str | None) -> DataFrame:
 
 def shadow_progress(runs: DataFrame, target: int = 50) -> DataFrame:
     """repo_id, run_count, avg_skip_pct, progress_pct (run count against a target, 100 at most)."""
-    counts = runs.groupBy("repo_id").agg(F.count(F.lit(1)).alias("run_count"), F.avg(skip_share()).alias("avg_skip_pct"))
+    counts = with_counts(runs).groupBy("repo_id").agg(F.count(F.lit(1)).alias("run_count"), exact_avg(skipped_share()).alias("avg_skip_pct"))
     return counts.withColumn("progress_pct", F.least(F.col("run_count") / F.lit(target) * 100, F.lit(100.0)))
 
 
@@ -45,7 +45,7 @@ def flake_scores(runs: DataFrame) -> DataFrame:
 
 def accuracy_trend(runs: DataFrame) -> DataFrame:
     """repo_id, week (a Sunday), runs_with_failures, missed_failures, total_failures, accuracy_pct (100 without failures)."""
-    rows = runs.where(F.col("created_at").isNotNull()).select("repo_id", sunday_week("created_at").alias("week"), size0("actual_failures").alias("f"), missed().alias("m"))
+    rows = with_counts(runs).where(F.col("created_at").isNotNull()).select("repo_id", sunday_week("created_at").alias("week"), F.col("n_failed").alias("f"), F.col("n_missed").alias("m"))
     weekly = rows.groupBy("repo_id", "week").agg(F.count_if(F.col("f") > 0).alias("runs_with_failures"), F.sum("m").alias("missed_failures"), F.sum("f").alias("total_failures"))
     return weekly.withColumn("accuracy_pct", share_or_one(F.col("missed_failures"), F.col("total_failures")) * 100)
 
@@ -68,14 +68,14 @@ def latest_per_repo(runs: DataFrame, n: int) -> DataFrame:
 
 def recent_recall(runs: DataFrame, n: int = 20) -> DataFrame:
     """repo_id, recall, total_failures over the n newest runs; recall is 1 without failures."""
-    rows = latest_per_repo(runs.select("repo_id", "created_at", "ingest_seq", size0("actual_failures").alias("f"), missed().alias("m")), n)
+    rows = latest_per_repo(with_counts(runs).select("repo_id", "created_at", "ingest_seq", F.col("n_failed").alias("f"), F.col("n_missed").alias("m")), n)
     sums = rows.groupBy("repo_id").agg(F.sum("f").alias("total_failures"), F.sum("m").alias("m"))
     return sums.select("repo_id", share_or_one(F.col("m"), F.col("total_failures")).alias("recall"), "total_failures")
 
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
     """repo_id, place, pr_number, sha, mode, created_us, skip_pct, failure_count of the n newest runs."""
-    return latest_per_repo(runs, n).select("repo_id", "place", "pr_number", "sha", "mode", F.unix_micros("created_at").alias("created_us"), skip_share().alias("skip_pct"), size0("actual_failures").alias("failure_count"))
+    return latest_per_repo(with_counts(runs), n).select("repo_id", "place", "pr_number", "sha", "mode", F.unix_micros("created_at").alias("created_us"), skipped_share().alias("skip_pct"), F.col("n_failed").alias("failure_count"))
 
 
 ORDER = ("created_at", "ingest_seq")
@@ -87,7 +87,7 @@ def rolling_recall(runs: DataFrame, n: int = 20) -> DataFrame:
     The window runs within (repository, day), so a repository with a third of all runs is many tasks; each day gets the last n - 1
     runs before it from a table of day ends, which has a row a repository and day.
     """
-    rows = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "created_at", size0("actual_failures").alias("f"), missed().alias("m"))
+    rows = with_counts(runs).where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "created_at", F.col("n_failed").alias("f"), F.col("n_missed").alias("m"))
     rows = rows.withColumn("day", F.to_date("created_at"))
     late = F.row_number().over(W.partitionBy("repo_id", "day").orderBy(*(F.col(c).desc() for c in ORDER)))
     ends = rows.withColumn("_p", late).where(F.col("_p") < n).groupBy("repo_id", "day").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "f", "m"))).alias("end"))
@@ -122,8 +122,8 @@ def alert_transitions(runs: DataFrame, low: float = 0.95, high: float = 0.98, n:
 
 def accuracy_report(runs: DataFrame) -> DataFrame:
     """repo_id, skip_rate (mean over runs that list tests), recall, report (one line of text)."""
-    ratio = F.when(size0("all_tests") > 0, skip_share())
-    sums = runs.groupBy("repo_id").agg(F.avg(ratio).alias("skip_rate"), F.sum(size0("actual_failures")).alias("f"), F.sum(missed()).alias("m"), F.count(F.lit(1)).alias("n"))
+    ratio = F.when(F.col("n_listed") > 0, skipped_share())
+    sums = with_counts(runs).groupBy("repo_id").agg(exact_avg(ratio).alias("skip_rate"), F.sum("n_failed").alias("f"), F.sum("n_missed").alias("m"), F.count(F.lit(1)).alias("n"))
     sums = sums.select("repo_id", F.coalesce("skip_rate", F.lit(0.0)).alias("skip_rate"), share_or_one(F.col("m"), F.col("f")).alias("recall"), "n")
     return sums.select("repo_id", "skip_rate", "recall", F.format_string("%d runs: %.1f%% skipped, recall %.1f%%", "n", F.col("skip_rate") * 100, F.col("recall") * 100).alias("report"))
 
@@ -131,7 +131,7 @@ def accuracy_report(runs: DataFrame) -> DataFrame:
 def accuracy_floor(runs: DataFrame, window: int = 20, floor: float = 0.99) -> DataFrame:
     """repo_id, runs_seen, recall, below_floor: over the last ``window`` runs in order of arrival; never below with fewer runs."""
     place = F.row_number().over(W.partitionBy("repo_id").orderBy(F.col("ingest_seq").desc()))
-    last = runs.select("repo_id", "ingest_seq", size0("actual_failures").alias("f"), missed().alias("m")).withColumn("p", place).where(F.col("p") <= window)
+    last = with_counts(runs).select("repo_id", "ingest_seq", F.col("n_failed").alias("f"), F.col("n_missed").alias("m")).withColumn("p", place).where(F.col("p") <= window)
     sums = last.groupBy("repo_id").agg(F.count(F.lit(1)).alias("runs_seen"), F.sum("f").alias("f"), F.sum("m").alias("m"))
     recall = share_or_one(F.col("m"), F.col("f"))
     return sums.select("repo_id", "runs_seen", recall.alias("recall"), ((F.col("runs_seen") >= window) & (recall < floor)).alias("below_floor"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runweave.functions.expr import exact_avg
+from runweave.operators import ranks
+
 #: fixed values: largest share of tests a mode may skip
 SKIP_SHARE = {"shadow": 0.0, "conservative": 0.15, "standard": 0.5, "aggressive": 0.8}
 
@@ -18,16 +20,19 @@ def merge_layers(tests: DataFrame, graph_hits: DataFrame, bands: DataFrame, deci
     classification), full_suite(repo_id). Blocking are graph hits, high bands and blocking decisions, and all tests of a full-suite
     repository; recommended are recommended decisions that aren't blocking. Of the other tests the first share in path order may be
     skipped, and of these the ones above the quarantine score run after all; nothing moves up for them. A test listed twice counts twice in the share's base.
+    Places in path order are taken in stretches, so that no repository is one task.
     """
     keys = ["repo_id", "test_path"]
     blocking = graph_hits.select(*keys).unionByName(bands.where("band = 'high'").select(*keys)).unionByName(decisions.where("classification = 'blocking'").select(*keys))
     if full_suite is not None:
         blocking = blocking.unionByName(tests.join(full_suite.select("repo_id").distinct(), "repo_id", "left_semi").select(*keys))
-    ranks = blocking.withColumn("rank", F.lit(2)).unionByName(decisions.where("classification = 'recommended'").select(*keys).withColumn("rank", F.lit(1)))
-    placed = ranks.groupBy(*keys).agg(F.max("rank").alias("rank"))
-    chosen = placed.select(*keys, F.when(F.col("rank") == 2, "blocking").otherwise("recommended").alias("bucket"))
+    votes = blocking.withColumn("rank", F.lit(2)).unionByName(decisions.where("classification = 'recommended'").select(*keys).withColumn("rank", F.lit(1)))
+    taken = votes.groupBy(*keys).agg(F.max("rank").alias("rank"))
+    chosen = taken.select(*keys, F.when(F.col("rank") == 2, "blocking").otherwise("recommended").alias("bucket"))
     totals = tests.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"))
-    free = tests.join(placed, keys, "left_anti").withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy("test_path", "flake_score")))
+    if not SKIP_SHARE[mode]:
+        return chosen
+    free = ranks.placed(tests.select(*keys, "flake_score").join(taken, keys, "left_anti"), ["repo_id"], [F.col("test_path"), F.col("flake_score")])
     skipped = free.join(totals, "repo_id").where(F.col("place") <= F.floor(F.col("total") * F.lit(SKIP_SHARE[mode])))
     skipped = skipped.where(F.coalesce("flake_score", F.lit(0.0)) <= quarantine).select(*keys, F.lit("skip").alias("bucket"))
     return chosen.unionByName(skipped)
@@ -37,7 +42,7 @@ def selection_metrics(buckets: DataFrame, bands: DataFrame) -> DataFrame:
     """repo_id, blocking, recommended, skipped, confidence (mean score of the bands, 0 if none), minutes_saved."""
     of = lambda b: F.count_if(F.col("bucket") == b)
     counts = buckets.groupBy("repo_id").agg(of("blocking").alias("blocking"), of("recommended").alias("recommended"), of("skip").alias("skipped"))
-    mean = bands.groupBy("repo_id").agg(F.avg("score").alias("confidence"))
+    mean = bands.groupBy("repo_id").agg(exact_avg("score").alias("confidence"))
     return counts.join(mean, "repo_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("minutes_saved", F.col("skipped") * 0.5)
 
 

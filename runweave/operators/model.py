@@ -8,9 +8,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runweave.operators import ranks
 from runweave.operators.features import NAMES
 
 LEAST_RUNS = 100
@@ -25,7 +25,7 @@ def fit(training: DataFrame, *, trees: int = 100, depth: int = 3, step: float =
 
 def label_shares(training: DataFrame) -> DataFrame:
     """rows, positives, positive_share of a training set."""
-    return training.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("label").alias("positive_share"))
+    return training.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), (F.sum("label") / F.count(F.lit(1))).alias("positive_share"))
 
 
 def scored(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -34,10 +34,27 @@ def scored(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, runs_by_repo: DataFrame, least: int = LEAST_RUNS) -> DataFrame:
-    """repo_id, test_path, score, place: repositories with too few runs, or whose scores are all zero, get 0.5 throughout."""
-    rows = scores.select("repo_id", "test_path", "score").join(runs_by_repo.select("repo_id", "run_count"), "repo_id", "left")
-    top = F.max("score").over(W.partitionBy("repo_id"))
-    idle = (F.coalesce("run_count", F.lit(0)) < least) | (top == 0)
-    rows = rows.withColumn("_s", F.when(idle, 0.5).otherwise(F.col("score")))
-    place = F.row_number().over(W.partitionBy("repo_id").orderBy(F.col("_s").desc(), "test_path"))
-    return rows.select("repo_id", "test_path", F.col("_s").alias("score"), place.alias("place"))
+    """repo_id, test_path, score, place: repositories with too few runs, or whose scores are all zero, get 0.5 throughout. Places are taken in stretches."""
+    rows = scores.select("repo_id", "test_path", "score")
+    top = rows.groupBy("repo_id").agg(F.max("score").alias("top")).join(runs_by_repo.select("repo_id", "run_count"), "repo_id", "left")
+    idle = top.select("repo_id", ((F.coalesce("run_count", F.lit(0)) < least) | (F.col("top") == 0)).alias("idle"))
+    rows = rows.join(idle, "repo_id").select("repo_id", "test_path", F.when(F.col("idle"), 0.5).otherwise(F.col("score")).alias("score"))
+    return ranks.placed(rows, ["repo_id"], [F.col("score").desc(), F.col("test_path")])
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline, over an older one if there is one."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel | None:
+    """The pipeline at a path; None if there is none or it can't be read, so that scoring goes on without it."""
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001 - an absent or broken model means no model
+        return None
+
+
+def scored_or_zero(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    """``scored``, or features with a score of 0 where there is no model; ``ranked`` turns scores that are all 0 into 0.5."""
+    return features.withColumn("score", F.lit(0.0)) if model is None else scored(model, features)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runweave.functions.expr import with_counts
 from runweave.operators.graph import file_links
 from runweave.operators.hierarchy import cyclic_files, graph_hierarchy
 from runweave.operators.links import link_descendants, link_hierarchy
@@ -61,6 +62,12 @@ def counted_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return once(table(spark, sf_dir, "runs").select(*need), unique_seq=True)
 
 
+def measured_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Runs, each once, with the counts of their arrays instead of these: the arrays stay in the scan."""
+    need = list(dict.fromkeys(["ingest_seq", "id", "repo_id", *columns]))
+    return once(with_counts(table(spark, sf_dir, "runs")).select(*need, "n_skipped", "n_failed", "n_listed", "n_missed"), unique_seq=True)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concentrated_days(counted_runs(spark, sf_dir, "time_saved_minutes", "created_at"))
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from runweave.functions.expr import is_test_file, matches_any
 from runweave.operators import analytics, decisions, diffs, features, graph, ingest, merge, model, retrieval
-from runweave.plans.core_queries import ONCE, counted_runs
+from runweave.plans.core_queries import ONCE, counted_runs, measured_runs
 from runweave.sources.tables import table
 
-ARRAYS = ("predicted_skip", "actual_failures", "all_tests")
+ARRAYS = ("actual_failures", "all_tests")
 AS_OF = "2026-03-01 00:00:00"
 FULL_SUITE_GLOBS = ["**/*.types.ts", "*Core.*"]
 
@@ -39,16 +39,18 @@ m AS (SELECT *, len(list_filter(af, lambda f: list_contains(ps, f))) AS missed,
 R = _cte()
 RECALL = "CASE WHEN {f} > 0 THEN ({f} - {m}) / CAST({f} AS DOUBLE) ELSE 1.0 END"
 WEEK = "CAST(created_at AT TIME ZONE 'UTC' AS DATE) - CAST(dayofweek(CAST(created_at AT TIME ZONE 'UTC' AS DATE)) AS INTEGER)"
+#: mean in whole billionths, so that the order of rows doesn't matter
+MEAN = "CAST(sum(CAST(floor(({x}) * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / count({x}) / 1e9"
 NEWEST = "row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS LAST, ingest_seq DESC)"
 
 
 # -- run history ---------------------------------------------------------------------------------------------------
 
 
-@query("shadow_progress", f"""WITH {R} SELECT repo_id, count(*) AS run_count, round(avg(len(ps) / CAST(greatest(len(tt), 1) AS DOUBLE)), 6) AS avg_skip_pct,
+@query("shadow_progress", f"""WITH {R} SELECT repo_id, count(*) AS run_count, {MEAN.format(x='len(ps) / CAST(greatest(len(tt), 1) AS DOUBLE)')} AS avg_skip_pct,
   least(count(*) / 50.0 * 100, 100.0) AS progress_pct FROM r GROUP BY 1""")
 def shadow_progress(spark, d):
-    return analytics.shadow_progress(counted_runs(spark, d, *ARRAYS)).withColumn("avg_skip_pct", F.round("avg_skip_pct", 6))
+    return analytics.shadow_progress(measured_runs(spark, d))
 
 
 _SEEN = """e AS (SELECT repo_id, unnest(tt) AS test_path, 0 AS f FROM r UNION ALL SELECT repo_id, unnest(af), 1 FROM r),
@@ -70,7 +72,7 @@ def flake_scores(spark, d):
   CAST(sum(failures) AS BIGINT) AS total_failures, {RECALL.format(f='sum(failures)', m='sum(missed)')} * 100 AS accuracy_pct
   FROM m WHERE created_at IS NOT NULL GROUP BY 1, 2""")
 def accuracy_trend(spark, d):
-    return analytics.accuracy_trend(counted_runs(spark, d, *ARRAYS, "created_at"))
+    return analytics.accuracy_trend(measured_runs(spark, d, "created_at"))
 
 
 @query("savings_trend", f"""WITH {R} SELECT repo_id, {WEEK} AS week, coalesce(sum(CASE WHEN NOT isnan(time_saved_minutes) THEN CAST(time_saved_minutes AS DOUBLE) END), 0.0) AS minutes_saved
@@ -82,13 +84,13 @@ def savings_trend(spark, d):
 @query("recent_recall", f"""WITH {R}, n AS (SELECT * FROM m QUALIFY {NEWEST} <= 20)
 SELECT repo_id, {RECALL.format(f='sum(failures)', m='sum(missed)')} AS recall, CAST(sum(failures) AS BIGINT) AS total_failures FROM n GROUP BY 1""")
 def recent_recall(spark, d):
-    return analytics.recent_recall(counted_runs(spark, d, *ARRAYS, "created_at"))
+    return analytics.recent_recall(measured_runs(spark, d, "created_at"))
 
 
 @query("recent_runs", f"""WITH {R} SELECT repo_id, CAST({NEWEST} AS INTEGER) AS place, pr_number, sha, mode, epoch_us(created_at) AS created_us,
   len(ps) / CAST(greatest(len(tt), 1) AS DOUBLE) AS skip_pct, CAST(len(af) AS BIGINT) AS failure_count FROM r QUALIFY {NEWEST} <= 10""")
 def recent_runs(spark, d):
-    return analytics.recent_runs(counted_runs(spark, d, *ARRAYS, "created_at", "pr_number", "sha", "mode"))
+    return analytics.recent_runs(measured_runs(spark, d, "created_at", "pr_number", "sha", "mode"))
 
 
 @query("latest_n_per_repo", f"WITH {R} SELECT repo_id, ingest_seq, CAST({NEWEST} AS INTEGER) AS place FROM r QUALIFY {NEWEST} <= 5")
@@ -102,7 +104,7 @@ _ROLL = f"""roll AS (SELECT repo_id, ingest_seq, created_at, {RECALL.format(f='s
 
 @query("rolling_recall", f"WITH {R}, {_ROLL} SELECT repo_id, ingest_seq, recall FROM roll")
 def rolling_recall(spark, d):
-    return analytics.rolling_recall(counted_runs(spark, d, *ARRAYS, "created_at")).select("repo_id", "ingest_seq", "recall")
+    return analytics.rolling_recall(measured_runs(spark, d, "created_at")).select("repo_id", "ingest_seq", "recall")
 
 
 @query("alert_transitions", f"""WITH {R}, {_ROLL},
@@ -110,20 +112,20 @@ g AS (SELECT *, CASE WHEN recall < 0.95 THEN 'low' WHEN recall >= 0.98 THEN 'hig
 p AS (SELECT *, last_value(signal IGNORE NULLS) OVER (PARTITION BY repo_id ORDER BY created_at, ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM g)
 SELECT repo_id, ingest_seq, recall, CASE WHEN signal = 'low' AND prior IS DISTINCT FROM 'low' THEN 'fire' WHEN signal = 'high' AND prior = 'low' THEN 'recover' ELSE 'hold' END AS event FROM p""")
 def alert_transitions(spark, d):
-    return analytics.alert_transitions(counted_runs(spark, d, *ARRAYS, "created_at"))
+    return analytics.alert_transitions(measured_runs(spark, d, "created_at"))
 
 
-@query("accuracy_report", f"""WITH {R} SELECT repo_id, round(coalesce(avg(CASE WHEN len(tt) > 0 THEN len(ps) / CAST(len(tt) AS DOUBLE) END), 0.0), 6) AS skip_rate,
+@query("accuracy_report", f"""WITH {R} SELECT repo_id, coalesce({MEAN.format(x='CASE WHEN len(tt) > 0 THEN len(ps) / CAST(len(tt) AS DOUBLE) END')}, 0.0) AS skip_rate,
   {RECALL.format(f='sum(failures)', m='sum(missed)')} AS recall FROM m GROUP BY 1""")
 def accuracy_report(spark, d):
-    return analytics.accuracy_report(counted_runs(spark, d, *ARRAYS)).select("repo_id", F.round("skip_rate", 6).alias("skip_rate"), "recall")
+    return analytics.accuracy_report(measured_runs(spark, d)).select("repo_id", "skip_rate", "recall")
 
 
 @query("accuracy_floor", f"""WITH {R}, n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ingest_seq DESC) <= 20),
 s AS (SELECT repo_id, count(*) AS runs_seen, {RECALL.format(f='sum(failures)', m='sum(missed)')} AS recall FROM n GROUP BY 1)
 SELECT repo_id, runs_seen, recall, runs_seen >= 20 AND recall < 0.99 AS below_floor FROM s""")
 def accuracy_floor(spark, d):
-    return analytics.accuracy_floor(counted_runs(spark, d, *ARRAYS))
+    return analytics.accuracy_floor(measured_runs(spark, d))
 
 
 @query("dominant_repo", f"WITH {R} SELECT repo_id, count(*) AS runs FROM r GROUP BY 1 ORDER BY runs DESC, min(ingest_seq) LIMIT 1")
@@ -195,6 +197,12 @@ links AS (SELECT DISTINCT * FROM (
   SELECT result_id, array_to_string(list_filter(string_split(replace(p, '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS src,
          array_to_string(list_filter(string_split(replace(c, '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS dst FROM raw WHERE c IS NOT NULL)
   WHERE src <> '' AND dst <> '')"""
+_FILES = r"""named AS (SELECT result_id, array_to_string(list_filter(string_split(replace(e.key, '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') AS path
+  FROM (SELECT result_id, unnest(map_entries(dependency_graph)) AS e FROM layer1_results)),
+k AS (SELECT result_id, path, 1 AS k FROM named WHERE path <> '' UNION ALL SELECT result_id, dst, 0 FROM links),
+dist AS (SELECT result_id, path, CAST(CASE WHEN max(k) = 1 THEN 0.0 ELSE 0.2 END AS DOUBLE) AS distance FROM k GROUP BY 1, 2)"""
+#: changed files of a graph: those that are imported and import nothing
+_SEEDS = "seeds AS (SELECT DISTINCT result_id, dst AS f FROM links l WHERE NOT EXISTS (SELECT 1 FROM links m WHERE m.result_id = l.result_id AND m.src = l.dst))"
 _IS_TEST = r"""(strpos({p}, '/__tests__/') > 0 OR regexp_matches({p}, '\.(test|spec)\.(ts|tsx|js)$') OR {p} LIKE '%\_test.go' ESCAPE '\' OR {p} LIKE '%\_spec.rb' ESCAPE '\'
   OR regexp_matches({p}, '(^|/)test_[^/]*\.py$') OR regexp_matches({p}, '_test\.py$'))"""
 
@@ -205,25 +213,25 @@ def import_links(spark, d):
 
 
 def _changed(graphs: DataFrame) -> DataFrame:
-    """Each graph with its changed files: the first imported file in code-point order."""
-    first = graph.links(graphs).groupBy("result_id").agg(F.min("dst").alias("f"))
-    return graphs.select("result_id", "dependency_graph").join(first, "result_id").withColumn("changed", F.array("f"))
+    """Each graph with its changed files: those that are imported and import nothing."""
+    links = graph.links(graphs)
+    leaves = links.select("result_id", F.col("dst").alias("f")).join(links.select("result_id", F.col("src").alias("f")), ["result_id", "f"], "left_anti")
+    return graphs.select("result_id", "dependency_graph").join(leaves.groupBy("result_id").agg(F.collect_set("f").alias("changed")), "result_id")
 
 
-@query("blocking_candidates", f"""WITH RECURSIVE {_LINKS}, seeds AS (SELECT result_id, min(dst) AS f FROM links GROUP BY 1),
+@query("blocking_candidates", f"""WITH RECURSIVE {_LINKS}, {_SEEDS},
 walk(result_id, f) AS (SELECT result_id, f FROM seeds UNION SELECT w.result_id, l.src FROM walk w JOIN links l ON l.result_id = w.result_id AND l.dst = w.f)
 SELECT result_id, f AS test_path FROM walk WHERE {_IS_TEST.format(p='f')}""")
 def blocking_candidates(spark, d):
     return graph.blocking_tests(_changed(table(spark, d, "layer1_results")))
 
 
-@query("graph_distance", f"""WITH {_LINKS}, k AS (SELECT result_id, src AS path, 1 AS k FROM links UNION ALL SELECT result_id, dst, 0 FROM links)
-SELECT result_id, path, CAST(CASE WHEN max(k) = 1 THEN 0.0 ELSE 0.2 END AS DOUBLE) AS distance FROM k GROUP BY 1, 2""")
+@query("graph_distance", f"WITH {_LINKS}, {_FILES} SELECT result_id, path, distance FROM dist")
 def graph_distance(spark, d):
     return graph.key_distance(graph.file_links(table(spark, d, "layer1_results")))
 
 
-@query("customer_reach", """WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority LIKE '1%'),
+@query("customer_reach", """WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders),
 walk(node) AS (SELECT * FROM (VALUES (CAST(7 AS BIGINT)), (77), (100)) UNION SELECT e.src FROM walk w JOIN edges e ON e.dst = w.node) SELECT node FROM walk""")
 def customer_reach(spark, d):
     n = table(spark, d, "customer").count()
@@ -231,14 +239,15 @@ def customer_reach(spark, d):
     return graph.dependents(edges, spark.createDataFrame([(7,), (77,), (100,)], "node bigint")).select("node")
 
 
-@query("is_test_file", f"WITH {_LINKS}, f AS (SELECT src AS path FROM links UNION SELECT dst FROM links) SELECT path, {_IS_TEST.format(p='path')} AS is_test FROM f")
+@query("is_test_file", f"WITH {_LINKS}, {_FILES} SELECT DISTINCT path, {_IS_TEST.format(p='path')} AS is_test FROM k")
 def test_files(spark, d):
     files = graph.files(table(spark, d, "layer1_results")).select("path").distinct()
     return files.select("path", is_test_file("path").alias("is_test"))
 
 
-@query("run_full_suite", f"""WITH {_LINKS}, f AS (SELECT result_id, src AS path FROM links UNION SELECT result_id, dst FROM links)
-SELECT result_id, bool_or(regexp_matches(path, '^(.*/)?[^/]*\\.types\\.ts$') OR regexp_matches(path, '^(.*/)?[^/]*Core\\.[^/]*$')) AS full_suite FROM f GROUP BY 1""")
+@query("run_full_suite", f"""WITH {_LINKS}, {_FILES} SELECT result_id,
+  coalesce(bool_or(regexp_matches(path, '^(.*/)?[^/]*\\.types\\.ts$') OR regexp_matches(path, '^(.*/)?[^/]*Core\\.[^/]*$')), false) AS full_suite
+  FROM (SELECT DISTINCT result_id FROM layer1_results) LEFT JOIN k USING (result_id) GROUP BY 1""")
 def run_full_suite(spark, d):
     """One row a graph; a graph without files matches nothing."""
     graphs = table(spark, d, "layer1_results")
@@ -249,11 +258,11 @@ def run_full_suite(spark, d):
 # -- vectors -------------------------------------------------------------------------------------------------------
 
 _BAND = "CASE WHEN {s} > 0.85 THEN 'high' WHEN {s} BETWEEN 0.3 AND 0.7 THEN 'medium' ELSE 'low' END"
-_COS = """v AS (SELECT a.vec_id AS key, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b),
-c AS (SELECT key, least(1.0, greatest(-1.0, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))))) AS score FROM v)"""
-_BITS = "list_transform(x, lambda e: CASE WHEN e > 0 THEN 1 ELSE 0 END)"
-_HAM = f"""h AS (SELECT key, CAST(list_sum(list_transform(list_zip({_BITS}, list_transform(y, lambda e: CASE WHEN e > 0 THEN 1 ELSE 0 END)), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM v),
-near AS (SELECT key, distance FROM h ORDER BY distance, key LIMIT 50)"""
+_COS = """v AS (SELECT b.vec_id AS query_id, a.vec_id AS key, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) b),
+c AS (SELECT query_id, key, least(1.0, greatest(-1.0, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))))) AS score FROM v)"""
+_HAM = """bits AS (SELECT vec_id, list_sum(list_transform(embedding, lambda e, i: CASE WHEN e > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS s FROM embeddings),
+h AS (SELECT b.vec_id AS query_id, a.vec_id AS key, CAST(bit_count(xor(a.s, b.s)) AS INTEGER) AS distance FROM bits a, (SELECT * FROM bits WHERE vec_id % 100 = 0) b),
+near AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, key) <= 50)"""
 
 
 def _vectors(spark, d):
@@ -262,23 +271,23 @@ def _vectors(spark, d):
     return v, v.where("vec_id % 100 = 0")
 
 
-@query("cosine_bands", f"WITH {_COS} SELECT key, round(score, 6) AS score, {_BAND.format(s='score')} AS band FROM c")
+@query("cosine_bands", f"WITH {_COS} SELECT query_id, key, round(score, 6) AS score, {_BAND.format(s='score')} AS band FROM c")
 def cosine_bands(spark, d):
     return retrieval.cosine_bands(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("hamming_topk", f"WITH {_COS}, {_HAM} SELECT key, distance FROM near")
+@query("hamming_topk", f"WITH {_HAM} SELECT query_id, key, distance FROM near")
 def hamming_topk(spark, d):
     return retrieval.hamming_nearest(*_vectors(spark, d))
 
 
-@query("tiered_retrieval", f"WITH {_COS}, {_HAM} SELECT c.key, round(score, 6) AS score, {_BAND.format(s='score')} AS band FROM c JOIN near ON near.key = c.key")
+@query("tiered_retrieval", f"WITH {_COS}, {_HAM} SELECT query_id, key, round(score, 6) AS score, {_BAND.format(s='score')} AS band FROM c JOIN near USING (query_id, key)")
 def tiered_retrieval(spark, d):
     return retrieval.tiered(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("embedding_cache", """SELECT doc_id, doc_id % 3 <> 0 AS hit, 'sha256:' || sha256(text) || ':dim4' AS key FROM documents d WHERE text IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id <> d.doc_id)""")
+@query("embedding_cache", """SELECT doc_id, CAST('0x' || substr(sha256(text), 1, 4) AS INTEGER) % 3 <> 0 AS hit, 'sha256:' || sha256(text) || ':dim4' AS key
+  FROM documents WHERE text IS NOT NULL""")
 def embedding_cache(spark, d):
     """Hits and misses of a cache that holds about two thirds of the contents, by their digest; copies share an entry."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
@@ -322,7 +331,7 @@ def _graph_hits(spark, d) -> DataFrame:
     return hits.select("repo_id", "test_path").distinct()
 
 
-_MERGE = f"""{_LINKS}, seeds AS (SELECT result_id, min(dst) AS f FROM links GROUP BY 1),
+_MERGE = f"""{_LINKS}, {_SEEDS},
 walk(result_id, f) AS (SELECT result_id, f FROM seeds UNION SELECT w.result_id, l.src FROM walk w JOIN links l ON l.result_id = w.result_id AND l.dst = w.f),
 hits AS (SELECT DISTINCT g.repo_id, w.f AS test_path FROM walk w JOIN layer1_results g ON g.result_id = w.result_id WHERE {_IS_TEST.format(p='w.f')}),
 best AS (SELECT repo_id, test_path, max(flake_score) AS score FROM flaky_rows WHERE flake_score IS NOT NULL AND NOT isnan(flake_score) GROUP BY 1, 2),
@@ -347,11 +356,11 @@ def merge_selection(spark, d):
     return _buckets(spark, d)
 
 
-@query("selection_metrics", f"""WITH RECURSIVE {_MERGE}, mean AS (SELECT repo_id, avg(score) AS confidence FROM bands GROUP BY 1)
+@query("selection_metrics", f"""WITH RECURSIVE {_MERGE}, mean AS (SELECT repo_id, {MEAN.format(x='score')} AS confidence FROM bands GROUP BY 1)
 SELECT b.repo_id, CAST(count_if(bucket = 'blocking') AS BIGINT) AS blocking, CAST(count_if(bucket = 'recommended') AS BIGINT) AS recommended, CAST(count_if(bucket = 'skip') AS BIGINT) AS skipped,
-  round(coalesce(any_value(confidence), 0.0), 6) AS confidence, CAST(count_if(bucket = 'skip') * 0.5 AS DOUBLE) AS minutes_saved FROM buckets b LEFT JOIN mean ON mean.repo_id = b.repo_id GROUP BY 1""")
+  coalesce(any_value(confidence), 0.0) AS confidence, CAST(count_if(bucket = 'skip') * 0.5 AS DOUBLE) AS minutes_saved FROM buckets b LEFT JOIN mean ON mean.repo_id = b.repo_id GROUP BY 1""")
 def selection_metrics(spark, d):
-    return merge.selection_metrics(_buckets(spark, d), _bands(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    return merge.selection_metrics(_buckets(spark, d), _bands(spark, d))
 
 
 @query("logged_tests", f"""WITH RECURSIVE {_MERGE} SELECT repo_id, list_concat(coalesce(list(test_path ORDER BY test_path) FILTER (bucket = 'blocking'), []),
@@ -383,20 +392,20 @@ def pass_permutations(spark, d):
 # -- features ------------------------------------------------------------------------------------------------------
 
 
-@query("serving_features", f"""WITH {R}, lim AS (SELECT TIMESTAMPTZ '{AS_OF}+00' AS t),
+@query("serving_features", f"""WITH {R}, {_LINKS}, {_FILES},
+near AS (SELECT g.repo_id, t.path AS test_path, min(t.distance) AS distance FROM dist t JOIN layer1_results g ON g.result_id = t.result_id GROUP BY 1, 2), lim AS (SELECT TIMESTAMPTZ '{AS_OF}+00' AS t),
 cand AS (SELECT repo_id, test_path, max(flake_score) AS similarity FROM flaky_rows WHERE flake_score IS NOT NULL AND NOT isnan(flake_score) GROUP BY 1, 2),
 repo AS (SELECT repo_id, count(*) AS n, count(DISTINCT CASE WHEN created_at > lim.t - INTERVAL 30 DAY AND created_at <= lim.t THEN pr_number END) AS prs FROM r, lim GROUP BY 1),
 fx AS (SELECT repo_id, created_at, unnest(list_distinct(af)) AS test_path FROM r),
 fail AS (SELECT repo_id, test_path, count(*) AS fails, max(created_at) AS last FROM fx GROUP BY 1, 2),
 known AS (SELECT repo_id, path AS test_path, min(flake_score) AS flake, min(avg_duration_ms) AS ms FROM tests GROUP BY 1, 2)
-SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, CAST(0 AS DOUBLE) AS graph_distance, round(CASE WHEN n > 0 THEN coalesce(fails, 0) / CAST(n AS DOUBLE) ELSE 0.0 END, 6) AS failure_rate,
-  round(coalesce(least((epoch_us(lim.t) - epoch_us(last)) / 86400000000.0, 365.0) / 365, 1.0), 6) AS days_since_failure, coalesce(flake, 0.0) AS flakiness,
-  round(coalesce(least(ms / 60000, 1.0), 0.0), 9) AS exec_time, round(least(coalesce(prs, 0) / 30.0, 1.0), 6) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
-FROM cand c CROSS JOIN lim LEFT JOIN repo USING (repo_id) LEFT JOIN fail USING (repo_id, test_path) LEFT JOIN known USING (repo_id, test_path)""")
+SELECT c.repo_id, c.test_path, c.similarity AS embedding_similarity, coalesce(near.distance, 0.0) AS graph_distance, CASE WHEN n > 0 THEN coalesce(fails, 0) / CAST(n AS DOUBLE) ELSE 0.0 END AS failure_rate,
+  coalesce(least((epoch_us(lim.t) - epoch_us(last)) / CAST(86400000000 AS DOUBLE), 365.0) / 365, 1.0) AS days_since_failure, coalesce(flake, 0.0) AS flakiness,
+  coalesce(least(ms / 60000, 1.0), 0.0) AS exec_time, least(coalesce(prs, 0) / CAST(30 AS DOUBLE), 1.0) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
+FROM cand c CROSS JOIN lim LEFT JOIN repo USING (repo_id) LEFT JOIN fail USING (repo_id, test_path) LEFT JOIN known USING (repo_id, test_path) LEFT JOIN near USING (repo_id, test_path)""")
 def serving_features(spark, d):
     runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures")
-    rows = features.serving_features(_candidates(spark, d), runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
-    return rows.withColumns({c: F.round(c, 9 if c == "exec_time" else 6) for c in ("failure_rate", "days_since_failure", "exec_time", "file_churn")})
+    return features.serving_features(_candidates(spark, d), runs, table(spark, d, "tests"), F.lit(AS_OF).cast("timestamp"))
 
 
 @query("training_features", f"""WITH {R}, x AS (SELECT repo_id, ingest_seq, pr_number, created_at, af, unnest(list_distinct(tt)) AS test_path FROM r WHERE created_at IS NOT NULL),
@@ -406,20 +415,19 @@ z AS (SELECT *, sum(label) OVER t AS fails, count(*) OVER t AS n, max(CASE WHEN
   WINDOW t AS (PARTITION BY repo_id, test_path), u AS (PARTITION BY repo_id, test_path ORDER BY epoch_us(created_at) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 q AS (SELECT DISTINCT repo_id, test_path, pr_number, pr_last FROM z WHERE pr_number IS NOT NULL),
 a AS (SELECT z.repo_id, z.test_path, z.ingest_seq, count(q.pr_number) AS prs FROM z LEFT JOIN q ON q.repo_id = z.repo_id AND q.test_path = z.test_path AND q.pr_last >= epoch_us(z.created_at) - 2592000000000 GROUP BY 1, 2, 3)
-SELECT z.repo_id, z.ingest_seq, z.test_path, label, round(fails / CAST(n AS DOUBLE), 6) AS failure_rate, CAST('0x' || substr(md5(z.test_path), 1, 4) AS INTEGER) % 6 / 5.0 AS graph_distance,
-  round(coalesce(least((epoch_us(created_at) - last) / 86400000000.0, 365.0) / 365, 1.0), 6) AS days_since_failure, CAST(CASE WHEN fails > 0 AND fails < n THEN 1 ELSE 0 END AS DOUBLE) AS flakiness,
-  round(least(prs / 30.0, 1.0), 6) AS file_churn
+SELECT z.repo_id, z.ingest_seq, z.test_path, label, fails / CAST(n AS DOUBLE) AS embedding_similarity, fails / CAST(n AS DOUBLE) AS failure_rate, CAST('0x' || substr(md5(z.test_path), 1, 4) AS INTEGER) % 6 / CAST(5 AS DOUBLE) AS graph_distance,
+  coalesce(least((epoch_us(created_at) - last) / CAST(86400000000 AS DOUBLE), 365.0) / 365, 1.0) AS days_since_failure, CAST(CASE WHEN fails > 0 AND fails < n THEN 1 ELSE 0 END AS DOUBLE) AS flakiness,
+  CAST(0.1 AS DOUBLE) AS exec_time, least(prs / CAST(30 AS DOUBLE), 1.0) AS file_churn, CAST(0 AS DOUBLE) AS author_defect_rate
 FROM z JOIN a ON a.repo_id = z.repo_id AND a.test_path = z.test_path AND a.ingest_seq = z.ingest_seq""")
 def training_features(spark, d):
-    rows = features.training_features(counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests"))
-    return rows.select("repo_id", "ingest_seq", "test_path", "label", F.round("failure_rate", 6).alias("failure_rate"), "graph_distance", F.round("days_since_failure", 6).alias("days_since_failure"), "flakiness", F.round("file_churn", 6).alias("file_churn"))
+    return features.training_features(counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests"))
 
 
 @query("label_distribution", f"""WITH {R}, x AS (SELECT af, unnest(list_distinct(tt)) AS t FROM r WHERE created_at IS NOT NULL)
-SELECT count(*) AS rows, CAST(sum(CAST(list_contains(af, t) AS INTEGER)) AS BIGINT) AS positives, round(avg(CAST(list_contains(af, t) AS INTEGER)), 6) AS positive_share FROM x WHERE t IS NOT NULL""")
+SELECT count(*) AS rows, CAST(sum(CAST(list_contains(af, t) AS INTEGER)) AS BIGINT) AS positives, sum(CAST(list_contains(af, t) AS INTEGER)) / CAST(count(*) AS DOUBLE) AS positive_share FROM x WHERE t IS NOT NULL""")
 def label_distribution(spark, d):
     rows = features.training_features(counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests"))
-    return model.label_shares(rows).withColumn("positive_share", F.round("positive_share", 6))
+    return model.label_shares(rows)
 
 
 @query("ml_scores")
@@ -434,7 +442,7 @@ def ml_scores(spark, d):
 # -- diffs and decisions -------------------------------------------------------------------------------------------
 
 _DIFF = r"""l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
-c AS (SELECT doc_id, text, len(list_filter(x, lambda y: regexp_matches(y, '^\+\s*(export\s+)?(default\s+)?(async\s+)?(function|class|def|func|interface|type|const)\b'))) AS added,
+c AS (SELECT doc_id, text, len(list_filter(x, lambda y: regexp_matches(y, '^\+(?:(?:export\s+)?(?:function|class)\s|(?:export\s+)?const\s+\w+\s*=\s*\()'))) AS added,
   len(list_filter(x, lambda y: y LIKE '-%' AND y NOT LIKE '---%')) AS removed,
   len(list_filter(x, lambda y: regexp_matches(y, '^[+-]') AND y NOT LIKE '+++%' AND y NOT LIKE '---%')) AS effective FROM l)"""
 
@@ -448,23 +456,25 @@ def diff_type(spark, d):
 @query("diff_truncation", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS y, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 e AS (SELECT *, sum(CASE WHEN regexp_matches(y, '^[+-]') AND y NOT LIKE '+++%' AND y NOT LIKE '---%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n,
   regexp_matches(y, '^[+-]') AND y NOT LIKE '+++%' AND y NOT LIKE '---%' AS eff FROM l)
-SELECT doc_id, md5(string_agg(y, chr(10) ORDER BY i)) AS digest FROM e WHERE NOT eff OR n <= 2 GROUP BY 1""")
+SELECT doc_id, md5(string_agg(y, chr(10) ORDER BY i) FILTER (NOT eff OR n <= 2000)) AS digest, md5(coalesce(string_agg(y, chr(10) ORDER BY i) FILTER (NOT eff OR n <= 2), '')) AS digest_2 FROM e GROUP BY 1""")
 def diff_truncation(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.md5(diffs.truncated("text", 2)).alias("digest"))
+    return docs.select("doc_id", F.md5(diffs.truncated("text")).alias("digest"), F.md5(diffs.truncated("text", 2)).alias("digest_2"))
 
 
 _JSON = r"""\{"decisions":\[.*\]\}"""
 
 
-@query("strict_decisions", r"""WITH j AS (SELECT doc_id, regexp_extract(text, '\{"decisions":\[.*\]\}') AS body FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS b FROM j WHERE body <> '')
-SELECT doc_id, CASE WHEN b IS NULL THEN NULL ELSE CAST(json_array_length(b, '$.decisions') AS BIGINT) END AS decisions FROM v""")
+@query("strict_decisions", r"""WITH j AS (SELECT doc_id, unnest(regexp_extract_all(text, '\{"decisions":\[.*\]\}')) AS body, generate_subscripts(regexp_extract_all(text, '\{"decisions":\[.*\]\}'), 1) AS answer FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, answer, CASE WHEN json_valid(body) THEN json_extract(CAST(body AS JSON), '$.decisions[*]') END AS b FROM j),
+w AS (SELECT *, len(list_filter(b, lambda x: json_type(x, '$.test_path') = 'VARCHAR' AND json_type(x, '$.reasoning') = 'VARCHAR' AND json_type(x, '$.confidence') IN ('DOUBLE', 'BIGINT', 'UBIGINT')
+  AND json_type(x, '$.classification') = 'VARCHAR' AND json_extract_string(x, '$.classification') IN ('blocking', 'recommended', 'skip'))) AS good FROM v)
+SELECT doc_id, CAST(answer - 1 AS INTEGER) AS answer, CASE WHEN b IS NULL OR good < len(b) THEN NULL ELSE CAST(len(b) AS BIGINT) END AS decisions FROM w""")
 def strict_decisions(spark, d):
-    body = F.regexp_extract("text", _JSON, 0)
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", body.alias("body")).where("body <> ''")
-    parsed = rows.withColumn("p", decisions.decisions_of("body"))
-    return parsed.select("doc_id", F.when(F.col("p").isNotNull(), F.size("p").cast("bigint")).alias("decisions"))
+    """Every answer in every text, with its number of decisions, null if any of it isn't as agreed."""
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(_JSON), F.lit(0))).alias("answer", "body")
+    parsed = table(spark, d, "documents").where("text is not null").select("doc_id", found).withColumn("p", decisions.decisions_of("body"))
+    return parsed.select("doc_id", "answer", F.when(F.col("p").isNotNull(), F.size("p").cast("bigint")).alias("decisions"))
 
 
 @query("classified_candidates", f"""WITH best AS (SELECT repo_id, test_path, max(flake_score) AS score FROM flaky_rows WHERE flake_score IS NOT NULL AND NOT isnan(flake_score) GROUP BY 1, 2)

@@ -20,48 +20,51 @@ def definition():
 
 @pytest.fixture(scope="module")
 def whole(definition):
-    return TreeEncoder(definition, leaf=10**9)
+    """One pass of the library over the whole text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(definition)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text, add_special_tokens=False).ids if text else []
 
 
 @pytest.fixture(scope="module")
-def ranked(definition):
-    pytest.importorskip("tiktoken")
-    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", "rb") as f:
-        tree = TreeEncoder(definition, ranks=f.read())
-    assert tree.single
-    return tree
+def tree(definition):
+    return TreeEncoder(definition, leaf=64)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(PIECES) | st.text(max_size=5), max_size=30), st.integers(1, 9), st.integers(1, 8))
-def test_tree_equals_one_pass(definition, whole, parts, leaf, window):
+def test_tree_equals_one_pass(tree, whole, parts, leaf, window):
     text = "".join(parts)
-    tree = TreeEncoder.__new__(TreeEncoder)
-    tree.tokenizer, tree.leaf, tree.window, tree.single = whole.tokenizer, leaf, window, None
-    ids = tree.encode_all([text])[0]
-    assert ids == whole.encode_all([text])[0]
+    tree.leaf, tree.window = leaf, window
+    ids = tree.encode(text)
+    assert ids == whole(text)
     assert tree.decode(ids) == text
 
 
-def test_long_runs_and_batches(definition, whole):
-    rnd = random.Random(2)
-    texts = ["a" * 30_000, " " * 9_000 + "x", "é" * 7_000, "".join(rnd.choice(PIECES) for _ in range(20_000)), None, "", "ok"]
-    tree = TreeEncoder(definition, leaf=512)
-    got = tree.encode_all(texts)
-    assert got[4] == got[5] == []
-    assert got == [whole.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(PIECES) | st.text(max_size=6), max_size=30))
-def test_same_ids_from_the_rank_file(definition, whole, ranked, parts):
-    text = "".join(parts)
-    assert ranked.encode_all([text]) == whole.encode_all([text])
+def test_every_long_text_goes_through_joins(definition, whole):
+    tree = TreeEncoder(definition, leaf=64)
+    text = "The queue was full, don't run it again.\n\n" * 20
+    assert tree.encode(text[:64]) == whole(text[:64]) and tree.joins == 0
+    assert tree.encode(text) == whole(text) and tree.joins == 15  # 16 leaves
+    assert TreeEncoder(definition).leaf < 1000
 
 
-def test_long_runs_from_the_rank_file(whole, ranked):
-    texts = ["a" * 8_000, " " * 8_000, "\n" * 3_000 + "x", "é" * 8_192, None, "", "b" * 20_000]
-    assert ranked.encode_all(texts) == whole.encode_all(texts)
+def test_long_runs(definition, whole):
+    rnd = random.Random(2)
+    texts = ["a" * 30_000, " " * 9_000 + "x", "\n" * 3_000 + "x", "é" * 7_000, "".join(rnd.choice(PIECES) for _ in range(20_000)), None, "", "ok"]
+    tree = TreeEncoder(definition)
+    got = [tree.encode(t) for t in texts]
+    assert got == [whole(t) for t in texts] and [tree.decode(g) for g in got] == [t or "" for t in texts]
+
+
+def test_characters_of_other_unicode_versions(tree, whole):
+    odd = [chr(c) for c in (0x558, 0x58B, 0xC5C, 0x208F, 0xA7CE, 0x10940, 0x10ED9, 0x1C89, 0x11BC0)]
+    tree.leaf, tree.window = 3, 1
+    for c in odd:
+        text = f"a{c}1 {c}{c}! {c} don't " * 3
+        assert tree.encode(text) == whole(text), hex(ord(c))
 
 
 def test_column(spark):

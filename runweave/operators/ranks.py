@@ -22,14 +22,17 @@ def placed(rows: DataFrame, group: Sequence[str], order: Sequence[F.Column], nam
 
     rows must not hold columns called _stretch, _inside or _before. The rows are written once, so that a repeated task can't cut them otherwise.
     """
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return stretched(rows, group, order, name).drop(STRETCH)
+
+
+def stretched(rows: DataFrame, group: Sequence[str], order: Sequence[F.Column], name: str = "place") -> DataFrame:
+    """``placed`` with the number of the stretch each row lies in; within a group stretches follow the order."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     cut = rows.repartitionByRange(tasks, *(F.col(g) for g in group), *order).withColumn(STRETCH, F.spark_partition_id())
     cut = materialize(cut, "stretches")
-    inside = F.row_number().over(W.partitionBy(*group, STRETCH).orderBy(*order))
     counts = cut.groupBy(*group, STRETCH).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy(STRETCH).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ahead = counts.select(*group, STRETCH, before.alias(BEFORE))
-    numbered = cut.withColumn(INSIDE, inside)
-    joined = numbered.alias("r").join(ahead.alias("s"), [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in (*group, STRETCH)])
-    return joined.select(*(F.col(f"r.`{c}`") for c in rows.columns), (F.col(f"r.{INSIDE}") + F.col(f"s.{BEFORE}")).alias(name))
+    ahead = counts.select(*group, STRETCH, before.alias(BEFORE)).alias("s")
+    numbered = cut.withColumn(INSIDE, F.row_number().over(W.partitionBy(*group, STRETCH).orderBy(*order))).alias("r")
+    met = numbered.join(ahead, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in (*group, STRETCH)])
+    return met.select(*(F.col(f"r.`{c}`") for c in rows.columns), F.col(f"r.{STRETCH}"), (F.col(f"r.{INSIDE}") + F.col(f"s.{BEFORE}")).alias(name))

@@ -34,7 +34,7 @@ def run(spark, data, least):
 
 
 def test_counts_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(C, "ROWS_PER_SALT", 40)  # the hot group is cut in several
+    monkeypatch.setattr(C, "CELL_ITEMS", 150)  # the hot group is cut in several
     rnd = random.Random(5)
     names = [f"t{i}" for i in range(8)] + ["é", "Z"]
     data = []
@@ -105,3 +105,63 @@ def test_tail_of_large_counts():
     k = range(at_least, at_least + 4000)
     want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in k)
     assert C.upper_tail([n], [p], at_least) == pytest.approx(want, rel=1e-6)
+
+
+def test_tail_in_logarithms():
+    assert C.log_upper_tail([5000], [1e-6], 400) < -2000
+    n, p, k = 3000, 0.001, 900
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    assert C.log_upper_tail([n], [p], k) == pytest.approx(first + math.log1p((n - k) / (k + 1) * p / (1 - p)), rel=1e-6)
+    assert C.log_upper_tail([4, 3], [0.5, 0.25], 7) == pytest.approx(4 * math.log(0.5) + 3 * math.log(0.25))
+
+
+def test_tail_against_convolution():
+    rnd = np.random.default_rng(2)
+    for _ in range(200):
+        n, p = rnd.integers(1, 60, 4), rnd.random(4) ** rnd.integers(1, 6)
+        mass = np.ones(1)
+        for k, q in zip(n, p):
+            for _ in range(k):
+                mass = np.convolve(mass, [1 - q, q])
+        at_least = int(rnd.integers(1, n.sum() + 1))
+        want = math.fsum(mass[at_least:])
+        if want > 1e-290:
+            assert C.log_upper_tail(n, p, at_least) == pytest.approx(math.log(want), rel=1e-8, abs=1e-8)
+
+
+def test_tail_costs_no_more_for_large_counts():
+    import time
+
+    began = time.process_time()
+    assert C.upper_tail([10**9] * 5, [0.1] * 5, 500_030_000) == pytest.approx(0.0786, abs=2e-4)  # a normal tail at 1.4142 deviations
+    assert time.process_time() - began < 5
+
+
+def test_rounds_fit_as_a_task_does(spark):
+    rnd = np.random.default_rng(3)
+    data = [(g, d, i, int(rnd.integers(5, 80)), 0) for g in ("g", "h") for d in (1, 2, 3) for i in range(6)]
+    data = [(g, d, i, n, int(rnd.binomial(n, min(0.9, 0.05 * d * (1 + i))))) for g, d, i, n, _ in data]
+    df = spark.createDataFrame(data, "grp string, d int, item bigint, cells bigint, marks bigint")
+    inside = {(r["grp"], r["d"], r["item"]): (r["p"], r["gap"]) for r in C._fitted(df).collect()}
+    assert all(gap < 1e-4 for _, gap in inside.values())
+    rounds = {(r["grp"], r["d"], r["item"]): (r["p"], r["gap"]) for r in C._fitted(df, most=20).collect()}
+    assert rounds.keys() == inside.keys() and all(rounds[k][0] == pytest.approx(inside[k][0], rel=1e-4) for k in inside)
+
+
+def test_surprise_against_a_brute_force_null(spark):
+    """Counts over 10**5: the expected number and the tail of a pair under the fitted null, cell by cell."""
+    rnd = random.Random(11)
+    data = []
+    for i in range(3000):
+        marked = [x for x in ("a", "b", "c", "d") if rnd.random() < 0.6]
+        data.append(("g", i, ["a", "b", "c", "d"], marked))
+    rows = {(r["item_a"], r["item_b"]): r for r in run(spark, data, 5)}
+    sizes = [len(m) for *_, m in data]
+    marks = {x: sum(x in m for *_, m in data) for x in "abcd"}
+    cells = np.array([[sizes.count(d)] * 4 for d in (1, 2, 3, 4)], float)
+    p = C.fit_null(cells, np.array([marks[x] for x in "abcd"], float), np.array([d * sizes.count(d) for d in (1, 2, 3, 4)], float), 20_000)
+    for (x, y), r in rows.items():
+        i, j = "abcd".index(x), "abcd".index(y)
+        probabilities = p[:, i] * p[:, j]
+        assert r["expected"] == pytest.approx(float((cells[:, 0] * probabilities).sum()), rel=1e-2)
+        assert r["n"] == 3000 and r["q_value"] >= r["p_value"]

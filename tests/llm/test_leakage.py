@@ -71,8 +71,9 @@ def test_random_against_brute_force():
         want = set()
         for i, own in enumerate(items):
             for k in range(len(own) - 2):
-                w = "".join(own[k : k + 3])
-                want |= {i for s in starts if text.startswith(w, s) and s + len(w) in ends}
+                for more in range(3, len(own) - k + 1):  # three words of the item or more
+                    w = "".join(own[k : k + more])
+                    want |= {i for s in starts if text.startswith(w, s) and s + len(w) in ends}
         assert set().union(*(s for _, _, s in d.hits(L.Stream(doc))), set()) == want
 
 
@@ -100,3 +101,48 @@ def test_columns_chunks_and_empties(spark):
     cleaned = {r["doc_id"]: r for r in L.without_leaks(docs.where("doc_id in (4, 5)"), items).collect()}
     assert cleaned[4]["text"] == "other words" and cleaned[5]["text"].strip(" .") == ("long " * 20_000).strip() and not cleaned[5]["dropped"]
     assert L.without_leaks(docs.where("doc_id = 1"), items).first()["dropped"]
+
+
+def test_text_that_looks_like_markup():
+    words = L.words_of(ITEM)
+    d = detector(ITEM)
+    assert found(d, ITEM) == {0}
+    inside = "if a <b and " + " ".join(words[:10]) + " stays> c"
+    assert set().union(*(s for stream in L.readings(inside) for _, _, s in d.hits(stream))) == {0}
+    long = "<p class='" + "x" * 5000 + "'>" + " ".join(words[:5]) + "<i " + "y" * 3000 + "> " + " ".join(words[5:10]) + "<!-- " + "z " * 4000 + "-->"
+    assert found(d, long) == {0}
+
+
+def test_results_do_not_depend_on_chunks(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(90)}" for _ in range(25)) for _ in range(6)]
+    docs = [(f"d{i}", " ".join(rnd.choice([texts[rnd.randrange(6)], "filler words here", texts[rnd.randrange(6)][20:70]]) for _ in range(4))) for i in range(40)] + [("none", None), ("e", "")]
+    documents = spark.createDataFrame(docs, "name string, body string").withColumnRenamed("name", "key")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id int, text string")
+    found, cleaned = [], []
+    for chunk in (60, 200, 2_000_000):
+        leaks = L.leaked_items(documents, items, key="key", text="body", chunk_chars=chunk)
+        assert dict(leaks.dtypes)["item_id"] == "int"
+        found.append(sorted(map(tuple, leaks.collect())))
+        cleaned.append(sorted(map(str, L.without_leaks(documents, items, key="key", text="body", chunk_chars=chunk).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 40
+    assert cleaned[0] == cleaned[1] == cleaned[2] and len(cleaned[0]) == 42
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_ITEM_CHARS", 100)
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="in parts"):
+        L.leaked_items(docs, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
+
+
+def test_keys_of_other_types(spark):
+    docs = spark.createDataFrame([(1.5, ITEM)], "doc_id double, text string")
+    items = spark.createDataFrame([("x", ITEM), ("y", ITEM)], "item_id string, text string")
+    assert sorted((r[0], r[1]) for r in L.leaked_items(docs, items).collect()) == [(1.5, "x"), (1.5, "y")]
+
+
+def test_two_of_few_items_keep_their_opening():
+    own = "Every one of these ten opening words stays a part here."
+    d = detector(own + " First goes on like this.", own + " Second goes on like that.", ITEM)
+    assert found(d, own) == {0, 1}

@@ -4,14 +4,17 @@ For each language an interpolated Kneser-Ney model over characters is fitted to
 order: sorted hashes of the n-grams and, beside them, each language's discounted probability and the back-off weight it
 passes on as a context. A batch of segments is scored in numpy: a binary search for every character and order, then one
 recursion over the orders for all languages at once. A segment gets the language of the lowest cross-entropy a character; it is
-rejected (no language) if that entropy is above the bound calibrated on held-out sentences of that language.
+rejected (no language) if that entropy is above the bound calibrated on held-out sentences of that language, or if the lowest belongs to
+the model of what is no language: that one is fitted to what code fences leave when it is cut like text, so it knows the
+code, logs and data of the corpus at hand and no pattern names them.
 
-Text is first freed of what has no language: fenced and inline code, diffs, logs, JSON syntax, paths and identifiers. What is
-left is cut into sentences. A document is written in each language that has a sentence of enough letters.
+Text is cut at the marks that end sentences and at line ends; tokens with the marks of code, paths and identifiers are left out. A
+document is written in each language that has a sentence of enough letters; a further language that shows in one sentence only must be as sure
+as SURE_ALONE and no less likely than 98 of 100 held-out sentences of it.
 
-Defined results: null, empty and blank texts and texts of code only have no segments and no languages. Labels are read case-blind, with
-or without a region, as code or name; a label that names none of the languages known by name counts as none. Extra columns are ignored;
-repeated documents are judged each.
+Defined results: null, empty and blank texts and texts of code only have no segments and one row without a language. Labels are read case-blind, with
+or without a region, as code or name; a label that names none of the languages known by name or by the samples counts as none. Extra columns are
+ignored; repeated documents are judged each.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import html
 import re
 import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,9 +43,15 @@ DEFAULT_DISCOUNT = 0.75
 LEAST_LETTERS, LEAST_SIGNS = 18, 6
 #: Characters scored in one set of arrays.
 PIECE_CHARS = 50_000
-#: Length, or share of the document's letters, from which a single segment shows one of several languages.
-LETTERS_ALONE, SIGNS_ALONE, SHARE_ALONE = 60, 20, 0.2
-SAMPLE_PER_LANGUAGE = 200
+#: Confidence from which a single segment shows one of several languages.
+SURE_ALONE = 0.999
+#: Nats a character by which a sentence may lie above 98 of 100 held-out ones.
+SLACK = 1.2
+STRETCH = 24
+#: Bounds of what the models are fitted to: sentences and documents a language, characters a document.
+SENTENCES_PER_LANGUAGE, SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 2000, 200, 4000
+#: The class of what is no language, and how many different texts it takes to fit one.
+NONE, LEAST_NONE = "", 10
 #: Confidence from which a segment counts; a text without a long and sure segment takes the language of its longest one of this many letters.
 SURE, SHORTEST = 0.8, 6
 ROWS_AT_ONCE, CHARS_AT_ONCE, SEEN_AT_MOST = 500, 120_000, 150_000
@@ -70,26 +80,6 @@ _ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 _URL = re.compile(r"\w{1,20}://\S+")
 _MAIL = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}\.\w[\w.]{0,64}")
 _JSON_KEY = re.compile(r'"[A-Za-z_][\w.-]*"\s*:\s*')
-#: Log, diff and code phrases wherever they stand, since line breaks may be lost; each is tried only where its first text occurs.
-_FRAGMENTS = [(mark, re.compile(pattern)) for mark, pattern in (
-    (": expected ", r"\b\w{1,60}: expected \S+ to \w+ \S+"),
-    ("import {", r"[+-]?import \{[^{}]{0,500}\} from '[^']{0,300}'"),
-    (" ms)", r"\b(?:PASS|FAIL|SKIP)\s+\S+\s+\(\d+ ms\)"),
-    ("const ", r"\bconst\s+\S+\s*=\s*\S+"),
-    ("let ", r"\blet\s+\S+\s*=\s*\S+"),
-    ("var ", r"\bvar\s+\S+\s*=\s*\S+"),
-    ("at ", r"\bat\s+\S+\s+\([^()\s]+:\d+(?::\d+)?\)"),
-    ("diff --git ", r"diff --git \S+ \S+"),
-    ("@@ -", r"@@ -[^@]{0,60} @@"),
-    (");", r"[+ -]\s{1,40}[\w.$]{1,100}\([^()]{0,500}\);"),
-    ("=", r"\[[A-Z]+\]\s+\w+=\S+(?:\s+\w+=\S+)*"),
-    ('"classification"', r'"classification"\s*:\s*"[^"]*"'),
-    ('"test_path"', r'"test_path"\s*:\s*"[^"]*"'),
-)]
-#: A longer line is not dropped whole for beginning like a log line.
-LONGEST_LOG = 240
-_DIFF = re.compile(r"^[ \t>*/#]*(?:diff --git |index [0-9a-f]{6,}|@@ |\+\+\+ |--- |[+-]\s*(?:import|const|let|var|return|export|def|class|func)\b|[+ -]\s+[\w.$]+\(.*\)[;{]?\s*$)")
-_LOG = re.compile(r"^[ \t>*/#]*(?:ERROR|WARN|INFO|DEBUG|TRACE)\b|^\s*at .*\(.*:\d+(?::\d+)?\)\s*$|^[ \t>*/#]*(?:const|let|var|import|from|export|return|def|class|func|require)\b[^.!?]*[=({;'\"]|^[ \t>*/#]*\w+=\S+(?:\s+\w+=\S+)+\s*$")
 _PREFIX = re.compile(r"^[ \t>*/#|+-]+")
 _PATHLIKE = re.compile(r"[\w.\-]{1,100}(?:[/\\][\w.\-]+)+(?<!\.)")
 _CODED = re.compile(r"[/\\_=(){}\[\]<>$@#|~^*+]|\w\.\w|\d[^\W\d_]|[^\W\d_]\d|[a-z][A-Z]|::|->")
@@ -97,18 +87,25 @@ _SENTENCE = re.compile(r"[.!?;…][\"'»”)]*\s+|[。！？]|\n+")
 _LETTER = re.compile(r"[^\W\d_]")
 _SIGNS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _KEEP = regex.compile(r"[^\p{L}\p{M}']+")
+_RUN = re.compile(r"(.)\1{3,}")
 _CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _INVISIBLE = regex.compile(r"\p{Cf}")
 _MOJIBAKE = re.compile(r"[ÂÃÄÅÐÑâãåæçèéäï][\u0080-ÿŒ-Ÿˆ-˜–-›€™]")
 _ASCII_LETTERS = {i: chr(i).lower() if chr(i).isalpha() or i == 39 else " " for i in range(128)}
 
 
-def label_language(label: str | None) -> str | None:
-    """Code of the language a label names, None if it names none of the known ones."""
+def label_language(label: str | None, more: Sequence[str] = ()) -> str | None:
+    """Code of the language a label names, None if it names none of the known ones, nor one of ``more``."""
     if not label:
         return None
     plain = unicodedata.normalize("NFKC", label).strip().casefold()
-    return _LABEL_OF.get(plain) or _LABEL_OF.get(regex.split(r"[-_\s(,;./]", plain, maxsplit=1)[0])
+    head = regex.split(r"[-_\s(,;./]", plain, maxsplit=1)[0]
+    return _LABEL_OF.get(plain) or _LABEL_OF.get(head) or next((x for x in (plain, head) if x in more), None)
+
+
+def sample_language(label: str | None) -> str | None:
+    """The same for the samples, whose labels are right: one that isn't known by name stands for itself."""
+    return label_language(label) or (unicodedata.normalize("NFKC", label).strip().casefold() or None if label else None)
 
 
 def _mended(text: str) -> str:
@@ -153,29 +150,26 @@ def _sentences(line: str) -> Iterator[str]:
 
 
 def _unwrapped(lines: list[str]) -> list[str]:
-    """Lines that hold language, with those joined that only wrap a sentence: the first doesn't end one, the next begins in lower case."""
+    """Lines, with those joined that only wrap a sentence: the first doesn't end one, the next begins in lower case."""
     out: list[list[str]] = []
-    fresh = True
+    open_end = False
     for line in lines:
-        if not line or line.isspace() or len(line) <= LONGEST_LOG and (_DIFF.match(line) or _LOG.match(line)):
-            fresh = True
+        if not line or line.isspace():
+            open_end = False
             continue
         bare = _PREFIX.sub("", line, count=1)
-        if not fresh and open_end and bare[:1].islower():
+        if open_end and bare[:1].islower():
             out[-1].append(bare)
         else:
             out.append([line])
         end = line.rstrip()[-1:]
-        fresh, open_end = False, end.isalnum() or end in ",'\"»)"
+        open_end = end.isalnum() or end in ",'\"»)"
     return [" ".join(parts) for parts in out]
 
 
-def segments(text: str) -> list[str]:
-    """Sentences of natural language in a text, in order; what is written in code is left out."""
-    if not text or text.isspace():
-        return []
-    plain = text.isascii()
-    if not plain:
+def _readable(text: str) -> str:
+    """Text with damaged encodings mended, compatibility forms folded, and escapes, entities, controls and invisible characters resolved."""
+    if not text.isascii():
         text = "\n".join(line if line.isascii() else _mended(line) for line in text.split("\n"))
         text = unicodedata.normalize("NFKC", text)
     if "\x1b" in text:
@@ -186,40 +180,54 @@ def segments(text: str) -> list[str]:
     text = text.replace("\t", " ")
     if not text.replace("\n", " ").isprintable():
         text = _CONTROLS.sub(" ", _INVISIBLE.sub("", text))
-    if "&" in text and ";" in text:
-        text = html.unescape(text)
+    return html.unescape(text) if "&" in text and ";" in text else text
+
+
+def _cut(line: str) -> Iterator[str]:
+    """The sentences of a line, without tokens that look like code, where letters are left."""
+    if "`" in line:
+        line = _TICKS.sub(" ", line)
+    if "://" in line:
+        line = _URL.sub(" ", line)
+    if "@" in line:
+        line = _MAIL.sub(" ", line)
+    if "<" in line:
+        line = _TAGS.sub(" ", line)
+    if '":' in line or '" :' in line:
+        line = _JSON_KEY.sub("\n", line)
+    if "/" in line or "_" in line or "\\" in line:
+        line = _PATHLIKE.sub(" ", line)
+    for sentence in _sentences(line):
+        if sentence:
+            bare = _bare(sentence)
+            if _LETTER.search(bare):
+                yield bare
+
+
+def segments_and_code(text: str, joined: bool = True) -> tuple[list[str], list[str]]:
+    """(sentences of a text, in order; what its code fences leave when cut the same way). Lines that wrap a sentence are joined first, unless asked not to."""
+    if not text or text.isspace():
+        return [], []
+    text = _readable(text)
+    fenced: list[str] = []
     if "```" in text or "~~~" in text:
-        text = _FENCE.sub("\n", text)
-    for mark, pattern in _FRAGMENTS:
-        if mark in text:
-            text = pattern.sub("\n", text)
-    out = []
-    for line in _unwrapped(text.split("\n")):
-        if "`" in line:
-            line = _TICKS.sub(" ", line)
-        if "://" in line:
-            line = _URL.sub(" ", line)
-        if "@" in line:
-            line = _MAIL.sub(" ", line)
-        if "<" in line:
-            line = _TAGS.sub(" ", line)
-        if '":' in line or '" :' in line:
-            line = _JSON_KEY.sub("\n", line)
-        if "/" in line or "_" in line or "\\" in line:
-            line = _PATHLIKE.sub(" ", line)
-        for sentence in _sentences(line):
-            if sentence:
-                bare = _bare(sentence)
-                if _LETTER.search(bare):
-                    out.append(bare)
-    return out
+        text = _FENCE.sub(lambda m: fenced.append(m.group()) or "\n", text)
+    lines = text.split("\n")
+    return [s for line in (_unwrapped(lines) if joined else lines) for s in _cut(line)], [s for f in fenced for line in f.split("\n") for s in _cut(line)]
+
+
+def segments(text: str) -> list[str]:
+    """Sentences of a text, in order; what stands in code fences is left out."""
+    return segments_and_code(text)[0]
 
 
 def letters(segment: str) -> str:
-    """What the models read of a segment: letters in folded case, everything else one blank."""
+    """What the models read of a segment: letters in folded case, everything else one blank; no letter more than three times in a row."""
     if segment.isascii():
-        return " ".join(segment.translate(_ASCII_LETTERS).split())
-    return _KEEP.sub(" ", segment.casefold()).strip()
+        bare = " ".join(segment.translate(_ASCII_LETTERS).split())
+    else:
+        bare = _KEEP.sub(" ", segment.casefold()).strip()
+    return _RUN.sub(r"\1\1\1", bare)
 
 
 def bare_accents(text: str) -> str:
@@ -336,23 +344,26 @@ class LanguageModels:
             self.back.append(back)
         self.first_back = np.array([f[0][3][0] for f in fitted], np.float32)
         self.seen: dict[str, tuple[str | None, float, float]] = {}
-        self.bounds = np.full(n, np.inf)
+        self.bounds, self.usual = np.full(n, np.inf), np.full(n, np.inf)
         self.sharpness = 1.0
 
     def entropies(self, texts: Sequence[str]) -> np.ndarray:
-        """Cross-entropy in nats a character, [text, language]; a text longer than a piece is the mean of its pieces by length."""
+        """Cross-entropy in nats a character, [text, language]. Texts longer than a piece are scored piece by piece, each after the characters before it."""
         if any(len(t) > PIECE_CHARS for t in texts):
             return np.stack([self._long(t) for t in texts])
         return self._entropies(texts)
 
     def _long(self, text: str) -> np.ndarray:
-        pieces = [text[a : a + PIECE_CHARS] for a in range(0, max(len(text), 1), PIECE_CHARS)]
-        return np.average(np.concatenate([self._entropies([p]) for p in pieces]), axis=0, weights=[len(p) + 1 for p in pieces])
-
-    def _entropies(self, texts: Sequence[str]) -> np.ndarray:
-        codes, predicted, owner = _coded(texts, self.order)
+        codes, predicted, _ = _coded([text], self.order)
+        sums = np.zeros(len(self.languages))
+        for a in range(self.order, len(codes), PIECE_CHARS):
+            part = slice(a - self.order, a + PIECE_CHARS)
+            sums += self._logs(codes[part], np.flatnonzero(np.arange(len(codes[part])) >= self.order)).sum(0, dtype=np.float64)
+        return -sums / int(predicted.sum())
+
+    def _logs(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Log probabilities of the characters at some places, [place, language]."""
         hashes = gram_hashes(codes, self.order)
-        places = np.flatnonzero(predicted)
         p = np.full((len(places), len(self.languages)), 1.0 / ALPHABET, np.float32)
         rows_before = None
         for k in range(1, self.order + 1):
@@ -360,18 +371,24 @@ class LanguageModels:
             back = self.first_back if k == 1 else self.back[k - 2][rows_before[places - 1]]
             p = self.direct[k - 1][everywhere[places]] + back * p
             rows_before = everywhere
+        return np.log(p)
+
+    def _entropies(self, texts: Sequence[str]) -> np.ndarray:
+        codes, predicted, owner = _coded(texts, self.order)
+        places = np.flatnonzero(predicted)
         starts = np.searchsorted(owner[places], np.arange(len(texts)))
-        sums = np.add.reduceat(np.log(p), starts, axis=0)
+        sums = np.add.reduceat(self._logs(codes, places), starts, axis=0)
         counts = np.bincount(owner[places], minlength=len(texts))
         return -sums / counts[:, None]
 
-    def calibrate(self, held: dict[str, list[str]], slack: float = 1.2) -> None:
-        """Bounds from held-out sentences: the 98th percentile of their entropy and a slack in nats; sharpness of the confidence by their likelihood."""
+    def calibrate(self, held: dict[str, list[str]], slack: float = SLACK) -> None:
+        """Bounds from held-out sentences: the 98th percentile of their entropy (``usual``) and a slack in nats above it; sharpness of the confidence by their likelihood."""
         rows, truth = [], []
         for j, lang in enumerate(self.languages):
             if held.get(lang):
                 e = self.entropies(held[lang])
-                self.bounds[j] = np.quantile(e[:, j], 0.98) + slack
+                self.usual[j] = np.quantile(e[:, j], 0.98)
+                self.bounds[j] = self.usual[j] + slack
                 rows.append(e)
                 truth += [j] * len(e)
         if rows:
@@ -406,24 +423,26 @@ class LanguageModels:
         low = e[np.arange(len(e)), j]
         odds = np.exp(-(e - low[:, None]) * self.sharpness)
         sure = 1 / odds.sum(1)
-        return [(self.languages[a] if x <= self.bounds[a] else None, float(c), float(x)) for a, x, c in zip(j, low, sure)]
+        return [(self.languages[a] or None if x <= self.bounds[a] else None, float(c), float(x)) for a, x, c in zip(j, low, sure)]
 
 
-def train(samples: list[tuple[str, str]], order: int = ORDER) -> LanguageModels:
-    """Models from (language, sentence) pairs; every fifth sentence calibrates first, then all of them train."""
+def train(samples: list[tuple[str, str]], order: int = ORDER, code: Sequence[str] = ()) -> LanguageModels:
+    """Models from (language, sentence) pairs, and of what is no language from ``code``; every fifth sentence calibrates first, then all of them train."""
     by: dict[str, list[str]] = {}
     for lang, text in samples:
-        for s in segments(text):
-            t = letters(s)
-            if len(t) > 3:
-                by.setdefault(lang, []).append(t)
-    grown = {lang: own + [b for t in own if (b := bare_accents(t)) != t and lang not in ("ja", "ru", "zh")] for lang, own in by.items()}
+        by.setdefault(lang, []).extend(t for s in segments(text) if len(t := letters(s)) > 3)
+    by = {lang: own for lang, own in by.items() if own}
+    noise = sorted({t for s in code if len(t := letters(s)) > 3})
+    if len(noise) >= LEAST_NONE:
+        by[NONE] = noise
+    spoken = [lang for lang in by if lang not in (NONE, "ja", "ru", "zh")]
+    grown = by | {lang: by[lang] + [b for t in by[lang] if (b := bare_accents(t)) != t] for lang in spoken}
     held = {lang: own[::5] for lang, own in by.items() if len(own) >= 10}
     rest = {lang: [t for i, t in enumerate(own) if i % 5] if lang in held else own for lang, own in by.items()}
     trial = LanguageModels(rest, order)
     trial.calibrate(held)
     models = LanguageModels(grown, order)
-    models.bounds, models.sharpness = trial.bounds, trial.sharpness
+    models.bounds, models.usual, models.sharpness = trial.bounds, trial.usual, trial.sharpness
     return models
 
 
@@ -434,32 +453,76 @@ def proves(segment: str) -> bool:
     return not segment.isascii() and len(_SIGNS.findall(segment)) >= LEAST_SIGNS
 
 
-def _label_column(label: str) -> F.Column:
+def _label_column(label: str, more: Sequence[str] = ()) -> F.Column:
     """label_language as a column expression."""
-    table = F.create_map(*(F.lit(x) for pair in sorted(_LABEL_OF.items()) for x in pair))
+    names = {m: m for m in more} | _LABEL_OF
+    table = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
     plain = F.lower(F.trim(F.regexp_replace(F.col(label), r"[\s\u00a0\u3000]+", " ")))
     return F.coalesce(table[plain], table[F.split(plain, r"[-_\s(,;./]")[0]])
 
 
-def training_sentences(documents: DataFrame, samples: DataFrame, *, key: str, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE, most_chars: int = 4000) -> list[tuple[str, str]]:
-    """Labelled sentences: all samples, and of ``per_language`` documents a label (the first by a hash of their id, each of at most
-    ``most_chars`` characters) the sentences that models of the samples alone give to the document's label.
+def _worst(models: LanguageModels, lang: str, texts: list[str]) -> np.ndarray:
+    """Of each text the highest entropy of a stretch of STRETCH characters under one language: a foreign part shows, however long the rest."""
+    codes, predicted, owner = _coded(texts, models.order)
+    places = np.flatnonzero(predicted)
+    bits = -models._logs(codes, places)[:, models.languages.index(lang)].astype(np.float64)
+    out = []
+    for own in np.split(bits, np.flatnonzero(np.diff(owner[places])) + 1):
+        total = np.concatenate([[0.0], np.cumsum(own)])
+        n = min(STRETCH, len(own))
+        out.append((total[n:] - total[:-n]).max() / n)
+    return np.array(out)
+
+
+def _supported(first: list[tuple[str, str]], more: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Of further sentences, as ``letters`` gives them, those that the other half of them supports: under models of the samples and that half no stretch lies more than SLACK above 98 of 100 sentences' worst."""
+    halves = [sorted(set(more))[k::2] for k in (0, 1)]  # repeats of a sentence stand in one half
+    kept = set()
+    for own, other in (halves, halves[::-1]):
+        texts: dict[str, list[str]] = {}
+        for lang, s in first:
+            texts.setdefault(lang, []).extend(letters(x) for x in segments(s))
+        for lang, s in other:
+            texts.setdefault(lang, []).append(s)
+        models = LanguageModels({lang: t for lang, t in texts.items() if t})
+        for lang in models.languages:
+            mine = [s for at, s in own if at == lang]
+            for a in range(0, len(mine), 2000):
+                part = mine[a : a + 2000]
+                worst = _worst(models, lang, part)
+                kept |= {(lang, s) for s, x in zip(part, worst) if x <= np.quantile(worst, 0.98) + SLACK}
+    return [pair for pair in more if pair in kept]
+
+
+def training_sentences(documents: DataFrame, samples: DataFrame, *, key: str, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE, most_chars: int = SAMPLE_CHARS,
+                       sentences: int = SENTENCES_PER_LANGUAGE) -> tuple[list[tuple[str, str]], list[str]]:
+    """(labelled sentences, code): of the samples the first ``sentences`` a label by a hash; and of ``per_language`` documents a label (the first by a hash of their id, each of at most
+    ``most_chars`` characters) the sentences that models of the samples alone give to the document's label and that stand under it more often than not, and what their code fences hold.
     """
-    first = [(r[0], r[1]) for r in samples.select("lang", "text").where("lang is not null and text is not null").orderBy("lang", "text").collect()]
-    first = [(label_language(a), b) for a, b in first if label_language(a)]
+    def first_of(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("place") <= most)
+
+    given = samples.select(F.col("lang").alias("l"), F.col("text").alias("t")).where("l is not null and t is not null")
+    given = first_of(given, "l", [F.xxhash64("t"), F.col("t")], sentences).orderBy("l", "t").select("l", "t").collect()
+    first = [(lang, r[1]) for r in given if (lang := sample_language(r[0]))]
     if not first:
-        return []
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), _label_column(label).alias("l")).where((F.col("l").isNotNull()) & F.length("t").between(1, most_chars))
-    place = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    drawn = rows.withColumn("place", place).where(F.col("place") <= per_language).select("l", "t").collect()
-    trial = train(first)
-    out = list(first)
-    pairs = [(r[0], s) for r in drawn for s in segments(r[1]) if len(letters(s)) > 8]
+        return [], []
+    more = sorted({lang for lang, _ in first} - set(LANGUAGES))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), _label_column(label, more).alias("l")).where((F.col("l").isNotNull()) & F.length("t").between(1, most_chars))
+    drawn = first_of(rows, "l", [F.xxhash64("k"), F.col("k")], per_language).select("l", "t").collect()
+    pairs, code = [], []
+    for lang, t in drawn:
+        own, fenced = segments_and_code(t, joined=False)  # a heading taken for the first half of a sentence would be learned with it
+        pairs += [(lang, x) for s in own if len(x := letters(s)) > 8]
+        code += fenced
+    trial, out = train(first, code=code), list(first)
+    seen = Counter(pairs)
+    anywhere = Counter(s for _, s in pairs)
     for a in range(0, len(pairs), 2000):
         part = pairs[a : a + 2000]
-        best = trial.entropies([letters(s) for _, s in part]).argmin(1)
-        out += [(lang, s) for (lang, s), j in zip(part, best) if trial.languages[j] == lang]
-    return out
+        best = trial.entropies([s for _, s in part]).argmin(1)
+        out += [pair for pair, j in zip(part, best) if trial.languages[j] == pair[0] and seen[pair] * 2 > anywhere[pair[1]]]
+    return first + _supported(first, out[len(first) :]), code
 
 
 _models: dict[str, LanguageModels] = {}
@@ -482,22 +545,23 @@ def document_languages(models: LanguageModels, texts: Sequence[str | None]) -> l
     out = []
     for own in cut:
         found: dict[str, list[tuple[int, float]]] = {}
-        judged, short = [], []
+        judged, short, alone = [], [], set()
         for segment in own:
-            bare, (lang, sure, _) = next(given)
+            bare, (lang, sure, entropy) = next(given)
             judged.append((segment, lang, sure))
             if lang and sure >= SURE and proves(bare):
                 found.setdefault(lang, []).append((len(bare), sure))
+                if sure >= SURE_ALONE and entropy <= models.usual[models.languages.index(lang)]:
+                    alone.add(lang)
             elif lang:
                 short.append((sure >= SURE, len(bare), lang, sure))
         if not found and short:  # nothing long and sure: the longest sure segment counts, else the longest
             _, size, lang, sure = max(short)
             if size >= SHORTEST:
                 found[lang] = [(size, sure)]
-        if len(found) > 1:  # a second language must show more than once, or at length
-            total = sum(n for v in found.values() for n, _ in v)
+        if len(found) > 1:  # a further language must show more than once, or beyond doubt
             main = max(found, key=lambda k: (sum(n for n, _ in found[k]), k))
-            found = {k: v for k, v in found.items() if k == main or len(v) > 1 or v[0][0] >= min(SHARE_ALONE * total, SIGNS_ALONE if k in ("ja", "zh") else LETTERS_ALONE)}
+            found = {k: v for k, v in found.items() if k == main or len(v) > 1 or k in alone}
         out.append(({k: (sum(n for n, _ in v), sum(n * c for n, c in v) / sum(n for n, _ in v)) for k, v in found.items()}, judged))
     return out
 
@@ -514,34 +578,37 @@ def _run(name: str, shared, pick):
 
 
 def fitted_models(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> LanguageModels | None:
-    pairs = training_sentences(documents, samples, key=key, text=text, label=label)
-    return train(pairs) if pairs else None
+    pairs, code = training_sentences(documents, samples, key=key, text=text, label=label)
+    return train(pairs, code=code) if pairs else None
 
 
 def languages(documents: DataFrame, samples: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """key, label_lang (what the label names), lang, letters, confidence: a row for each language a document is written in."""
+    """key, label_lang (what the label names), lang, letters, confidence: a row for each language a document is written in, one with a null lang where that is none."""
     spark = documents.sparkSession
     kind = next(f.dataType.simpleString() for f in documents.schema.fields if f.name == key)
     schema = f"_key {kind}, label_lang string, lang string, letters int, confidence double"
     models = fitted_models(documents, samples, key=key, text=text, label=label)
-    if models is None:
-        return spark.createDataFrame([], schema).withColumnRenamed("_key", key)
+    if models is None:  # nothing is known of any language
+        none = documents.select(F.col(key), F.lit(None).cast("string").alias("label_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("letters"), F.lit(0.0).alias("confidence"))
+        return none
     shared = spark.sparkContext.broadcast(models)
+    more = sorted(set(models.languages) - {NONE, *LANGUAGES})
 
     def pick(part, judged):
         keys, labels, langs, counts, sure = [], [], [], [], []
         for k, l, (found, _) in zip(part.column(0), part.column(2).to_pylist(), judged):
-            named = label_language(l)
-            for lang in sorted(found):
+            named = label_language(l, more)
+            for lang in sorted(found) or [None]:
+                size, confidence = found.get(lang, (0, 0.0))
                 keys.append(k.as_py())
                 labels.append(named)
                 langs.append(lang)
-                counts.append(found[lang][0])
-                sure.append(found[lang][1])
+                counts.append(size)
+                sure.append(confidence)
         return pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), pa.array(labels, pa.string()), pa.array(langs, pa.string()), pa.array(counts, pa.int32()), pa.array(sure, pa.float64())],
                                           ["_key", "label_lang", "lang", "letters", "confidence"])
 
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
     return spread(rows).mapInArrow(_run(uuid.uuid4().hex, shared, pick), schema).withColumnRenamed("_key", key)
 
 
@@ -566,7 +633,8 @@ def language_segments(documents: DataFrame, samples: DataFrame, *, key: str = "d
 
 
 def relabelled(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Of ``languages``: all rows of documents without label, with a label naming none of their languages, or in several languages."""
+    """Of ``languages``: all rows with a language of documents without label, with a label naming none of their languages, or in several languages."""
+    found = found.where(F.col("lang").isNotNull())
     mine = W.partitionBy(key)
     right = F.max(F.coalesce(F.col("lang") == F.col("label_lang"), F.lit(False))).over(mine)
     return found.withColumn("_n", F.count(F.lit(1)).over(mine)).withColumn("_right", right).where((F.col("_n") > 1) | ~F.col("_right")).drop("_n", "_right")

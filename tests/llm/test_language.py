@@ -81,7 +81,9 @@ def test_held_out_sentences(models):
 
 def test_segments_leave_code_out():
     text = "The queue was full.\n```\nconst x_1 = load(3);\n``` Niemand hat src/a/b_c.py gesehen.\nPASS  a/b.test.ts (12 ms)\n+import { x } from './y'\nsha=ab12 skipped=3\n| `a/b.ts` | 0.3 |\n{\"test_path\": \"a.b\", \"reasoning\":\"Il faudrait attendre.\"}"
-    assert [G.letters(s) for s in G.segments(text)] == ["the queue was full", "niemand hat gesehen", "il faudrait attendre"]
+    found = [G.letters(s) for s in G.segments(text)]
+    assert [s for s in found if " from " not in s] == ["the queue was full", "niemand hat gesehen", "il faudrait attendre"]  # the rest is for the models to reject
+    assert not any("load" in s or "skipped" in s for s in found)
     assert G.segments("") == G.segments("  \n\t") == G.segments("```\nx = 1\n```") == []
 
 
@@ -94,11 +96,40 @@ def test_long_runs_take_linear_time(models, unit):
     assert len(found) == 2 and time.process_time() - began < 12
 
 
+def test_what_fences_hold_is_no_language(models):
+    """Noise of another make: the models learn it from fences and reject it outside them."""
+    code = [f"assertion {a} violated by {b} while evaluating" for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "three", "four")] + [f"warning unused {x} symbol emitted" for x in ("left", "right", "upper", "lower")]
+    pairs = [(lang, s) for lang, own in SAMPLES.items() for s in own * 3]
+    text = "assertion gamma violated by seven while evaluating\nwarning unused middle symbol emitted"
+    assert set(G.document_languages(models, [text])[0][0]) == {"en"}  # nothing has shown it to be code
+    taught = G.train(pairs, code=code)
+    assert set(G.document_languages(taught, [text])[0][0]) == set()
+    mixed = text + "\n" + " ".join(SAMPLES["de"][:2])
+    assert set(G.document_languages(taught, [mixed])[0][0]) == {"de"}
+    assert G.segments_and_code("Il faudrait attendre.\n```\nassertion alpha violated by one\n```")[1] == ["assertion alpha violated by one"]
+
+
+def test_an_eleventh_language(spark):
+    swedish = ["Testet misslyckades igen efter den senaste ändringen.", "Ingen såg att kön var full i morse.", "Vi borde köra hela sviten innan vi slår ihop den.", "Det är svårt att säga varför kontrollen är så långsam.", "Rapporten visar att bara en av dem blev klar."]
+    own = SAMPLES | {"sv": swedish}
+    samples = spark.createDataFrame([(i, lang, s) for i, (lang, s) in enumerate((lang, s) for lang, o in own.items() for s in o * 3)], "sample_id bigint, lang string, text string")
+    docs = spark.createDataFrame([(1, " ".join(swedish[:3]), "sv-SE"), (2, " ".join(swedish[2:]), "en"), (3, "x = 1", "en"), (4, None, None), (5, " ".join(SAMPLES["fr"]), "svenska")], "doc_id bigint, text string, lang string")
+    rows = {(r["doc_id"], r["lang"]): r for r in G.languages(docs, samples).collect()}
+    assert set(rows) == {(1, "sv"), (2, "sv"), (3, None), (4, None), (5, "fr")}
+    assert rows[(1, "sv")]["label_lang"] == "sv" and rows[(3, None)]["letters"] == 0 and rows[(5, "fr")]["label_lang"] is None
+    assert sorted((r["doc_id"], r["lang"]) for r in G.relabelled(G.languages(docs, samples)).collect()) == [(2, "sv"), (5, "fr")]
+
+
+def test_one_sure_sentence_of_another_language(models):
+    text = " ".join(SAMPLES["fr"] * 3) + " " + SAMPLES["ru"][0]
+    assert set(G.document_languages(models, [text])[0][0]) == {"fr", "ru"}
+
+
 def test_long_text_is_judged_whole(models):
     long = G.letters(" ".join(SAMPLES["de"]))
     text = " ".join([long] * (3 * G.PIECE_CHARS // len(long)))
     assert models.judge([text])[0][0] == "de"
-    assert abs(models.entropies([text])[0] - models._entropies([text])[0]).max() < 1e-3
+    assert abs(models.entropies([text])[0] - models._entropies([text])[0]).max() < 1e-5  # pieces are scored after what stands before them
 
 
 def test_mended_encodings():
@@ -122,4 +153,5 @@ def test_query_columns(spark):
     got = sorted((r["doc_id"], r["lang"]) for r in G.relabelled(G.languages(df, samples)).collect())
     assert got == [(0, "en"), (2, "fr"), (11, "de"), (12, "de"), (12, "fr")]
     assert G.language_segments(df, samples).where("doc_id = 12").count() == 2
-    assert G.languages(df.where("false"), samples).count() == 0 and G.languages(df, samples.where("false")).count() == 0
+    assert G.languages(df.where("false"), samples).count() == 0
+    assert {r["lang"] for r in G.languages(df, samples.where("false")).collect()} == {None}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from runweave.functions.expr import is_test_file, matches_any
 from runweave.operators import analytics, decisions, diffs, features, graph, ingest, merge, model, retrieval
 from runweave.plans.core_queries import ONCE, counted_runs, measured_runs
+from runweave.operators.redelivery import in_epochs
+from runweave.session import state_path
 from runweave.sources.tables import table
+from runweave.streaming.ingest import ingest_batch, messages
 
 ARRAYS = ("actual_failures", "all_tests")
 AS_OF = "2026-03-01 00:00:00"
@@ -160,6 +164,51 @@ def ingest_validation(spark, d):
     return ingest.validated(table(spark, d, "runs")).select("ingest_seq", "problems")
 
 
+_VALID = f"""(NOT {_BLANK.format(c='id')} AND NOT {_BLANK.format(c='repo_id')} AND NOT {_BLANK.format(c='sha')} AND pr_number IS NOT NULL AND created_at IS NOT NULL
+  AND predicted_skip IS NOT NULL AND len(list_filter(predicted_skip, lambda x: x IS NULL)) = 0 AND actual_failures IS NOT NULL AND len(list_filter(actual_failures, lambda x: x IS NULL)) = 0
+  AND all_tests IS NOT NULL AND len(list_filter(all_tests, lambda x: x IS NULL)) = 0 AND coalesce(mode IN ('shadow', 'conservative', 'standard', 'aggressive'), false))"""
+_EPOCHS = f"""span AS (SELECT min(batch_id) AS lo, max(batch_id) AS hi FROM runs),
+valid AS (SELECT *, nullif(regexp_replace(lower(id), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '') AS k, CASE WHEN coalesce(batch_id, lo) <= lo + (hi - lo) * 0.7 THEN 1 WHEN coalesce(batch_id, lo) <= lo + (hi - lo) * 0.85 THEN 2 ELSE 3 END AS epoch
+  FROM runs, span WHERE {_VALID}),
+steps AS (SELECT e.step, v.* FROM valid v JOIN (VALUES (1), (2), (3)) e(step) ON v.epoch <= e.step),
+kept AS (SELECT * FROM steps WHERE k IS NULL UNION ALL SELECT * FROM steps WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY step, repo_id, k ORDER BY ingest_seq) = 1),
+m AS (SELECT *, len(list_filter(actual_failures, lambda f: list_contains(predicted_skip, f))) AS missed, len(actual_failures) AS failures FROM kept)"""
+
+
+def _replayed(spark: SparkSession, d: str) -> tuple[str, list[DataFrame]]:
+    """The deliveries through ingest in three batches: (root, events of each)."""
+    root = state_path(spark, "ingest")
+    at = F.lit(AS_OF).cast("timestamp")
+    return root, [ingest_batch(part, root, n, now=at) for n, part in enumerate(in_epochs(table(spark, d, "runs"), "batch_id", (0.7, 0.85)))]
+
+
+@query("ingest_alert_history", f"""WITH {_EPOCHS.replace("(VALUES (1), (2), (3))", "(VALUES (3))")}, {_ROLL},
+g AS (SELECT *, CASE WHEN recall < 0.95 THEN 'low' WHEN recall >= 0.98 THEN 'high' END AS signal FROM roll),
+p AS (SELECT *, last_value(signal IGNORE NULLS) OVER (PARTITION BY repo_id ORDER BY created_at, ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM g)
+SELECT repo_id, ingest_seq, recall, CASE WHEN signal = 'low' AND prior IS DISTINCT FROM 'low' THEN 'fire' WHEN signal = 'high' AND prior = 'low' THEN 'recover' ELSE 'hold' END AS event FROM p""")
+def ingest_alert_history(spark, d):
+    """Transitions over the table that ingest in batches leaves: the same as over all valid runs at once."""
+    root, _ = _replayed(spark, d)
+    kept = messages(spark, root).winners()
+    return analytics.alert_transitions(kept.select("repo_id", "ingest_seq", "created_at", "predicted_skip", "actual_failures", "all_tests"))
+
+
+@query("ingest_alert_events", f"""WITH {_EPOCHS},
+newest AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY step, repo_id ORDER BY created_at DESC, ingest_seq DESC) <= 20),
+recalls AS (SELECT step, repo_id, {RECALL.format(f='sum(failures)', m='sum(missed)')} AS recall FROM newest GROUP BY 1, 2),
+seen AS (SELECT r.* FROM recalls r JOIN (SELECT DISTINCT epoch, repo_id FROM valid) v ON v.epoch = r.step AND v.repo_id = r.repo_id),
+wide AS (SELECT repo_id, max(recall) FILTER (step = 1) AS r1, max(recall) FILTER (step = 2) AS r2, max(recall) FILTER (step = 3) AS r3 FROM seen GROUP BY 1),
+s1 AS (SELECT *, CASE WHEN r1 < 0.95 THEN 'fire' END AS e1, coalesce(r1 < 0.95, false) AS a1 FROM wide),
+s2 AS (SELECT *, CASE WHEN r2 < 0.95 AND NOT a1 THEN 'fire' WHEN r2 >= 0.98 AND a1 THEN 'recover' END AS e2, CASE WHEN r2 < 0.95 THEN true WHEN r2 >= 0.98 THEN false ELSE a1 END AS a2 FROM s1),
+s3 AS (SELECT *, CASE WHEN r3 < 0.95 AND NOT a2 THEN 'fire' WHEN r3 >= 0.98 AND a2 THEN 'recover' END AS e3 FROM s2)
+SELECT repo_id, step - 1 AS batch, recall, event FROM (SELECT repo_id, 1 AS step, r1 AS recall, e1 AS event FROM s1 UNION ALL SELECT repo_id, 2, r2, e2 FROM s2 UNION ALL SELECT repo_id, 3, r3, e3 FROM s3) WHERE event IS NOT NULL""")
+def ingest_alert_events(spark, d):
+    """What ingest in three batches sent out: alerts decided after each batch, from the state the batch before left."""
+    _, events = _replayed(spark, d)
+    out = [e.select("repo_id", F.lit(n).alias("batch"), "recall", "event") for n, e in enumerate(events)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Deliveries up to the middle batch number, and the later ones."""
     rows = table(spark, d, "runs").select("ingest_seq", "batch_id", "id", "repo_id", "mode")

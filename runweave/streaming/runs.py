@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runweave.functions.expr import missed, size0
-from runweave.operators.ingest import quarantine
-from runweave.operators.redelivery import MessageTable
 from runweave.sources.run_log import RUN
+from runweave.streaming.ingest import ingest_batch
 
 
 def read_runs(spark: SparkSession, folder: str, **options: str) -> DataFrame:
@@ -24,17 +23,15 @@ def read_runs(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).json(folder)
 
 
-def ingest_stream(runs: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Run records into a message table, each once, invalid ones beside it.
+def ingest_stream(runs: DataFrame, root: str, checkpoint: str, *, notify: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Run records into a message table, each once, invalid ones and alerts beside it (see ``ingest``).
 
-    Every micro-batch goes whole to the quarantine and the table, however late its rows are: the table's identifier index finds
-    repeats at any distance and keeps the least sequence number. The table commits a batch by one manifest.
+    Every micro-batch goes whole to the table, however late its rows are: the table's identifier index finds repeats at any distance and
+    keeps the least sequence number, and the table commits a batch by one manifest.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        good, bad = quarantine(batch)
-        bad.write.mode("overwrite").parquet(f"{table}/invalid/batch={number}")
-        MessageTable(batch.sparkSession, f"{table}/messages").merge(good)
+        ingest_batch(batch, root, number, notify=notify)
 
     return runs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -53,3 +53,30 @@ def test_weeks(spark, tmp_path):
     put(src, "1.json", [record(1, 0), record(2, 6), record(3, 7), record(4, 60)])
     got = S.drained(S.weekly_stream(S.read_runs(spark, str(src))), "weeks_once", "append")
     assert sorted((str(r["week"]), r["runs"], r["minutes_saved"]) for r in got.collect())[:2] == [("2025-01-05", 2, 4.0), ("2025-01-12", 1, 2.0)]
+
+
+def test_ingest_derives_and_alerts(spark, tmp_path):
+    from runweave.streaming.ingest import alert_state, ingest_batch
+
+    root, sent = f"file://{tmp_path}/chain", []
+    miss = {"actual_failures": ["a"], "predicted_skip": ["a"], "time_saved_minutes": None}
+    src = tmp_path / "chain_in"
+    put(src, "1.json", [record(1, 0, **miss), record(2, 1, repo_id="calm", actual_failures=["a"])])
+    put(src, "2.json", [record(10 + i, 40 + i, actual_failures=["a"]) for i in range(19)])
+    put(src, "3.json", [record(40, 70, actual_failures=["a"]), record(41, 2, **miss, repo_id="late"), record(42, 71, mode="odd")])
+    batches = [spark.read.schema(S.read_runs(spark, str(src)).schema).json(f"{src}/{n}.json") for n in (1, 2, 3)]
+
+    def notify(events):
+        sent.append([tuple(r) for r in events.collect()])
+        raise OSError("no way out")
+
+    ingest_batch(batches[0], root, 0)
+    for n, b in enumerate(batches):
+        ingest_batch(b, root, n, notify=notify)
+    assert sent[0] == [("r", 0.0, "fire")] and sent[1] == [] and sorted(sent[2]) == [("late", 0.0, "fire"), ("r", 1.0, "recover")]
+    ingest_batch(batches[2], root, 2, notify=notify)  # given again after a failure
+    assert sorted(sent[3]) == sorted(sent[2])
+    state = {r["repo_id"]: (r["alert_fired_at"] is not None, r["recovered_at"] is not None) for r in alert_state(spark, root).collect()}
+    assert state == {"r": (True, True), "late": (True, False)}
+    kept = {r["ingest_seq"]: r["time_saved_minutes"] for r in MessageTable(spark, f"{root}/messages").winners().collect()}
+    assert kept[1] == 0.5 and kept[10] == 2.0 and len(kept) == 23

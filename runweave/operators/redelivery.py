@@ -26,7 +26,7 @@ from runweave.sources.store import PART, PartitionStore, dir_column, folder_of
 
 KEY, RANK, KEPT = "_key", "_rank", "_kept"
 LAST = 2**63 - 1  # rows without a sequence number come after all others
-BUCKETS = 64
+BUCKETS = 16
 TIES = 2**60
 
 
@@ -91,7 +91,8 @@ def flag_winners(rows: DataFrame, source_col: str) -> DataFrame:
 class MessageTable:
     """One winner per message, in partitions of a store, with an identifier index beside it.
 
-    The index is a store of its own, cut into ``buckets`` by a hash of (source, key): a batch reads the buckets its messages fall into.
+    The index is a store of its own, cut into ``buckets`` by a hash of (source, key): a batch reads the buckets its messages fall into. A table of very
+    many messages that takes small batches wants more buckets than a batch has messages.
     """
 
     def __init__(self, spark: SparkSession, root: str, *, id_col: str = "id", source_col: str = "repo_id", seq: str = "ingest_seq", part: F.Column | None = None, buckets: int = BUCKETS):

@@ -29,7 +29,7 @@ from runweave.sources.store import PART, PartitionStore, dir_column
 LOW, HIGH, NEWEST = 0.95, 0.98, 20
 STATE = T.StructType([T.StructField("repo_id", T.StringType()), T.StructField("alert_fired_at", T.TimestampType()), T.StructField("recovered_at", T.TimestampType())])
 EVENT = T.StructType([T.StructField("repo_id", T.StringType()), T.StructField("recall", T.DoubleType()), T.StructField("event", T.StringType())])
-BUCKETS = 64
+BUCKETS = 16
 _log = logging.getLogger(__name__)
 
 

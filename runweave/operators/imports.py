@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import os
 import posixpath
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 import regex
@@ -79,14 +79,19 @@ def go_imports(source: str) -> list[str]:
 PARSERS: dict[str, Callable[[str], list[str]]] = {e: script_imports for e in (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")} | {".py": python_imports, ".rb": ruby_imports, ".go": go_imports}
 
 
-def parse_imports(files: DataFrame, parsers: dict[str, Callable[[str], list[str]]] | None = None) -> DataFrame:
-    """path, imports (sorted, distinct), error: files(path, content). A parser that fails gives an error and no imports; unknown endings give none."""
+def parse_imports(files: DataFrame, parsers: dict[str, Callable[[str], list[str]]] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
+    """by, path, imports (sorted, distinct), error: files(by, path, content), by naming the project where there are several.
+
+    A parser that fails gives an error and no imports, so does a file without content (it couldn't be read); unknown endings give none.
+    """
     known = dict(PARSERS if parsers is None else parsers)
 
     def one(path: str, content: str | None) -> dict:
+        if content is None:
+            return {"imports": [], "error": "unreadable"}
         try:
             parser = known.get(os.path.splitext(path)[1].lower())
-            return {"imports": parser(content or "") if parser else [], "error": None}
+            return {"imports": parser(content) if parser else [], "error": None}
         except Exception as e:  # noqa: BLE001 - a broken file is data
             return {"imports": [], "error": f"{type(e).__name__}: {e}"[:200]}
 
@@ -96,7 +101,7 @@ def parse_imports(files: DataFrame, parsers: dict[str, Callable[[str], list[str]
         return pd.DataFrame([one(p, c) for p, c in zip(path, content)], columns=["imports", "error"])
 
     parsed = F.pandas_udf(run, kind)
-    return files.select("path", parsed("path", "content").alias("p")).select("path", "p.imports", "p.error")
+    return files.select(*by, "path", parsed("path", "content").alias("p")).select(*by, "path", "p.imports", "p.error")
 
 
 def _folded(path: str) -> str:
@@ -141,10 +146,11 @@ def candidates(raw: str, importer: str, aliases: list[dict] | None = None) -> li
     return out
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[dict] | None = None) -> DataFrame:
-    """src, dst: distinct links between existing files (or Go folders). imports(path, imports), files(path).
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[dict] | None = None, *, by: Sequence[str] = ()) -> DataFrame:
+    """by, src, dst: distinct links between existing files (or Go folders) of a project. imports(by, path, imports), files(by, path).
 
-    ``aliases`` come from one project's configuration and are small by nature.
+    ``aliases`` come from one project's configuration and are small by nature. What an import may mean is found once for each distinct
+    import and folder it stands in, not once a file.
     """
     kind = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType())]))
 
@@ -152,15 +158,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[dict] |
         return pd.Series([[{"path": p, "kind": k} for p, k in candidates(r, i, aliases)] for r, i in zip(raw, importer)])
 
     probe = F.pandas_udf(run, kind)
-    rows = imports.select(F.col("path").alias("src"), F.explode("imports").alias("raw"))
-    tried = rows.withColumn("c", probe("raw", "src")).select("src", "raw", F.posexplode("c").alias("rank", "c")).select("src", "raw", "rank", F.col("c.path").alias("dst"), F.col("c.kind").alias("kind"))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    inventory = files.select(F.col("path").alias("dst"), F.lit("file").alias("kind")).unionByName(files.where(F.col("path").endswith(".go")).select(folder.alias("dst"), F.lit("folder").alias("kind"))).distinct()
-    found = tried.join(inventory, ["dst", "kind"]).groupBy("src", "raw").agg(F.min_by("dst", "rank").alias("dst"))
-    return found.select("src", "dst").distinct()
-
-
-def dependency_graph(links: DataFrame, files: DataFrame) -> DataFrame:
-    """path, imports: every file with its sorted distinct targets, an empty list if it has none."""
-    targets = links.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
-    return files.select("path").distinct().join(targets, "path", "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+    rows = imports.select(*by, F.col("path").alias("src"), folder.alias("here"), F.explode("imports").alias("raw"))
+    meant = rows.select("here", "raw").distinct().withColumn("c", probe("raw", F.concat("here", F.when(F.col("here") != "", "/").otherwise(""), F.lit("x"))))
+    tried = rows.join(meant, ["here", "raw"]).select(*by, "src", "raw", F.posexplode("c").alias("rank", "c")).select(*by, "src", "raw", "rank", F.col("c.path").alias("dst"), F.col("c.kind").alias("kind"))
+    inventory = files.select(*by, F.col("path").alias("dst"), F.lit("file").alias("kind")).unionByName(files.where(F.col("path").endswith(".go")).select(*by, folder.alias("dst"), F.lit("folder").alias("kind"))).distinct()
+    found = tried.join(inventory, [*by, "dst", "kind"]).groupBy(*by, "src", "raw").agg(F.min_by("dst", "rank").alias("dst"))
+    return found.select(*by, "src", "dst").distinct()
+
+
+def dependency_graph(links: DataFrame, files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """by, path, imports: every file with its sorted distinct targets, an empty list if it has none."""
+    targets = links.groupBy(*by, F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
+    return files.select(*by, "path").distinct().join(targets, [*by, "path"], "left").withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))

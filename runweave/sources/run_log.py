@@ -42,28 +42,35 @@ def write_runs(runs: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("repo_id", "yyyymm", "created_at").write.mode("append").partitionBy("repo_id", "yyyymm").parquet(path)
 
 
-def failed_test_files(spark: SparkSession, path: str, workspace: str = "") -> list[str] | None:
-    """Failed files of one test-runner result in JSON, without the workspace's prefix, sorted; an empty list if there is no such list."""
+def failed_test_files(spark: SparkSession, path: str, workspace: str = "") -> DataFrame:
+    """path: failed files of test-runner results in JSON (a file, a folder or a glob), without the workspace's prefix; no rows if there is no such list.
+
+    A failed entry without a path has a null one.
+    """
     if not exists(spark, path):
-        return []
+        return spark.createDataFrame([], "path string")
     kind = "struct<testResults:array<struct<testFilePath:string,status:string>>>"
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("r")).select(F.explode("r.testResults").alias("t"))
     name = F.col("t.testFilePath")
     root = workspace.rstrip("/") + "/"
     short = F.when(name.startswith(root), F.substr(name, F.lit(len(root) + 1))).otherwise(name) if workspace else name
-    return [r[0] for r in rows.where("t.status = 'failed' and t.testFilePath is not null").select(short.alias("p")).orderBy("p").collect()]
+    return rows.where("t.status = 'failed'").select(short.alias("path")).distinct()
 
 
 def read_tree(spark: SparkSession, root: str, endings: tuple[str, ...] = SOURCE_ENDINGS, ignored: tuple[str, ...] = ("node_modules", ".git", "dist")) -> DataFrame:
-    """path (below root), content of the source files of a tree; folders of the ignored names directly below the root are left out."""
+    """path (below root), content of the source files of a tree; folders of the ignored names directly below the root are left out.
+
+    Bytes that are no UTF-8 are replaced. A file that is listed but can't be read has a null content.
+    """
     base = "file://" + root if root.startswith("/") else root
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     path = F.substr(F.regexp_replace("path", "^file:/+", "/"), F.lit(len(root.rstrip("/")) + 2)) if root.startswith("/") else F.substr("path", F.lit(len(root.rstrip("/")) + 2))
-    rows = files.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
     wanted = F.lit(False)
     for e in endings:
         wanted = wanted | F.col("path").endswith(e)
-    return rows.where(wanted & ~F.split("path", "/")[0].isin(*ignored))
+    listed = reader.load(base).select(path.alias("path")).where(wanted & ~F.split("path", "/")[0].isin(*ignored))  # names only: nothing is opened
+    read = reader.option("ignoreCorruptFiles", "true").load(base).select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return listed.join(read.where(wanted), "path", "left")
 
 
 def read_test_files(spark: SparkSession, root: str) -> DataFrame:

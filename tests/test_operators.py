@@ -17,7 +17,7 @@ def test_test_file_names(spark):
 
 def test_globs(spark):
     cases = [("package.json", "a/b/package.json", True), ("*.config.ts", "x/jest.config.ts", True), ("*.config.ts", "x/a.ts", False), (".github/workflows/**", ".github/workflows/a/b.yml", True),
-             ("src/**/a.ts", "src/a.ts", True), ("src/*/a.ts", "src/x/y/a.ts", False), ("*.{ts,js}", "d/a.js", True), ("a?.ts", "ab.ts", True), ("a?.ts", "a/.ts", False), ("[!a].py", "b.py", True), ("a+b.ts", "a+b.ts", True)]
+             ("src/**/a.ts", "src/a.ts", True), ("src/*/a.ts", "src/x/y/a.ts", False), ("*.{ts,js}", "d/a.js", True), ("a?.ts", "ab.ts", True), ("a?.ts", "a/.ts", False), ("[!a].py", "b.py", True), ("a+b.ts", "a+b.ts", True), ("*.ts", "d/.a.ts", False), ("**/a.ts", ".x/a.ts", False), ("a/**", "a/b/.c", False), (".env*", ".env.local", True), ("{.a,b}*", ".ab", True), ("src/**", "src/a/b.ts", True)]
     for glob, path, want in cases:
         got = spark.createDataFrame([(path,)], "p string").select(expr.matches_any("p", [glob])).first()[0]
         assert got is want, (glob, path)
@@ -115,13 +115,13 @@ def test_consensus_and_orders(spark, rows):
 
 
 def test_diff_kinds_and_truncation(spark):
-    feature = "--- a/x\n+++ b/x\n+export function f() {\n+const y = 1\n-old"
+    feature = "--- a/x\n+++ b/x\n+export function f() {\n+const y = (a) => 1\n-old"
     bugfix = "-old\n+new"
-    got = [r[0] for r in spark.createDataFrame([(0, feature), (1, bugfix), (2, "  "), (3, None), (4, "+plain"), (5, "+def a\n-x")], "i int, d string").orderBy("i").select(diffs.diff_kind("d")).collect()]
-    assert got == ["feature", "bugfix", "unknown", "unknown", "unknown", "bugfix"]
+    got = [r[0] for r in spark.createDataFrame([(0, feature), (1, bugfix), (2, "  "), (3, None), (4, "+plain"), (5, "+def a\n-x"), (6, "+const y = 1\n+ function g() {}\n+async function h() {}"), (7, "+class A {\n+type B = 1")], "i int, d string").orderBy("i").select(diffs.diff_kind("d")).collect()]
+    assert got == ["feature", "bugfix", "unknown", "unknown", "unknown", "bugfix", "unknown", "feature"]
     text = "head\n+a\n+b\nmid\n-c\n+++ file\n-d\ntail"
     cut = lambda n: spark.createDataFrame([(text,)], "d string").select(diffs.truncated("d", n)).first()[0]
-    assert cut(4) == text and cut(2) == "head\n+a\n+b\nmid\n+++ file\ntail"
+    assert cut(4) == text and cut(2) == "head\n+a\n+b\nmid\n+++ file\ntail" and cut(0) == "head\nmid\n+++ file\ntail"
 
 
 def test_strict_decisions():

@@ -6,14 +6,14 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from runweave.plans import core_queries, reference_queries
+from runweave.plans import core_queries, layer1_queries, reference_queries
 from runweave.session import ship
 from tools.compare import canonical
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-QUERIES = core_queries.QUERIES | reference_queries.QUERIES
-SQL = core_queries.ORACLE | reference_queries.ORACLE
+QUERIES = core_queries.QUERIES | reference_queries.QUERIES | layer1_queries.QUERIES
+SQL = core_queries.ORACLE | reference_queries.ORACLE | layer1_queries.ORACLE
 
 
 @pytest.fixture(scope="module")

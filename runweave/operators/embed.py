@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runweave.functions.expr import band, cosine, hamming, sign_bits
 from runweave.operators import retrieval
 from runweave.session import materialize
 
@@ -64,5 +66,21 @@ def match_files(files: DataFrame, diff: DataFrame, embed: Embedder, dim: int, ca
     """path, score, band of files(path, content) against diff(content) of one row: screened by sign bits above ``above`` files. No vector of the diff, no rows."""
     own, _ = embedded(files, cache, embed, dim)
     query, _ = embedded(diff, cache, embed, dim)
-    found = retrieval.tiered(own.select("path", "vector"), query.select("vector"), above=above, n=n, key="path", vector="vector")
-    return found.withColumnRenamed("key", "path")
+    asked = query.select(F.lit("").alias("path"), "vector")
+    return retrieval.tiered(own.select("path", "vector"), asked, above=above, n=n, key="path", vector="vector").select(F.col("key").alias("path"), "score", "band")
+
+
+def match_repos(files: DataFrame, diffs: DataFrame, embed: Embedder, dim: int, cache: DataFrame | None = None, *, above: int = retrieval.TIER_ABOVE, n: int = retrieval.SHORTLIST) -> DataFrame:
+    """repo_id, test_path, score, band of files(repo_id, path, content) against the diffs(repo_id, content) of their repositories, a diff each.
+
+    Repositories of more than ``above`` files are screened by sign bits to the n nearest, which are then scored exactly. A diff or file without a vector has no rows.
+    """
+    own, _ = embedded(files, cache, embed, dim)
+    asked, _ = embedded(diffs, cache, embed, dim)
+    pairs = own.select("repo_id", F.col("path").alias("test_path"), "vector").join(asked.select("repo_id", F.col("vector").alias("query")), "repo_id")
+    sizes = own.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_files"))
+    pairs = pairs.join(sizes, "repo_id")
+    near = F.row_number().over(W.partitionBy("repo_id").orderBy(hamming(sign_bits("vector"), sign_bits("query")), "test_path"))
+    screened = pairs.where(F.col("_files") > above).withColumn("_near", near).where(F.col("_near") <= n).drop("_near")
+    kept = pairs.where(F.col("_files") <= above).unionByName(screened)
+    return kept.select("repo_id", "test_path", cosine("vector", "query").alias("score")).withColumn("band", band("score"))

@@ -46,11 +46,11 @@ def selection_metrics(buckets: DataFrame, bands: DataFrame) -> DataFrame:
     return counts.join(mean, "repo_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("minutes_saved", F.col("skipped") * 0.5)
 
 
-def consensus(decisions: DataFrame) -> DataFrame:
-    """repo_id, test_path, classification, pass: over several passes the most cautious decision, the earliest pass among equals."""
+def consensus(decisions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """repo_id, test_path, classification, pass and the columns to keep: over several passes the most cautious decision, the earliest pass among equals."""
     rank = F.when(F.col("classification") == "blocking", 2).when(F.col("classification") == "recommended", 1).otherwise(0)
-    best = F.max_by(F.struct("classification", "pass"), F.struct(rank, -F.col("pass"), -F.col("position"))).alias("b")
-    return decisions.groupBy("repo_id", "test_path").agg(best).select("repo_id", "test_path", "b.classification", "b.pass")
+    best = F.max_by(F.struct("classification", "pass", *keep), F.struct(rank, -F.col("pass"), -F.col("position"))).alias("b")
+    return decisions.groupBy("repo_id", "test_path").agg(best).select("repo_id", "test_path", "b.classification", "b.pass", *(f"b.{k}" for k in keep))
 
 
 def pass_orders(paths: str) -> dict[str, F.Column]:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from runweave.functions.expr import is_test_file, matches_any
 from runweave.operators import analytics, decisions, diffs, features, graph, ingest, merge, model, retrieval
+from runweave.operators.embed import hashing_embedder
 from runweave.plans.core_queries import ONCE, counted_runs, measured_runs
 from runweave.operators.redelivery import in_epochs
+from runweave.plans.orchestrator import orchestrate
 from runweave.session import state_path
+from runweave.sources.config import SelectionConfig
 from runweave.sources.tables import table
 from runweave.streaming.ingest import ingest_batch, messages
 
@@ -533,4 +536,17 @@ def classified_candidates(spark, d):
     return decisions.classify(_bands(spark, d).where("band = 'medium'"), decisions.rule_answer).select("repo_id", "test_path", "classification")
 
 
-
+@query("orchestrated_selection")
+def orchestrated_selection(spark, d):
+    """All layers over the repositories that have a graph: changed are the files of the latest graph that are imported and import nothing, a test's text is its path."""
+    graphs = table(spark, d, "layer1_results").where("dependency_graph is not null")
+    latest = graphs.groupBy("repo_id").agg(F.max_by("result_id", "result_id").alias("result_id"))
+    graphs = graphs.join(latest, ["repo_id", "result_id"])
+    changes = _changed(graphs).join(graphs.select("result_id", "repo_id"), "result_id")
+    added = F.array_join(F.transform(F.array_sort("changed"), lambda f: F.concat(F.lit("+"), F.regexp_replace(f, "[^A-Za-z]+", " "))), "\n")
+    words = table(spark, d, "flaky_rows").select("repo_id", F.col("test_path").alias("path")).distinct().withColumn("content", F.regexp_replace("path", "[^A-Za-z]+", " "))
+    runs = counted_runs(spark, d, "created_at", "pr_number", "actual_failures", "all_tests")
+    found = orchestrate(changes.select("repo_id", added.alias("diff"), "changed"), graphs, words, runs, table(spark, d, "tests"), SelectionConfig(mode="standard"), embedder=hashing_embedder(64), dim=64, as_of=F.lit(AS_OF).cast("timestamp"))
+    if found.failed:
+        raise RuntimeError(f"failed layers: {found.failed}")
+    return found.buckets

@@ -117,6 +117,6 @@ def test_parser_errors_are_data(spark, rows):
     def boom(source):
         raise ValueError("broken")
 
-    files = spark.createDataFrame([("a.ts", "x"), ("b.txt", "y"), ("c.TS", None)], "path string, content string")
+    files = spark.createDataFrame([("a.ts", "x"), ("b.txt", "y"), ("c.TS", None)], "path string, content string")  # c couldn't be read
     got = rows(imports.parse_imports(files, {".ts": boom}))
-    assert got == [("a.ts", [], "ValueError: broken"), ("b.txt", [], None), ("c.TS", [], "ValueError: broken")]
+    assert got == [("a.ts", [], "ValueError: broken"), ("b.txt", [], None), ("c.TS", [], "unreadable")]

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runweave.functions.expr import missed, size0
+from runweave.session import state_path
 from runweave.sources.run_log import RUN
 from runweave.streaming.ingest import ingest_batch
 
@@ -70,6 +71,7 @@ def weekly_stream(runs: DataFrame, late: str = "7 days") -> DataFrame:
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is now and return the rows it put out."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    mark = state_path(df.sparkSession, "stream")
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)

@@ -5,10 +5,10 @@ import datetime as dt
 import pytest
 
 from runweave.operators import model
-from runweave.plans import core_queries, layer1_queries, reference_queries
+from runweave.plans import core_queries, layer1_queries, reference_queries, source_queries
 from runweave.session import ship
 
-QUERIES = core_queries.QUERIES | reference_queries.QUERIES | layer1_queries.QUERIES
+QUERIES = core_queries.QUERIES | reference_queries.QUERIES | layer1_queries.QUERIES | source_queries.QUERIES
 
 
 @pytest.fixture

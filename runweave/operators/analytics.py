@@ -57,6 +57,11 @@ def savings_trend(runs: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "week").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("minutes_saved"))
 
 
+def by_week(trend: DataFrame) -> DataFrame:
+    """A weekly trend in order, for a reader: repositories, then weeks."""
+    return trend.orderBy("repo_id", "week")
+
+
 def newest_first() -> W:
     return W.partitionBy("repo_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("ingest_seq").desc())
 

@@ -49,25 +49,23 @@ def decisions_of(raw: pd.Series) -> pd.Series:
 
 
 def classify(candidates: DataFrame, answer: Callable[[list[str]], str | None], *, batch: int = 64) -> DataFrame:
-    """repo_id, test_path, classification, confidence, reasoning from a classifier called on batches of paths in sorted order.
+    """repo_id, test_path, classification, confidence, reasoning from a classifier called on batches of consecutive paths of a repository.
 
     An unusable answer is asked for once more; if that fails too, the batch has no rows.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for repo, own in part.groupby("repo_id", sort=True):
-                paths = sorted(own["test_path"])
-                for a in range(0, len(paths), batch):
-                    asked = paths[a : a + batch]
-                    found = parse_decisions(answer(asked))
-                    found = parse_decisions(answer(asked)) if found is None else found
-                    if found:
-                        frame = pd.DataFrame(found, columns=list(NAMES))
-                        frame.insert(0, "repo_id", repo)
-                        yield frame
-
-    return candidates.select("repo_id", "test_path").mapInPandas(run, "repo_id string, test_path string, classification string, confidence double, reasoning string")
+            for repo, asked in zip(part["repo_id"], part["paths"]):
+                paths = list(asked)
+                found = parse_decisions(answer(paths))
+                found = parse_decisions(answer(paths)) if found is None else found
+                if found:
+                    frame = pd.DataFrame(found, columns=list(NAMES))
+                    frame.insert(0, "repo_id", repo)
+                    yield frame
+
+    return in_batches(candidates, batch).select("repo_id", "paths").mapInPandas(run, "repo_id string, test_path string, classification string, confidence double, reasoning string")
 
 
 def rule_answer(paths: list[str]) -> str:

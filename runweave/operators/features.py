@@ -58,8 +58,10 @@ def training_features(runs: DataFrame) -> DataFrame:
     """
     test, at = ["repo_id", "test_path"], F.unix_micros("created_at")
     day_of = lambda t: F.floor(t / F.lit(DAY_US)).cast("int")
-    listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", at.alias("at"), items("actual_failures").alias("af"), F.explode(F.array_distinct(items("all_tests"))).alias("test_path"))
-    rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.array_contains("af", F.col("test_path")).cast("int")).drop("af").withColumn("day", day_of(F.col("at")))
+    failing = items("actual_failures")
+    each = F.transform(F.array_distinct(items("all_tests")), lambda t: F.struct(t.alias("test_path"), F.array_contains(failing, t).cast("int").alias("label")))
+    listed = runs.where(F.col("created_at").isNotNull()).select("repo_id", "ingest_seq", "pr_number", at.alias("at"), F.inline(each))
+    rows = listed.where(F.col("test_path").isNotNull()).withColumn("label", F.coalesce("label", F.lit(0))).withColumn("day", day_of(F.col("at")))
     rows = listed_rows = materialize(rows, "listed")
     failed_at = F.when(F.col("label") == 1, F.col("at"))
     # totals and earlier failures come from a table of a row a test and day

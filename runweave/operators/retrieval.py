@@ -35,6 +35,13 @@ def hamming_nearest(vectors: DataFrame, queries: DataFrame, n: int = SHORTLIST,
     return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def cosine_nearest(vectors: DataFrame, queries: DataFrame, n: int = SHORTLIST, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, score of the n vectors of the highest cosine for each query; ties by key. The exact way beside the bit screen; a task sends at most n rows a query."""
+    rows = against_queries(vectors, queries, key=key, vector=vector).select("query_id", "key", cosine("vector", "query").alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
 def tiered(vectors: DataFrame, queries: DataFrame, *, above: int = TIER_ABOVE, n: int = SHORTLIST, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, score, band: all vectors if there are few, else for each query the exact cosine of those its bit screen keeps."""
     if vectors.limit(above + 1).count() <= above:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.functions.expr import is_test_file, matches_any
 from runweave.operators import decisions, diffs, graph, imports, merge
-from runweave.operators.decisions import rule_answer
 from runweave.sources.config import SelectionConfig, ts_aliases
 from runweave.sources.run_log import read_tree
 from runweave.session import materialize
@@ -31,16 +28,13 @@ def static_analysis(spark: SparkSession, root: str, changed: list[str], globs: l
 
 
 def select_tests(graph_hits: DataFrame, bands: DataFrame, tests: DataFrame, diff: DataFrame, config: SelectionConfig, *, full_suite: DataFrame | None = None,
-                 answer: Callable[[list[str]], str | None] = rule_answer) -> DataFrame:
-    """repo_id, test_path, bucket. The medium band goes to the classifier; diffs (repo_id, diff) that add features, and the
-    conservative mode, have it asked three times and take the most cautious answer of each test.
+                 provider: decisions.Provider = decisions.rule_provider) -> DataFrame:
+    """repo_id, test_path, bucket from ready-made layers. The medium band goes to the provider; diffs (repo_id, diff) that add features, and the
+    conservative mode, have it asked three times in different order and take the most cautious answer of each test.
     """
-    kinds = diff.select("repo_id", diffs.diff_kind("diff").alias("kind"))
-    medium = bands.where("band = 'medium'").select("repo_id", "test_path")
-    once = decisions.classify(medium, answer).withColumn("pass", F.lit(0))
-    careful = kinds.where("kind = 'feature'").select("repo_id").distinct() if config.mode != "conservative" else medium.select("repo_id").distinct()
-    again = [decisions.classify(medium.join(careful, "repo_id", "left_semi"), answer).withColumn("pass", F.lit(p)) for p in (1, 2)]
-    decided = merge.consensus(once.unionByName(again[0]).unionByName(again[1]).withColumn("position", F.lit(0)))
+    told = diff.select("repo_id", "diff", F.lit(config.architecture_notes).alias("notes"))
+    careful = told if config.mode == "conservative" else told.where(diffs.diff_kind("diff") == "feature")
+    decided, _ = decisions.classify_changes(bands.where("band = 'medium'").select("repo_id", "test_path"), told, provider, careful.select("repo_id"))
     return merge.merge_layers(tests, graph_hits, bands, decided, mode=config.mode, quarantine=config.flaky_test_quarantine, full_suite=full_suite)
 
 

@@ -333,6 +333,11 @@ def hamming_topk(spark, d):
     return retrieval.hamming_nearest(*_vectors(spark, d))
 
 
+@query("cosine_topk", f"WITH {_COS} SELECT query_id, key, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 50")
+def cosine_topk(spark, d):
+    return retrieval.cosine_nearest(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query("tiered_retrieval", f"WITH {_COS}, {_HAM} SELECT query_id, key, round(score, 6) AS score, {_BAND.format(s='score')} AS band FROM c JOIN near USING (query_id, key)")
 def tiered_retrieval(spark, d):
     return retrieval.tiered(*_vectors(spark, d)).withColumn("score", F.round("score", 6))

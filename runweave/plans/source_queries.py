@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from runweave.operators import analytics, merge, model, prompts
 from runweave.plans.core_queries import counted_runs, measured_runs
-from runweave.plans.reference_queries import _MERGE, AS_OF, RECALL, WEEK, R, _bands, _decided, _graph_hits, _tests
+from runweave.plans.reference_queries import _EPOCHS, _MERGE, AS_OF, RECALL, WEEK, R, _bands, _decided, _graph_hits, _tests
 from runweave.session import state_path
 from runweave.sources import run_log
 from runweave.sources.tables import stream, table
 from runweave.streaming import runs as streams
+from runweave.streaming.ingest import messages
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -81,6 +82,16 @@ def streamed_alerts(spark: SparkSession, d: str):
     return streams.drained(streams.alert_stream(rows), f"alerts_{uuid.uuid4().hex}")
 
 
+@query("streamed_ingest", f"""WITH {_EPOCHS} SELECT ingest_seq, repo_id, coalesce(CAST(time_saved_minutes AS DOUBLE), len(predicted_skip) * 0.5) AS time_saved_minutes, epoch_us(date_trunc('millisecond', created_at)) AS created_us
+  FROM kept WHERE step = 3""")
+def streamed_ingest(spark: SparkSession, d: str):
+    """What the message table holds after a stream of all deliveries."""
+    root = state_path(spark, "streamed")
+    rows = stream(spark, d, "runs")
+    streams.ingest_stream(rows, root, f"{root}/mark").awaitTermination()
+    return messages(spark, root).winners().select("ingest_seq", "repo_id", "time_saved_minutes", F.unix_micros("created_at").alias("created_us"))
+
+
 # -- around a selection --------------------------------------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ BUCKETS = 16
 TIES = 2**60
 
 
-OWN = (KEY, RANK, KEPT, PART, "_best", "_won", "_dir", "_least", "_bucket")
+OWN = (KEY, RANK, KEPT, PART, "_best", "_won", "_dir", "_least", "_bucket", "_fresh")
 SHIELD = "_given"
 
 
@@ -124,9 +124,10 @@ class MessageTable:
         known = self.index.manifest()["parts"]
         if not known:
             return []
-        wanted = self._entries(incoming)
-        hit = {r[0] for r in wanted.select("_bucket").distinct().collect()}  # at most ``buckets`` values
-        index = self.index.read(sorted(hit & set(known)))
+        wanted, hit = self._entries(incoming), set(known)
+        if incoming.count() < 8 * self.buckets:  # a larger batch falls into every bucket
+            hit &= {r[0] for r in wanted.select("_bucket").distinct().collect()}  # at most ``buckets`` values
+        index = self.index.read(sorted(hit))
         if index is None:
             return []
         hits = index.join(wanted.select("source", "key"), ["source", "key"], "left_semi").select(PART).distinct()
@@ -138,23 +139,24 @@ class MessageTable:
         fresh = with_keys(shield(incoming), self.id_col, self.source_col, self.seq).withColumn(PART, self.part)
         touched = self.affected(fresh)
         old = self.rows.read(touched, base) if touched else None
-        flagged = flag_winners(fresh if old is None else old.unionByName(fresh, allowMissingColumns=True), self.source_col)
+        rows = fresh.withColumn("_fresh", F.lit(True))
+        if old is not None:
+            rows = old.withColumn("_fresh", F.lit(False)).unionByName(rows, allowMissingColumns=True)
+        flagged = flag_winners(rows, self.source_col)
         out = self.rows.fresh("merge")
+        state = F.when(~F.col(KEPT), "lost").when(F.col("_fresh"), "new").otherwise("old")
         # one shuffle by partition; AQE cuts a hot month into several files and joins small ones
-        flagged.hint("rebalance", PART).withColumns({"_won": F.col(KEPT), "_dir": dir_column(PART)}).drop(KEPT).write.partitionBy("_won", "_dir").parquet(out)
-        schema = flagged.drop(KEPT).schema
-        parts = self.rows.folders_below(f"{out}/_won=true")
-        if parts:
-            won = self.spark.read.schema(schema).parquet(f"{out}/_won=true")
+        flagged.hint("rebalance", PART).withColumns({"_won": state, "_dir": dir_column(PART)}).drop(KEPT, "_fresh").write.partitionBy("_won", "_dir").parquet(out)
+        schema = flagged.drop(KEPT, "_fresh").schema
+        won, kept = self.rows.folders_below(f"{out}/_won=new"), self.rows.folders_below(f"{out}/_won=old")
+        if won:
             slots = self.index.fresh("index")
-            entries = self._entries(won)
-            if touched:  # winners that were there before have their entry
-                entries = entries.join(self._entries(fresh).select("source", "key"), ["source", "key"], "left_semi")
+            entries = self._entries(self.spark.read.schema(schema).parquet(f"{out}/_won=new"))
             self._write_index(entries, slots)
             # the index goes first: an entry without rows does no harm, rows without an entry would
             self.index.commit(slots, entries.drop("_bucket").schema, self.index.folders_below(slots), set(), index_base)
-        self.surplus.append(f"{out}/_won=false")
-        return self.rows.commit(f"{out}/_won=true", schema, parts, set(touched), base)
+        self.surplus.append(f"{out}/_won=lost")
+        return self.rows.commit(f"{out}/_won=new", schema, won, set(touched), base, more=[(f"{out}/_won=old", kept)])
 
     def compact(self, most: int = 8) -> int:
         """Rewrite partitions made of more than ``most`` folders, and the index if it has that many; returns the rows' version.

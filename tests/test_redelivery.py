@@ -106,7 +106,7 @@ def test_empty_nulls_and_ties(spark):
 
 
 def test_compaction_and_vacuum(spark):
-    table = MessageTable(spark, state_path(spark, "compact"))
+    table = MessageTable(spark, state_path(spark, "compact"), buckets=1)
     for i in range(4):
         table.merge(spark.createDataFrame([(10 * i, i, f"new{i}", "a", at(1), None, None), (10 * i + 1, i, "same", "a", at(2), None, None)], SCHEMA))
     want = sorted(r[0] for r in table.winners().select("ingest_seq").collect())

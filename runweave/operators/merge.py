@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runweave.functions.expr import exact_avg
 from runweave.operators import ranks
+from runweave.session import materialize
 
 #: fixed values: largest share of tests a mode may skip
 SKIP_SHARE = {"shadow": 0.0, "conservative": 0.15, "standard": 0.5, "aggressive": 0.8}
@@ -27,7 +28,7 @@ def merge_layers(tests: DataFrame, graph_hits: DataFrame, bands: DataFrame, deci
     if full_suite is not None:
         blocking = blocking.unionByName(tests.join(full_suite.select("repo_id").distinct(), "repo_id", "left_semi").select(*keys))
     votes = blocking.withColumn("rank", F.lit(2)).unionByName(decisions.where("classification = 'recommended'").select(*keys).withColumn("rank", F.lit(1)))
-    taken = votes.groupBy(*keys).agg(F.max("rank").alias("rank"))
+    taken = materialize(votes.groupBy(*keys).agg(F.max("rank").alias("rank")), "taken")  # the layers are read once, not once a use
     chosen = taken.select(*keys, F.when(F.col("rank") == 2, "blocking").otherwise("recommended").alias("bucket"))
     totals = tests.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"))
     if not SKIP_SHARE[mode]:

@@ -53,14 +53,14 @@ def hashed(column: str | F.Column) -> F.Column:
 
 
 def encode(records: DataFrame, *, group: str, offered: str, marked: str, record: str) -> DataFrame:
-    """(grp, rec, at, af): hashes of the offered items and of the marked ones among them; one narrow row a record."""
+    """(grp, rec, at, af): the group as a string, hashes of the offered items and of the marked ones among them; one narrow row a record."""
     at = hashed(offered)
-    return records.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col(record).alias("rec"), at.alias("at"), F.array_intersect(at, hashed(marked)).alias("af"))
+    return records.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(record).alias("rec"), at.alias("at"), F.array_intersect(at, hashed(marked)).alias("af"))
 
 
 def names_of(records: DataFrame, *, group: str, marked: str) -> DataFrame:
     """(grp, item, name) of every item that is marked anywhere."""
-    rows = records.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.explode(marked).alias("name"))
+    rows = records.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.explode(marked).alias("name"))
     return rows.where(F.col("name").isNotNull()).distinct().withColumn("item", F.xxhash64("name"))
 
 

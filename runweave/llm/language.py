@@ -195,7 +195,7 @@ def _cut(line: str) -> Iterator[str]:
         line = _TAGS.sub(" ", line)
     if '":' in line or '" :' in line:
         line = _JSON_KEY.sub("\n", line)
-    if "/" in line or "_" in line or "\\" in line:
+    if not line.isascii() and ("/" in line or "_" in line or "\\" in line):  # elsewhere blanks part paths from words
         line = _PATHLIKE.sub(" ", line)
     for sentence in _sentences(line):
         if sentence:

@@ -82,7 +82,8 @@ def test_held_out_sentences(models):
 def test_segments_leave_code_out():
     text = "The queue was full.\n```\nconst x_1 = load(3);\n``` Niemand hat src/a/b_c.py gesehen.\nPASS  a/b.test.ts (12 ms)\n+import { x } from './y'\nsha=ab12 skipped=3\n| `a/b.ts` | 0.3 |\n{\"test_path\": \"a.b\", \"reasoning\":\"Il faudrait attendre.\"}"
     found = [G.letters(s) for s in G.segments(text)]
-    assert [s for s in found if " from " not in s] == ["the queue was full", "niemand hat gesehen", "il faudrait attendre"]  # the rest is for the models to reject
+    spoken = ["the queue was full", "niemand hat gesehen", "il faudrait attendre"]
+    assert [s for s in found if "import" not in s] == spoken  # the rest is for the models to reject
     assert not any("load" in s or "skipped" in s for s in found)
     assert G.segments("") == G.segments("  \n\t") == G.segments("```\nx = 1\n```") == []
 

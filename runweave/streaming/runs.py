@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +43,21 @@ def alert_stream(runs: DataFrame, *, low: float = 0.95, high: float = 0.98, wind
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fails, misses, active = state.get if state.exists else ([], [], False)
-        fails, misses = list(fails), list(misses)
         rows = pd.concat(list(parts)).sort_values(["created_at", "ingest_seq"])
-        out = []
-        for seq, f, m in zip(rows["ingest_seq"], rows["f"], rows["m"]):
-            fails, misses = (fails + [int(f)])[-window:], (misses + [int(m)])[-window:]
-            recall = (sum(fails) - sum(misses)) / sum(fails) if sum(fails) else 1.0
-            if recall < low and not active:
-                active = True
-                out.append((key[0], int(seq), recall, "fire"))
-            elif recall >= high and active:
-                active = False
-                out.append((key[0], int(seq), recall, "recover"))
-        state.update((fails, misses, active))
-        yield pd.DataFrame(out, columns=["repo_id", "ingest_seq", "recall", "event"])
+        before = len(fails)
+        f, m = (np.concatenate([np.asarray(old, np.int64), rows[c].to_numpy(np.int64)]) for old, c in ((fails, "f"), (misses, "m")))
+        # sums over the window that ends at each new row, as differences of running totals
+        last = np.arange(before, len(f)) + 1
+        first = np.maximum(last - window, 0)
+        failed, missed_ = (np.concatenate([[0], np.cumsum(x)])[last] - np.concatenate([[0], np.cumsum(x)])[first] for x in (f, m))
+        recall = np.where(failed > 0, (failed - missed_) / np.maximum(failed, 1), 1.0)
+        telling = np.flatnonzero((recall < low) | (recall >= high))
+        bad = recall[telling] < low
+        was_bad = np.concatenate([[active], bad[:-1]]) if len(bad) else bad
+        turns = np.flatnonzero(bad != was_bad)
+        at = telling[turns]
+        state.update((f[-window:].tolist(), m[-window:].tolist(), bool(bad[-1]) if len(bad) else active))
+        yield pd.DataFrame({"repo_id": [key[0]] * len(at), "ingest_seq": rows["ingest_seq"].to_numpy()[at], "recall": recall[at], "event": np.where(bad[turns], "fire", "recover")})
 
     slim = runs.where("repo_id is not null and created_at is not null").select("repo_id", "ingest_seq", "created_at", size0("actual_failures").alias("f"), missed().alias("m"))
     return slim.groupBy("repo_id").applyInPandasWithState(step, "repo_id string, ingest_seq bigint, recall double, event string", "fails array<int>, misses array<int>, active boolean", "append", GroupStateTimeout.NoTimeout)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runweave.operators import ranks
 from runweave.operators.features import NAMES
+from runweave.session import materialize
 
 LEAST_RUNS = 100
 
@@ -20,7 +21,7 @@ def fit(training: DataFrame, *, trees: int = 100, depth: int = 3, step: float =
     """A fitted pipeline over the eight features and ``label``."""
     assemble = VectorAssembler(inputCols=list(NAMES), outputCol="features", handleInvalid="keep")
     booster = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)
-    return Pipeline(stages=[assemble, booster]).fit(training)
+    return Pipeline(stages=[assemble, booster]).fit(materialize(training.select(*NAMES, "label"), "training"))
 
 
 def label_shares(training: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def scored(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def ranked(scores: DataFrame, runs_by_repo: DataFrame, least: int = LEAST_RUNS) -> DataFrame:
     """repo_id, test_path, score, place: repositories with too few runs, or whose scores are all zero, get 0.5 throughout. Places are taken in stretches."""
-    rows = scores.select("repo_id", "test_path", "score")
+    rows = materialize(scores.select("repo_id", "test_path", "score"), "scores")  # read three times below, scored once
     top = rows.groupBy("repo_id").agg(F.max("score").alias("top")).join(runs_by_repo.select("repo_id", "run_count"), "repo_id", "left")
     idle = top.select("repo_id", ((F.coalesce("run_count", F.lit(0)) < least) | (F.col("top") == 0)).alias("idle"))
     rows = rows.join(idle, "repo_id").select("repo_id", "test_path", F.when(F.col("idle"), 0.5).otherwise(F.col("score")).alias("score"))

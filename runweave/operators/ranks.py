@@ -1,7 +1,8 @@
 """Places of rows in an order, for groups of any size.
 
 Rows are range-partitioned by group and order, so a group of a third of all rows lies in many tasks; each task numbers its own stretch
-and stretches get the count of the group's rows before them from a table of a row a group and stretch.
+and stretches get the count of the group's rows before them from a table of a row a group and stretch. Cutting an order samples the rows first, which
+computes them once more; callers write rows that are costly to make.
 """
 
 from __future__ import annotations

@@ -176,6 +176,7 @@ def pair_surprise(records: DataFrame, names: DataFrame, *, least: int) -> DataFr
 
     # Benjamini-Hochberg within the group: all pairs of its frequent items are hypotheses, the uncounted ones with p = 1
     tests = frequent.groupBy("grp").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("tests"))
+    tails = materialize(tails, "tails")  # an order is sampled before it is cut: without this every tail would be computed twice
     ranked = q_values(tails.withColumn("p_value", F.exp("log_p")).join(tests, "grp"))
     left, right = named.select("grp", F.col("item").alias("a"), F.col("name").alias("name_1")), named.select("grp", F.col("item").alias("b"), F.col("name").alias("name_2"))
     out = ranked.join(left, ["grp", "a"]).join(right, ["grp", "b"])

@@ -48,11 +48,11 @@ def run_log_round_trip(spark: SparkSession, d: str):
     return back.select("repo_id", "id", "pr_number", "sha", "mode", F.unix_micros("created_at").alias("created_us"), F.col("time_saved_minutes").cast("double").alias("minutes"), tests.alias("tests"), digest.alias("digest"))
 
 
-@query("runs_by_month", """SELECT repo_id, strftime(created_at AT TIME ZONE 'UTC', '%Y%m') AS month, count(*) AS runs FROM runs WHERE repo_id IS NOT NULL GROUP BY 1, 2""")
+@query("runs_by_month", """SELECT repo_id, strftime(created_at AT TIME ZONE 'UTC', '%Y%m') AS month, count(*) AS runs FROM runs GROUP BY 1, 2""")
 def runs_by_month(spark: SparkSession, d: str):
     """All runs written in the table's layout; counts of its partitions."""
     path = state_path(spark, "runs")
-    run_log.write_runs(table(spark, d, "runs").where("repo_id is not null"), path)
+    run_log.write_runs(table(spark, d, "runs"), path)
     back = spark.read.schema("id string, repo_id string, yyyymm string").parquet(path)
     return back.groupBy("repo_id", F.col("yyyymm").alias("month")).agg(F.count(F.lit(1)).alias("runs"))
 
@@ -149,11 +149,13 @@ def flaky_warnings(spark: SparkSession, d: str):
     return analytics.flake_scores(counted_runs(spark, d, "actual_failures", "all_tests")).where("flake_score > 0.15").select("repo_id", "test_path")
 
 
-@query("prompt_digests", """SELECT doc_id, md5('Tests:' || chr(10) || array_to_string(list_sort([coalesce(lang, '-'), coalesce(source, '-'), 'a']), chr(10)) || chr(10) || chr(10) || 'Change:' || chr(10) || coalesce(text, '')
-  || CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN chr(10) || chr(10) || 'Notes:' || chr(10) || source ELSE '' END) AS digest FROM documents
-  WHERE len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_matches(y, '^[+-]'))) <= 2000""")
+@query("prompt_digests", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS y, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, regexp_matches(y, '^[+-]') AND y NOT LIKE '+++%' AND y NOT LIKE '---%' AS eff FROM l),
+n AS (SELECT *, sum(CASE WHEN eff THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM e),
+cut AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY i) FILTER (NOT eff OR n <= 2000) AS body FROM n GROUP BY 1)
+SELECT d.doc_id, md5('Tests:' || chr(10) || array_to_string(list_sort([coalesce(lang, '-'), coalesce(source, '-'), 'a']), chr(10)) || chr(10) || chr(10) || 'Change:' || chr(10) || coalesce(body, '')
+  || CASE WHEN length(trim(coalesce(source, ''))) > 0 THEN chr(10) || chr(10) || 'Notes:' || chr(10) || source ELSE '' END) AS digest FROM documents d LEFT JOIN cut ON cut.doc_id = d.doc_id""")
 def prompt_digests(spark: SparkSession, d: str):
-    """Questions about every text as if it were a change; none of the texts is cut."""
+    """Questions about every text as if it were a change, cut to their limit."""
     rows = table(spark, d, "documents").withColumn("paths", F.array(F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")), F.lit("a")))
-    few = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda y: y.rlike("^[+-]"))) <= prompts.CUT_ABOVE
-    return rows.where(few).select("doc_id", F.md5(prompts.prompt("paths", "text", "source")).alias("digest"))
+    return rows.select("doc_id", F.md5(prompts.prompt("paths", "text", "source")).alias("digest"))

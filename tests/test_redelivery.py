@@ -178,3 +178,11 @@ def test_index_reads_only_the_batch_buckets(spark, monkeypatch):
 def test_repeated_sequence_numbers_count_once(spark):
     df = spark.createDataFrame([(1, 0, "x", "a", at(1), "p", None), (1, 0, "X", "a", at(1), "q", None), (2, 0, None, "a", None, None, None), (2, 0, None, "a", None, None, None)], SCHEMA)
     assert sorted(r[0] for r in once(df, unique_seq=True).select("ingest_seq").collect()) == [1, 2, 2]
+
+
+def test_one_identifier_with_a_third_of_all_rows(spark):
+    df = spark.range(60_000).select(F.col("id").alias("ingest_seq"), (F.col("id") / 1000).cast("bigint").alias("batch_id"), F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("id"),
+                                    F.lit("a").alias("repo_id"), F.lit(at(1)).alias("created_at"))
+    table = replay(df)
+    assert table.winners().count() == 40_001 and table.surplus_rows(["ingest_seq"]).count() == 19_999
+    assert table.winners().where("id = 'Hot'").first()["ingest_seq"] == 0

@@ -1,7 +1,7 @@
 """Hierarchies of links that lie in rows of their own, of any size.
 
-Graphs of at most ``gather`` links are brought together in a row each and peeled within a task (see ``hierarchy``): memory is linear in the links
-and rows stream out. Larger graphs go through joins. Their descendants are the closure of the links, as (ancestor, node)
+Graphs of at most ``gather`` links are brought together in a row each and peeled within a task (see ``hierarchy``), where
+rows stream out and descendants are bits. Larger graphs go through joins. Their descendants are the closure of the links, as (ancestor, node)
 rows that double their reach in each round, so a chain of n links takes log2(n) rounds; paths go down from the roots level by level. Where only
 cycles are asked for no closure is made: nodes without a link in or out are trimmed again and again, and the strongly connected parts
 of the rest are found by colours: the greatest name that reaches a node colours it, and the nodes of one colour that reach back to its
